@@ -100,3 +100,19 @@ SELECT f.*, w.wholesale_units, w.fleet_units, c.working_days,
   f.quantity / nullif(c.working_days, 0) AS qty_per_working_day
 FROM b_factsraw f LEFT JOIN b_wl w ON f.month = w.month AND f.anchor_brand = w.anchor_brand AND f.model_key = w.model_key
 LEFT JOIN b_cal c ON f.month = c.month""")
+block("b_pmonth", """
+SELECT part_number, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, sum(quantity) AS q
+FROM (SELECT *, max(sale_date) OVER (PARTITION BY part_number) AS last FROM b_sales)
+WHERE NOT (last < last_day(last) AND day(last) <= 27 AND month = strftime(last, '%Y-%m')) GROUP BY ALL""")
+block("b_pdense", """
+SELECT r.part_number, r.o, printf('%04d-%02d', r.o // 12, r.o % 12 + 1) AS month, coalesce(m.q, 0) AS value
+FROM (SELECT part_number, unnest(range(min(o), max(o) + 1)) AS o FROM b_pmonth GROUP BY part_number) r
+LEFT JOIN b_pmonth m ON r.part_number = m.part_number AND r.o = m.o""")
+block("b_pser", "SELECT part_number, CAST(min(o) AS INT) AS start_ord, list(value ORDER BY o) AS h, CAST(count(*) AS INT) AS n FROM b_pdense GROUP BY part_number")
+block("b_amonth", """
+SELECT anchor_brand AS entity, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o,
+  sum(quantity) AS q, CAST(sum(revenue) AS DOUBLE) AS r FROM b_factsraw WHERE month <= '2001-10' GROUP BY ALL""")
+block("b_aser", """
+SELECT e.entity, CAST(min(e.o) AS INT) AS start_ord, list(coalesce(m.q, 0) ORDER BY e.o) AS h, list(coalesce(m.r, 0) ORDER BY e.o) AS hr, CAST(count(*) AS INT) AS n
+FROM (SELECT entity, unnest(range(min(o), 2001 * 12 + 9 + 1)) AS o FROM b_amonth GROUP BY entity) e
+LEFT JOIN b_amonth m ON e.entity = m.entity AND e.o = m.o GROUP BY e.entity""")
