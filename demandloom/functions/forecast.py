@@ -19,6 +19,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df, name: str, value: Column):
+    """Add a heavy column as the output of a generator.
+
+    Filters and projections are never merged through a generator, so the value is computed once
+    per row, however often later steps refer to it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def asum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

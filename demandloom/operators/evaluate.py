@@ -205,22 +205,32 @@ def nowcast_backtest(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return p.groupingSets([("cutoff_day",), ()], "cutoff_day").agg(*metric_columns())
 
 
-def outer_test(packed: DataFrame, keys: list[str], use_seasonality: bool = True) -> DataFrame:
-    """Choose on the first n - holdout months, then score expanding one-step forecasts on the rest."""
+def with_outer_test(packed: DataFrame, use_seasonality: bool = True) -> DataFrame:
+    """Add struct ``ev``: choose on the first n - holdout months, then score expanding one-step
+    forecasts on the rest. Null when fewer than three months remain for the choice."""
     n = F.size("h")
     split = n - F.least(F.lit(6), F.greatest(F.lit(3), F.floor(n / 4).cast("int")))
-    p = packed.withColumn("split", split).filter("split >= 3")
-    p = p.withColumn("b", FC.select_best(F.slice("h", 1, F.col("split")), use_seasonality))
+    p = packed.withColumn("split", split)
+    p = FC.once(p, "eb", F.when(F.col("split") >= 3, FC.let(F.slice("h", 1, F.col("split")), lambda t: FC.select_best(t, use_seasonality))))
     # softening only looks back, so prefixes of the softened full history serve every origin
-    p = p.withColumn("t", F.when(F.col("b.preprocessing") == "cleaned", FC.soften(F.col("h"))["v"]).otherwise(F.col("h")))
+    p = FC.once(p, "et", F.when(F.col("eb.preprocessing") == "cleaned", FC.soften(F.col("h"))["v"]).otherwise(F.col("h")))
     preds = F.transform(F.sequence(F.col("split"), n - 1), lambda i: FC.let(
-        F.slice("t", 1, i), lambda t: F.greatest(F.lit(0.0), F.get(FC.path_by_name(t, F.col("b.model"), 1), 0))))
-    p = p.withColumn("pred", preds).withColumn("act", F.slice("h", F.col("split") + 1, n))
-    err = FC.asum(F.zip_with("pred", "act", lambda a, b: F.abs(a - b)))
-    tot = FC.asum(F.col("act"))
-    return p.select(*keys, "start_ord", "split", F.col("b.model").alias("backtest_model"), F.size("act").alias("points"), tot.alias("actual_sum"),
-                    err.alias("abs_error"), F.when(tot > 0, err / tot).alias("wape"), (err / F.size("act")).alias("mae"),
-                    F.when(tot > 0, (FC.asum(F.col("pred")) - tot) / tot).alias("bias"), "pred", "act")
+        F.slice("et", 1, i), lambda t: F.greatest(F.lit(0.0), F.get(FC.path_by_name(t, F.col("eb.model"), 1), 0))))
+    p = FC.once(p, "ep", F.when(F.col("split") >= 3, preds))
+    return p.withColumn("ev", F.when(F.col("split") >= 3, outer_scores(F.col("eb.model"), F.col("ep"), F.slice("h", F.col("split") + 1, n))))
+
+
+def outer_scores(model: Column, pred: Column, act: Column) -> Column:
+    err = FC.asum(F.zip_with(pred, act, lambda a, b: F.abs(a - b)))
+    tot = FC.asum(act)
+    return F.struct(model.alias("model"), F.size(act).alias("points"), tot.alias("actual_sum"), err.alias("abs_error"),
+                    F.when(tot > 0, err / tot).alias("wape"), (err / F.size(act)).alias("mae"),
+                    F.when(tot > 0, (FC.asum(pred) - tot) / tot).alias("bias"))
+
+
+def outer_test(packed: DataFrame, keys: list[str], use_seasonality: bool = True) -> DataFrame:
+    p = with_outer_test(packed, use_seasonality).filter("ev is not null")
+    return p.select(*keys, "split", F.col("ev.model").alias("backtest_model"), *[f"ev.{c}" for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")])
 
 
 def evaluation_scopes(rows: DataFrame, entities: list[str], entity: str = "entity") -> DataFrame:

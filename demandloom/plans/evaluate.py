@@ -152,8 +152,8 @@ def e9(spark, path):
 
 OUTER = f"""SELECT part_number, b.model AS backtest_model, n, split, h[split + 1:] AS act, p FROM (SELECT *, list_transform(range(split, n), lambda i: """ + Q.let(
     "t[:i]", "z", "greatest(0.0::DOUBLE, " + Q.path_by_name("z", "m", 1) + "[1])") + f""") AS p FROM (
- SELECT *, b.model AS m, CASE WHEN b.prep = 'cleaned' THEN ({Q.soften('h')}).v ELSE h END AS t FROM (SELECT *, {Q.select_best('g')} AS b FROM (
-  SELECT *, h[:split] AS g FROM (SELECT *, n - least(6, greatest(3, n // 4)) AS split FROM b_pser) WHERE split >= 3))))"""
+ SELECT *, b.model AS m, CASE WHEN b.prep = 'cleaned' THEN ({Q.soften('h')}).v ELSE h END AS t FROM (SELECT *, {Q.select_best('hh')} AS b FROM (
+  SELECT *, h[:split] AS hh FROM (SELECT *, n - least(6, greatest(3, n // 4)) AS split FROM b_pser) WHERE split >= 3))))"""
 
 
 @query("E2_outer_test", f"""SELECT part_number, backtest_model, CAST(len(act) AS INT) AS points, list_sum(act) AS actual_sum,

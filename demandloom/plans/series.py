@@ -7,6 +7,7 @@ from ..functions import dates as D
 from ..functions import forecast as FC
 from ..operators import explore as X
 from ..operators import facts as FA
+from ..operators import forecasting as FO
 from ..operators import series as S
 from . import inputs as I
 from . import series_sql as Q
@@ -132,7 +133,7 @@ SELECTED = f"SELECT part_number, start_ord, n, h, {Q.select_best('h')} AS b FROM
 
 
 def selected(spark, path):
-    return part_series(spark, path).withColumn("b", FC.select_best(F.col("h")))
+    return FC.once(part_series(spark, path), "b", FC.select_best(F.col("h")))
 
 
 @query("FC13_FC14_model_selection", f"""SELECT part_number, b.model AS model, b.prep AS preprocessing, b.adjusted AS adjusted, round(b.mae, 6) AS mae, round(b.wape, 6) AS wape, round(b.bias, 6) AS bias
@@ -177,13 +178,7 @@ def fc17(spark, path):
 
 def rated(spark, path):
     """Every series with its selection, shape, risk, tier and score: one narrow projection."""
-    h = F.col("h")
-    d = selected(spark, path).filter("n > 3").withColumns({
-        "r": FC.regime(h), "anomalies": FC.anomalies(h, 4), "confidence": FC.confidence(h, F.col("b.wape"), F.col("b.bias"))})
-    d = d.withColumn("risk", FC.risk(F.col("confidence"), F.col("b.wape"), F.col("b.bias"), F.col("r.code"), F.size("anomalies")))
-    return d.withColumns({
-        "tier": FC.tier(F.col("n"), F.col("risk"), F.col("r.code"), F.col("b.wape"), F.col("b.bias"), F.col("r.volatility")),
-        "score": FC.reliability(F.col("n"), F.col("b.wape"), F.col("b.bias"), F.col("confidence"), F.col("r.code"), F.col("risk"))})
+    return FO.rate(part_series(spark, path))
 
 
 RATED = f"""
