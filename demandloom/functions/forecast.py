@@ -7,7 +7,7 @@ run as one narrow projection over the rows that hold the series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BASELINE_MODELS
@@ -19,13 +19,42 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def once(df, name: str, value: Column):
+def once(df, name: str, value: Column, fields: tuple[str, ...] = ()):
     """Add a heavy column as the output of a generator.
 
     Filters and projections are never merged through a generator, so the value is computed once
-    per row, however often later steps refer to it.
+    per row, however often later steps refer to it. The ``fields`` of a struct become flat columns
+    ``<name>_<field>``.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    if not fields:
+        return df.select("*", F.explode(F.array(value)).alias(name))
+    flat = [f"{name}_{f}" for f in fields]
+    wide = let(value, lambda v: F.struct(*[v[f].alias(c) for f, c in zip(fields, flat, strict=True)]))
+    return df.select("*", F.inline(F.array(wide)))
+
+
+_MEMO: dict = {}
+
+
+def memo(key: tuple, build):
+    """Reuse a large expression over named columns: building one takes thousands of small calls."""
+    app = SparkSession.active().sparkContext.applicationId
+    if (app, key) not in _MEMO:
+        _MEMO[(app, key)] = build()
+    return _MEMO[(app, key)]
+
+
+BEST = ("model", "preprocessing", "mae", "wape", "bias", "adjusted", "train")
+
+
+def with_best(df, h: str = "h", name: str = "b", use_seasonality: bool = True):
+    """Add columns ``<name>_model`` etc.: the best method for the history in column ``h``."""
+    return once(df, name, memo(("best", h, use_seasonality), lambda: select_best(F.col(h), use_seasonality)), BEST)
+
+
+def with_path(df, h: str, model: str, horizon: int, name: str):
+    """Add array ``name``: forecast of column ``h`` with the method named in column ``model``."""
+    return once(df, name, memo(("path", h, model, horizon), lambda: path_by_name(F.col(h), F.col(model), horizon)))
 
 
 def asum(a: Column) -> Column:
@@ -259,29 +288,54 @@ def select_best(h: Column, use_seasonality: bool = True) -> Column:
     """struct(model, preprocessing, mae, wape, bias, adjusted, train) of the best method.
 
     Lowest WAPE, then MAE, then |bias|, then the fixed candidate order; the softened history
-    competes only when it changed something.
+    competes only when it changed something. Null when the series has three months or fewer.
     """
-    def choose(c):
-        def scored(train, prep, offset, extra):
-            out = []
-            none_fits = F.size(F.filter(F.array(*[eligible(h, s, use_seasonality) for s in BASELINE_MODELS]), lambda b: b)) == 0
-            for k, spec in enumerate(BASELINE_MODELS):
-                ok = eligible(h, spec, use_seasonality)
-                if spec[0] == "mean":
-                    ok = ok | none_fits
-                res = F.when(ok & extra, let(backtest_errors(h, train, spec[0]), lambda r: F.struct(
-                    F.coalesce(r["wape"], F.lit(float("inf"))).alias("w"), F.coalesce(r["mae"], F.lit(float("inf"))).alias("m"),
-                    F.coalesce(F.abs(r["bias"]), F.lit(float("inf"))).alias("b"), F.lit(offset + k).alias("k"),
-                    F.lit(spec[0]).alias("model"), F.lit(prep).alias("prep"), r["mae"].alias("mae"), r["wape"].alias("wape"),
-                    r["bias"].alias("bias"))))
-                out.append(res)
-            return out
-        rows = scored(h, "raw", 0, F.lit(True)) + scored(c["v"], "cleaned", 100, c["n"] > 0)
-        return let(F.array_min(F.array(*rows)), lambda b: F.struct(
+    inf = F.lit(float("inf"))
+
+    def choose(s):
+        v, zs, c = s["h"], s["zs"], s["c"]
+        n = F.size(v)
+        start = holdout_start(v)
+        fits = []
+        for _, need, family in BASELINE_MODELS:
+            ok = n >= need
+            if family == "seasonal":
+                ok = ok & (zs < 0.45) if use_seasonality else F.lit(False)
+            if family == "intermittent":
+                ok = ok & (zs >= 0.2)
+            fits.append(ok)
+        fits[1] = fits[1] | (n < 2)                      # the mean stands in when nothing fits
+        raw = F.struct(v.alias("t"), F.lit("raw").alias("prep"), F.lit(0).alias("adj"))
+        soft = F.struct(c["v"].alias("t"), F.lit("cleaned").alias("prep"), c["n"].alias("adj"))
+        trains = F.when(c["n"] > 0, F.array(raw, soft)).otherwise(F.array(raw))
+
+        def per_train(tr):
+            t = tr["t"]
+            # one entry per origin: the one-step forecasts of all methods (null where one does not fit)
+            grid = F.transform(F.sequence(start, n - 1), lambda i: let(F.slice(t, 1, i), lambda p: F.array(*[
+                F.when(ok, F.get(path(p, m[0], 1), 0)) for ok, m in zip(fits, BASELINE_MODELS, strict=True)])))
+
+            def score(g):
+                act = F.slice(v, start + 1, n)
+
+                def one(name, k):
+                    p = F.transform(g, lambda row: F.get(row, k))
+                    return let(F.struct(asum(F.zip_with(p, act, lambda a, b: F.abs(a - b))).alias("e"), asum(act).alias("t"),
+                                        asum(p).alias("p"), F.size(act).alias("c")), lambda q: F.struct(
+                        F.when(q["t"] != 0, q["e"] / q["t"]).otherwise(inf).alias("w"), (q["e"] / q["c"]).alias("m"),
+                        F.when(q["t"] != 0, F.abs((q["p"] - q["t"]) / q["t"])).otherwise(inf).alias("b"),
+                        (k + F.when(tr["prep"] == "raw", 0).otherwise(100)).alias("k"), name.alias("model"), tr["prep"].alias("prep"),
+                        (q["e"] / q["c"]).alias("mae"), F.when(q["t"] != 0, q["e"] / q["t"]).alias("wape"),
+                        F.when(q["t"] != 0, (q["p"] - q["t"]) / q["t"]).alias("bias"), tr["adj"].alias("adj")))
+                names = F.array(*[F.lit(m[0]) for m in BASELINE_MODELS])
+                rows = F.transform(names, one)
+                return F.array_min(F.filter(rows, lambda r: F.get(F.get(g, 0), r["k"] % 100).isNotNull()))
+            return let(grid, score)
+        return let(F.array_min(F.transform(trains, per_train)), lambda b: F.struct(
             b["model"].alias("model"), b["prep"].alias("preprocessing"), b["mae"].alias("mae"), b["wape"].alias("wape"),
-            b["bias"].alias("bias"), F.when(b["prep"] == "cleaned", c["n"]).otherwise(0).alias("adjusted"),
-            F.when(b["prep"] == "cleaned", c["v"]).otherwise(h).alias("train")))
-    return let(soften(h), choose)
+            b["bias"].alias("bias"), b["adj"].alias("adjusted"), F.when(b["prep"] == "cleaned", c["v"]).otherwise(v).alias("train")))
+    best = let(let(h, lambda x: F.struct(x.alias("h"), zero_share(x).alias("zs"), soften(x).alias("c"))), choose)
+    return F.when(F.size(h) > 3, best)
 
 
 def pop_std(a: Column) -> Column:

@@ -13,6 +13,7 @@ from ..config import MODEL_COMPLEXITY, BacktestContract
 from ..functions import dates as D
 from ..functions import forecast as FC
 
+OUTER = ("model", "points", "actual_sum", "abs_error", "wape", "mae", "bias")
 FOLD = ["origin_month", "target_month", "horizon"]
 
 
@@ -210,14 +211,14 @@ def with_outer_test(packed: DataFrame, use_seasonality: bool = True) -> DataFram
     forecasts on the rest. Null when fewer than three months remain for the choice."""
     n = F.size("h")
     split = n - F.least(F.lit(6), F.greatest(F.lit(3), F.floor(n / 4).cast("int")))
-    p = packed.withColumn("split", split)
-    p = FC.once(p, "eb", F.when(F.col("split") >= 3, FC.let(F.slice("h", 1, F.col("split")), lambda t: FC.select_best(t, use_seasonality))))
+    p = FC.once(packed.withColumn("split", split), "hp", F.when(F.col("split") >= 3, F.slice("h", 1, F.col("split"))))
+    p = FC.with_best(p, "hp", "eb", use_seasonality)
     # softening only looks back, so prefixes of the softened full history serve every origin
-    p = FC.once(p, "et", F.when(F.col("eb.preprocessing") == "cleaned", FC.soften(F.col("h"))["v"]).otherwise(F.col("h")))
-    preds = F.transform(F.sequence(F.col("split"), n - 1), lambda i: FC.let(
-        F.slice("et", 1, i), lambda t: F.greatest(F.lit(0.0), F.get(FC.path_by_name(t, F.col("eb.model"), 1), 0))))
-    p = FC.once(p, "ep", F.when(F.col("split") >= 3, preds))
-    return p.withColumn("ev", F.when(F.col("split") >= 3, outer_scores(F.col("eb.model"), F.col("ep"), F.slice("h", F.col("split") + 1, n))))
+    p = FC.once(p, "et", F.when(F.col("eb_preprocessing") == "cleaned", FC.soften(F.col("h"))["v"]).otherwise(F.col("h")))
+    preds = FC.memo(("outer",), lambda: F.transform(F.sequence(F.col("split"), F.size("h") - 1), lambda i: FC.let(
+        F.slice("et", 1, i), lambda t: F.greatest(F.lit(0.0), F.get(FC.path_by_name(t, F.col("eb_model"), 1), 0)))))
+    p = FC.once(p, "ep", F.when(F.col("eb_model").isNotNull(), preds))
+    return FC.once(p, "ev", F.when(F.col("ep").isNotNull(), outer_scores(F.col("eb_model"), F.col("ep"), F.slice("h", F.col("split") + 1, F.size("h")))), OUTER)
 
 
 def outer_scores(model: Column, pred: Column, act: Column) -> Column:
@@ -229,8 +230,8 @@ def outer_scores(model: Column, pred: Column, act: Column) -> Column:
 
 
 def outer_test(packed: DataFrame, keys: list[str], use_seasonality: bool = True) -> DataFrame:
-    p = with_outer_test(packed, use_seasonality).filter("ev is not null")
-    return p.select(*keys, "split", F.col("ev.model").alias("backtest_model"), *[f"ev.{c}" for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")])
+    p = with_outer_test(packed, use_seasonality).filter("ev_model is not null")
+    return p.select(*keys, "split", F.col("ev_model").alias("backtest_model"), *[f"ev_{c}" for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")])
 
 
 def evaluation_scopes(rows: DataFrame, entities: list[str], entity: str = "entity") -> DataFrame:

@@ -42,6 +42,9 @@ def with_days(packed: DataFrame, cal: DataFrame, horizon: int) -> DataFrame:
 DRIVER = "forecast array<double>, wape double, mae double, bias double, coef array<double>, split_wape double, outer_pred array<double>"
 
 
+DRIVER_FIELDS = tuple(part.split()[0] for part in DRIVER.split(", "))
+
+
 def driver_regression(horizon: int, use_working_days: bool = True, use_seasonality: bool = True):
     """Arrow-batched UDF (h, start_ord, day_list, mean_days) -> DRIVER struct.
 
@@ -95,13 +98,14 @@ def driver_regression(horizon: int, use_working_days: bool = True, use_seasonali
 
 def driver_forecast(packed: DataFrame, cal: DataFrame, horizon: int, use_working_days: bool = True, use_seasonality: bool = True) -> DataFrame:
     d = with_days(packed, cal, horizon)
-    return d.withColumn("driver", driver_regression(horizon, use_working_days, use_seasonality)("h", "start_ord", "day_list", "mean_days"))
+    d = d.withColumn("driver", driver_regression(horizon, use_working_days, use_seasonality)("h", "start_ord", "day_list", "mean_days"))
+    return d.select("*", *[F.col("driver")[f].alias(f"driver_{f}") for f in DRIVER_FIELDS]).drop("driver")
 
 
 def coefficient_rows(df: DataFrame, keys: list[str], use_working_days: bool = True, use_seasonality: bool = True) -> DataFrame:
     """Named coefficients with the per-day effect and the seasonal amplitude."""
     names = ["intercept", "trend_per_month"] + (["working_days_ratio"] if use_working_days else []) + (["season_sin", "season_cos"] if use_seasonality else [])
-    c = {n: F.get("driver.coef", i) for i, n in enumerate(names)}
+    c = {n: F.get("driver_coef", i) for i, n in enumerate(names)}
     if use_working_days:
         c["working_day_effect"] = F.round(c["working_days_ratio"] / F.greatest("mean_days", F.lit(1.0)), 6)
     if use_seasonality:
@@ -121,24 +125,24 @@ def resolve(packed: DataFrame, cal: DataFrame, *, strategy: str = "auto", horizo
     """
     h = F.col("h")
     p = driver_forecast(packed, cal, horizon, use_working_days, use_seasonality) if strategy in ("auto", "driver_adjusted_regression") else \
-        packed.withColumn("driver", F.lit(None).cast(f"struct<{DRIVER.replace(' ', ':').replace(',:', ',')}>"))
-    p = FC.once(p, "b", FC.select_best(h, use_seasonality))
-    p = EV.with_outer_test(p, use_seasonality) if evaluate else p.withColumn("ev", F.lit(None))
-    base = F.struct(F.col("b.model").alias("model"), F.col("b.preprocessing").alias("preprocessing"),
-                    FC.path_by_name(F.col("b.train"), F.col("b.model"), horizon).alias("forecast"), F.col("b.wape").alias("wape"))
+        packed.withColumns({f"driver_{a}": F.lit(None).cast(t) for a, t in (x.split() for x in DRIVER.split(", "))})
+    p = FC.with_path(FC.with_best(p, "h", "b", use_seasonality), "b_train", "b_model", horizon, "base_path")
+    p = EV.with_outer_test(p, use_seasonality) if evaluate else p
+    base = F.struct(F.col("b_model").alias("model"), F.col("b_preprocessing").alias("preprocessing"),
+                    F.col("base_path").alias("forecast"), F.col("b_wape").alias("wape"))
     drv = F.struct(F.lit("driver_adjusted_regression").alias("model"), F.lit("raw").alias("preprocessing"),
-                   F.col("driver.forecast").alias("forecast"), F.col("driver.wape").alias("wape"))
-    has, d_ev = F.col("driver.forecast").isNotNull(), F.slice("h", F.size("h") - F.size("driver.outer_pred") + 1, F.size("driver.outer_pred"))
+                   F.col("driver_forecast").alias("forecast"), F.col("driver_wape").alias("wape"))
+    has, d_ev = F.col("driver_forecast").isNotNull(), F.slice("h", F.size("h") - F.size("driver_outer_pred") + 1, F.size("driver_outer_pred"))
     if strategy == "baseline_auto":
         pick, note, drv_outer = base, F.lit("baseline"), F.lit(False)
     elif strategy == "driver_adjusted_regression":
         pick, note = F.when(has, drv).otherwise(base), F.when(has, "forced").otherwise("fallback")
         drv_outer = F.col("split") >= 18 if evaluate else F.lit(False)
     elif strategy == "auto":
-        better = has & (F.col("b.wape").isNull() | F.coalesce(F.col("driver.wape") < F.col("b.wape"), F.lit(False)))
+        better = has & (F.col("b_wape").isNull() | F.coalesce(F.col("driver_wape") < F.col("b_wape"), F.lit(False)))
         pick, note = F.when(better, drv).otherwise(base), F.when(better, "driver").otherwise("baseline")
-        drv_outer = (F.col("driver.split_wape").isNotNull() & (F.col("eb.wape").isNull() | F.coalesce(
-            F.col("driver.split_wape") < F.col("eb.wape"), F.lit(False)))) if evaluate else F.lit(False)
+        drv_outer = (F.col("driver_split_wape").isNotNull() & (F.col("eb_wape").isNull() | F.coalesce(
+            F.col("driver_split_wape") < F.col("eb_wape"), F.lit(False)))) if evaluate else F.lit(False)
     else:
         fits = F.array_contains(FC.candidates(h, use_seasonality), strategy)
         forced = F.struct(F.lit(strategy).alias("model"), F.lit("raw").alias("preprocessing"), FC.path(h, strategy, horizon).alias("forecast"),
@@ -148,10 +152,17 @@ def resolve(packed: DataFrame, cal: DataFrame, *, strategy: str = "auto", horizo
             n = F.size("h")
             forced_pred = F.transform(F.sequence(F.col("split"), n - 1), lambda i: FC.let(F.slice("h", 1, i), lambda t: F.get(FC.path(t, strategy, 1), 0)))
             ok = F.array_contains(FC.candidates(F.slice("h", 1, F.greatest(F.col("split"), F.lit(1))), use_seasonality), strategy) & (F.col("split") >= 3)
-            p = p.withColumn("ev", F.when(ok, EV.outer_scores(F.lit(strategy), forced_pred, F.slice("h", F.col("split") + 1, n))).otherwise(F.col("ev")))
+            p = _override(p, ok, EV.outer_scores(F.lit(strategy), forced_pred, F.slice("h", F.col("split") + 1, n)))
     if evaluate and strategy in ("auto", "driver_adjusted_regression"):
-        p = p.withColumn("ev", F.when(drv_outer, EV.outer_scores(F.lit("driver_adjusted_regression"), F.col("driver.outer_pred"), d_ev)).otherwise(F.col("ev")))
-    return FC.once(p, "pick", pick).withColumn("note", note)
+        p = _override(p, drv_outer, EV.outer_scores(F.lit("driver_adjusted_regression"), F.col("driver_outer_pred"), d_ev))
+    return FC.once(p, "pick", pick, ("model", "preprocessing", "forecast", "wape")).withColumn("note", note)
+
+
+def _override(df: DataFrame, when: Column, scores: Column) -> DataFrame:
+    """Replace the outer-test columns where the condition holds."""
+    df = FC.once(df, "alt", F.when(when, scores), EV.OUTER)
+    return df.withColumns({f"ev_{c}": F.when(F.col("alt_model").isNotNull(), F.col(f"alt_{c}")).otherwise(F.col(f"ev_{c}"))
+                           for c in EV.OUTER}).drop(*[f"alt_{c}" for c in EV.OUTER])
 
 
 LEVEL_KEYS = {"brand": ["brand"], "model": ["brand", "entity_key", "model_name"],
@@ -190,12 +201,12 @@ def hierarchical(facts: DataFrame, cal: DataFrame, level: str, *, horizon: int =
     r = r.join(meta, keys)
     gone = F.col("lifecycle_status").startswith("Discontinued through") if level != "brand" else F.lit(False)
     mult = max(0.0, 1.0 + tariff_pct / 100.0)
-    out = F.when(gone, F.array_repeat(F.lit(0.0), horizon)).otherwise(F.transform("pick.forecast", lambda v: F.greatest(F.lit(0.0), v * mult)))
+    out = F.when(gone, F.array_repeat(F.lit(0.0), horizon)).otherwise(F.transform("pick_forecast", lambda v: F.greatest(F.lit(0.0), v * mult)))
     return r.select(*keys, F.lit(level).alias("level"), *(["part_description"] if level == "model_accessory" else []), "lifecycle_status", "cutoff",
                     "start_ord", F.col("n").alias("history_months"), "active_months", "history_volume", "monthly_average",
-                    F.element_at("h", -1).alias("latest_actual"), F.when(gone, "discontinued_zero").otherwise(F.col("pick.model")).alias("selected_model"),
-                    F.col("pick.preprocessing").alias("preprocessing"), "note", F.col("ev.model").alias("backtest_model"),
-                    *[F.col(f"ev.{c}").alias(c) for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")], out.alias("forecast"))
+                    F.element_at("h", -1).alias("latest_actual"), F.when(gone, "discontinued_zero").otherwise(F.col("pick_model")).alias("selected_model"),
+                    F.col("pick_preprocessing").alias("preprocessing"), "note", F.col("ev_model").alias("backtest_model"),
+                    *[F.col(f"ev_{c}").alias(c) for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")], out.alias("forecast"))
 
 
 def forecast_long(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,15 +227,14 @@ def hierarchical_summary(records: DataFrame) -> DataFrame:
 def rate(packed: DataFrame, residual_pct: Column | None = None) -> DataFrame:
     """Selection, next value, shape, anomalies, confidence, risk, tier and score per series."""
     h = F.col("h")
-    d = FC.once(packed.filter("n > 3"), "b", FC.select_best(h))
-    d = FC.once(d, "x", F.struct(
-        FC.regime(h).alias("r"), FC.anomalies(h, 4).alias("anomalies"), FC.confidence(h, F.col("b.wape"), F.col("b.bias")).alias("confidence"),
-        F.get(FC.path_by_name(F.col("b.train"), F.col("b.model"), 1), 0).alias("next_forecast"), F.element_at(h, -1).alias("latest")))
-    d = d.select("*", "x.*").drop("x")
-    d = d.withColumn("risk", FC.risk(F.col("confidence"), F.col("b.wape"), F.col("b.bias"), F.col("r.code"), F.size("anomalies"), residual_pct))
+    d = FC.with_path(FC.with_best(packed.filter("n > 3")), "b_train", "b_model", 1, "one_step")
+    d = FC.once(d, "r", FC.regime(h), ("code", "label", "severity", "change_pct", "shift_pct", "volatility"))
+    d = FC.once(FC.once(d, "anomalies", FC.anomalies(h, 4)), "confidence", FC.confidence(h, F.col("b_wape"), F.col("b_bias")))
+    d = d.withColumns({"next_forecast": F.get("one_step", 0), "latest": F.element_at(h, -1)})
+    d = d.withColumn("risk", FC.risk(F.col("confidence"), F.col("b_wape"), F.col("b_bias"), F.col("r_code"), F.size("anomalies"), residual_pct))
     return d.withColumns({
-        "tier": FC.tier(F.col("n"), F.col("risk"), F.col("r.code"), F.col("b.wape"), F.col("b.bias"), F.col("r.volatility")),
-        "score": FC.reliability(F.col("n"), F.col("b.wape"), F.col("b.bias"), F.col("confidence"), F.col("r.code"), F.col("risk"))})
+        "tier": FC.tier(F.col("n"), F.col("risk"), F.col("r_code"), F.col("b_wape"), F.col("b_bias"), F.col("r_volatility")),
+        "score": FC.reliability(F.col("n"), F.col("b_wape"), F.col("b_bias"), F.col("confidence"), F.col("r_code"), F.col("risk"))})
 
 
 def top_parts(sales: DataFrame, k: int) -> DataFrame:
@@ -245,8 +255,8 @@ def portfolio(sales: DataFrame, scan: int | None = 60) -> DataFrame:
     d = rate(part_series(sales, parts if scan else None)).join(parts, "part_number").crossJoin(F.broadcast(tot))
     prio = F.when(F.col("tier") == "planner_ready", 1).when(F.col("tier") == "needs_review", 2).otherwise(3)
     return d.select("part_number", "n", "latest", "next_forecast", FC.pct(F.col("next_forecast") - F.col("latest"), F.col("latest")).alias("delta_pct"),
-                    "confidence", "risk", F.col("r.code").alias("regime"), F.col("b.wape").alias("wape"), F.col("b.bias").alias("bias"),
-                    F.col("b.model").alias("model"), F.col("b.preprocessing").alias("preprocessing"), "tier", prio.alias("priority"), "score",
+                    "confidence", "risk", F.col("r_code").alias("regime"), F.col("b_wape").alias("wape"), F.col("b_bias").alias("bias"),
+                    F.col("b_model").alias("model"), F.col("b_preprocessing").alias("preprocessing"), "tier", prio.alias("priority"), "score",
                     "total_quantity", (F.col("total_quantity") / F.nullif(F.col("scan_total"), F.lit(0.0))).alias("quantity_share"))
 
 
@@ -334,25 +344,25 @@ def alerts(sales: DataFrame, exposure: DataFrame, scan: int | None = 60) -> Data
     prev, z = F.when(F.col("n") >= 2, FC.back(F.col("h"), 2)).otherwise(0.0), F.lit(0.0)
     delta = FC.pct(F.col("latest") - prev, prev)
     top2 = F.slice("anomalies", 1, 2)
-    prio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REGIME_PRIORITY.items() for x in kv]), F.col("r.code")), z)
-    score = (F.least(F.abs(F.coalesce(delta, z)) / 100, F.lit(2.5)) * 0.45 + F.least(F.coalesce(F.col("b.wape"), z), F.lit(1.5)) * 0.35
+    prio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REGIME_PRIORITY.items() for x in kv]), F.col("r_code")), z)
+    score = (F.least(F.abs(F.coalesce(delta, z)) / 100, F.lit(2.5)) * 0.45 + F.least(F.coalesce(F.col("b_wape"), z), F.lit(1.5)) * 0.35
              + F.when(F.exists(top2, lambda a: a["severity"] == "High"), 0.35).when(F.size(top2) > 0, 0.18).otherwise(0.0) + prio
              + F.when(F.col("confidence") == "Low", 0.2).when(F.col("confidence") == "Medium", 0.08).otherwise(0.0))
     evidence = F.slice(F.filter(F.array(
-        F.concat(F.lit("regime:"), "r.code"),
+        F.concat(F.lit("regime:"), "r_code"),
         F.when(delta.isNotNull(), F.concat(F.lit("change_pct:"), F.format_number(delta, 1))),
         F.concat(F.lit("recent3_pct:"), F.format_number(FC.pct(F.col("latest"), FC.amean(FC.tail(F.col("h"), 3))), 0)),
         F.when(F.col("strength").isNotNull(), F.concat(F.lit("exposure:"), F.lower("strength"))),
         F.when(F.abs("exposure_residual_pct") >= 20, F.concat(F.lit("residual_pct:"), F.format_number("exposure_residual_pct", 1))),
         F.when(F.size(top2) > 0, F.concat(F.lit("anomaly_pct:"), F.format_number(F.get(top2, 0)["delta_pct"], 1))),
-        F.when(F.col("b.wape").isNotNull(), F.concat(F.lit("wape_pct:"), F.format_number(F.col("b.wape") * 100, 1)))),
+        F.when(F.col("b_wape").isNotNull(), F.concat(F.lit("wape_pct:"), F.format_number(F.col("b_wape") * 100, 1)))),
         lambda x: x.isNotNull()), 1, 5)
     d = d.withColumns({"alert_score": F.round(score, 3), "raw": score, "delta_pct": delta, "previous": prev, "evidence": evidence})
-    d = d.filter(~((F.col("raw") < 0.32) & (F.col("risk") == "Low") & (F.col("r.code") == "stable")))
+    d = d.filter(~((F.col("raw") < 0.32) & (F.col("risk") == "Low") & (F.col("r_code") == "stable")))
     return d.select("part_number", "n", "latest", "previous", "delta_pct", "next_forecast",
                     FC.pct(F.col("next_forecast") - F.col("latest"), F.col("latest")).alias("forecast_delta_pct"), "alert_score", "risk",
-                    F.col("r.code").alias("regime"), F.col("r.severity").alias("severity"), "confidence", F.col("b.wape").alias("wape"),
-                    F.col("b.bias").alias("bias"), F.col("b.model").alias("model"), "strength", F.array_join("evidence", "; ").alias("evidence"))
+                    F.col("r_code").alias("regime"), F.col("r_severity").alias("severity"), "confidence", F.col("b_wape").alias("wape"),
+                    F.col("b_bias").alias("bias"), F.col("b_model").alias("model"), "strength", F.array_join("evidence", "; ").alias("evidence"))
 
 
 def surfaced(alert_rows: DataFrame, limit: int = 12) -> DataFrame:
@@ -368,11 +378,11 @@ def alert_summary(alert_rows: DataFrame) -> DataFrame:
 
 def part_payload(packed: DataFrame, horizon: int = 3) -> DataFrame:
     """History rows and forecast rows with bounds, one table."""
-    d = FC.once(packed.filter("n > 3"), "b", FC.select_best(F.col("h")))
+    d = FC.with_best(packed.filter("n > 3"))
     hist = S.unpack(d, ["part_number"]).select("part_number", "month", F.lit("actual").alias("kind"), "value",
                                                F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))
-    f = d.withColumn("p", FC.path_by_name(F.col("b.train"), F.col("b.model"), horizon))
-    f = f.select("part_number", "start_ord", "n", F.posexplode(FC.band(F.col("h"), F.col("p"), F.col("b.mae"))).alias("i", "x"))
+    f = FC.with_path(d, "b_train", "b_model", horizon, "p")
+    f = f.select("part_number", "start_ord", "n", F.posexplode(FC.band(F.col("h"), F.col("p"), F.col("b_mae"))).alias("i", "x"))
     return hist.unionByName(f.select("part_number", D.month_from_ord(F.col("start_ord") + F.col("n") + F.col("i")).alias("month"), F.lit("forecast").alias("kind"),
                                      F.col("x.forecast").alias("value"), F.col("x.lower").alias("lower"), F.col("x.upper").alias("upper")))
 

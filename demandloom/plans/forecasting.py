@@ -93,7 +93,7 @@ def f14(spark, path):
 @query("FC26_strategy_auto")
 def fc26(spark, path):
     r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="auto", horizon=3)
-    return r.select("model_key", F.col("pick.model").alias("model"), "note", F.col("pick.wape").alias("wape"), F.col("ev.model").alias("outer_model"), F.col("ev.wape").alias("outer_wape"))
+    return r.select("model_key", F.col("pick_model").alias("model"), "note", F.col("pick_wape").alias("wape"), F.col("ev_model").alias("outer_model"), F.col("ev_wape").alias("outer_wape"))
 
 
 block("b_mser", """SELECT e.model_key, CAST(min(e.o) AS INT) AS start_ord, list(coalesce(m.q, 0) ORDER BY e.o) AS h, CAST(count(*) AS INT) AS n FROM
@@ -104,7 +104,7 @@ block("b_mser", """SELECT e.model_key, CAST(min(e.o) AS INT) AS start_ord, list(
 @query("FC26_strategy_forced", f"""SELECT model_key, i AS step, round({Q.path('h', 'seasonal_mean', 3)}[i], 5) AS value, 'forced' AS note FROM b_mser, range(1, 4) t(i)""")
 def fc26b(spark, path):
     r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="seasonal_mean", horizon=3)
-    return r.select("model_key", "note", F.posexplode("pick.forecast").alias("i", "v")).select(
+    return r.select("model_key", "note", F.posexplode("pick_forecast").alias("i", "v")).select(
         "model_key", (F.col("i") + 1).cast("long").alias("step"), F.round("v", 5).alias("value"), "note")
 
 
@@ -117,7 +117,7 @@ def center_facts(spark, path):
 @query("FC28_hierarchical_model", f"""WITH s AS (SELECT model_key, h, n, {Q.select_best('h')} AS b FROM b_mser), f AS (SELECT *, {Q.path_by_name('tr', 'm', 3)} AS p FROM (SELECT *, b.train AS tr, b.model AS m FROM s)),
 hs AS (SELECT model_key AS part_number, start_ord, h, n FROM b_mser),
 o AS ({OUTER.replace('b_pser', 'hs')})
-SELECT a.anchor_brand AS brand, f.model_key, b.model AS selected_model, f.n AS history_months, list_sum(f.h) AS history_volume, round(p[1] * 0.9::DOUBLE, 5) AS f1, round(p[3] * 0.9::DOUBLE, 5) AS f3,
+SELECT a.anchor_brand AS brand, f.model_key, b.model AS selected_model, f.n AS history_months, list_sum(f.h) AS history_volume, round(f.p[1] * 0.9::DOUBLE, 5) AS f1, round(f.p[3] * 0.9::DOUBLE, 5) AS f3,
  o.backtest_model, round(list_sum(list_transform(o.p, lambda x, i: abs(x - o.act[i]))) / list_sum(o.act), 5) AS wape
 FROM f JOIN b_amap a ON f.model_key = a.model_key JOIN o ON o.part_number = f.model_key""")
 def fc28(spark, path):

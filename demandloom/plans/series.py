@@ -133,14 +133,14 @@ SELECTED = f"SELECT part_number, start_ord, n, h, {Q.select_best('h')} AS b FROM
 
 
 def selected(spark, path):
-    return FC.once(part_series(spark, path), "b", FC.select_best(F.col("h")))
+    return FC.with_best(part_series(spark, path))
 
 
 @query("FC13_FC14_model_selection", f"""SELECT part_number, b.model AS model, b.prep AS preprocessing, b.adjusted AS adjusted, round(b.mae, 6) AS mae, round(b.wape, 6) AS wape, round(b.bias, 6) AS bias
 FROM ({SELECTED}) WHERE n > 3""")
 def fc14(spark, path):
     return selected(spark, path).filter("n > 3").select(
-        "part_number", "b.model", "b.preprocessing", "b.adjusted", *[F.round(f"b.{c}", 6).alias(c) for c in ("mae", "wape", "bias")])
+        "part_number", *[F.col(f"b_{c}").alias(c) for c in ("model", "preprocessing", "adjusted")], *[F.round(f"b_{c}", 6).alias(c) for c in ("mae", "wape", "bias")])
 
 
 _CONF = """CASE WHEN b.wape IS NULL THEN 'Low' WHEN n >= 18 AND b.wape <= 0.25 AND vol <= 0.8 AND bb <= 0.2 THEN 'High'
@@ -155,9 +155,9 @@ SELECT part_number, confidence, i AS step, round(v, 6) AS forecast, round(greate
  SELECT *, greatest(b.mae, v * 0.12) * sqrt(i) * 1.28 AS s FROM (SELECT *, p[i] AS v FROM (
   SELECT *, {Q.path_by_name('tr', 'b.model', 3)} AS p FROM (SELECT *, b.train AS tr FROM ({PROFILE}))), range(1, 4) t(i)))""")
 def fc16(spark, path):
-    s = selected(spark, path).filter("n > 3").withColumn("p", FC.path_by_name(F.col("b.train"), F.col("b.model"), 3))
-    return s.select("part_number", FC.confidence(F.col("h"), F.col("b.wape"), F.col("b.bias")).alias("confidence"),
-                    F.posexplode(FC.band(F.col("h"), F.col("p"), F.col("b.mae"))).alias("i", "x")).select(
+    s = FC.with_path(selected(spark, path).filter("n > 3"), "b_train", "b_model", 3, "p")
+    return s.select("part_number", FC.confidence(F.col("h"), F.col("b_wape"), F.col("b_bias")).alias("confidence"),
+                    F.posexplode(FC.band(F.col("h"), F.col("p"), F.col("b_mae"))).alias("i", "x")).select(
         "part_number", "confidence", (F.col("i") + 1).cast("long").alias("step"),
         *[F.round(f"x.{c}", 6).alias(c) for c in ("forecast", "lower", "upper")])
 
@@ -172,8 +172,8 @@ _RP = "coalesce(list_avg(CASE WHEN n >= 6 THEN h[-6:-4] ELSE h[:n - 3] END), 0)
  CASE WHEN n >= 4 AND pri > 0 THEN round((rec - pri) / pri * 100, 5) END AS shift_pct, CASE WHEN n >= 4 THEN round(rvol, 6) END AS volatility
 FROM (SELECT *, {_RP}, CASE WHEN list_avg(h) > 0 THEN list_stddev_pop(h) / list_avg(h) END AS rvol FROM b_pser)""")
 def fc17(spark, path):
-    r = part_series(spark, path).select("part_number", FC.regime(F.col("h")).alias("r"))
-    return r.select("part_number", "r.code", "r.change_pct", F.round("r.shift_pct", 5).alias("shift_pct"), F.round("r.volatility", 6).alias("volatility"))
+    r = FC.once(part_series(spark, path), "r", FC.regime(F.col("h")), ("code", "label", "severity", "change_pct", "shift_pct", "volatility"))
+    return r.select("part_number", F.col("r_code").alias("code"), F.col("r_change_pct").alias("change_pct"), F.round("r_shift_pct", 5).alias("shift_pct"), F.round("r_volatility", 6).alias("volatility"))
 
 
 def rated(spark, path):
@@ -199,7 +199,7 @@ rated AS (SELECT *, CASE WHEN n < 6 OR risk = 'High' OR code IN ('structural_dro
 
 @query("FC18_FC19_risk_and_tier", RATED + "SELECT part_number, code, risk, tier, score, confidence, na > 0 AS has_anomaly FROM rated")
 def fc19(spark, path):
-    return rated(spark, path).select("part_number", "r.code", "risk", "tier", "score", "confidence", (F.size("anomalies") > 0).alias("has_anomaly"))
+    return rated(spark, path).select("part_number", F.col("r_code").alias("code"), "risk", "tier", "score", "confidence", (F.size("anomalies") > 0).alias("has_anomaly"))
 
 
 def day_ratios(spark, path, df, horizon, origin=None):
