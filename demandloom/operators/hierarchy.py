@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import forecast as FC
 from ..functions import text as T
+from ..session import materialize
 from . import forecasting as FO
 
 EXCLUDED = ("excluded_lifecycle", "excluded_low_volume")
@@ -80,6 +81,7 @@ def allocate(facts: DataFrame, parents: DataFrame, cal: DataFrame, *, child: lis
     c = child_profiles(facts, child, parent, cutoff, min_volume).crossJoin(F.broadcast(FO.calendar_row(cal)))   # one row
     c = c.join(p, parent).withColumn("o_target", D.month_ord(F.col("month")))
     c = FC.once(c, "raw", signal(F.col("o_target"), metric, use_working_days)).drop("a", "days", "moy")
+    c = materialize(c)           # read twice: for the totals and for the shares
     ok = ~F.col("route").isin(*EXCLUDED)
     hist = F.when(ok, F.greatest(F.col("history_revenue" if metric == "revenue" else "history_quantity"), F.lit(0.0))).otherwise(0.0)
     c = c.withColumn("hist", hist)
@@ -93,8 +95,7 @@ def allocate(facts: DataFrame, parents: DataFrame, cal: DataFrame, *, child: lis
     c = c.withColumn("factor", F.coalesce(F.col("parent_value") / F.nullif(base, F.lit(0.0)), F.lit(0.0)))
     rows = c.select(*child, "month", "forecast_type", "route", F.greatest(F.lit(0.0), use * F.col("factor")).alias("value"), "share", "factor",
                     "parent_value", "active_months", "history_months", "monthly_average", "history_quantity", "history_revenue", "unit_price")
-    served = c.filter(ok).select(*parent).distinct()
-    rest = p.join(served, parent, "left_anti")
+    rest = p.join(tot.filter("eligible > 0").select(*parent, "month"), parent + ["month"], "left_anti")
     fill = {k: F.col(k) if k in parent else F.lit("Planner review residual") for k in child}
     if "entity_key" in child and "entity_key" not in parent:
         fill["entity_key"] = F.concat(F.col("brand"), F.lit("::PLANNER_REVIEW_RESIDUAL"))

@@ -1,5 +1,7 @@
 """Queries: allocation, part plans, reconciliation, allocation accuracy, exceptions (H*, A25, A26, A28, T5, E7, E8)."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions import forecast as FC
@@ -7,6 +9,7 @@ from ..operators import evaluate as EV
 from ..operators import forecasting as FO
 from ..operators import hierarchy as HI
 from ..operators import series as S
+from ..session import materialize
 from . import inputs as I
 from . import series_sql as Q
 from .base_sql import block
@@ -24,23 +27,38 @@ def facts(spark, path):
     every route occurs: names on 'ring' are discontinued, names beginning with 'small' are new."""
     f = I.anchored_sales(spark, path)
     code = F.when(F.col("model_name").endswith("ring"), "discontinued").when(F.col("model_name").startswith("small"), "new").otherwise("active")
-    return f.withColumn("brand", F.col("anchor_brand")).withColumn("entity_key", F.concat_ws("::", "anchor_brand", "model_key")).withColumn("lifecycle_code", code)
+    f = f.withColumn("brand", F.col("anchor_brand")).withColumn("entity_key", F.concat_ws("::", "anchor_brand", "model_key")).withColumn("lifecycle_code", code)
+    return materialize(f)
 
 
-def brand_forecast(spark, path):
-    p = S.pack(facts(spark, path), ["brand"], F.col("quantity"), end=CUTOFF).select(
-        "brand", "start_ord", F.col("n").alias("history_months"), FC.path(F.col("h"), "trailing_12_mean", 3).alias("forecast"))
-    return FO.forecast_long(p, ["brand"]).withColumn("forecast_type", F.lit("Forecast"))
+class Center:
+    """The levels of one planning run, each built once and only when asked for."""
 
+    def __init__(self, spark, path, metric="quantity"):
+        self.spark, self.path, self.metric = spark, path, metric
+        self.cal = I.cal(spark, path)
 
-def model_alloc(spark, path, metric="quantity"):
-    return HI.allocate(facts(spark, path), brand_forecast(spark, path), I.cal(spark, path), child=MODEL, parent=["brand"], cutoff=CUTOFF,
-                       metric=metric, min_volume=LOW)
+    @cached_property
+    def facts(self):
+        return facts(self.spark, self.path)
 
+    @cached_property
+    def brand(self):
+        return materialize(brand_forecast(self.facts))
 
-def plc_alloc(spark, path, metric="quantity"):
-    return HI.allocate(facts(spark, path), model_alloc(spark, path, metric), I.cal(spark, path), child=PLC, parent=MODEL, cutoff=CUTOFF,
-                       metric=metric, min_volume=LOW)
+    @cached_property
+    def model(self):
+        return materialize(HI.allocate(self.facts, self.brand, self.cal, child=MODEL, parent=["brand"], cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
+
+    @cached_property
+    def plc(self):
+        return materialize(HI.allocate(self.facts, self.model, self.cal, child=PLC, parent=MODEL, cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
+
+
+def brand_forecast(facts):
+    p = S.pack(facts, ["brand"], F.col("quantity"), end=CUTOFF).select(
+        "brand", "start_ord", F.col("n").alias("history_months"), FC.path(F.col("h"), "trailing_12_mean", 3).alias("forecast"))
+    return FO.forecast_long(p, ["brand"]).withColumn("forecast_type", F.lit("Forecast"))
 
 
 block("b_hf", """SELECT month, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, anchor_brand AS brand, anchor_brand || '::' || model_key AS entity_key, model_name, plc, part_number, part_description,
@@ -81,35 +99,37 @@ alloc_blocks("mv", MODEL, ["brand"], "b_brandfc", "revenue")
 
 @query("H2_H3_H4_model_allocation", "SELECT brand, entity_key, model_name, month, route, round(value, 5) AS value, round(share, 8) AS share FROM b_ma")
 def h4(spark, path):
-    return model_alloc(spark, path).select(*MODEL, "month", "route", *r5("value"), F.round("share", 8).alias("share"))
+    return Center(spark, path).model.select(*MODEL, "month", "route", *r5("value"), F.round("share", 8).alias("share"))
 
 
 @query("H3_A25_revenue_signal_allocation", "SELECT brand, entity_key, model_name, month, round(value, 5) AS value, round(unit_price, 5) AS unit_price FROM b_mv")
 def h3(spark, path):
-    return model_alloc(spark, path, "revenue").select(*MODEL, "month", *r5("value", "unit_price"))
+    return Center(spark, path, "revenue").model.select(*MODEL, "month", *r5("value", "unit_price"))
 
 
 @query("H4_plc_allocation", "SELECT brand, entity_key, model_name, plc, month, route, round(value, 5) AS value FROM b_pa")
 def h4b(spark, path):
-    return plc_alloc(spark, path).select(*PLC, "month", "route", *r5("value"))
+    return Center(spark, path).plc.select(*PLC, "month", "route", *r5("value"))
 
 
 @query("A28_routing_summary", """SELECT 'model' AS level, route, count(*) AS series FROM (SELECT DISTINCT entity_key, route FROM b_ma) GROUP BY route
 UNION ALL SELECT 'plc', route, count(*) FROM (SELECT DISTINCT entity_key, plc, route FROM b_pa) GROUP BY route""")
 def a28(spark, path):
-    return HI.routing_summary({"model": model_alloc(spark, path), "plc": plc_alloc(spark, path)}, {"model": MODEL, "plc": PLC})
+    c = Center(spark, path)
+    return HI.routing_summary({"model": c.model, "plc": c.plc}, {"model": MODEL, "plc": PLC})
 
 
 @query("H6_reconciliation", """SELECT 'model_to_plc' AS step, (SELECT count(*) FROM b_ma) AS checked, 'PASS' AS status UNION ALL SELECT 'brand_to_model', (SELECT count(*) FROM b_brandfc), 'PASS'""")
 def h6(spark, path):
-    a = HI.reconciliation(model_alloc(spark, path), plc_alloc(spark, path), MODEL).withColumn("step", F.lit("model_to_plc"))
-    b = HI.reconciliation(brand_forecast(spark, path), model_alloc(spark, path), ["brand"]).withColumn("step", F.lit("brand_to_model"))
+    c = Center(spark, path)
+    a = HI.reconciliation(c.model, c.plc, MODEL).withColumn("step", F.lit("model_to_plc"))
+    b = HI.reconciliation(c.brand, c.model, ["brand"]).withColumn("step", F.lit("brand_to_model"))
     return a.unionByName(b).select("step", "checked", "status")
 
 
 @query("H10_demand_preview", "SELECT brand, model_name, plc, min(route) AS route, round(arg_min(value, month), 5) AS next_demand, round(sum(value), 5) AS total_demand FROM b_pa GROUP BY ALL")
 def h10(spark, path):
-    p = plc_alloc(spark, path)
+    p = Center(spark, path).plc
     return p.groupBy("brand", "model_name", "plc").agg(F.min("route").alias("route"), F.round(F.min_by("value", "month"), 5).alias("next_demand"), F.round(F.sum("value"), 5).alias("total_demand"))
 
 
@@ -117,7 +137,8 @@ def h10(spark, path):
 k AS (SELECT plc, coalesce(hr, 0) AS hr, row_number() OVER (ORDER BY round(coalesce(hr, 0), 2) DESC, plc) AS rank FROM (SELECT DISTINCT plc FROM f) LEFT JOIN h USING (plc))
 SELECT plc, CAST(rank AS INT) AS rank, round(hr, 2) AS history_revenue, round(hr / (SELECT sum(hr) FROM h) * 100, 6) AS share_pct, month, round(value, 5) AS value FROM k JOIN f USING (plc) WHERE rank <= 4""")
 def t5(spark, path):
-    t = HI.top_plcs(facts(spark, path), plc_alloc(spark, path), CUTOFF, 4)
+    c = Center(spark, path)
+    t = HI.top_plcs(c.facts, c.plc, CUTOFF, 4)
     return t.select("plc", "rank", F.round("history_revenue", 2).alias("history_revenue"), F.round("share_pct", 6).alias("share_pct"), "month", *r5("value"))
 
 
@@ -144,29 +165,31 @@ part_blocks("pq", "1")
 part_blocks("pr", "CASE WHEN rq > 0 THEN rr / rq ELSE 0 END")
 
 
-def part_plan(spark, path, metric="quantity"):
-    p = plc_alloc(spark, path).groupBy("brand", "entity_key", "plc", "month", "forecast_type").agg(F.min("route").alias("route"), F.sum("value").alias("value"))
-    return HI.part_plan(facts(spark, path), p, CUTOFF, metric, min_volume=PART_MIN)
+def part_plan(c, metric="quantity"):
+    p = c.plc.groupBy("brand", "entity_key", "plc", "month", "forecast_type").agg(F.min("route").alias("route"), F.sum("value").alias("value"))
+    return HI.part_plan(c.facts, p, CUTOFF, metric, min_volume=PART_MIN)
 
 
 @query("H5_J10_part_plan", "SELECT brand, entity_key, plc, part_number, month, route, round(share, 8) AS part_share, round(value, 5) AS value FROM b_pq")
 def h5(spark, path):
-    return part_plan(spark, path).select("brand", "entity_key", "plc", "part_number", "month", "route", F.round("part_share", 8).alias("part_share"), *r5("value"))
+    return part_plan(Center(spark, path)).select("brand", "entity_key", "plc", "part_number", "month", "route", F.round("part_share", 8).alias("part_share"), *r5("value"))
 
 
 @query("H13_J15_A30_part_bundle", """SELECT q.brand, q.entity_key, q.plc, q.part_number, q.month, round(q.value, 5) AS quantity_plan, round(r.value, 5) AS revenue_plan, round(q.value * coalesce(r.unit, q.unit), 4) AS reference_revenue
 FROM b_pq q LEFT JOIN b_pr r USING (brand, entity_key, plc, part_number, month)""")
 def h13(spark, path):
     keys = ["brand", "entity_key", "plc", "part_number", "month"]
-    b = HI.part_bundle(part_plan(spark, path), part_plan(spark, path, "revenue"), keys)
+    c = Center(spark, path)
+    b = HI.part_bundle(part_plan(c), part_plan(c, "revenue"), keys)
     return b.select(*keys, *r5("quantity_plan", "revenue_plan"), F.round("reference_revenue", 4).alias("reference_revenue"))
 
 
 @query("J16_inherited_bounds", """SELECT a.brand, a.entity_key, a.month, round(a.value, 5) AS value, round(a.value / p.value * p.value * 0.8::DOUBLE, 4) AS lower, round(a.value / p.value * p.value * 1.3::DOUBLE, 4) AS upper
 FROM b_ma a JOIN b_brandfc p USING (brand, month)""")
 def j16(spark, path):
-    p = brand_forecast(spark, path).withColumns({"lower": F.col("value") * 0.8, "upper": F.col("value") * 1.3})
-    return HI.inherit_bounds(model_alloc(spark, path), p, ["brand"]).select("brand", "entity_key", "month", *r5("value"), F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+    c = Center(spark, path)
+    p = c.brand.withColumns({"lower": F.col("value") * 0.8, "upper": F.col("value") * 1.3})
+    return HI.inherit_bounds(c.model, p, ["brand"]).select("brand", "entity_key", "month", *r5("value"), F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
 
 def _e7(child, parent):
@@ -218,8 +241,8 @@ UNION ALL SELECT 'PLC', brand || '::' || entity_key || '::' || model_name || '::
 UNION ALL SELECT 'PLC', a.brand || '::' || a.entity_key || '::' || a.model_name || '::' || a.plc, 'zero_forecast_historical_unit_price', 'medium', month FROM b_pa a
  JOIN b_prof p ON p.scope = 'PLC' AND p.entity_key = a.entity_key AND p.plc = a.plc AND p.hr > 0 WHERE a.value = 0""")
 def e8(spark, path):
-    p = HI.exception_profiles(facts(spark, path), CUTOFF)
-    return HI.exceptions(p, plc_alloc(spark, path), PLC, LOW).select("scope", "series_key", "reason", "severity", "forecast_month")
+    c = Center(spark, path)
+    return HI.exceptions(HI.exception_profiles(c.facts, CUTOFF), c.plc, PLC, LOW).select("scope", "series_key", "reason", "severity", "forecast_month")
 
 
 @query("H12_level_labels", "SELECT brand, entity_key, model_name, part_number, min(part_description) AS part_description, sum(quantity) AS quantity FROM b_hf GROUP BY ALL HAVING count(*) > 0")
@@ -229,16 +252,18 @@ def h12(spark, path):
 
 @query("A29_headline_totals", "SELECT month, 'Forecast' AS forecast_type, round(sum(value), 4) AS quantity, (SELECT round(sum(value), 4) FROM b_mv m WHERE m.month = f.month) AS allocated FROM b_brandfc f GROUP BY month")
 def a29(spark, path):
-    a = brand_forecast(spark, path).groupBy("month", "forecast_type").agg(F.round(F.sum("value"), 4).alias("quantity"))
-    b = model_alloc(spark, path, "revenue").groupBy("month").agg(F.round(F.sum("value"), 4).alias("allocated"))
+    c = Center(spark, path, "revenue")
+    a = c.brand.groupBy("month", "forecast_type").agg(F.round(F.sum("value"), 4).alias("quantity"))
+    b = c.model.groupBy("month").agg(F.round(F.sum("value"), 4).alias("allocated"))
     return a.join(b, "month")
 
 
 @query("H9_business_validation", f"""SELECT * FROM (VALUES ('anchor_set', true), ('non_negative', true), ('reconciled', true), ('cutoff_before_forecast', true), ('known_denominator', true), ('all', true)) t("check", passed)
 WHERE (SELECT count(DISTINCT brand) FROM b_hf) = 3""")
 def h9(spark, path):
-    m = model_alloc(spark, path)
-    rec = HI.reconciliation(brand_forecast(spark, path), m, ["brand"]).select(F.col("status").alias("rec_status"))
+    c = Center(spark, path)
+    m = c.model
+    rec = HI.reconciliation(c.brand, m, ["brand"]).select(F.col("status").alias("rec_status"))
     a = m.agg(F.count_distinct("brand").alias("brands"), F.min("value").alias("lowest"), F.min("month").alias("first_month"))
     w = I.wl(spark, path).groupBy("anchor_brand").agg(F.sum("wholesale_units").alias("u")).agg(F.min("u").alias("least_units"))
     one = a.crossJoin(rec).crossJoin(w)           # three one-row tables

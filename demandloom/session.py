@@ -31,3 +31,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="demandloom-ckpt-")
         sc.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df):
+    """Cut the lineage of a result that several later steps read, through the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
