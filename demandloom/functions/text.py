@@ -149,12 +149,17 @@ def lifecycle_code(label) -> Column:
 
 
 def wholesale_source_label(c) -> Column:
-    t = F.lower(F.coalesce(c, F.lit("")))
-    sponsor = F.contains(t, F.lit("sponsor"))
-    fallback = F.contains(t, F.lit("fallback"))
-    return (F.when(sponsor & fallback, "Sponsor plan + fallback")
-            .when(sponsor, "Sponsor plan").when(fallback, "Statistical fallback")
-            .otherwise("Source unavailable"))
+    """Where a wholesale figure came from (fixed codes and labels)."""
+    t = F.coalesce(c, F.lit(""))
+    sponsor, fallback = F.contains(t, F.lit("sponsor_plan_official")), F.contains(t, F.lit("internal_forecast_fallback"))
+    return (F.when(sponsor & fallback, "Sponsor Plan + Internal fallback").when(sponsor, "Sponsor Plan only")
+            .when(fallback, "Internal fallback only").otherwise("Unavailable"))
+
+
+def pnvw_state(value, wholesale, component, fleet: str = "kia_fleet_cfm_adjustment") -> Column:
+    """Why revenue per vehicle is or is not shown."""
+    return (F.when(component == fleet, "Fleet component").when(first_finite(value).isNotNull(), "available")
+            .when(first_finite(wholesale) == 0, "Selected Wholesale = 0").otherwise("Selected Wholesale unavailable"))
 
 
 def first_finite(*cols: Column) -> Column:
@@ -167,3 +172,23 @@ def first_finite(*cols: Column) -> Column:
 def canonical_hash(**parts: Column) -> Column:
     """SHA-256 of a JSON object with sorted keys."""
     return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])), 256)
+
+
+# --- words (fixed stop-word list) ---------------------------------------------------
+
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "me",
+              "month", "of", "on", "or", "part", "show", "that", "the", "this", "to", "what", "why", "with")
+
+
+def tokens(c) -> Column:
+    """Distinct lower-case words of two letters or more, without stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9_]+)"), 1)
+    keep = F.filter(words, lambda w: F.length(w) > 1)
+    return F.array_except(F.array_distinct(keep), F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+def chunks(c) -> Column:
+    """Paragraphs of a text: single-spaced, cut at 360 characters, at least 40 long."""
+    blocks = F.transform(F.split(c, r"\n\s*\n"), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
+    cut = F.transform(blocks, lambda b: F.when(F.length(b) > 360, F.concat(F.rtrim(F.substring(b, 1, 357)), F.lit("..."))).otherwise(b))
+    return F.filter(cut, lambda b: F.length(b) >= 40)
