@@ -174,8 +174,10 @@ def best_splits(ex: DataFrame, node: str, features: list[str], min_leaf: int = 6
     qs = [i / (thresholds + 1) for i in range(1, thresholds + 1)]
     cuts = ex.groupBy(node).agg(*[F.array_distinct(F.percentile_approx(n, qs, 10000)).alias(f"c_{n}") for n in features])
     j = ex.join(F.broadcast(cuts), node)                                    # one row per node
-    cand = F.flatten(F.array(*[F.transform(f"c_{n}", lambda t, n=n, i=i: F.struct(F.lit(i).alias("fi"), F.lit(n).alias("feature"), t.alias("threshold"),
-                                                                                   (F.col(n) <= t).alias("left"))) for i, n in enumerate(features)]))
+
+    def candidates(i, name):
+        return F.transform(f"c_{name}", lambda t: F.struct(F.lit(i).alias("fi"), F.lit(name).alias("feature"), t.alias("threshold"), (F.col(name) <= t).alias("left")))
+    cand = F.flatten(F.array(*[candidates(i, n) for i, n in enumerate(features)]))
     pol = list(policy_columns().items())
     g = j.select(node, F.explode(cand).alias("x"), *[F.abs(F.col("actual") - c).alias(f"e{i}") for i, (_, c) in enumerate(pol)])
     side = g.groupBy(node, "x.fi", "x.feature", "x.threshold", "x.left").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(pol))])

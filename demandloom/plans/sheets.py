@@ -6,6 +6,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..operators import facts as FA
 from ..sources import planning as P
+from ..session import materialize
 from ..sources import sheets as SH
 from .base_sql import block
 from .registry import query
@@ -42,7 +43,7 @@ def cells(spark, path):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return materialize(out)
 
 
 def sheet_data(spark, path):
