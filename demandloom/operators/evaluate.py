@@ -231,7 +231,7 @@ def outer_scores(model: Column, pred: Column, act: Column) -> Column:
 
 def outer_test(packed: DataFrame, keys: list[str], use_seasonality: bool = True) -> DataFrame:
     p = with_outer_test(packed, use_seasonality).filter("ev_model is not null")
-    return p.select(*keys, "split", F.col("ev_model").alias("backtest_model"), *[f"ev_{c}" for c in ("points", "actual_sum", "abs_error", "wape", "mae", "bias")])
+    return p.select(*keys, "split", F.col("ev_model").alias("backtest_model"), *[F.col(f"ev_{c}").alias(c) for c in OUTER[1:]])
 
 
 def evaluation_scopes(rows: DataFrame, entities: list[str], entity: str = "entity") -> DataFrame:

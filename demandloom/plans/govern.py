@@ -158,14 +158,14 @@ _MPORT = PORT.replace("h AS h, n", "hr AS h, n")
 
 @query("M1_M2_features", f"""WITH f AS ({_MPORT}), s AS (SELECT f.*, a.start_ord, a.hr[:f.training_months] AS t FROM f JOIN b_aser a USING (entity)),
 l AS (SELECT *, list_transform(t[-6:], lambda x: ln(1 + x)) AS y, start_ord + training_months + horizon - 1 AS tgt FROM s)
-SELECT entity, origin_month, target_month, horizon, round(actual, 4) AS actual, round(prediction, 4) AS anchor, round(ln(1 + t[-1]), 6) AS log_lag1, round(ln(1 + t[-12]), 6) AS log_lag12, round(ln(1 + list_sum(t[-3:]) / 3), 6) AS log_rolling3,
+SELECT entity, origin_month, target_month, horizon, round(actual, 4) AS actual, round(prediction, 0) AS anchor, round(ln(1 + t[-1]), 6) AS log_lag1, round(ln(1 + t[-12]), 6) AS log_lag12, round(ln(1 + list_sum(t[-3:]) / 3), 6) AS log_rolling3,
  round(ln(1 + list_sum(t[-6:]) / 6), 6) AS log_rolling6, round(greatest(-1, least(1, list_sum(list_transform(y, lambda v, i: v * (i - 3.5::DOUBLE))) / 17.5::DOUBLE)), 6) AS trend6, round(list_stddev_pop(y), 6) AS volatility6,
  round(greatest(0, least(5, t[-1] / greatest(t[-12], 1))), 6) AS seasonal_ratio, round(len(list_filter(t[-12:], lambda x: x <= 0)) / 12.0, 6) AS zero_share12,
  round(greatest(0.5, least(1.5, coalesce(d1.w / d2.w, 1))), 6) AS working_day_ratio, round(abs(actual - prediction) - abs(actual - t[-1]), 0) AS gain_naive_last
 FROM l LEFT JOIN b_days d1 ON d1.o = tgt LEFT JOIN b_days d2 ON d2.o = tgt - 12""")
 def m1(spark, path):
     e = ML.improvements(example_rows(spark, path))
-    return e.select("entity", "origin_month", "target_month", F.col("horizon").cast("int").alias("horizon"), F.round("actual", 4).alias("actual"), F.round("anchor", 4).alias("anchor"),
+    return e.select("entity", "origin_month", "target_month", F.col("horizon").cast("int").alias("horizon"), F.round("actual", 4).alias("actual"), F.round("anchor", 0).alias("anchor"),
                     *[F.round(c, 6).alias(c) for c in _FSEL], F.round("gain_naive_last", 0).alias("gain_naive_last"))
 
 
