@@ -149,6 +149,17 @@ def predict_elastic(ex: DataFrame, model: dict) -> DataFrame:
     return z.withColumn("prediction", F.greatest(F.lit(0.0), F.expm1(F.log1p("anchor") + corr))).drop(*[f"z_{n}" for n in names])
 
 
+def model_table(model: dict, source: DataFrame) -> DataFrame:
+    """Coefficients as rows with the fingerprint of the training table (a few dozen rows)."""
+    rows = [(n, float(v)) for n, v in model["coefficients"].items()] + [("intercept", model["intercept"])]
+    return source.sparkSession.createDataFrame(rows, "name string, coefficient double").crossJoin(source.select("fingerprint"))
+
+
+def coefficients_for(stored: DataFrame, source: DataFrame) -> DataFrame:
+    """Stored coefficients, only when the fingerprint of the table at hand is the same."""
+    return stored.join(F.broadcast(source.select("fingerprint")), "fingerprint", "left_semi")     # one row
+
+
 def policy_columns() -> dict[str, Column]:
     """Leaf policies: the anchor, or a blend of it with an alternative."""
     out = {"anchor": F.col("anchor")}

@@ -181,6 +181,19 @@ def m3(spark, path):
     return rounded(EV.summarize(ML.predict_elastic(ex, model), ["entity"]))
 
 
+@query("M6_exact_source_inference")
+def m6(spark, path):
+    """A stored model answers only for the very table it was trained on."""
+    ex = example_rows(spark, path).cache()
+    source = SK.fingerprint(ex.select("entity", "target_month", "horizon", F.round("actual", 2).alias("actual")))
+    model = ML.fit_elastic(ex, alphas=(0.05,), l1=(0.5,), clips=(0.1,))
+    stored = ML.model_table(model, source)
+    other = SK.fingerprint(ex.filter("entity <> 'HMA'").select("entity", "target_month", "horizon", F.round("actual", 2).alias("actual")))
+    same = ML.coefficients_for(stored, source).agg(F.count(F.lit(1)).alias("coefficients")).withColumn("source", F.lit("same"))
+    diff = ML.coefficients_for(stored, other).agg(F.count(F.lit(1)).alias("coefficients")).withColumn("source", F.lit("other"))
+    return same.unionByName(diff)
+
+
 @query("M4_policy_tree")
 def m4(spark, path):
     tagged, leaves = ML.policy_tree(example_rows(spark, path))
@@ -209,7 +222,8 @@ def m8(spark, path):
     return rounded(ML.entity_backtest(portfolio_rows(spark, path)))
 
 
-@query("H8_forecast_center")
+@query("H8_forecast_center", """SELECT level, month, count(*) AS series, round(sum(value), 4) AS value FROM (SELECT 'brand' AS level, month, value FROM b_brandfc UNION ALL SELECT 'model', month, value FROM b_ma
+ UNION ALL SELECT 'plc', month, value FROM b_pa) GROUP BY ALL""")
 def h8(spark, path):
     c = Center(spark, path)
     levels = [c.brand.select(F.lit("brand").alias("level"), "month", "value"), c.model.select(F.lit("model").alias("level"), "month", "value"), c.plc.select(F.lit("plc").alias("level"), "month", "value")]
