@@ -66,15 +66,18 @@ def anchor_map(wl: DataFrame, policy: AnchorPolicy = AnchorPolicy()) -> DataFram
         "model_key", "anchor_brand",
         F.when(F.size(cands) == 1, EXACT_ANCHOR_METHODS[0]).otherwise(EXACT_ANCHOR_METHODS[1]).alias("method"),
         F.array_join(cands, " / ").alias("candidates"), "units")
-    alias = (exact.select(F.explode(T.model_aliases("model_key")).alias("alias"), "model_key", "anchor_brand", "units")
-             .filter(F.col("alias") != F.col("model_key"))
-             .groupBy("alias").agg(F.min("anchor_brand").alias("lo"), F.max("anchor_brand").alias("hi"),
-                                   F.sum("units").alias("units"))
-             .filter("lo = hi")
-             .select(F.col("alias").alias("model_key"), F.col("lo").alias("anchor_brand"),
-                     F.lit(EXACT_ANCHOR_METHODS[2]).alias("method"), F.col("lo").alias("candidates"), "units")
-             .join(exact.select("model_key"), "model_key", "left_anti"))
-    return exact.unionByName(alias)
+    # every model offers its own name and its aliases; a name of its own wins over any alias
+    own = F.col("key") == F.col("model_key")
+    offers = exact.select("*", F.explode(F.array_union(F.array("model_key"), T.model_aliases("model_key"))).alias("key"))
+    g = offers.groupBy("key").agg(
+        F.max(F.when(own, F.struct("anchor_brand", "method", "candidates", "units"))).alias("self"),
+        F.min(F.when(~own, F.col("anchor_brand"))).alias("lo"), F.max(F.when(~own, F.col("anchor_brand"))).alias("hi"),
+        F.sum(F.when(~own, F.col("units"))).alias("alias_units"))
+    pick = lambda field, other: F.when(F.col("self").isNotNull(), F.col(f"self.{field}")).otherwise(other)
+    return g.filter("self is not null or lo = hi").select(
+        F.col("key").alias("model_key"), pick("anchor_brand", F.col("lo")).alias("anchor_brand"),
+        pick("method", F.lit(EXACT_ANCHOR_METHODS[2])).alias("method"), pick("candidates", F.col("lo")).alias("candidates"),
+        pick("units", F.col("alias_units")).alias("units"))
 
 
 def assign_anchor(df: DataFrame, amap: DataFrame, policy: AnchorPolicy = AnchorPolicy()) -> DataFrame:
@@ -101,7 +104,7 @@ def clean_sales(sales: DataFrame, start_year: int, end_year: int) -> DataFrame:
         part.alias("part_number"), desc.alias("part_description"), plc.alias("plc"),
         T.clip_zero(F.col("quantity")).alias("quantity"),
         F.greatest(F.coalesce(F.col("revenue"), zero), zero).alias("revenue"),
-    ).filter(F.year("sale_date").between(start_year, end_year)
+    ).filter((F.col("sale_date") >= F.lit(f"{start_year:04d}-01-01").cast("date")) & (F.col("sale_date") < F.lit(f"{end_year + 1:04d}-01-01").cast("date"))
              & (F.col("model_key") != "") & (F.col("part_number") != ""))
 
 

@@ -24,11 +24,12 @@ def local_session(cpus: int | None = None, app: str = "demandloom") -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting, else (tests only) a temporary one."""
+    """Shared folder for checkpoints: the session's own setting, else (tests only) a temporary one."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="demandloom-ckpt-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
