@@ -217,6 +217,8 @@ def allocation_folds(facts: DataFrame, child: list[str], parent: list[str], cuto
     par = pack(monthly.groupBy(*parent, "o").agg(F.sum("v").alias("v")), parent).select(*parent, F.col("m").alias("pm"))
     j = kids.join(par, parent).crossJoin(F.broadcast(start))
     j = FC.once(FC.once(j, "h", dense(F.col("m"))), "p", dense(F.col("pm")))
+    running = lambda a: F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(FC.back(acc, 1), F.lit(0.0)) + x)))
+    j = FC.once(FC.once(j, "hc", running(F.col("h"))), "pc", running(F.col("p")))
     recent = lambda a, o: FC.asum(F.slice(a, F.greatest(o - 5, F.lit(1)), F.least(o, F.lit(6))))
 
     def fold(o):
@@ -226,8 +228,8 @@ def allocation_folds(facts: DataFrame, child: list[str], parent: list[str], cuto
             return F.transform(F.sequence(F.lit(1), F.lit(horizons)), lambda k: F.struct(
                 o.alias("o"), k.alias("horizon"), F.get("h", o + k - 1).alias("actual"), (F.get("p", o + k - 1) * F.when(known, share).otherwise(0.0)).alias("prediction"),
                 (known & ok).alias("covered"), (known | F.try_element_at("m", F.col("s0") + o + k - 1).isNotNull()).alias("present")))
-        return FC.let(F.struct(recent(F.col("h"), o).alias("cr"), recent(F.col("p"), o).alias("pr"), FC.asum(F.slice("h", 1, o)).alias("ch"),
-                               FC.asum(F.slice("p", 1, o)).alias("ph")), body)
+        return FC.let(F.struct(recent(F.col("h"), o).alias("cr"), recent(F.col("p"), o).alias("pr"), F.get("hc", o - 1).alias("ch"),
+                               F.get("pc", o - 1).alias("ph")), body)
     rows = F.flatten(F.transform(F.sequence(F.lit(least), F.size("h") - 1), fold))
     e = j.filter(F.size("h") > least).select(*child, "s0", F.explode(rows).alias("x"))
     return e.filter("x.present and x.actual is not null").select(

@@ -205,8 +205,7 @@ SELECT {metrics_sql('horizon,')}, count(*) FILTER (covered) AS covered_rows FROM
 
 def e7(spark, path, child, parent):
     f = HI.allocation_folds(facts(spark, path), child, parent, CUTOFF)
-    cov = f.groupBy("horizon").agg(F.count_if("covered").alias("covered_rows"))
-    return rounded(EV.summarize(f, ["horizon"])).join(cov, "horizon")
+    return rounded(f.groupBy("horizon").agg(*EV.metric_columns(), F.count_if("covered").alias("covered_rows")))
 
 
 for _name, _c, _p in (("model", MODEL, ["brand"]), ("plc", PLC, MODEL), ("part", ["brand", "entity_key", "plc", "part_number"], ["brand", "entity_key", "plc"])):
