@@ -213,9 +213,10 @@ def allocation_folds(facts: DataFrame, child: list[str], parent: list[str], cuto
     seq = F.sequence(F.col("s0"), F.lit(_ord(cutoff)))
     dense = lambda m: F.transform(seq, lambda o: F.coalesce(F.try_element_at(m, o), F.lit(0.0)))
     n_tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kids = pack(monthly.repartition(n_tasks, *child), child)
+    kids = pack(monthly, child)
     par = pack(monthly.groupBy(*parent, "o").agg(F.sum("v").alias("v")), parent).select(*parent, F.col("m").alias("pm"))
-    j = kids.join(par, parent).crossJoin(F.broadcast(start))
+    # packed rows are small but costly to evaluate: spread them over all tasks after the join
+    j = kids.join(par, parent).repartition(n_tasks, *child).crossJoin(F.broadcast(start))
     j = FC.once(FC.once(j, "h", dense(F.col("m"))), "p", dense(F.col("pm")))
     running = lambda a: F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(FC.back(acc, 1), F.lit(0.0)) + x)))
     j = FC.once(FC.once(j, "hc", running(F.col("h"))), "pc", running(F.col("p")))
