@@ -24,10 +24,16 @@ def local_session(cpus: int | None = None, app: str = "demandloom") -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the session's own setting, else (tests only) a temporary one."""
+    """Shared folder for intermediate tables: the session's own setting.
+
+    Only a single-process session (``local[...]``, as in tests), whose executors share the driver's disk, gets a
+    temporary folder where it is unset; a cluster must name one.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="demandloom-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
