@@ -41,26 +41,24 @@ def _order(docs: DataFrame) -> Column:
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(ord, keys): for each document, the templates of its lines and sentences that an earlier document has too."""
+    """(ord, units): for each document, hashes of its lines and sentences of which an earlier document has a template."""
     line = docs.select(_order(docs).alias("ord"), F.explode(F.split("text", _LINES)).alias("line"))
-    unit = line.select("ord", F.explode(F.array("line")).alias("line")).select("ord", "line", F.split("line", _SENTENCES).alias("parts"))
+    unit = line.select("ord", "line", F.explode(F.array(F.split("line", _SENTENCES))).alias("parts"))
     unit = unit.select("ord", F.explode(F.concat(F.when(F.size("parts") > 1, F.array("line")).otherwise(F.array().cast("array<string>")), F.col("parts"))).alias("unit"))
-    words = unit.select("ord", F.explode(F.array(tokens(F.col("unit")))).alias("w")).where(F.size("w") >= min_tokens)
-    keys = cut(words.select("ord", F.explode(templates(F.col("w"), depth)).alias("key")))
+    words = unit.select("ord", F.xxhash64("unit").alias("unit"), F.explode(F.array(tokens(F.col("unit")))).alias("w")).where(F.size("w") >= min_tokens)
+    keys = cut(words.select("ord", "unit", F.explode(templates(F.col("w"), depth)).alias("key")))
     first = keys.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("key", "first")
-    return keys.join(first, "key").where("ord > first").groupBy("ord").agg(F.collect_set("key").alias("keys"))
+    return keys.join(first, "key").where("ord > first").groupBy("ord").agg(F.collect_set("unit").alias("units"))
 
 
-def _left(text: Column, keys: Column, depth: int, min_tokens: int) -> Column:
-    """``text`` without the lines and sentences that have a template in ``keys``."""
-    def known(unit: Column) -> Column:
-        hit = lambda w: (F.size(w) >= min_tokens) & F.arrays_overlap(templates(w, depth), keys)
-        return F.exists(F.array(tokens(unit)), hit)
+def _left(text: Column, units: Column) -> Column:
+    """``text`` without the lines and sentences whose hash is in ``units``."""
+    gone = lambda unit: F.array_contains(units, F.xxhash64(unit))
 
     def kept(line: Column) -> Column:
-        rest = F.array_join(F.filter(F.split(line, _SENTENCES), lambda s: ~known(s)), "")
-        ended = F.when((rest != "") & line.endswith("\n") & ~rest.endswith("\n"), F.concat(F.rtrim(rest), F.lit("\n"))).otherwise(rest)
-        return F.when(known(line), F.lit("")).otherwise(ended)
+        rest = F.array_join(F.filter(F.split(line, _SENTENCES), lambda s: ~gone(s)), "")
+        ended = lambda r: F.when((r != "") & line.endswith("\n") & ~r.endswith("\n"), F.concat(F.rtrim(r), F.lit("\n"))).otherwise(r)
+        return F.when(gone(line), F.array(F.lit(""))).otherwise(F.transform(F.array(rest), ended))[0]
     return F.array_join(F.transform(F.split(text, _LINES), kept), "")
 
 
@@ -75,9 +73,9 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKEN
     documents without one count as one document. A null text stays null, a text all of whose lines go becomes empty,
     an empty table stays empty. A line of any length is one template.
     """
-    found = recurring(docs, depth, min_tokens).select(F.col("ord").alias("__ord"), F.col("keys").alias("__keys"))
+    found = recurring(docs, depth, min_tokens).select(F.col("ord").alias("__ord"), F.col("units").alias("__units"))
     both = docs.withColumn("__own", _order(docs)).join(found, F.col("__own") == F.col("__ord"), "left")
-    text = F.when(F.col("__keys").isNull(), F.col("text")).otherwise(_left(F.col("text"), F.col("__keys"), depth, min_tokens))
+    text = F.when(F.col("__units").isNull(), F.col("text")).otherwise(_left(F.col("text"), F.col("__units")))
     return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
