@@ -153,15 +153,6 @@ def _shared(by_part: DataFrame, hist: DataFrame, dealt: DataFrame, goals: DataFr
     return parts.join(each, [parts["source"].eqNullSafe(each["s"]), parts["size"] == each["z"]]).select("s", "z", F.col("part").alias("p"), "before", "base", "extra", "source_size", "target")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = MOST) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken, with all their columns and ``copy`` (from 1).
-
-    Documents of size 0 take no words; they stay once.
-    """
-    copies = mix(docs, weights, most).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    raise NotImplementedError
-
-
 @query("op1_mix_sources")
 def op1(spark: SparkSession, path: str) -> DataFrame:
     return mix(table(spark, path, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
