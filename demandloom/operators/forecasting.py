@@ -123,6 +123,8 @@ def resolve(packed: DataFrame, cal: DataFrame, *, strategy: str = "auto", horizo
     strategy: 'auto' (baselines against driver regression), 'baseline_auto',
     'driver_adjusted_regression', or one baseline method by name.
     """
+    if strategy not in ("auto", "baseline_auto", "driver_adjusted_regression") and strategy != "ets_additive" and strategy not in FC._NEXT:
+        raise ValueError(f"unknown strategy {strategy!r}")
     h = F.col("h")
     p = driver_forecast(packed, cal, horizon, use_working_days, use_seasonality) if strategy in ("auto", "driver_adjusted_regression") else \
         packed.withColumns({f"driver_{a}": F.lit(None).cast(t) for a, t in (x.split() for x in DRIVER.split(", "))})

@@ -97,9 +97,10 @@ def actions(regime: Column, risk: Column, bias: Column, strength: Column, driver
     return F.slice(rows, 1, 4)
 
 
-def document_snippets(docs: DataFrame) -> DataFrame:
-    """Paragraph chunks as snippets (first six per document are the feature of a context table)."""
-    e = docs.select("doc_id", "source", F.posexplode(F.slice(T.chunks(F.col("text")), 1, 6)).alias("i", "content"))
+def document_snippets(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Paragraph chunks as snippets: all of them, or the first ``most`` of each document."""
+    chunks = T.chunks(F.col("text"))
+    e = docs.select("doc_id", "source", F.posexplode(F.slice(chunks, 1, most) if most else chunks).alias("i", "content"))
     return e.select(F.concat_ws("-", "doc_id", "i").alias("snippet_id"), F.lit("knowledge_doc").alias("source"),
                     F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" section "), (F.col("i") + 1).cast("string")).alias("title"), "content",
                     F.array(F.col("source"), F.lit("knowledge")).alias("tags"), F.lit(0.6).alias("base_score"), F.lit(6).alias("priority"))

@@ -372,7 +372,7 @@ def j6(spark, path):
 
 
 _SLICE = """s AS (SELECT DISTINCT upper(model_name) AS mk, upper(model_code) AS ck FROM b_sales WHERE plc = 'PROMO' AND brand = 'H'),
-w0 AS (SELECT * FROM b_whrows WHERE length(model_name) <= 10)"""
+w0 AS (SELECT * FROM b_whrows)"""
 
 
 @query("J7_wholesale_for_slice", f"""WITH {_SLICE}, u AS (SELECT upper(model_code) AS ck FROM w0 GROUP BY 1 HAVING min(model_name) = max(model_name))
@@ -380,7 +380,7 @@ SELECT month, model_name, model_code, sum(units) AS units FROM w0 WHERE upper(mo
  OR upper(model_code) IN (SELECT ck FROM s WHERE mk NOT IN (SELECT upper(model_name) FROM w0) AND ck IN (SELECT ck FROM u)) GROUP BY ALL""")
 def j7(spark, path):
     s = I.sales(spark, path).filter("plc = 'PROMO' and brand = 'H'")
-    w = P.wholesale_rows(spark, path).filter(F.length("model_name") <= 10)
+    w = P.wholesale_rows(spark, path)
     return X.wholesale_for_slice(s, w).groupBy("month", "model_name", "model_code").agg(F.sum("units").alias("units"))
 
 
@@ -388,16 +388,18 @@ def j7(spark, path):
 SELECT (SELECT count(*) FROM a WHERE v IN (SELECT v FROM b)) AS matched, (SELECT count(*) FROM a) AS sales_values, (SELECT count(*) FROM b) AS wholesale_values,
  round((SELECT count(*) FROM a WHERE v IN (SELECT v FROM b)) * 100.0 / (SELECT count(*) FROM a), 2) AS coverage_pct""")
 def j8(spark, path):
-    w = P.wholesale_rows(spark, path).filter(F.length("model_name") <= 10)
+    w = P.wholesale_rows(spark, path)
     return X.match_coverage(I.sales(spark, path), w, "model_name")
 
 
-@query("J8_R4_unmatched_values", f"""WITH {_SLICE}, x AS (SELECT upper(model_name) AS value, part_number AS rid FROM b_part WHERE upper(model_name) NOT IN (SELECT upper(model_name) FROM w0)),
+@query("J8_R4_unmatched_values", f"""WITH {_SLICE}, p0 AS (SELECT part_number, CASE WHEN cast(part_number AS varchar) LIKE '%7' THEN 'NEW ' || model_name ELSE model_name END AS model_name FROM b_part),
+x AS (SELECT upper(model_name) AS value, part_number AS rid FROM p0 WHERE upper(model_name) NOT IN (SELECT upper(model_name) FROM w0)),
 k AS (SELECT DISTINCT value FROM x ORDER BY value LIMIT 10)
 SELECT value, array_to_string(list_slice(list_sort(list(rid)), 1, 5), ',') AS "rows" FROM x WHERE value IN (SELECT value FROM k) GROUP BY value""")
 def j8b(spark, path):
-    w = P.wholesale_rows(spark, path).filter(F.length("model_name") <= 10)
-    return X.unmatched_values(P._parts(spark, path), w, "model_name", "part_number")
+    w = P.wholesale_rows(spark, path)
+    renamed = F.when(F.col("part_number").cast("string").endswith("7"), F.concat(F.lit("NEW "), "model_name")).otherwise(F.col("model_name"))
+    return X.unmatched_values(P._parts(spark, path).withColumn("model_name", renamed), w, "model_name", "part_number")
 
 
 @query("R5_distinct_pairs", """SELECT DISTINCT upper(model_code) AS code, upper(model_name) AS model FROM b_sales""")

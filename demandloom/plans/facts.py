@@ -134,13 +134,10 @@ def f4(spark, path):
 @query("J4_sales_anchor", """
 SELECT s.brand, s.model_key, coalesce(a.anchor_brand, CASE WHEN s.brand = 'K' THEN 'KUS' ELSE 'HMA' END) AS anchor_brand,
   coalesce(a.method, CASE WHEN s.brand = 'K' THEN 'source_brand_kus' ELSE 'hma_default_fallback' END) AS anchor_method,
-  count(*) AS n FROM b_sales s LEFT JOIN (SELECT * FROM b_amap WHERE units > (SELECT median(units) FROM b_amap)) a USING (model_key)
+  count(*) AS n FROM b_sales s LEFT JOIN b_amap a USING (model_key)
 GROUP BY ALL""")
 def j4(spark, path):
-    # only the larger half of the map is kept so that the fallback rules apply too
     amap = FA.anchor_map(I.wl(spark, path))
-    mid = amap.agg(F.median("units").alias("mid"))      # at most one row per model
-    amap = amap.crossJoin(F.broadcast(mid)).filter("units > mid").drop("mid")
     s = I.sales(spark, path).groupBy("brand", T.normalize_name("model_name").alias("model_key")).agg(
         F.count(F.lit(1)).alias("n"))
     return FA.assign_anchor(s, amap).select("brand", "model_key", "anchor_brand", "anchor_method", "n")

@@ -36,7 +36,7 @@ def head(cells: DataFrame, rows: int = HEAD_ROWS) -> DataFrame:
     pos = (filled(cells).select("sheet", "r").distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= rows)
            .withColumn("k", F.col("k") - 1))
     ends = filled(cells).groupBy("sheet", "c").agg(F.max("r").alias("col_end"))     # one row per column
-    return filled(cells).join(F.broadcast(pos), ["sheet", "r"]).join(F.broadcast(ends), ["sheet", "c"])   # at most ``rows`` per sheet
+    return filled(cells).join(pos, ["sheet", "r"]).join(ends, ["sheet", "c"])   # at most ``rows`` per sheet
 
 
 def header_plan(cells: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def header_plan(cells: DataFrame) -> DataFrame:
 
 def data_cells(cells: DataFrame, plan: DataFrame) -> DataFrame:
     """(sheet, r, name, v) below the header. The plan has one row per column of a sheet."""
-    return (filled(cells).join(F.broadcast(plan.select("sheet", "c", "name", "last_header_r")), ["sheet", "c"])
+    return (filled(cells).join(plan.select("sheet", "c", "name", "last_header_r"), ["sheet", "c"])
             .filter("r > last_header_r").select("sheet", "r", "c", "name", "v"))
 
 
@@ -136,7 +136,7 @@ def column_types(data: DataFrame) -> DataFrame:
     rows = data.groupBy("sheet").agg(F.count_distinct("r").alias("rows"))
     s = data.groupBy("sheet", "name").agg(F.count_if(D.mixed_date(F.col("v")).isNotNull()).alias("dates"),
                                           F.count_if(F.col("v").try_cast("double").isNotNull()).alias("numbers"), F.count(F.lit(1)).alias("cells"))
-    s = s.join(F.broadcast(rows), "sheet")                       # one row per sheet
+    s = s.join(rows, "sheet")                       # one row per sheet
     d, n = F.col("dates") / F.col("rows"), F.col("numbers") / F.col("rows")
     kind = (F.when((d >= 0.75) & T.has_date_hint(F.col("name")), "date").when((n >= 0.95) | ((n >= 0.5) & T.has_numeric_hint(F.col("name"))), "numeric").otherwise("text"))
     return s.select("sheet", "name", kind.alias("type"), "cells", d.alias("date_share"), n.alias("number_share"))
@@ -144,7 +144,7 @@ def column_types(data: DataFrame) -> DataFrame:
 
 def typed_cells(data: DataFrame, types: DataFrame) -> DataFrame:
     """Text, number (-1 means none, shown as 0) and date value per cell."""
-    j = data.join(F.broadcast(types.select("sheet", "name", "type")), ["sheet", "name"])
+    j = data.join(types.select("sheet", "name", "type"), ["sheet", "name"])
     num = F.when(F.col("type") == "numeric", T.sentinel_to_zero(F.col("v").try_cast("double")))
     return j.select("sheet", "r", "name", "type", F.when(F.col("type") == "text", F.col("v")).alias("text"), num.alias("number"),
                     F.when(F.col("type") == "date", D.mixed_date(F.col("v"))).alias("date"))
@@ -205,14 +205,14 @@ def unpivot_months(data: DataFrame, *, drop_totals: bool = True, clip: bool = Tr
         rows = forward_fill(rows, ["sheet"], "r", "marker", "channel").withColumn("channel", F.coalesce("channel", F.lit("wholesale"))).filter("marker is null")
     else:
         first = rows.filter("marker = 'fleet'").groupBy("sheet").agg(F.min("r").alias("fleet_from"))
-        rows = rows.join(F.broadcast(first), "sheet", "left").withColumn(          # one row per sheet
+        rows = rows.join(first, "sheet", "left").withColumn(          # one row per sheet
             "channel", F.when(F.col("r") >= F.col("fleet_from"), "fleet").otherwise("wholesale"))
     rows = rows.filter("model_name is not null")
     if drop_totals:
         rows = rows.filter(~T.is_total(F.col("model_name")) & ~T.is_total(F.coalesce("raw_brand", F.lit(""))))
     m = data.withColumn("mm", T.month_number_of(F.col("name"))).filter("mm is not null").withColumn("block", T.block_number_of(F.col("name")))
     blocks = m.groupBy("sheet").agg(F.max("block").alias("blocks"))
-    m = m.join(F.broadcast(blocks), "sheet").withColumn("year", start_year(latest_sales_year) + F.col("block") - 1)   # one row per sheet
+    m = m.join(blocks, "sheet").withColumn("year", start_year(latest_sales_year) + F.col("block") - 1)   # one row per sheet
     units = T.sentinel_to_zero(F.col("v").try_cast("double")) if clip else F.col("v").try_cast("double")
     m = m.select("sheet", "r", F.format_string("%04d-%02d", "year", "mm").alias("month"), (T.clip_zero(units) if clip else units).alias("units")).filter("units is not null")
     return m.join(rows, ["sheet", "r"]).select("month", F.coalesce("brand", F.lit("")).alias("brand"), "model_name", F.coalesce("model_code", F.lit("")).alias("model_code"),

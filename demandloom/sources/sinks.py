@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +36,10 @@ def run_id(source: str, filters: dict, settings: dict) -> str:
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table, if its write was finished."""
+    sc = spark.sparkContext
+    marker = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker) else None
 
 
 def prepared(spark: SparkSession, base: str, source_hash: str, role: str, build: Callable[[], DataFrame], partition_by: Iterable[str] = ()) -> DataFrame:
