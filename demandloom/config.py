@@ -44,6 +44,10 @@ NUMERIC_HINTS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep",
 HEADERISH_TOKENS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov",
                     "dec", "model", "brand", "total")
 
+#: What counts for and against a candidate header, and the share of columns that makes a leading label a prefix.
+HEADER_WEIGHTS = {"named": 4.0, "distinct": 3.0, "filled": 2.0, "numbers": 2.0, "headerish": 3.0, "numeric_name": 5.0, "step": 0.05}
+PREFIX_SHARE = 0.7
+
 # name, months of history needed, family
 BASELINE_MODELS = (
     ("naive_last", 2, "baseline"),

@@ -157,7 +157,7 @@ def wholesale_source_label(c) -> Column:
 
 
 def pnvw_state(value, wholesale, component, fleet: str = "kia_fleet_cfm_adjustment") -> Column:
-    """Why revenue per vehicle is or is not shown."""
+    """Why revenue per vehicle is or is not shown (fixed codes and labels)."""
     return (F.when(component == fleet, "Fleet component").when(first_finite(value).isNotNull(), "available")
             .when(first_finite(wholesale) == 0, "Selected Wholesale = 0").otherwise("Selected Wholesale unavailable"))
 

@@ -250,8 +250,8 @@ def part_series(sales: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     return S.pack(s, ["part_number"], F.col("quantity"))
 
 
-def portfolio(sales: DataFrame, scan: int | None = 60) -> DataFrame:
-    """Rated parts with their share of the scanned volume; ``scan`` = None rates every part."""
+def portfolio(sales: DataFrame, scan: int | None = None) -> DataFrame:
+    """Rated parts with their share of the volume: every part, or the ``scan`` largest."""
     parts = top_parts(sales, scan) if scan else sales.groupBy("part_number").agg(F.sum("quantity").alias("total_quantity"))
     tot = parts.agg(F.sum("total_quantity").alias("scan_total"))
     d = rate(part_series(sales, parts if scan else None)).join(parts, "part_number").crossJoin(F.broadcast(tot))
@@ -272,8 +272,9 @@ def portfolio_summary(records: DataFrame) -> DataFrame:
                        F.min_by("part_number", F.struct(pick, order)).alias("recommended_part"))
 
 
-def watchlist(sales: DataFrame, scan: int = 30, limit: int = 8) -> DataFrame:
-    d = rate(part_series(sales, top_parts(sales, scan)))
+def watchlist(sales: DataFrame, scan: int | None = None, limit: int = 8) -> DataFrame:
+    """The ``limit`` parts whose forecast moves most, of every part or of the ``scan`` largest."""
+    d = rate(part_series(sales, top_parts(sales, scan) if scan else None))
     d = d.select("part_number", "latest", "next_forecast", FC.pct(F.col("next_forecast") - F.col("latest"), F.col("latest")).alias("delta_pct"), "confidence")
     return d.orderBy(F.desc(F.coalesce(F.abs("delta_pct"), F.lit(0.0))), F.desc("next_forecast"), "part_number").limit(limit)
 
@@ -338,8 +339,9 @@ def exposure_model(features: DataFrame) -> DataFrame:
     return p.select("part_number", fit("rows").alias("m")).select("part_number", "m.*").filter("expected is not null")
 
 
-def alerts(sales: DataFrame, exposure: DataFrame, scan: int | None = 60) -> DataFrame:
-    """Priority score per part from change, error, anomalies, shape and confidence; quiet parts drop out."""
+def alerts(sales: DataFrame, exposure: DataFrame, scan: int | None = None) -> DataFrame:
+    """Priority score per part (every part, or the ``scan`` largest) from change, error, anomalies, shape and confidence;
+    quiet parts drop out."""
     parts = top_parts(sales, scan) if scan else None
     p = part_series(sales, parts).join(exposure.select("part_number", F.col("residual_pct").alias("exposure_residual_pct"), "strength"), "part_number", "left")
     d = rate(p, F.col("exposure_residual_pct"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# fixed values: words that tell what a question is about
 FORECAST_WORDS = ("forecast", "predict", "next month", "next year", "confidence", "wape", "bias", "mae", "trust")
 CHANGE_WORDS = ("why", "drop", "decline", "down", "rose", "rise", "increase", "anomaly", "alert", "abnormal", "change")
+# end of fixed values
 
 
 def intent(c) -> Column:
@@ -109,12 +111,12 @@ def document_snippets(docs: DataFrame, most: int | None = None) -> DataFrame:
 def result_snippets(profile: DataFrame, alerts: DataFrame, scope_rows: DataFrame) -> DataFrame:
     """Scope, field and alert rows of a context table."""
     arr = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
-    sc = scope_rows.select(F.lit("scope").alias("snippet_id"), F.lit("data_scope").alias("source"), F.lit("Current filter scope").alias("title"),
+    sc = scope_rows.select(F.lit("scope").alias("snippet_id"), F.lit("data_scope").alias("source"), F.lit("scope").alias("title"),
                            F.concat(F.lit("rows: "), F.col("row_count").cast("string")).alias("content"), arr("filters", "scope", "slice").alias("tags"), F.lit(2.0).alias("base_score"), F.lit(1).alias("priority"))
-    fl = profile.select(F.concat(F.lit("field-"), "column").alias("snippet_id"), F.lit("field_profile").alias("source"), F.concat("column", F.lit(" field profile")).alias("title"),
+    fl = profile.select(F.concat(F.lit("field-"), "column").alias("snippet_id"), F.lit("field_profile").alias("source"), F.concat(F.lit("field:"), "column").alias("title"),
                         F.concat_ws("; ", "type", F.concat(F.lit("missing "), F.col("missing_pct").cast("string")), F.concat(F.lit("unique "), F.col("distinct").cast("string")), "samples").alias("content"),
                         arr(F.col("column"), "schema", "field").alias("tags"), F.lit(1.5).alias("base_score"), F.lit(2).alias("priority"))
     al = alerts.orderBy(F.desc("alert_score"), "part_number").limit(4).withColumn("k", F.row_number().over(Window.orderBy(F.desc("alert_score"), "part_number"))).select(
-        F.concat(F.lit("alert-"), "part_number").alias("snippet_id"), F.lit("anomaly_center").alias("source"), F.concat(F.lit("Anomaly signal for "), "part_number").alias("title"),
+        F.concat(F.lit("alert-"), "part_number").alias("snippet_id"), F.lit("anomaly_center").alias("source"), F.concat(F.lit("alert:"), "part_number").alias("title"),
         "evidence", arr("anomaly", "change", F.col("part_number")).alias("tags"), F.when(F.col("k") == 1, 2.5).otherwise(1.4).alias("base_score"), F.lit(3).alias("priority")).withColumnRenamed("evidence", "content")
     return sc.unionByName(fl).unionByName(al)

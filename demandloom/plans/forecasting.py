@@ -15,18 +15,18 @@ from .series import PROFILE, RATED, SELECTED, month_sales
 
 rnd = lambda n, *cols: [F.round(c, n).alias(c) for c in cols]
 
-block("b_topparts", "SELECT part_number, sum(quantity) AS total_quantity FROM b_sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60")
+block("b_volumes", "SELECT part_number, sum(quantity) AS total_quantity FROM b_sales GROUP BY 1")
 
 
 @query("FC20_part_portfolio", RATED + f""", nx AS (SELECT part_number, h[-1] AS latest, {Q.path_by_name('tr', 'm', 1)}[1] AS nf FROM (SELECT part_number, h, b.train AS tr, b.model AS m FROM ({SELECTED}) WHERE n > 3))
-SELECT part_number, n, latest, round(nf, 5) AS next_forecast, risk, code AS regime, b.model AS model, tier, score, total_quantity, total_quantity / (SELECT sum(total_quantity) FROM b_topparts) AS quantity_share
-FROM rated JOIN b_topparts USING (part_number) JOIN nx USING (part_number)""")
+SELECT part_number, n, latest, round(nf, 5) AS next_forecast, risk, code AS regime, b.model AS model, tier, score, total_quantity, total_quantity / (SELECT sum(total_quantity) FROM b_volumes) AS quantity_share
+FROM rated JOIN b_volumes USING (part_number) JOIN nx USING (part_number)""")
 def fc20(spark, path):
     return FO.portfolio(I.sales(spark, path)).select("part_number", "n", "latest", *rnd(5, "next_forecast"), "risk", "regime", "model", "tier",
                                                      "score", "total_quantity", "quantity_share")
 
 
-@query("FC20_portfolio_summary", RATED + """, x AS (SELECT *, total_quantity / (SELECT sum(total_quantity) FROM b_topparts) AS share FROM rated JOIN b_topparts USING (part_number))
+@query("FC20_portfolio_summary", RATED + """, x AS (SELECT *, total_quantity / (SELECT sum(total_quantity) FROM b_volumes) AS share FROM rated JOIN b_volumes USING (part_number))
 SELECT count(*) AS scanned, count(*) FILTER (tier = 'planner_ready') AS ready, count(*) FILTER (tier = 'needs_review') AS review, count(*) FILTER (tier = 'do_not_auto_plan') AS stopped,
  round(coalesce(sum(share) FILTER (tier = 'planner_ready'), 0), 6) AS ready_share,
  (SELECT part_number FROM x ORDER BY CASE tier WHEN 'planner_ready' THEN 1 WHEN 'needs_review' THEN 2 ELSE 3 END, score DESC, total_quantity DESC, part_number LIMIT 1) AS recommended_part FROM x""")
@@ -34,8 +34,7 @@ def fc20b(spark, path):
     return FO.portfolio_summary(FO.portfolio(I.sales(spark, path))).withColumn("ready_share", F.round("ready_share", 6))
 
 
-@query("T8_watchlist", f"""WITH t AS (SELECT part_number FROM b_topparts ORDER BY total_quantity DESC, part_number LIMIT 30),
-x AS (SELECT part_number, h[-1] AS latest, {Q.path_by_name('tr', 'm', 1)}[1] AS nf, confidence FROM (SELECT *, b.train AS tr, b.model AS m FROM ({PROFILE})) SEMI JOIN t USING (part_number))
+@query("T8_watchlist", f"""WITH x AS (SELECT part_number, h[-1] AS latest, {Q.path_by_name('tr', 'm', 1)}[1] AS nf, confidence FROM (SELECT *, b.train AS tr, b.model AS m FROM ({PROFILE})))
 SELECT part_number, latest, round(nf, 5) AS next_forecast, round((nf - latest) / nullif(latest, 0) * 100, 4) AS delta_pct, confidence FROM x
 ORDER BY coalesce(abs((nf - latest) / nullif(latest, 0) * 100), 0) DESC, nf DESC, part_number LIMIT 8""")
 def t8(spark, path):
@@ -68,7 +67,7 @@ def fc21(spark, path):
 
 @query("FC21_alert_summary")
 def fc21b(spark, path):
-    return FO.alert_summary(FO.alerts(I.sales(spark, path), exposure(spark, path), scan=None))
+    return FO.alert_summary(FO.alerts(I.sales(spark, path), exposure(spark, path)))
 
 
 def model_series(spark, path):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BUSINESS_HEADER_SIGNALS, HEADERISH_TOKENS, MONTH_NUMBERS, ROLE_PATTERNS
+from ..config import BUSINESS_HEADER_SIGNALS, HEADER_WEIGHTS, HEADERISH_TOKENS, MONTH_NUMBERS, PREFIX_SHARE, ROLE_PATTERNS
 from ..functions import dates as D
 from ..functions import text as T
+from ..session import materialize
 
-HEAD_ROWS = 21          # eight candidate rows, three header rows, ten rows below
+HEADER_TOPS, HEADER_DEPTHS = 8, 3
+HEAD_ROWS = HEADER_TOPS + HEADER_DEPTHS + 10          # ten rows below the lowest header
 
 
 def filled(cells: DataFrame) -> DataFrame:
@@ -39,90 +40,73 @@ def head(cells: DataFrame, rows: int = HEAD_ROWS) -> DataFrame:
     return filled(cells).join(pos, ["sheet", "r"]).join(ends, ["sheet", "c"])   # at most ``rows`` per sheet
 
 
+def _grid(cells: DataFrame) -> DataFrame:
+    """The head of each sheet with its gaps: (sheet, k, r, c, col_end, v, filled), ``filled`` being the last value at or left of c."""
+    h = head(cells)
+    rows, cols = h.groupBy("sheet", "k").agg(F.min("r").alias("r")), h.groupBy("sheet", "c").agg(F.min("col_end").alias("col_end"))
+    g = rows.join(cols, "sheet").join(h.select("sheet", "k", "c", "v"), ["sheet", "k", "c"], "left")
+    return g.withColumn("filled", F.last_value("v", F.lit(True)).over(Window.partitionBy("sheet", "k").orderBy("c")))
+
+
+def _candidate_names(grid: DataFrame) -> DataFrame:
+    """Names of the columns of each sheet under each candidate header (top, depth), and counts of what lies below.
+
+    A candidate leaves a row below it; columns that end inside the header are not part of it.
+    """
+    cand, by_col = ["sheet", "top", "depth"], ["sheet", "top", "depth", "c"]
+    pairs = F.array(*[F.struct(F.lit(t).alias("top"), F.lit(d).alias("depth")) for t in range(HEADER_TOPS) for d in range(1, HEADER_DEPTHS + 1)])
+    g = grid.withColumn("rows", F.max("k").over(Window.partitionBy("sheet")) + 1).withColumn("x", F.explode(pairs)).select("*", "x.top", "x.depth")
+    g = g.withColumn("below", F.col("k") - F.col("top") - F.col("depth")).filter("top + depth < rows and k >= top and below < 10")
+    text = F.trim(F.regexp_replace(F.when(F.col("depth") > 1, F.col("filled")).otherwise(F.col("v")), r"\s+", " "))
+    label = F.when((F.col("below") < 0) & ~text.startswith("Unnamed"), F.struct("k", text.alias("label")))
+    here, first5 = F.col("v").isNotNull(), F.col("v").isNotNull() & F.col("below").between(0, 4)
+    per = g.groupBy(*by_col).agg(
+        F.transform(F.array_sort(F.collect_list(label)), lambda x: x["label"]).alias("labels"), F.max(F.when(F.col("below") == -1, F.col("r"))).alias("last_header_r"),
+        F.max("col_end").alias("col_end"), F.count_if(F.col("below") >= 0).alias("body_rows"), F.count_if(here & (F.col("below") >= 0)).alias("body_cells"), F.count_if(first5).alias("early_cells"),
+        F.count_if(first5 & F.col("v").try_cast("double").isNotNull()).alias("early_numbers"), F.max((F.col("below") == 0) & F.lower(F.trim("v")).isin(*HEADERISH_TOKENS)).alias("headerish"))
+    per = per.filter("col_end > last_header_r").withColumn("place", F.row_number().over(Window.partitionBy(*cand).orderBy("c")))
+    parts = F.filter("labels", lambda x, i: (i == 0) | (x != F.get("labels", i - 1)))
+    per = per.withColumn("parts", parts).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.concat(F.lit("Unnamed "), "place"))))
+    whole = F.split(F.array_join("parts", " | "), r" \| ")                 # a label may hold the separator itself
+    per = per.select("*", F.get(whole, 0).alias("lead"), F.get(whole, 1).alias("second"), F.array_join(F.slice(whole, 2, HEAD_ROWS * 100), " | ").alias("rest"))
+    # a leading label that all columns share, or nearly all, says nothing about a column
+    all_, same = Window.partitionBy(*cand), Window.partitionBy(*cand, "lead")
+    alone = (F.min("lead").over(all_) == F.max("lead").over(all_)) & (F.min(F.coalesce("second", F.lit(""))).over(all_) < F.max(F.coalesce("second", F.lit(""))).over(all_))
+    major = F.count("second").over(same) >= PREFIX_SHARE * F.count(F.lit(1)).over(all_)
+    name = F.when(F.col("second").isNotNull() & (alone | major), F.btrim("rest", F.lit(" |"))).otherwise(F.array_join("parts", " | "))
+    per = per.withColumn("name", name).filter(~F.lower("name").rlike(r"^unnamed( \d+)?$"))
+    again = F.row_number().over(Window.partitionBy(*cand, "name").orderBy("c"))
+    return per.withColumn("name", F.when(again == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), again, F.lit(")"))))
+
+
 def header_plan(cells: DataFrame) -> DataFrame:
-    """(sheet, header_r, data_from_r, depth, c, name): where the header is and what it says.
+    """(sheet, header_row, header_depth, last_header_r, c, name): where the header is and what it says.
 
-    The rules look at no more than the first rows of a sheet, gathered per sheet.
+    Three known business names in the first row make it the header; else the first row with six month names is the
+    second of two; else the best score wins (ties: the upper, then the shallower header). Everything is an aggregate
+    over the first rows of all sheets at once. A sheet without a row below its header has no plan.
     """
-    signals, months, headerish = set(BUSINESS_HEADER_SIGNALS), set(MONTH_NUMBERS), set(HEADERISH_TOKENS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        token = lambda s: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9 ]+", " ", re.sub(r"[|_\-]+", " ", s.lower()))).strip()
-        grid = pdf.pivot(index="k", columns="c", values="v").sort_index()
-        r_of = pdf.drop_duplicates("k").sort_values("k").set_index("k")["r"]
-        col_end = pdf.drop_duplicates("c").set_index("c")["col_end"]
-
-        def names(top, depth):
-            block, body = grid.iloc[top:top + depth], grid.iloc[top + depth:]
-            last_r = r_of.iloc[min(top + depth, len(r_of)) - 1]
-            cols = [c for c in grid.columns if col_end[c] > last_r]
-            if not cols:
-                return [], []
-            block = (block.ffill(axis=1) if depth > 1 else block)[cols]
-            lines = []
-            for i in range(depth):
-                line = ["" if pd.isna(x) else re.sub(r"\s+", " ", str(x).strip()) for x in block.iloc[i]]
-                if i < depth - 1:
-                    line = pd.Series(line).replace("", pd.NA).ffill().fillna("").tolist()
-                lines.append(line)
-            out = []
-            for j in range(len(cols)):
-                parts = []
-                for x in (ln[j] for ln in lines):
-                    if x and not x.startswith("Unnamed") and parts[-1:] != [x]:
-                        parts.append(x)
-                out.append(" | ".join(parts) or f"Unnamed {j + 1}")
-            first = {x.split(" | ")[0] for x in out}
-            second = {x.split(" | ")[1] if " | " in x else None for x in out}
-            share = pd.Series([x.split(" | ", 1)[0] for x in out if " | " in x]).value_counts()
-            cut = None
-            if len(first) == 1 and len(second) > 1:
-                cut = first.pop() + " | "
-            elif len(share) and share.iloc[0] / len(out) >= 0.7:
-                cut = share.index[0] + " | "
-            out = [x[len(cut):].strip(" |") if cut and x.startswith(cut) else x for x in out]
-            keep = [(c, x) for c, x in zip(cols, out, strict=True) if not re.fullmatch(r"(?i)unnamed(?: \d+)?", x)]
-            seen: dict = {}
-            final = []
-            for c, x in keep:
-                seen[x] = seen.get(x, 0) + 1
-                final.append((c, x if seen[x] == 1 else f"{x} ({seen[x]})"))
-            return [c for c, _ in final], [x for _, x in final]
-
-        def score(top, depth):
-            cols, nm = names(top, depth)
-            body = grid.iloc[top + depth:]
-            if not cols or body.empty:
-                return float("-inf")
-            body, n = body[cols], len(nm)
-            five = body.head(5).stack()
-            compact = [x.strip().lower().replace(" ", "") for x in nm]
-            numeric = sum(bool(re.fullmatch(r"[\d:/\-.]+", x)) or (x.startswith("20") and len(x) <= 10) for x in compact)
-            top_row = body.iloc[0].astype(str).str.strip().str.lower()
-            dens = pd.to_numeric(five, errors="coerce").notna().mean() if len(five) else 0.0
-            return (sum(not x.lower().startswith("unnamed") for x in nm) / n * 4 + len(set(nm)) / n * 3 + body.head(10).notna().mean().mean() * 2
-                    + dens * 2 - top_row.isin(headerish).mean() * 3 - numeric / n * 5 - top * 0.05 - abs(depth - 1) * 0.05)
-
-        rows = [{str(x) for x in grid.iloc[i].dropna()} for i in range(min(8, len(grid)))]
-        if len({token(x) for x in rows[0]} & signals) >= 3:
-            best = (0, 1)
-        else:
-            hit = next((i for i, s in enumerate(rows) if len({x.strip().lower() for x in s} & months) >= 6), None)
-            if hit is not None:
-                best = (max(0, hit - 1), 2)
-            else:
-                cand = [(score(i, d), -i, -d) for i in range(len(rows)) for d in (1, 2, 3) if i + d < len(grid)]
-                s, i, d = max(cand, default=(0, 0, -1))
-                best = (-i, -d)
-        top, depth = best
-        cols, nm = names(top, depth)
-        last = r_of.iloc[min(top + depth - 1, len(r_of) - 1)]
-        return pd.DataFrame({"sheet": pdf["sheet"].iloc[0], "header_row": top, "header_depth": depth, "last_header_r": int(last), "c": cols, "name": nm})
-
-    return head(cells).select("sheet", "r", "k", "c", "v", "col_end").groupBy("sheet").applyInPandas(
-        run, "sheet string, header_row int, header_depth int, last_header_r long, c int, name string")
+    grid = materialize(_grid(cells))                                      # at most HEAD_ROWS rows a sheet
+    names = _candidate_names(grid)
+    top = grid.filter(F.col("k") < HEADER_TOPS)
+    months = F.count_distinct(F.when(F.lower(F.trim("v")).isin(*MONTH_NUMBERS), F.lower(F.trim("v"))))
+    known = F.count_distinct(F.when((F.col("k") == 0) & T.token_string("v").isin(*BUSINESS_HEADER_SIGNALS), T.token_string("v")))
+    quick = top.groupBy("sheet", "k").agg(months.alias("months"), known.alias("known")).groupBy("sheet").agg(
+        F.max("known").alias("known"), F.min(F.when(F.col("months") >= 6, F.col("k"))).alias("at"))
+    plain = F.regexp_replace(F.lower("name"), " ", "")
+    n, mean = F.count(F.lit(1)), lambda x: F.sum(x) / F.count(F.lit(1))
+    named, numeric = ~F.lower("name").startswith("unnamed"), plain.rlike(r"^[0-9:/\-.]+$") | (plain.startswith("20") & (F.length(plain) <= 10))
+    w = HEADER_WEIGHTS
+    score = (w["named"] * mean(named.cast("int")) + w["distinct"] * F.count_distinct("name") / n + w["filled"] * F.sum("body_cells") / F.sum("body_rows")
+             + w["numbers"] * F.coalesce(F.try_divide(F.sum("early_numbers"), F.sum("early_cells")), F.lit(0.0)) - w["headerish"] * mean(F.coalesce("headerish", F.lit(False)).cast("int"))
+             - w["numeric_name"] * mean(numeric.cast("int")) - w["step"] * (F.col("top") + F.abs(F.col("depth") - 1)))
+    scored = names.groupBy("sheet", "top", "depth").agg(F.round(score, 9).alias("score"))
+    best = scored.groupBy("sheet").agg(F.max_by(F.struct("top", "depth"), F.struct("score", -F.col("top"), -F.col("depth"))).alias("best"))
+    pair = lambda t, d: F.struct(t.cast("int").alias("top"), F.lit(d).alias("depth"))
+    choice = best.join(quick, "sheet").select("sheet", F.when(F.col("known") >= 3, pair(F.lit(0), 1)).when(
+        F.col("at").isNotNull(), pair(F.greatest(F.col("at") - 1, F.lit(0)), 2)).otherwise(F.col("best")).alias("b")).select("sheet", "b.top", "b.depth")
+    return names.join(choice, ["sheet", "top", "depth"]).select(
+        "sheet", F.col("top").alias("header_row"), F.col("depth").alias("header_depth"), "last_header_r", "c", "name")
 
 
 def data_cells(cells: DataFrame, plan: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def test_header_by_known_names(spark):
     assert sorted(r.number for r in typed.filter("name = 'Qty'").collect()) == [0.0, 3.0]
 
 
+def test_header_prefix_duplicates_and_score(spark):
+    # best score, ties to the upper header: the title is a shared prefix and goes, a repeated name is numbered, blank columns drop out
+    grid = [["Plan", None, None, None, None], ["Item", "Qty", "Qty", "Unnamed: 3", "Note"], *[[f"i{k}", str(k), str(k + 1), None, "x"] for k in range(4)]]
+    plan = sorted(SH.header_plan(cells(spark, grid)).collect(), key=lambda r: r.c)
+    assert {(r.header_row, r.header_depth, r.last_header_r) for r in plan} == {(0, 2, 1)}
+    assert [(r.c, r.name) for r in plan] == [(0, "Item"), (1, "Qty"), (2, "Qty (2)"), (4, "Note")]
+    months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun"]
+    two = cells(spark, [["Units", *[None] * 6], ["Model", *months], ["a", *"123456"]], "two").union(cells(spark, [["only", "row"]], "one")).union(
+        cells(spark, [["Base", "Units", *[None] * 6], ["Base", "Model", *months], ["a", "b", *"123456"]], "most"))
+    got = {}
+    for r in SH.header_plan(two).collect():
+        got.setdefault(r.sheet, {})[r.c] = (r.header_row, r.header_depth, r.name)
+    assert got["two"] == {i: (0, 2, n) for i, n in enumerate(["Model", *months])} and "one" not in got
+    assert got["most"] == {i: (0, 2, n) for i, n in enumerate(["Base", "Model", *months])}
+
+
 def test_unpivot_years_from_latest_sales_year(spark):
     grid = [["Brand", "Model", "Model Code", "Jan", "Feb", "Jan", "Feb"], ["HMA", "Car 1", "C1", "1", "2", "3", "-1"], [None, "Car 2", "C2", "5", "6", "7", "8"]]
     plan = spark.createDataFrame([("s", i, n, 0) for i, n in enumerate(["Brand", "Model", "Model Code", "Jan", "Feb", "Jan (2)", "Feb (2)"])],
