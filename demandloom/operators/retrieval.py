@@ -32,12 +32,23 @@ def token_pairs(questions: DataFrame, documents: DataFrame, question_id: str, do
     return d.join(q, ["token", "s"]).groupBy(question_id, doc_id).agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def _holding(questions: DataFrame, snippets: DataFrame, limit: int, blocks: int = 64) -> DataFrame:
+    """(focus, snippet_id): for each focus term the ``limit`` snippets that stand first by their base score among those that
+    hold it. Terms meet the snippets in blocks; a term of very many snippets is cut to ``limit`` in each task first."""
+    terms = questions.filter("focus <> ''").select("focus").distinct()
+    terms = terms.groupBy(F.pmod(F.xxhash64("focus"), F.lit(blocks)).alias("block")).agg(F.collect_list("focus").alias("terms"))
+    low = snippets.withColumn("low", F.lower("text"))
+    held = low.crossJoin(terms).select("snippet_id", "base_score", "priority", "title", F.explode(F.filter("terms", lambda t: F.contains(F.col("low"), F.lower(t)))).alias("focus"))
+    w = Window.partitionBy("focus").orderBy(F.desc("base_score"), "priority", "title", "snippet_id")
+    return held.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit).select("focus", "snippet_id")
+
+
 def rank_context(questions: DataFrame, snippets: DataFrame, limit: int = 6) -> DataFrame:
     """Score = base + 2 per shared word (+3 when the focus term occurs); best few per question.
 
     questions: (question_id, text, focus); snippets: (snippet_id, source, title, content, tags, base_score, priority).
-    Snippets without a shared word still count through their base score: the best few of them,
-    chosen once, meet every question; the rest can never reach the list.
+    Snippets without a shared word still count through their base score, and those that hold the focus term by 3 more:
+    the best few of all, and the best few that hold a focus term, are chosen once; the rest can never reach the list.
     """
     text = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
     s = snippets.withColumn("text", text)
@@ -46,7 +57,9 @@ def rank_context(questions: DataFrame, snippets: DataFrame, limit: int = 6) -> D
     s = s.join(first.select("snippet_id"), "snippet_id", "left_semi")
     pairs = token_pairs(questions, s, "question_id", "snippet_id")
     always = s.filter("base_score > 0").orderBy(F.desc("base_score"), "priority", "title", "snippet_id").limit(limit).select("snippet_id")
-    base = questions.select("question_id").crossJoin(F.broadcast(always)).join(pairs, ["question_id", "snippet_id"], "left_anti")    # limit rows each
+    wanted = questions.select("question_id").crossJoin(F.broadcast(always)).unionByName(
+        questions.join(_holding(questions, s, limit), "focus").select("question_id", "snippet_id")).distinct()                     # limit rows each, twice
+    base = wanted.join(pairs, ["question_id", "snippet_id"], "left_anti")
     allp = pairs.unionByName(base.withColumn("overlap", F.lit(0).cast("bigint")))
     j = allp.join(s.select("snippet_id", "title", "base_score", "priority", "text"), "snippet_id").join(questions.select("question_id", "focus"), "question_id")
     hit = (F.coalesce("focus", F.lit("")) != "") & F.contains(F.lower("text"), F.lower("focus"))

@@ -33,7 +33,7 @@ def f21(spark, path):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 5), ",").alias("first"))
 
 
-@query("F22_chunks", f"SELECT doc_id, i, length(c[i]) AS chars, md5(c[i]) AS digest FROM (SELECT doc_id, {CHUNK('text')} AS c FROM documents), range(1, 40) t(i) WHERE i <= len(c)")
+@query("F22_chunks", f"SELECT doc_id, i, length(c[i]) AS chars, md5(c[i]) AS digest FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK('text')} AS c FROM documents))")
 def f22(spark, path):
     c = docs(spark, path).select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "c"))
     return c.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.length("c").cast("long").alias("chars"), F.md5("c").alias("digest"))
@@ -48,13 +48,13 @@ def x2(spark, path):
 
 
 block("b_q", "SELECT conv_id AS question_id, text, CASE WHEN conv_id % 5 = 0 THEN 'the' ELSE '' END AS focus, conv_id % 3 AS scope FROM conversations WHERE turn = 0")
-block("b_snip", f"SELECT doc_id || '-' || (i - 1) AS snippet_id, 'document ' || doc_id || ' section ' || i AS title, c[i] AS content, source AS src FROM (SELECT doc_id, source, {CHUNK('text')} AS c FROM documents), range(1, 7) t(i) WHERE i <= len(c)")
+block("b_snip", f"SELECT doc_id || '-' || (i - 1) AS snippet_id, 'document ' || doc_id || ' section ' || i AS title, c[i] AS content, source AS src FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, source, {CHUNK('text')} AS c FROM documents))")
 
 
 @query("X1_ranked_context", f"""WITH q AS (SELECT question_id, focus, unnest({TOK('text')}) AS w FROM b_q), s AS (SELECT *, title || ' ' || content || ' ' || src || ' knowledge' AS txt FROM b_snip),
 st AS (SELECT snippet_id, unnest({TOK('txt')}) AS w FROM s), o AS (SELECT question_id, snippet_id, count(*) AS n FROM q JOIN st USING (w) GROUP BY ALL),
-b AS (SELECT snippet_id FROM s ORDER BY title, snippet_id LIMIT 6), a AS (SELECT * FROM o UNION ALL SELECT question_id, snippet_id, 0 FROM b_q CROSS JOIN b WHERE (question_id, snippet_id) NOT IN (SELECT (question_id, snippet_id) FROM o)),
-r AS (SELECT question_id, snippet_id, title, round(0.6::DOUBLE + n * 2.0::DOUBLE + CASE WHEN focus <> '' AND contains(lower(txt), lower(focus)) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END, 2) AS score FROM a JOIN s USING (snippet_id) JOIN b_q USING (question_id)),
+r AS (SELECT b_q.question_id, s.snippet_id, title, round(0.6::DOUBLE + coalesce(n, 0) * 2.0::DOUBLE + CASE WHEN b_q.focus <> '' AND contains(lower(txt), lower(b_q.focus)) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END, 2) AS score
+ FROM b_q CROSS JOIN s LEFT JOIN o ON o.question_id = b_q.question_id AND o.snippet_id = s.snippet_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, title, snippet_id) AS position FROM r)
 SELECT question_id, snippet_id, score, CAST(position AS INT) AS position FROM k WHERE position <= 6""")
 def x1(spark, path):
