@@ -48,6 +48,9 @@ HEADERISH_TOKENS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep
 HEADER_WEIGHTS = {"named": 4.0, "distinct": 3.0, "filled": 2.0, "numbers": 2.0, "headerish": 3.0, "numeric_name": 5.0, "step": 0.05}
 PREFIX_SHARE = 0.7
 
+#: Governed method of each anchor.
+ANCHOR_METHODS = {"HMA": "tuned_smoothing", "GMA": "naive_last", "KUS": "working_day_adjusted_seasonal"}
+
 # name, months of history needed, family
 BASELINE_MODELS = (
     ("naive_last", 2, "baseline"),

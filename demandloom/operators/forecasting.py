@@ -116,13 +116,22 @@ def coefficient_rows(df: DataFrame, keys: list[str], use_working_days: bool = Tr
 
 # --- strategy choice -------------------------------------------------------------------
 
+GOVERNED = ("reference_portfolio", "tree_meta_selector_v1", "elastic_net_anchor_residual_v1")
+
 def resolve(packed: DataFrame, cal: DataFrame, *, strategy: str = "auto", horizon: int = 6, use_working_days: bool = True,
-            use_seasonality: bool = True, evaluate: bool = True) -> DataFrame:
+            use_seasonality: bool = True, evaluate: bool = True, stored: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
     """Add model, preprocessing, forecast, wape, note (and the independent outer test ``ev``) per series.
 
     strategy: 'auto' (baselines against driver regression), 'baseline_auto',
-    'driver_adjusted_regression', or one baseline method by name.
+    'driver_adjusted_regression', or one baseline method by name. 'reference_portfolio' and the learned
+    challengers (with their ``stored`` models and the ``source`` at hand) work on series keyed by ``entity``;
+    their tests are fold rows of ``challengers``, so ``ev`` and wape are not added.
     """
+    if strategy in GOVERNED:
+        from . import challengers            # builds on this module
+        f = challengers.strategy(packed, cal, strategy, horizon, stored, source)
+        return packed.join(f.select("entity", F.col("model").alias("pick_model"), F.lit("raw").alias("pick_preprocessing"), F.col("forecast").alias("pick_forecast")), "entity").withColumns(
+            {"pick_wape": F.lit(None).cast("double"), "note": F.lit("governed")})
     if strategy not in ("auto", "baseline_auto", "driver_adjusted_regression") and strategy != "ets_additive" and strategy not in FC._NEXT:
         raise ValueError(f"unknown strategy {strategy!r}")
     h = F.col("h")

@@ -265,8 +265,14 @@ def exception_profiles(facts: DataFrame, cutoff: str) -> DataFrame:
         "unit_revenue": F.when(F.col("history_quantity") > 0, F.col("history_revenue") / F.col("history_quantity")).otherwise(0.0)})
 
 
-def exceptions(profiles: DataFrame, allocated: DataFrame | None, child: list[str], min_volume: float = 5.0) -> DataFrame:
-    """Exception rows from series profiles and from allocated forecasts, deduplicated by id."""
+def exceptions(profiles: DataFrame, models: DataFrame, plcs: DataFrame, parts: DataFrame | None = None, metric: str = "quantity", min_volume: float = 5.0) -> DataFrame:
+    """Exception rows from series profiles and from the forecasts of three levels, deduplicated by id.
+
+    ``models`` and ``plcs`` are allocated forecasts; ``parts`` is a part plan by PLC of one model, read for revenue only.
+    Rules on histories: stopped, low volume, few active months, gaps, recent zeros, new. Rules on forecast months: a
+    zero (or, for a series that was excluded and has no row, no) revenue forecast although revenue was earned before;
+    a value left to planners at model or PLC level; a positive PLC value without any part that could take it.
+    """
     low, code = F.lit(min_volume), F.lower("lifecycle_code")
 
     def ev(**kw):
@@ -274,6 +280,10 @@ def exceptions(profiles: DataFrame, allocated: DataFrame | None, child: list[str
 
     def rule(cond, reason, severity, evidence, action):
         return F.when(cond, F.struct(F.lit(reason).alias("reason"), F.lit(severity).alias("severity"), evidence.alias("evidence"), F.lit(action).alias("action")))
+
+    def monthly(df, scope, key, reason, severity, evidence, action):
+        return df.select(scope.alias("scope"), key.alias("series_key"), F.lit(reason).alias("reason"), F.lit(severity).alias("severity"), evidence.alias("evidence"),
+                         F.lit(action).alias("action"), F.col("month").alias("forecast_month"))
     rules = F.array(
         rule(code.isin(*STOPPED), "inactive_discontinued", "high", ev(lifecycle=code), "confirm_lifecycle_keep_zero"),
         rule(F.col("monthly_average") < low, "low_volume", "medium", ev(monthly_average=F.round("monthly_average", 4), minimum=low), "review_sparse_demand"),
@@ -281,16 +291,30 @@ def exceptions(profiles: DataFrame, allocated: DataFrame | None, child: list[str
         rule(F.col("missing_months") > 0, "history_gaps", "medium", ev(missing_months=F.col("missing_months")), "confirm_zero_or_missing"),
         rule((F.col("recent_positive") == 0) & (F.col("history_months") >= 3), "recent_zero_streak", "high", ev(streak=F.lit(3)), "review_lifecycle_and_supply"),
         rule(code.isin("new", "reintroduced"), "new_reintroduced_proxy", "medium", ev(history_months=F.col("history_months")), "review_proxy"))
-    s = profiles.select("scope", "series_key", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("x")).select(
+    out = profiles.select("scope", "series_key", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("x")).select(
         "scope", "series_key", "x.*", F.lit(None).cast("string").alias("forecast_month"))
-    if allocated is not None:
-        a = allocated.select(F.concat_ws("::", *child).alias("series_key"), "month", "route", "value")
-        scope = F.lit("PLC" if "plc" in child else "Model")
-        zero = (a.filter("value = 0").join(profiles.filter(F.col("scope") == scope).select("series_key", "unit_revenue"), "series_key").filter("unit_revenue > 0")
-                .select(scope.alias("scope"), "series_key", F.lit("zero_forecast_historical_unit_price").alias("reason"), F.lit("medium").alias("severity"),
-                        ev(unit_revenue=F.round("unit_revenue", 4)).alias("evidence"), F.lit("review_routing").alias("action"), F.col("month").alias("forecast_month")))
-        rest = a.filter("route = 'planner_review_residual'").select(
-            scope.alias("scope"), "series_key", F.lit("planner_review_residual").alias("reason"), F.lit("high").alias("severity"),
-            ev(value=F.round("value", 4)).alias("evidence"), F.lit("assign_residual").alias("action"), F.col("month").alias("forecast_month"))
-        s = s.unionByName(zero).unionByName(rest)
-    return s.withColumn("exception_id", F.concat_ws("::", "reason", "series_key", F.coalesce("forecast_month", F.lit("SERIES")))).dropDuplicates(["exception_id"])
+    dims = {name: list(d) for name, d in LEVELS}
+    level = lambda df, name: df.select(F.lit(name).alias("scope"), F.concat_ws("::", *dims[name]).alias("series_key"), "month", "route", "value")
+    both = level(models, "Model").unionByName(level(plcs, "PLC"))
+    out = out.unionByName(monthly(both.filter("route = 'planner_review_residual'"), F.col("scope"), F.col("series_key"), "planner_review_residual", "high",
+                                  ev(value=F.round("value", 4)), "assign_residual_to_children"))
+    stopped = F.coalesce(code.isin(*STOPPED), F.lit(False))
+    routes = plcs.groupBy(*dims["PLC"]).agg(F.min("route").alias("route"))
+    able = (F.col("monthly_average") >= low) & ~stopped & F.when(F.col("route") == "new_model_proxy", F.col("recent6_quantity") > 0).otherwise(F.col("active_months") >= 6)
+    price = F.when(F.col("recent6_quantity") > 0, F.col("recent6_revenue") / F.col("recent6_quantity")).otherwise(F.col("unit_revenue")) if metric == "revenue" else F.lit(1.0)
+    served = (profiles.filter("scope = 'PIS_PNO'").join(routes, dims["PLC"]).filter(able).groupBy(*dims["PLC"])
+              .agg(F.sum(F.col("latest_quantity") * price).alias("latest"), F.sum(F.col("recent6_quantity") * price).alias("recent")).filter("latest > 0 or recent > 0"))
+    unserved = plcs.filter("value > 0").join(served.select(*dims["PLC"]), dims["PLC"], "left_anti")
+    out = out.unionByName(monthly(unserved, F.lit("PIS_PNO"), F.concat_ws("::", *dims["PLC"], F.lit("PLANNER_REVIEW")), "planner_review_residual", "high",
+                                  ev(value=F.round("value", 4)), "assign_residual_to_parts"))
+    if metric == "revenue":
+        given = both if parts is None else both.unionByName(level(parts, "PIS_PNO"))
+        priced = profiles.filter("unit_revenue > 0")
+        zero = given.filter("value = 0").join(priced.select("scope", "series_key", "unit_revenue"), ["scope", "series_key"])
+        months = models.select("month").distinct()                                                   # the forecast horizon
+        excluded = (F.col("monthly_average") < low) | (F.col("active_months") < 6) | stopped | ((F.col("scope") == "PIS_PNO") & (F.col("recent6_quantity") <= 0))
+        lost = (priced.filter(excluded).join(given.select("scope", "series_key").distinct(), ["scope", "series_key"], "left_anti")
+                .select("scope", "series_key", "unit_revenue").crossJoin(F.broadcast(months)))
+        out = out.unionByName(monthly(zero.select("scope", "series_key", "unit_revenue", "month").unionByName(lost), F.col("scope"), F.col("series_key"),
+                                      "zero_forecast_historical_unit_price", "medium", ev(unit_revenue=F.round("unit_revenue", 4)), "review_routing"))
+    return out.withColumn("exception_id", F.concat_ws("::", "reason", "series_key", F.coalesce("forecast_month", F.lit("SERIES")))).dropDuplicates(["exception_id"])

@@ -1,14 +1,8 @@
-"""Learned challengers: leakage-safe features, residual elastic net, depth-two policy tree, smoothing grid."""
+"""Examples for learned challengers: leakage-safe features, predictions of anchor and alternatives."""
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import product
-
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +12,7 @@ from ..functions import forecast as FC
 from . import evaluate as EV
 
 ALTERNATIVES = ("naive_last", "seasonal_naive", "trailing_12_mean")
-ANCHOR_WEIGHTS = (0.7, 0.8, 0.9)
+ANCHOR_WEIGHTS = (0.7, 0.8, 0.9)                          # fixed value
 BASE = ["log_anchor", "log_lag1", "log_lag2", "log_lag3", "log_lag12", "log_rolling3", "log_rolling6", "trend6", "volatility6", "seasonal_ratio",
         "zero_share12", "working_day_ratio", "working_days_scaled"]
 
@@ -30,9 +24,11 @@ def synchronized(packed: DataFrame) -> DataFrame:
     return packed.crossJoin(F.broadcast(span)).withColumn("in_range", ok).drop("lo", "hi")
 
 
-def examples(packed: DataFrame, cal_row: DataFrame, anchor: Column, entities: tuple[str, ...], contract: BacktestContract = BacktestContract()) -> DataFrame:
+def examples(packed: DataFrame, cal_row: DataFrame, anchor: Column, entities: tuple[str, ...], contract: BacktestContract = BacktestContract(),
+             next_only: bool = False) -> DataFrame:
     """One row per (entity, origin, horizon): features known at the origin, anchor and alternative
-    predictions, actual. ``anchor`` names the reference method per row."""
+    predictions, actual. ``anchor`` names the reference method per row. With ``next_only`` the only origin
+    is the end of the history, and actuals are null."""
     top = max(contract.horizons)
     p = packed.crossJoin(F.broadcast(cal_row)).withColumn("anchor_method", anchor)
 
@@ -52,10 +48,10 @@ def examples(packed: DataFrame, cal_row: DataFrame, anchor: Column, entities: tu
                             F.greatest(F.lit(-1.0), F.least(FC.let(logs, slope), F.lit(1.0))).alias("trend6"), FC.pop_std(logs).alias("volatility6"), ratio.alias("seasonal_ratio"),
                             (F.size(F.filter(last12, lambda x: x <= 0)) / F.size(last12)).alias("zero_share12"),
                             FC.path_by_name(h, F.col("anchor_method"), top).alias("pa"), *[FC.path(h, m, top).alias(m) for m in ALTERNATIVES],
-                            F.slice("h", o + 1, top).alias("act"))
+                            (F.array_repeat(F.lit(None).cast("double"), top) if next_only else F.slice("h", o + 1, top)).alias("act"))
         return FC.let(F.slice("h", 1, o), body)
-    e = p.filter(F.size("h") > contract.minimum_training_months).select("entity", "start_ord", "days", F.explode(F.transform(
-        F.sequence(F.lit(contract.minimum_training_months), F.size("h") - 1), one)).alias("x")).select("entity", "start_ord", "days", "x.*")
+    origins = F.array(F.size("h")) if next_only else F.sequence(F.lit(contract.minimum_training_months), F.size("h") - 1)
+    e = p.filter(F.size("h") > contract.minimum_training_months).select("entity", "start_ord", "days", F.explode(F.transform(origins, one)).alias("x")).select("entity", "start_ord", "days", "x.*")
     e = e.select("*", F.posexplode("act").alias("i", "actual")).filter((F.col("i") + 1).isin(*contract.horizons))
     target = F.col("start_ord") + F.col("o") + F.col("i")
     w, w12 = F.coalesce(F.try_element_at("days", target), F.lit(0.0)), F.coalesce(F.try_element_at("days", target - 12), F.lit(0.0))
@@ -86,248 +82,8 @@ def improvements(ex: DataFrame) -> DataFrame:
     return ex.withColumns({f"gain_{m}": base - F.abs(F.col("actual") - F.col(f"p_{m}")) for m in ALTERNATIVES})
 
 
-def standardize(ex: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Weighted population mean and deviation per feature (one row) and the standardized examples."""
-    w = F.col("actual")
-    sw = F.sum(w)
-    stats = ex.agg(*[(F.sum(w * F.col(n)) / sw).alias(f"m_{n}") for n in names],
-                   *[F.sqrt(F.greatest(F.sum(w * F.col(n) * F.col(n)) / sw - F.pow(F.sum(w * F.col(n)) / sw, 2), F.lit(0.0))).alias(f"s_{n}") for n in names])
-    return scale(ex, stats, names), stats
-
-
-def scale(ex: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
-    j = ex.crossJoin(F.broadcast(stats))                                     # one row
-    return j.withColumns({f"z_{n}": F.coalesce((F.col(n) - F.col(f"m_{n}")) / F.nullif(F.col(f"s_{n}"), F.lit(0.0)), F.lit(0.0)) for n in names}).drop(*stats.columns)
-
-
-def total_wape(df: DataFrame, prediction: str) -> DataFrame:
-    """WAPE of the summed entities per fold."""
-    t = df.groupBy("origin_month", "target_month", "horizon").agg(F.sum("actual").alias("a"), F.sum(prediction).alias("p"))
-    return t.agg((F.sum(F.abs(F.col("p") - F.col("a"))) / F.nullif(F.sum("a"), F.lit(0.0))).alias("wape"))
-
-
-def fit_elastic(ex: DataFrame, alphas=(0.001, 0.01, 0.05, 0.1, 0.2, 0.5), l1=(0.25, 0.5, 0.75), clips=(0.05, 0.10, 0.15), inner_origins: int = 6,
-                safe_gain: float = 0.005) -> dict:
-    """Elastic net on log residuals. The last origins validate; no correction unless the gain is clear.
-
-    Fits run in MLlib; the driver only sees coefficients and one error per setting.
-    """
-    names = feature_names()
-    va = VectorAssembler(inputCols=[f"z_{n}" for n in names], outputCol="features")
-    origins = ex.select("origin_month").distinct().orderBy(F.desc("origin_month")).limit(inner_origins)
-    valid = ex.join(F.broadcast(origins), "origin_month", "left_semi")                      # a handful of months
-    first = valid.agg(F.min("origin_month").alias("cut"))
-    train = ex.crossJoin(F.broadcast(first)).filter("target_month < cut").drop("cut")
-    z, stats = standardize(train, names)
-    ztrain = va.transform(z.filter("actual > 0")).select("features", "residual", F.col("actual").alias("weight")).cache()
-    zvalid = va.transform(scale(valid, stats, names)).cache()
-    base = total_wape(valid, "anchor").first()["wape"]
-    best = None
-    for a, r in product(alphas, l1):
-        m = LinearRegression(featuresCol="features", labelCol="residual", weightCol="weight", regParam=a, elasticNetParam=r, standardization=False).fit(ztrain)
-        scored = m.transform(zvalid)
-        for c in clips:
-            wape = total_wape(scored.withColumn("p", F.expm1(F.log1p("anchor") + F.greatest(F.lit(-c), F.least(F.col("prediction"), F.lit(c))))), "p").first()["wape"]
-            if best is None or wape < best["wape"]:
-                best = {"wape": wape, "alpha": a, "l1": r, "clip": c}
-    ztrain.unpersist()
-    zvalid.unpersist()
-    use = base is not None and best["wape"] is not None and base - best["wape"] > safe_gain
-    zall, stats = standardize(ex, names)
-    final = LinearRegression(featuresCol="features", labelCol="residual", weightCol="actual", regParam=best["alpha"], elasticNetParam=best["l1"],
-                             standardization=False).fit(va.transform(zall.filter("actual > 0")))
-    return {"stats": stats, "intercept": float(final.intercept), "coefficients": dict(zip(names, map(float, final.coefficients), strict=True)), **best,
-            "base_wape": base, "active": use}
-
-
-def predict_elastic(ex: DataFrame, model: dict) -> DataFrame:
-    names = feature_names()
-    z = scale(ex, model["stats"], names)
-    raw = reduce(lambda a, b: a + b, [F.col(f"z_{n}") * w for n, w in model["coefficients"].items()], F.lit(model["intercept"]))
-    c = model["clip"] if model["active"] else 0.0
-    corr = F.greatest(F.lit(-c), F.least(raw, F.lit(c)))
-    return z.withColumn("prediction", F.greatest(F.lit(0.0), F.expm1(F.log1p("anchor") + corr))).drop(*[f"z_{n}" for n in names])
-
-
-def model_table(model: dict, source: DataFrame) -> DataFrame:
-    """Coefficients as rows with the fingerprint of the training table (a few dozen rows)."""
-    rows = [(n, float(v)) for n, v in model["coefficients"].items()] + [("intercept", model["intercept"])]
-    return source.sparkSession.createDataFrame(rows, "name string, coefficient double").crossJoin(source.select("fingerprint"))
-
-
-def coefficients_for(stored: DataFrame, source: DataFrame) -> DataFrame:
-    """Stored coefficients, only when the fingerprint of the table at hand is the same."""
-    return stored.join(F.broadcast(source.select("fingerprint")), "fingerprint", "left_semi")     # one row
-
-
-def policy_columns() -> dict[str, Column]:
-    """Leaf policies: the anchor, or a blend of it with an alternative."""
-    out = {"anchor": F.col("anchor")}
-    for m in ALTERNATIVES:
-        for w in ANCHOR_WEIGHTS:
-            out[f"{m}@{w}"] = F.col("anchor") * w + F.col(f"p_{m}") * (1 - w)
-    return out
-
-
-def leaf_policies(ex: DataFrame, node: str) -> DataFrame:
-    """Best policy per node by total absolute error; ties keep the fixed order."""
-    pol = list(policy_columns().items())
-    e = ex.groupBy(node).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.abs(F.col("actual") - c)).alias(f"e{i}") for i, (_, c) in enumerate(pol)])
-    arr = F.array(*[F.struct(F.col(f"e{i}").alias("error"), F.lit(i).alias("k"), F.lit(n).alias("policy")) for i, (n, _) in enumerate(pol)])
-    return e.select(node, "rows", F.array_min(arr).alias("b")).select(node, "rows", "b.error", "b.policy")
-
-
-def best_splits(ex: DataFrame, node: str, features: list[str], min_leaf: int = 6, thresholds: int = 24) -> DataFrame:
-    """Best (feature, threshold) per node: one exploded aggregation over all candidates.
-
-    Candidate thresholds are quantiles per feature, at most ``thresholds`` of them.
-    """
-    qs = [i / (thresholds + 1) for i in range(1, thresholds + 1)]
-    cuts = ex.groupBy(node).agg(*[F.array_distinct(F.percentile_approx(n, qs, 10000)).alias(f"c_{n}") for n in features])
-    j = ex.join(F.broadcast(cuts), node)                                    # one row per node
-
-    def candidates(i, name):
-        return F.transform(f"c_{name}", lambda t: F.struct(F.lit(i).alias("fi"), F.lit(name).alias("feature"), t.alias("threshold"), (F.col(name) <= t).alias("left")))
-    cand = F.flatten(F.array(*[candidates(i, n) for i, n in enumerate(features)]))
-    pol = list(policy_columns().items())
-    g = j.select(node, F.explode(cand).alias("x"), *[F.abs(F.col("actual") - c).alias(f"e{i}") for i, (_, c) in enumerate(pol)])
-    side = g.groupBy(node, "x.fi", "x.feature", "x.threshold", "x.left").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(pol))])
-    side = side.withColumn("error", F.least(*[F.col(f"e{i}") for i in range(len(pol))])).filter(F.col("rows") >= min_leaf)
-    both = side.groupBy(node, "fi", "feature", "threshold").agg(F.sum("error").alias("error"), F.count(F.lit(1)).alias("sides")).filter("sides = 2")
-    return both.groupBy(node).agg(F.min(F.struct("error", "fi", "threshold", "feature")).alias("b")).select(node, "b.feature", "b.threshold", "b.error")
-
-
-def policy_tree(ex: DataFrame, features: list[str] | None = None, min_leaf: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Depth-two tree: (examples with leaf id, leaf policies). Three nodes, two passes."""
-    features = features or BASE
-    d = ex.withColumn("node", F.lit("r"))
-
-    def split(df):
-        s = best_splits(df, "node", features, min_leaf).select("node", "feature", "threshold")
-        val = F.coalesce(*[F.when(F.col("feature") == n, F.col(n)) for n in features])
-        j = df.join(F.broadcast(s), "node", "left")                          # one row per node
-        return j.withColumn("node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(
-            F.concat("node", F.when(val <= F.col("threshold"), "L").otherwise("R")))).drop("feature", "threshold")
-    d = split(split(d))
-    return d, leaf_policies(d, "node")
-
-
-def predict_tree(tagged: DataFrame, leaves: DataFrame) -> DataFrame:
-    j = tagged.join(F.broadcast(leaves.select("node", "policy")), "node")   # at most four leaves
-    return j.withColumn("prediction", F.greatest(F.lit(0.0), F.coalesce(*[F.when(F.col("policy") == n, c) for n, c in policy_columns().items()])))
-
-
 def entity_backtest(rows: DataFrame, last: int = 6) -> DataFrame:
     """Stored fold rows of the last one-month-ahead origins per entity, summarized."""
     w = Window.partitionBy("entity").orderBy(F.desc("target_month"))
     h1 = rows.filter("horizon = 1").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= last)
     return EV.summarize(h1, ["entity"])
-
-
-# --- smoothing grid ----------------------------------------------------------------------
-
-STRUCTURES = (("ses", False, False, False), ("holt_add", True, False, False), ("holt_damped_add", True, True, False),
-              ("hw_add_add", True, False, True), ("hw_damped_add_add", True, True, True))
-INITS = ("estimated", "heuristic", "legacy-heuristic")
-TRANSFORMS = ("raw", "log1p", "boxcox")
-WINDOWS = ("expanding", "rolling_24", "rolling_30", "rolling_36")
-
-
-def candidate_grid(spark, preprocessing=("raw", "anomaly_softened"), structures=STRUCTURES, inits=INITS, transforms=TRANSFORMS, windows=WINDOWS) -> DataFrame:
-    rows = []
-    for (s, tr, da, se), init, bias, t, w, p in product(structures, inits, (False, True), transforms, windows, preprocessing):
-        mid = "__".join((s, init.replace("-", "_"), f"bias_{'on' if bias else 'off'}", t, w, p))
-        cx = 1 + tr + da + 2 * se + (t != "raw") + (p != "raw")
-        rows.append((mid, tr, da, se, init, bias, t, w, p, int(cx)))
-    return spark.createDataFrame(rows, "model_id string, trend boolean, damped boolean, seasonal boolean, init string, bias boolean, transform string, training_window string, preprocessing string, complexity int")
-
-
-def grid_folds(packed: DataFrame, grid: DataFrame, contract: BacktestContract = BacktestContract(), tasks: int | None = None) -> DataFrame:
-    """True multi-step folds of every series x candidate. Softened and winsorized histories, windows
-    and origins are handled per row; rows are spread over tasks before the costly fits."""
-    least, horizons = contract.minimum_training_months, contract.horizons
-
-    def run(batches):
-        def smooth(y, trend, damped, seasonal, init):
-            m, n = 12, len(y)
-            seasonal = seasonal and n >= 2 * m
-            axis = lambda on, vals: np.array(vals if on else [0.0])
-            steps = (np.array([.05, .2, .35, .5, .7, .9]), axis(trend, [.01, .1, .3]), axis(seasonal, [.05, .25, .5]), axis(damped, [.8, .9, .98]) if damped else np.array([1.0]))
-            best = None
-            for rnd in range(3):
-                a, b, g, phi = (x.ravel() for x in np.meshgrid(*steps, indexing="ij"))
-                k = len(a)
-                if seasonal:
-                    l0, s0 = y[:m].mean(), y[:m] - y[:m].mean()
-                    b0 = (y[m:2 * m].mean() - y[:m].mean()) / m if trend else 0.0
-                else:
-                    l0, b0, s0 = (y[0], (y[1] - y[0]) if trend and n > 1 else 0.0, np.zeros(m)) if init == "legacy-heuristic" else \
-                        (y[:min(10, n)].mean(), np.polyfit(np.arange(min(10, n)), y[:min(10, n)], 1)[0] if trend and n > 1 else 0.0, np.zeros(m))
-                if init == "estimated" and not seasonal:
-                    l0 = 0.5 * (l0 + y[0])
-                lev, tr, s, sse, res = np.full(k, l0), np.full(k, b0), np.tile(s0[:, None], (1, k)), np.zeros(k), np.zeros(k)
-                for i, v in enumerate(y):
-                    j = i % m
-                    fit = lev + phi * tr + (s[j] if seasonal else 0.0)
-                    e = v - fit
-                    sse += e * e
-                    res += e
-                    nl = a * (v - (s[j] if seasonal else 0.0)) + (1 - a) * (lev + phi * tr)
-                    tr = b * (nl - lev) + (1 - b) * phi * tr if trend else tr
-                    if seasonal:
-                        s[j] = g * (v - nl) + (1 - g) * s[j]
-                    lev = nl
-                q = int(np.argmin(sse))
-                best = (lev[q], tr[q], s[:, q].copy(), phi[q], res[q] / n)
-                d = 0.5 ** (rnd + 1)
-                near = lambda c, on, w, hi=.99: np.clip(np.array([c - w * d, c, c + w * d]), .001, hi) if on else np.array([c])
-                steps = (near(a[q], True, .2), near(b[q], trend, .12), near(g[q], seasonal, .2), near(phi[q], damped, .08, .995) if damped else np.array([1.0]))
-            return best, n % m, seasonal
-
-        def forecast(y, r, h):
-            y, lam = y.astype(float), None
-            if r.transform == "log1p":
-                y = np.log1p(y)
-            elif r.transform == "boxcox":
-                if (y <= 0).any():
-                    raise ValueError("Box-Cox needs strictly positive training values")
-                ls = np.log(y)
-                bc = lambda q: ls if abs(q) < 1e-9 else (y ** q - 1) / q
-                lam = max(np.linspace(-1, 2, 31), key=lambda q: -len(y) / 2 * np.log(bc(q).var() + 1e-300) + (q - 1) * ls.sum())
-                y = bc(lam)
-            (lev, tr, s, phi, mean_res), pos, seasonal = smooth(y, r.trend, r.damped, r.seasonal, r.init)
-            damp = np.cumsum(phi ** np.arange(1, h + 1))
-            f = lev + damp * tr + (np.array([s[(pos + i) % 12] for i in range(h)]) if seasonal else 0.0) + (mean_res if r.bias else 0.0)
-            if r.transform == "log1p":
-                f = np.expm1(f)
-            elif r.transform == "boxcox":
-                f = np.exp(f) if abs(lam) < 1e-9 else np.maximum(f * lam + 1, 0.0) ** (1 / lam)
-            return np.maximum(f, 0.0)
-
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                raw, soft = np.asarray(r.h, dtype=float), np.asarray(r.soft, dtype=float)
-                for o in range(least, len(raw)):
-                    y = (soft if r.preprocessing == "anomaly_softened" else raw)[:o]
-                    y = y if r.training_window == "expanding" else y[-int(r.training_window.split("_")[1]):]
-                    if r.preprocessing == "robust_winsorized":
-                        med = np.median(y)
-                        mad = np.median(np.abs(y - med))
-                        y = np.clip(y, max(0.0, med - 4.5 * mad), med + 4.5 * mad) if mad > 0 else y
-                    k = min(max(horizons), len(raw) - o)
-                    try:
-                        f, err = forecast(y, r, k), None
-                    except Exception as exc:  # noqa: BLE001 - a failing candidate keeps its folds
-                        f, err = [None] * k, f"{type(exc).__name__}: {exc}"
-                    out += [(r.entity, r.model_id, int(r.complexity), int(r.start_ord) + o - 1, x, float(raw[o + x - 1]), None if f[x - 1] is None else float(f[x - 1]), o, err)
-                            for x in horizons if x <= k]
-            yield pd.DataFrame(out, columns=["entity", "model_id", "complexity", "last", "horizon", "actual", "prediction", "training_months", "error"])
-
-    n = tasks or int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    soft = FC.once(packed, "soft", FC.soften(F.col("h"))["v"])
-    rows = soft.crossJoin(F.broadcast(grid)).repartition(n, "entity", "model_id")          # the grid is a fixed list of settings
-    raw = rows.select("entity", "start_ord", "h", "soft", *grid.columns).mapInPandas(
-        run, "entity string, model_id string, complexity int, last int, horizon int, actual double, prediction double, training_months int, error string")
-    return raw.select("entity", "model_id", "complexity", D.month_from_ord(F.col("last")).alias("origin_month"), D.month_from_ord(F.col("last") + F.col("horizon")).alias("target_month"),
-                      "horizon", "actual", "prediction", "training_months", "error")

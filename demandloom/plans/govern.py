@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..config import BacktestContract
 from ..functions import forecast as FC
 from ..functions import text as T
+from ..operators import challengers as CH
 from ..operators import evaluate as EV
 from ..operators import explore as X
 from ..operators import facts as FA
 from ..operators import forecasting as FO
 from ..operators import hierarchy as HI
 from ..operators import ml as ML
+from ..operators import smoothing as SM
 from ..session import checkpoint_dir
 from ..sources import planning as P
 from ..sources import sheets as SH
@@ -113,39 +115,54 @@ def e16(spark, path):
     return e.crossJoin(m).crossJoin(f).select(F.lit("fixed_portfolio").alias("strategy"), "fingerprint", F.col("last_target").alias("cutoff"), F.col("combined").alias("fold_count"), "methods", "status")
 
 
-SMALL = dict(structures=ML.STRUCTURES[1:4:2], inits=("heuristic",), transforms=("log1p",), windows=("expanding", "rolling_24"), preprocessing=("raw", "robust_winsorized"))
-LATE = BacktestContract(minimum_training_months=72)
-
-
 def grid_metrics(spark, path):
-    rows = ML.grid_folds(anchor_series(spark, path, "revenue"), ML.candidate_grid(spark, **SMALL), LATE)
-    return rows, EV.summarize(rows, ["entity", "model_id"]).join(ML.candidate_grid(spark, **SMALL).select("model_id", "complexity"), "model_id")
+    grid = SM.candidate_grid(spark)
+    return EV.summarize(SM.all_folds(anchor_series(spark, path, "revenue"), grid), ["entity", "model_id", "complexity"])
 
 
 @query("FC32_smoothing_grid")
 def fc32(spark, path):
-    return rounded(grid_metrics(spark, path)[1])
+    return rounded(grid_metrics(spark, path))
 
 
 @query("FC32_grid_champion")
 def fc32b(spark, path):
-    return EV.champion(grid_metrics(spark, path)[1], "model_id", groups=["entity"])
+    return EV.champion(grid_metrics(spark, path), "model_id", groups=["entity"])
 
 
-@query("FC32_grid_size", """SELECT 720 AS candidates, 6 AS most_complex_with_two WHERE (SELECT count(*) FROM region) > 0""")
+@query("FC32_grid_size", """SELECT entity, CAST(1082 AS BIGINT) AS candidates, CAST(1082 * (greatest(n - 24, 0) + greatest(n - 25, 0) + greatest(n - 26, 0)) AS BIGINT) AS folds FROM b_aser""")
 def fc32c(spark, path):
-    g = ML.candidate_grid(spark)
-    r = P.table(spark, path, "region").agg(F.count(F.lit(1)).alias("r"))
-    return g.agg(F.count(F.lit(1)).alias("candidates"), (F.max("complexity") - 1).alias("most_complex_with_two")).crossJoin(r).filter("r > 0").select(
-        F.col("candidates").cast("int").alias("candidates"), F.col("most_complex_with_two").cast("int").alias("most_complex_with_two"))
+    """Candidates and folds that the grid has for each anchor's history."""
+    size = SM.candidate_grid(spark).agg((F.count(F.lit(1)) + len(SM.FIXED)).alias("candidates"))
+    c = BacktestContract()
+    folds = sum((F.greatest(F.col("n") - c.minimum_training_months - h + 1, F.lit(0)) for h in c.horizons), F.lit(0))
+    return anchor_series(spark, path).crossJoin(F.broadcast(size)).select("entity", "candidates", (F.col("candidates") * folds).cast("long").alias("folds"))
+
+
+def governed_rows(spark, path):
+    return CH.governed_folds(anchor_series(spark, path, "revenue"), I.cal(spark, path))
+
+
+_KUS = """SELECT entity, printf('%04d-%02d', (start_ord + a.o - 1) // 12, (start_ord + a.o - 1) % 12 + 1) AS origin_month, printf('%04d-%02d', (start_ord + a.o - 1 + k) // 12, (start_ord + a.o - 1 + k) % 12 + 1) AS target_month,
+ CAST(k AS INT) AS horizon, a.hr[a.o + k] AS actual, greatest(CASE WHEN entity = 'GMA' THEN a.hr[a.o] ELSE a.hr[a.o + k - 12] * coalesce(d.w / p.w, 1) END, 0) AS prediction
+ FROM (SELECT *, unnest(range(24, n)) AS o FROM b_aser WHERE entity IN ('GMA', 'KUS')) a JOIN range(1, 4) r(k) ON a.o + k <= n LEFT JOIN b_days d ON d.o = start_ord + a.o + k - 1 LEFT JOIN b_days p ON p.o = start_ord + a.o + k - 13"""
+
+
+@query("FC27_governed_closed_form", f"SELECT * REPLACE (round(actual, 4) AS actual, round(prediction, 3) AS prediction) FROM ({_KUS})")
+def fc27c(spark, path):
+    """The two governed anchors whose method has a closed form: last month, and working-day seasonal."""
+    r = governed_rows(spark, path).filter("entity in ('GMA', 'KUS')")
+    return r.select("entity", "origin_month", "target_month", "horizon", F.round("actual", 4).alias("actual"), F.round("prediction", 3).alias("prediction"))
 
 
 @query("E17_mixed_portfolio")
 def e17(spark, path):
-    tuned = ML.grid_folds(anchor_series(spark, path, "revenue").filter("entity = 'HMA'"), ML.candidate_grid(spark, **(SMALL | dict(windows=("rolling_24",), preprocessing=("robust_winsorized",), structures=ML.STRUCTURES[3:4]))).filter("bias"), LATE)
-    fixed = EV.folds(anchor_series(spark, path, "revenue").filter("entity <> 'HMA'"), ["entity"], method_column(), LATE)
-    rows = tuned.select("entity", *EV.FOLD, "actual", "prediction").unionByName(fixed.select("entity", *EV.FOLD, "actual", "prediction"))
-    return rounded(EV.summarize(rows, ["entity", "horizon"], [["entity"], ["horizon"], []]))
+    return rounded(EV.summarize(governed_rows(spark, path), ["entity", "horizon"], [["entity"], ["horizon"], []]))
+
+
+@query("FC27_governed_total")
+def fc27t(spark, path):
+    return rounded(EV.evaluation_scopes(governed_rows(spark, path), ENTITIES))
 
 
 def example_rows(spark, path):
@@ -174,46 +191,62 @@ def m7(spark, path):
     return ML.synchronized(anchor_series(spark, path)).select("entity", "start_ord", "n", "in_range")
 
 
+def governed_examples(spark, path):
+    return CH.governed_examples(anchor_series(spark, path, "revenue"), I.cal(spark, path))
+
+
+def nested(spark, path, model):
+    return CH.nested_folds(governed_examples(spark, path)).filter(F.col("model_id") == model)
+
+
 @query("M3_M6_elastic_net")
 def m3(spark, path):
-    ex = example_rows(spark, path).cache()
-    model = ML.fit_elastic(ex, alphas=(0.01, 0.1), l1=(0.5,), clips=(0.05, 0.15))
-    return rounded(EV.summarize(ML.predict_elastic(ex, model), ["entity"]))
+    """Residual elastic net: refitted at every origin from the 24th month, scored on what came after."""
+    return rounded(EV.summarize(nested(spark, path, CH.ELASTIC), ["entity", "horizon"], [["entity"], ["horizon"], []]))
+
+
+@query("M5_nested_tree")
+def m5(spark, path):
+    """Policy tree: regrown at every origin from the 24th month, scored on what came after."""
+    return rounded(EV.summarize(nested(spark, path, CH.TREE), ["entity", "horizon"], [["entity"], ["horizon"], []]))
+
+
+def source_of(packed):
+    """Fingerprint of the series that models learn from."""
+    return SK.fingerprint(packed.select("entity", "start_ord", F.posexplode("h").alias("i", "v")).select("entity", "start_ord", "i", F.round("v", 2).alias("v")))
 
 
 @query("M6_exact_source_inference")
 def m6(spark, path):
     """A stored model answers only for the very table it was trained on."""
-    ex = example_rows(spark, path).cache()
-    source = SK.fingerprint(ex.select("entity", "target_month", "horizon", F.round("actual", 2).alias("actual")))
-    model = ML.fit_elastic(ex, alphas=(0.05,), l1=(0.5,), clips=(0.1,))
-    stored = ML.model_table(model, source)
-    other = SK.fingerprint(ex.filter("entity <> 'HMA'").select("entity", "target_month", "horizon", F.round("actual", 2).alias("actual")))
-    same = ML.coefficients_for(stored, source).agg(F.count(F.lit(1)).alias("coefficients")).withColumn("source", F.lit("same"))
-    diff = ML.coefficients_for(stored, other).agg(F.count(F.lit(1)).alias("coefficients")).withColumn("source", F.lit("other"))
-    return same.unionByName(diff)
+    p, cal = anchor_series(spark, path, "revenue"), I.cal(spark, path)
+    stored = CH.stored_models(CH.governed_examples(p, cal), source_of(p))
+    ahead = CH.governed_examples(p, cal, next_only=True)
+    run = lambda tag, source: CH.stored_forecast(stored, source, ahead).withColumn("source", F.lit(tag))
+    return rounded(run("same", source_of(p)).unionByName(run("other", source_of(p.filter("entity <> 'HMA'")))), ["prediction"])
+
+
+def _strategy(name):
+    def run(spark, path):
+        p, cal = anchor_series(spark, path, "revenue"), I.cal(spark, path)
+        stored = None if name == "reference_portfolio" else CH.stored_models(CH.governed_examples(p, cal), source_of(p))
+        r = FO.resolve(p, cal, strategy=name, horizon=3, stored=stored, source=source_of(p))
+        return r.select("entity", F.col("pick_model").alias("model"), "note", F.posexplode("pick_forecast").alias("step", "value")).withColumn("value", F.round("value", 3))
+    return run
+
+
+for _n in ("reference_portfolio", CH.TREE, CH.ELASTIC):
+    query(f"FC26_strategy_{_n}")(_strategy(_n))
 
 
 @query("M4_policy_tree")
 def m4(spark, path):
-    tagged, leaves = ML.policy_tree(example_rows(spark, path))
-    return leaves.select("node", "rows", F.round("error", 4).alias("error"), "policy")
+    return CH.leaves(governed_examples(spark, path)).withColumn("error", F.round("error", 4))
 
 
-@query("M5_nested_tree")
-def m5(spark, path):
-    """Outer origins: each later year is scored by a tree grown only on targets before it."""
-    from ..session import materialize
-    ex = materialize(example_rows(spark, path))
-    out = None
-    for cut in ("1999-12", "2000-12"):
-        tagged, leaves = ML.policy_tree(ex.filter(F.col("target_month") <= cut))
-        best = leaves.agg(F.min_by("policy", "error").alias("policy"))
-        test = ex.filter((F.col("origin_month") > cut) & (F.col("origin_month") <= f"{int(cut[:4]) + 1}-12")).withColumn("node", F.lit("all"))
-        scored = ML.predict_tree(test, best.withColumn("node", F.lit("all")))
-        part = scored.select("entity", "origin_month", "target_month", "horizon", "actual", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return rounded(EV.summarize(out, ["entity"]))
+@query("M8_challenger_backtest")
+def m8c(spark, path):
+    return rounded(ML.entity_backtest(nested(spark, path, CH.TREE)))
 
 
 @query("M8_entity_backtest", f"""WITH f AS ({PORT}), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY target_month DESC) AS k FROM f WHERE horizon = 1)

@@ -216,7 +216,7 @@ def _prof(scope, dims):
     alld = list(HI.LEVELS[2][1])
     sel = ", ".join(d if d in dims else f"NULL::VARCHAR AS {d}" for d in alld)
     return f"""SELECT '{scope}' AS scope, {sel}, sum(q) AS hq, sum(r) AS hr, count(*) FILTER (q > 0) AS act, count(*) AS obs, count(*) FILTER (o >= {CO - 2} AND q > 0) AS recent_positive,
- coalesce(sum(q) FILTER (o >= {CO - 5}), 0) AS rq, coalesce(sum(q) FILTER (o = {CO}), 0) AS lq, min(o) AS fo, min(code) AS code, {" || '::' || ".join(dims)} AS series_key
+ coalesce(sum(q) FILTER (o >= {CO - 5}), 0) AS rq, coalesce(sum(r) FILTER (o >= {CO - 5}), 0) AS rr, coalesce(sum(q) FILTER (o = {CO}), 0) AS lq, min(o) AS fo, min(code) AS code, {" || '::' || ".join(dims)} AS series_key
  FROM (SELECT {', '.join(dims)}, o, sum(quantity) AS q, sum(revenue) AS r, min(code) AS code FROM b_hf WHERE month <= '{CUTOFF}' GROUP BY ALL) GROUP BY {', '.join(dims)}"""
 
 
@@ -224,24 +224,65 @@ block("b_prof", "SELECT *, " + f"{CO} - fo + 1 AS hm, greatest({CO} - fo + 1 - o
 
 
 @query("A26_exception_profiles", """SELECT scope, series_key, hq AS history_quantity, act AS active_months, obs AS observed_months, recent_positive, rq AS recent6_quantity, lq AS latest_quantity,
- CAST(hm AS INT) AS history_months, miss AS missing_months, round(avgq, 6) AS monthly_average, round(CASE WHEN hq > 0 THEN hr / hq ELSE 0 END, 4) AS unit_revenue, code AS lifecycle_code FROM b_prof""")
+ CAST(hm AS INT) AS history_months, miss AS missing_months, round(avgq, 6) AS monthly_average, round(CASE WHEN hq > 0 THEN hr / hq ELSE 0 END, 2) AS unit_revenue, code AS lifecycle_code FROM b_prof""")
 def a26(spark, path):
     p = HI.exception_profiles(facts(spark, path), CUTOFF)
     return p.select("scope", "series_key", "history_quantity", "active_months", "observed_months", "recent_positive", "recent6_quantity", "latest_quantity", "history_months",
-                    "missing_months", F.round("monthly_average", 6).alias("monthly_average"), F.round("unit_revenue", 4).alias("unit_revenue"), "lifecycle_code")
+                    "missing_months", F.round("monthly_average", 6).alias("monthly_average"), F.round("unit_revenue", 2).alias("unit_revenue"), "lifecycle_code")
 
 
-@query("E8_exceptions", f"""WITH r AS (SELECT scope, series_key, unnest(list_filter([
- CASE WHEN code IN ('discontinued', 'inactive') THEN ('inactive_discontinued', 'high') END, CASE WHEN avgq < {LOW} THEN ('low_volume', 'medium') END,
+alloc_blocks("pv", PLC, MODEL, "b_mv", "revenue")
+_K = ", ".join(PLC)
+block("b_e0", f"""SELECT {_K}, part_number, part_description, coalesce(sum(quantity) FILTER (o >= {CO - 5}), 0) AS rq, coalesce(sum(revenue) FILTER (o >= {CO - 5}), 0) AS rr,
+ coalesce(sum(quantity) FILTER (month = l.last), 0) AS lq, count(DISTINCT o) FILTER (quantity > 0) AS act, sum(quantity) / greatest(1, {CO} - min(o) + 1) AS av,
+ count(*) FILTER (o >= {CO - 5} OR month = l.last) AS seen, any_value(rt.route) AS route
+ FROM b_hf JOIN (SELECT {_K}, max(month) AS last FROM b_hf WHERE month <= '{CUTOFF}' GROUP BY ALL) l USING ({_K}) JOIN (SELECT {_K}, min(route) AS route FROM b_pv GROUP BY ALL) rt USING ({_K})
+ WHERE month <= '{CUTOFF}' GROUP BY ALL""")
+block("b_e1", f"""SELECT *, CASE WHEN al > 0 THEN wl / nullif(ol, 0) ELSE wr / nullif(orr, 0) END AS sh FROM (SELECT *, sum(wl) OVER w AS al, sum(CASE WHEN ok THEN wl ELSE 0 END) OVER w AS ol,
+ sum(CASE WHEN ok THEN wr ELSE 0 END) OVER w AS orr FROM (SELECT *, lq * u AS wl, rq * u AS wr, av >= {PART_MIN} AND CASE WHEN route = 'new_model_proxy' THEN rq > 0 ELSE act >= 6 END AS ok
+ FROM (SELECT *, CASE WHEN rq > 0 THEN rr / rq ELSE 0 END AS u FROM b_e0 WHERE seen > 0)) WINDOW w AS (PARTITION BY {_K})) WHERE ok""")
+_KEY = {n: " || '::' || ".join(d) for n, d in HI.LEVELS}
+
+
+def _e8_sql(model, plc, metric):
+    """From the rules: histories, planner residuals of both levels, PLCs without a part, and lost revenue."""
+    given = f"""SELECT 'Model' AS scope, {_KEY['Model']} AS series_key, month, route, value FROM {model} UNION ALL SELECT 'PLC', {_KEY['PLC']}, month, route, value FROM {plc}"""
+    unit = "CASE WHEN p.rq > 0 THEN p.rr / p.rq ELSE p.hr / nullif(p.hq, 0) END" if metric == "revenue" else "1"
+    out = f"""WITH g AS ({given}), h AS (SELECT scope, series_key, unnest(list_filter([
+ CASE WHEN code IN ('discontinued', 'inactive') THEN ('inactive_discontinued', 'high') END, CASE WHEN avgq < {PART_MIN} THEN ('low_volume', 'medium') END,
  CASE WHEN act < 6 THEN ('insufficient_active_months', 'medium') END, CASE WHEN miss > 0 THEN ('history_gaps', 'medium') END,
- CASE WHEN recent_positive = 0 AND hm >= 3 THEN ('recent_zero_streak', 'high') END, CASE WHEN code IN ('new', 'reintroduced') THEN ('new_reintroduced_proxy', 'medium') END], lambda x: x IS NOT NULL)) AS x FROM b_prof)
-SELECT scope, series_key, x[1] AS reason, x[2] AS severity, NULL::VARCHAR AS forecast_month FROM r
-UNION ALL SELECT 'PLC', brand || '::' || entity_key || '::' || model_name || '::' || plc, 'planner_review_residual', 'high', month FROM b_pa WHERE route = 'planner_review_residual'
-UNION ALL SELECT 'PLC', a.brand || '::' || a.entity_key || '::' || a.model_name || '::' || a.plc, 'zero_forecast_historical_unit_price', 'medium', month FROM b_pa a
- JOIN b_prof p ON p.scope = 'PLC' AND p.entity_key = a.entity_key AND p.plc = a.plc AND p.hr > 0 WHERE a.value = 0""")
-def e8(spark, path):
-    c = Center(spark, path)
-    return HI.exceptions(HI.exception_profiles(c.facts, CUTOFF), c.plc, PLC, LOW).select("scope", "series_key", "reason", "severity", "forecast_month")
+ CASE WHEN recent_positive = 0 AND hm >= 3 THEN ('recent_zero_streak', 'high') END, CASE WHEN code IN ('new', 'reintroduced') THEN ('new_reintroduced_proxy', 'medium') END], lambda x: x IS NOT NULL)) AS x FROM b_prof),
+s AS (SELECT {', '.join('p.' + k for k in PLC)} FROM b_prof p JOIN (SELECT {_K}, min(route) AS route FROM {plc} GROUP BY ALL) r USING ({_K})
+ WHERE p.scope = 'PIS_PNO' AND p.avgq >= {PART_MIN} AND p.code NOT IN ('discontinued', 'inactive') AND CASE WHEN r.route = 'new_model_proxy' THEN p.rq > 0 ELSE p.act >= 6 END
+ GROUP BY ALL HAVING sum(p.lq * {unit}) > 0 OR sum(p.rq * {unit}) > 0)
+SELECT scope, series_key, x[1] AS reason, x[2] AS severity, NULL::VARCHAR AS forecast_month FROM h
+UNION ALL SELECT scope, series_key, 'planner_review_residual', 'high', month FROM g WHERE route = 'planner_review_residual'
+UNION ALL SELECT 'PIS_PNO', {_KEY['PLC']} || '::PLANNER_REVIEW', 'planner_review_residual', 'high', month FROM {plc} p WHERE value > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE {' AND '.join(f's.{k} = p.{k}' for k in PLC)})"""
+    if metric != "revenue":
+        return out
+    return out.replace("h AS (SELECT scope", f"""v AS (SELECT scope, series_key, month, value FROM g UNION ALL SELECT 'PIS_PNO', {_KEY['PIS_PNO']}, month, value * sh FROM b_e1 JOIN {plc} USING ({_K}) WHERE sh IS NOT NULL
+ UNION ALL SELECT 'PIS_PNO', {_KEY['PLC']} || '::PLANNER_REVIEW', month, value FROM {plc} p WHERE NOT EXISTS (SELECT 1 FROM b_e1 e WHERE sh IS NOT NULL AND {' AND '.join(f'e.{k} = p.{k}' for k in PLC)})),
+h AS (SELECT scope""", 1) + f"""
+UNION ALL SELECT DISTINCT scope, series_key, 'zero_forecast_historical_unit_price', 'medium', month FROM b_prof JOIN v USING (scope, series_key) WHERE hr > 0 AND hq > 0 AND value = 0
+UNION ALL SELECT scope, series_key, 'zero_forecast_historical_unit_price', 'medium', month FROM b_prof p, (SELECT DISTINCT month FROM {model}) m WHERE hr > 0 AND hq > 0
+ AND (avgq < {PART_MIN} OR act < 6 OR code IN ('discontinued', 'inactive') OR (scope = 'PIS_PNO' AND rq <= 0)) AND NOT EXISTS (SELECT 1 FROM v WHERE v.scope = p.scope AND v.series_key = p.series_key)"""
+
+
+def e8(spark, path, metric):
+    c = Center(spark, path, metric)
+    parts = HI.part_plan(c.facts, c.plc, CUTOFF, metric, parent=PLC, min_volume=PART_MIN) if metric == "revenue" else None
+    x = HI.exceptions(HI.exception_profiles(c.facts, CUTOFF), c.model, c.plc, parts, metric, PART_MIN)
+    return x.select("scope", "series_key", "reason", "severity", "forecast_month")
+
+
+@query("E8_exceptions", _e8_sql("b_ma", "b_pa", "quantity"))
+def e8_quantity(spark, path):
+    return e8(spark, path, "quantity")
+
+
+@query("E8_revenue_exceptions", _e8_sql("b_mv", "b_pv", "revenue"))
+def e8_revenue(spark, path):
+    return e8(spark, path, "revenue")
 
 
 @query("H12_level_labels", "SELECT brand, entity_key, model_name, part_number, min(part_description) AS part_description, sum(quantity) AS quantity FROM b_hf GROUP BY ALL HAVING count(*) > 0")

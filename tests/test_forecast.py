@@ -6,7 +6,7 @@ from demandloom.config import BASELINE_MODELS, BacktestContract
 from demandloom.functions import forecast as FC
 from demandloom.operators import evaluate as EV
 from demandloom.operators import forecasting as FO
-from demandloom.operators import ml as ML
+from demandloom.operators import smoothing as SM
 from demandloom.operators import report as R
 from demandloom.operators import series as S
 
@@ -78,11 +78,11 @@ def test_driver_regression_recovers_trend(spark):
 
 
 def test_grid_keeps_every_fold(spark):
-    g = ML.candidate_grid(spark, structures=ML.STRUCTURES[:1], inits=("heuristic",), windows=("expanding",), preprocessing=("raw",))
-    f = ML.grid_folds(packed(spark, [0.0] + [10.0 + i for i in range(29)]), g)
+    g = SM.candidate_grid(spark, structures=SM.STRUCTURES[:1], inits=("heuristic",), windows=("expanding",), preprocessing=("raw",))
+    f = SM.grid_folds(packed(spark, [0.0] + [10.0 + i for i in range(29)]), g)
     per = f.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).collect()
     assert {r.n for r in per} == {15} and all((r.bad == 15) == ("boxcox" in r.model_id) for r in per)
-    assert ML.candidate_grid(spark).count() == 720
+    assert SM.candidate_grid(spark).count() == 1080
 
 
 def test_champion_tie_band(spark):
