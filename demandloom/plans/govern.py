@@ -148,11 +148,11 @@ _KUS = """SELECT entity, printf('%04d-%02d', (start_ord + a.o - 1) // 12, (start
  FROM (SELECT *, unnest(range(24, n)) AS o FROM b_aser WHERE entity IN ('GMA', 'KUS')) a JOIN range(1, 4) r(k) ON a.o + k <= n LEFT JOIN b_days d ON d.o = start_ord + a.o + k - 1 LEFT JOIN b_days p ON p.o = start_ord + a.o + k - 13"""
 
 
-@query("FC27_governed_closed_form", f"SELECT * REPLACE (round(actual, 4) AS actual, round(prediction, 3) AS prediction) FROM ({_KUS})")
+@query("FC27_governed_closed_form", f"SELECT * REPLACE (round(actual, 4) AS actual, round(prediction, 4) AS prediction) FROM ({_KUS})")
 def fc27c(spark, path):
     """The two governed anchors whose method has a closed form: last month, and working-day seasonal."""
     r = governed_rows(spark, path).filter("entity in ('GMA', 'KUS')")
-    return r.select("entity", "origin_month", "target_month", "horizon", F.round("actual", 4).alias("actual"), F.round("prediction", 3).alias("prediction"))
+    return r.select("entity", "origin_month", "target_month", "horizon", F.round("actual", 4).alias("actual"), F.round("prediction", 4).alias("prediction"))
 
 
 @query("E17_mixed_portfolio")
