@@ -168,9 +168,9 @@ def e2(spark, path):
   printf('%04d-%02d', (start_ord + o - 1 + k) // 12, (start_ord + o - 1 + k) % 12 + 1) AS target_month, CAST(k AS INT) AS horizon, h[o + k] AS actual,
   greatest(p[k], 0) AS prediction, b.model || ':' || b.prep AS label
  FROM (SELECT *, {Q.path_by_name('tr', 'm', 3)} AS p FROM (SELECT *, b.train AS tr, b.model AS m FROM (SELECT *, {Q.select_best('t')} AS b FROM (
-  SELECT *, h[:o] AS t FROM (SELECT entity, start_ord, h, n, unnest(range(60, n)) AS o FROM b_aser))))), range(1, 4) r(k) WHERE o + k <= n)""")
+  SELECT *, h[:o] AS t FROM (SELECT entity, start_ord, h, n, unnest(range(24, n)) AS o FROM b_aser))))), range(1, 4) r(k) WHERE o + k <= n)""")
 def e15(spark, path):
-    r = EV.folds(anchor_series(spark, path), ["entity"], "auto", BacktestContract(minimum_training_months=60))
+    r = EV.folds(anchor_series(spark, path), ["entity"], "auto")
     return r.select("entity", "origin_month", "target_month", "horizon", "actual", F.round("prediction", 5).alias("prediction"), "backtest_model")
 
 
