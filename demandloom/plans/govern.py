@@ -91,7 +91,10 @@ def evidence(spark, path):
     return a.crossJoin(span)                   # two one-row tables
 
 
-@query("E11_evidence_gate", """SELECT * FROM (VALUES ('cutoff', true), ('entities', true), ('fold_counts', true), ('coverage', true), ('no_leak', true), ('all', true)) t("check", passed) WHERE (SELECT count(*) FROM b_aser) = 3""")
+@query("E11_evidence_gate", f"""WITH f AS ({PORT}), c AS (SELECT max(target_month) = '{CUTOFF}' AS cutoff, count(DISTINCT entity) = 3 AS entities, count(DISTINCT origin_month) FILTER (horizon = 1) = 58
+ AND count(DISTINCT origin_month) FILTER (horizon = 2) = 57 AND count(DISTINCT origin_month) FILTER (horizon = 3) = 56 AS fold_counts, count(prediction) = count(*) AS coverage,
+ count(*) FILTER (target_month <= origin_month) = 0 AS no_leak FROM f)
+SELECT "check", passed FROM (UNPIVOT (SELECT *, cutoff AND entities AND fold_counts AND coverage AND no_leak AS "all" FROM c) ON cutoff, entities, fold_counts, coverage, no_leak, "all" INTO NAME "check" VALUE passed)""")
 def e11(spark, path):
     return EV.check_rows(evidence(spark, path), cutoff=F.col("last_target") == CUTOFF, entities=F.col("entities") == 3, fold_counts=~F.col("count_mismatch"),
                          coverage=F.col("coverage") == 1.0, no_leak=F.col("leaks") == 0)

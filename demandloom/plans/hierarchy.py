@@ -119,7 +119,14 @@ def a28(spark, path):
     return HI.routing_summary({"model": c.model, "plc": c.plc}, {"model": MODEL, "plc": PLC})
 
 
-@query("H6_reconciliation", """SELECT 'model_to_plc' AS step, (SELECT count(*) FROM b_ma) AS checked, 'PASS' AS status UNION ALL SELECT 'brand_to_model', (SELECT count(*) FROM b_brandfc), 'PASS'""")
+def _gap(parents, children, keys):
+    """Largest gap between a parent's value and the sum of its children's, as SQL."""
+    ks = ", ".join([*keys, "month"])
+    return f"(SELECT max(abs(p.value - coalesce(c.value, 0))) FROM {parents} p LEFT JOIN (SELECT {ks}, sum(value) AS value FROM {children} GROUP BY ALL) c USING ({ks}))"
+
+
+@query("H6_reconciliation", f"""SELECT 'model_to_plc' AS step, (SELECT count(*) FROM b_ma) AS checked, CASE WHEN {_gap('b_ma', 'b_pa', MODEL)} <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
+UNION ALL SELECT 'brand_to_model', (SELECT count(*) FROM b_brandfc), CASE WHEN {_gap('b_brandfc', 'b_ma', ['brand'])} <= 0.01 THEN 'PASS' ELSE 'FAIL' END""")
 def h6(spark, path):
     c = Center(spark, path)
     a = HI.reconciliation(c.model, c.plc, MODEL).withColumn("step", F.lit("model_to_plc"))
@@ -298,8 +305,10 @@ def a29(spark, path):
     return a.join(b, "month")
 
 
-@query("H9_business_validation", f"""SELECT * FROM (VALUES ('anchor_set', true), ('non_negative', true), ('reconciled', true), ('cutoff_before_forecast', true), ('known_denominator', true), ('all', true)) t("check", passed)
-WHERE (SELECT count(DISTINCT brand) FROM b_hf) = 3""")
+@query("H9_business_validation", f"""WITH c AS (SELECT (SELECT count(DISTINCT brand) FROM b_ma) = 3 AS anchor_set, (SELECT min(value) FROM b_ma) >= 0 AS non_negative, {_gap('b_brandfc', 'b_ma', ['brand'])} <= 0.01 AS reconciled,
+ (SELECT min(month) FROM b_ma) > '{CUTOFF}' AS cutoff_before_forecast, (SELECT min(u) FROM (SELECT sum(wholesale_units) AS u FROM b_wl GROUP BY anchor_brand)) > 0 AS known_denominator)
+SELECT "check", passed FROM (UNPIVOT (SELECT *, anchor_set AND non_negative AND reconciled AND cutoff_before_forecast AND known_denominator AS "all" FROM c)
+ ON anchor_set, non_negative, reconciled, cutoff_before_forecast, known_denominator, "all" INTO NAME "check" VALUE passed)""")
 def h9(spark, path):
     c = Center(spark, path)
     m = c.model
