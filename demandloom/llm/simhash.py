@@ -142,7 +142,11 @@ def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 2) -> DataF
 
     Of rows that repeat that doc_id, the one with the smallest hash of its text stays, and of whole repeats any one.
     """
-    prints, label = _labelled(docs, size, distance)
+    return first_rows(docs, *_labelled(docs, size, distance))
+
+
+def first_rows(docs: DataFrame, prints: DataFrame, label: DataFrame) -> DataFrame:
+    """The row of ``docs`` that each component of label(fp, component) keeps; prints has doc_id, text_hash, fp."""
     first = prints.join(label, "fp").groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash")).alias("k"))
     keep = first.select(F.struct(F.nullif(F.col("k.col1"), F.lit(LAST)).alias("d"), F.col("k.text_hash").alias("t")).alias("__keep"))
     own = F.struct(docs["doc_id"].cast("long").alias("d"), F.xxhash64(docs["text"]).alias("t"))
