@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +32,21 @@ CONTAINERS = frozenset("body main article section div td center".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 # end of fixed values
-_NAMES = (r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|popup\w*|modal|overlay|cookies?\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|disclaimer|newsletter|"
+_NAMES = (r"(?:ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|popup\w*|modal|overlay|cookies?\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|disclaimer|newsletter|"
           r"subscribe\w*|signup|login|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|widget\w*|footer\w*|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|"
-          r"reply|disqus|discussion|share|sharing|social\w*|related\w*|recommend\w*|tags?|skip|search\w*|copyright|legal)(?=$|[\s_-])")
-_BOILERPLATE = re.compile(_NAMES, re.I)
+          r"reply|disqus|discussion|share|sharing|social\w*|related\w*|recommend\w*|tags?|skip|search\w*|copyright|legal)")
+#: Words of layout that may stand beside them in a name: site-footer, widget-area.
+_BESIDE = r"(?:site|page|main|primary|secondary|left|right|top|bottom|inner|outer|box|bar|block|area|section|wrap|wrapper|container|body|list|links?|buttons?|icons?|posts?|items?|form|text|\d+)"
+#: A name says boilerplate as a whole: has-sidebar and tag-news do not.
+_BOILERPLATE = re.compile(rf"(?:^|\s)[_-]*(?:{_BESIDE}[_-]+)*{_NAMES}(?:[_-]+(?:{_NAMES}|{_BESIDE}))*[_-]*(?=$|\s)".replace(r"\w*", "[^\\W_]*"), re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|text|main|body|blog|page)(?=$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "drop", "link", "good", "depth", "text", "parent")
+    __slots__ = ("tag", "path", "drop", "named", "link", "good", "depth", "text", "parent")
 
-    def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
+    def __init__(self, tag: str, attributes: str, parent: Element | None, spared: bool = False) -> None:
         found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         kind = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").lower().split()} - {""})])
@@ -51,8 +55,8 @@ class Element:
         holds = tag in ("html", "body", "article", "main")
         inside = parent is not None and parent.within("article", "main")
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        self.drop = bool(parent and parent.drop) or tag in DROPPED or (tag == "header" and not inside) or hidden or (
-            not holds and ((bool(names) and bool(_BOILERPLATE.search(names))) or found.get("role", "").lower() in _ROLES))
+        self.named = (bool(names) and bool(_BOILERPLATE.search(names))) or found.get("role", "").lower() in _ROLES
+        self.drop = bool(parent and parent.drop) or tag in DROPPED or (tag == "header" and not inside) or hidden or (self.named and not holds and not spared)
         self.link = tag == "a" or bool(parent and parent.link)
         self.good = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or (bool(names) and bool(_GOOD.search(names)))
 
@@ -65,9 +69,37 @@ class Element:
         return False
 
 
-def walk(page: str) -> Iterator[tuple[Element, str | None]]:
-    """(element, text) for each piece of text and (element, None) where a block begins or ends, in page order."""
+@lru_cache(4)
+def spared(page: str) -> frozenset[int]:
+    """Numbers (in page order) of the elements that stay whatever their names say: those around the page's longest
+    article or main element; on a page without one, those around more than half of its text."""
+    number: dict[int, tuple[int, Element]] = {}
+    text, whole = defaultdict(int), 0
+    for e, piece in walk(page, None, number):
+        n, up = 0 if piece is None or e.drop else len("".join(piece.split())), e
+        whole += n
+        while n and up is not None:
+            text[id(up)] += n
+            up = up.parent
+    if not any(e.named for _, e in number.values()):
+        return frozenset()
+    around = [k for k, (_, e) in number.items() if e.tag in ("article", "main") and not e.named and not e.drop and text[k]]
+    if around:
+        up, out = number[max(around, key=lambda k: (text[k], number[k][1].depth))][1], set()
+        while up is not None and id(up) in number:
+            out.add(number[id(up)][0])
+            up = up.parent
+        return frozenset(out)
+    return frozenset(i for k, (i, _) in number.items() if 2 * text[k] > whole)
+
+
+def walk(page: str, stay: frozenset[int] | None = frozenset(), number: dict[int, tuple[int, Element]] | None = None) -> Iterator[tuple[Element, str | None]]:
+    """(element, text) for each piece of text and (element, None) where a block begins or ends, in page order.
+
+    Elements whose number is in ``stay`` (None: all) are not dropped for their names; ``number`` takes all elements.
+    """
     root = at = Element("", "", None)
+    made = 0
     pos, end = 0, len(page)
     while pos < end:
         m = _TAG.search(page, pos)
@@ -100,7 +132,10 @@ def walk(page: str) -> Iterator[tuple[Element, str | None]]:
             yield at, None
         if tag in VOID or m[3].endswith("/"):
             continue
-        at = Element(tag, m[3], at)
+        at = Element(tag, m[3], at, stay is None or made in stay)
+        if number is not None:
+            number[id(at)] = (made, at)
+        made += 1
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             stop = close.start() if close else end
@@ -116,7 +151,7 @@ def votes(page: str) -> dict[str, float]:
     class says content, more if it is deeper, less if it is the body.
     """
     held: dict[int, Element] = {}
-    for e, text in walk(page):
+    for e, text in walk(page, spared(page)):
         if text is None or e.drop or e.link or text.isspace():
             continue
         n, up = len(text), e
@@ -146,7 +181,7 @@ def main_text(page: str, path: str | None) -> str:
 
 def _collect(page: str, path: str | None) -> str:
     parts, inside = [], {}
-    for e, text in walk(page):
+    for e, text in walk(page, spared(page)):
         key = id(e)
         if key not in inside:
             up, hit = e, False
