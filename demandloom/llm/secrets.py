@@ -19,7 +19,8 @@ _ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][S
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # end of fixed values
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: '=' only ends a candidate (as padding), so the value of NAME=VALUE stands by itself.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: Alphabets from narrow to wide; the first that holds a whole candidate is its encoding.
 ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -138,7 +139,7 @@ def secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
 
     Candidates for kind random are tokens of 16 or more symbols of an encoding and two letter classes; they are kept if
     no randomness test rejects them and they stand out from writing under the false-discovery cutoff of their encoding
-    and length. What overlaps a fixed pattern isn't added. Offsets are code points, ends exclusive. A null text counts
+    and length. A name and what follows its '=' are two tokens. What overlaps a fixed pattern isn't added. Offsets are code points, ends exclusive. A null text counts
     as empty; rows that repeat are scanned alike; an empty table gives no rows.
     """
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {_SPAN}, base_sha256 string, candidates {_CAND}"
