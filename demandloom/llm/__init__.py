@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ("mixing", "decontaminate", "lines", "fingerprint", "quality", "toxicity", "chat", "extract", "secrets", "simhash")
+_MODULES = ("mixing", "decontaminate", "lines", "fingerprint", "quality", "toxicity", "chat", "extract", "secrets", "simhash", "negatives", "bpe", "lexical")
 
 for _m in _MODULES:
     import_module(f".{_m}", __name__)
