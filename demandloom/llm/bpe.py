@@ -98,7 +98,7 @@ class Coder:
         words = [w for w in text.translate(_SPACES).split(" ") if w]
         if len(self.known) > MOST_KNOWN:
             self.known, self.spelled = {}, {}
-        new = list(set(words) - self.known.keys())
+        new = [w for w in set(words) if w not in self.known]
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         out = list(map(self.known.__getitem__, words))
@@ -114,8 +114,9 @@ class Coder:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, hash of the ids, hash of the decoded text."""
         words = [w for w in self._words(text) if w]
-        for w in set(words) - self.spelled.keys():
-            self.spelled[w] = self.decode(w)
+        for w in words:
+            if w not in self.spelled:
+                self.spelled[w] = self.decode(w)
         raw, spelled = b"".join(words), b" ".join(map(self.spelled.__getitem__, words))
         for w in words if max(map(len, words), default=0) > 4 * LONGEST_KNOWN else ():
             if len(w) > 4 * LONGEST_KNOWN:
