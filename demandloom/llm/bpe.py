@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ LEAF = 8192
 #: Code points of the first window on either side of a join.
 WINDOW = 16
 #: Words whose tokens a worker remembers, and the longest word that it does.
-MOST_KNOWN, LONGEST_KNOWN = 300_000, 200
+MOST_KNOWN, LONGEST_KNOWN = 400_000, 200
 
-#: White space that ends a token in every vocabulary with a \\s split, whatever stands around it.
-_SPACES = str.maketrans({c: " " for c in "\t\n\r"})
+
+def flat(text: str) -> str:
+    """Text whose common white space is spaces: each ends a token, whatever stands around it."""
+    return text.replace("\t", " ").replace("\n", " ").replace("\r", " ")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,6 +37,27 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that are never joined with a letter or digit before them.
+_CLOSING = ".,;:!?)\""
+_ANY = itemgetter(0)
+#: Below it, normalization and lower case of a letter do not depend on its neighbours.
+_LATIN = "\u0250"
+
+
+class _Known(dict):
+    """Words that were met, with their ids and decoded text."""
+
+    def __init__(self, own: Coder):
+        super().__init__()
+        self.own = own
+
+    def __missing__(self, w: str) -> tuple[bytes, bytes]:
+        out = self.own.word(w)
+        if len(w) <= LONGEST_KNOWN:
+            self[w] = out
+        return out
+
+
 @dataclass
 class Run:
     """Tokens of a stretch of text: ids and the code points [start, end) that each covers."""
@@ -85,43 +109,46 @@ class Coder:
         self.tok.no_truncation()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.names = [(self.tok.id_to_token(i) or "").encode() for i in range(self.tok.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
-        self.spelled: dict[bytes, bytes] = {}
+        self.known = _Known(self)
+        # a letter's bytes as the vocabulary spells them; used only if words made of them give what the whole tokenizer gives
+        letters = [c for c in map(chr, range(ord(_LATIN))) if c.isalpha() and c != "\u0130"]
+        self.letters = {ord(c): "".join(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(c.lower())) for c in letters}
+        probes = ["".join(letters[i::7]) for i in range(7)] + letters
+        self.plain = all(self.tok.encode(p, add_special_tokens=False).ids == [t.id for t in self.tok.model.tokenize(p.translate(self.letters))] for p in probes)
 
     def run(self, text: str) -> Run:
         e = self.tok.encode(text, add_special_tokens=False)
         at = np.array(e.offsets, np.int32).reshape(-1, 2)
         return Run(text, np.array(e.ids, np.int32), at[:, 0], at[:, 1])
 
-    def _words(self, text: str) -> list[bytes]:
-        """The ids of each word, a word being what stands between white space."""
-        words = [w for w in text.translate(_SPACES).split(" ") if w]
+    def _words(self, text: str) -> list[tuple[bytes, bytes]]:
+        """The ids of each word and their decoded text, a word being what stands between white space."""
         if len(self.known) > MOST_KNOWN:
-            self.known, self.spelled = {}, {}
-        new = [w for w in set(words) if w not in self.known]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        out = list(map(self.known.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST_KNOWN:
-                del self.known[w]
-        return out
+            self.known = _Known(self)
+        return list(filter(_ANY, map(self.known.__getitem__, flat(text).split(" "))))
+
+    def word(self, w: str) -> tuple[bytes, bytes]:
+        """ids of a word without white space, and their decoded text."""
+        core = w.rstrip(_CLOSING)
+        if core != w and core and core[-1].isascii() and core[-1].isalnum():          # closing marks are split off in any case
+            pair = [x for x in (self.known[core], self.known[w[len(core):]]) if x[0]]
+            return b"".join(x[0] for x in pair), b" ".join(x[1] for x in pair)
+        if self.plain and w.isalpha() and max(w) < _LATIN and "\u0130" not in w:       # one piece, normalized letter by letter
+            ids = [t.id for t in self.tok.model.tokenize(w.translate(self.letters))]
+        else:
+            ids = self.tok.encode(w, add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        return raw, self.decode(raw)
 
     def encode(self, text: str) -> bytes:
         """ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(self._words(text))
+        return b"".join([w[0] for w in self._words(text)])
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, hash of the ids, hash of the decoded text."""
-        words = [w for w in self._words(text) if w]
-        for w in words:
-            if w not in self.spelled:
-                self.spelled[w] = self.decode(w)
-        raw, spelled = b"".join(words), b" ".join(map(self.spelled.__getitem__, words))
-        for w in words if max(map(len, words), default=0) > 4 * LONGEST_KNOWN else ():
-            if len(w) > 4 * LONGEST_KNOWN:
-                self.spelled.pop(w, None)
-        return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(spelled).hexdigest()
+        words = self._words(text)
+        raw = b"".join([w[0] for w in words])
+        return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(b" ".join([w[1] for w in words])).hexdigest()
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text in UTF-8, special tokens included: this kind of vocabulary has no decoder, its tokens are joined by spaces."""
@@ -141,8 +168,8 @@ class Coder:
 
     def leaf(self, text: str) -> Node:
         """Tokens of a piece on its own."""
-        flat = text.translate(_SPACES)
-        i, j = flat.find(" "), flat.rfind(" ")
+        plain = flat(text)
+        i, j = plain.find(" "), plain.rfind(" ")
         if i < 0:
             return Node(self.run(text))
         return Node(self.run(text[:i]), [self.encode(text[i:j])], self.run(text[j:]))

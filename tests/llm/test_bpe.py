@@ -40,6 +40,15 @@ def test_trees_equal_whole_encoding(library):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == want
 
 
+def test_words_of_latin_letters_go_the_short_way(library):
+    coder, rnd = bpe.Coder(bpe.vocabulary()), random.Random(5)
+    assert coder.plain
+    for n in range(3000):
+        w = "".join(chr(rnd.choice([rnd.randint(65, 122), rnd.randint(192, 0x24F)])) for _ in range(rnd.randint(1, 12))) + rnd.choice(["", ".", "),", "?\""])
+        ids = library.encode(w, add_special_tokens=False).ids
+        assert coder.word(w) == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode()), w
+
+
 def test_unsplit_runs(library):
     coder, rnd = bpe.Coder(bpe.vocabulary()), random.Random(8)
     for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "東京都大阪한국", "=-", "ab1", "a", "'s", "aé́", "😀👍"):
