@@ -169,11 +169,6 @@ def first_finite(*cols: Column) -> Column:
     return F.coalesce(*[ok(c) for c in cols])
 
 
-def canonical_hash(**parts: Column) -> Column:
-    """SHA-256 of a JSON object with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])), 256)
-
-
 # --- words (fixed stop-word list) ---------------------------------------------------
 
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "me",
@@ -187,8 +182,13 @@ def tokens(c) -> Column:
     return F.array_except(F.array_distinct(keep), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def paragraphs(c, least: int = 40) -> Column:
+    """Paragraphs of a text, single-spaced and whole, of at least ``least`` characters."""
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))), lambda b: F.length(b) >= least)
+
+
 def chunks(c) -> Column:
-    """Paragraphs of a text: single-spaced, cut at 360 characters, at least 40 long."""
+    """Paragraphs of a text as they are shown: single-spaced, cut at 360 characters, at least 40 long."""
     blocks = F.transform(F.split(c, r"\n\s*\n"), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
     cut = F.transform(blocks, lambda b: F.when(F.length(b) > 360, F.concat(F.rtrim(F.substring(b, 1, 357)), F.lit("..."))).otherwise(b))
     return F.filter(cut, lambda b: F.length(b) >= 40)

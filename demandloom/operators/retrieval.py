@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..session import materialize
 
 # fixed values: words that tell what a question is about
 FORECAST_WORDS = ("forecast", "predict", "next month", "next year", "confidence", "wape", "bias", "mae", "trust")
@@ -18,54 +23,137 @@ def intent(c) -> Column:
     return F.when(t.rlike("|".join(FORECAST_WORDS)), "forecast").when(t.rlike("|".join(CHANGE_WORDS)), "change").otherwise("overview")
 
 
-def token_pairs(questions: DataFrame, documents: DataFrame, question_id: str, doc_id: str) -> DataFrame:
-    """Shared distinct words per (question, document).
-
-    Words are grouped on each side before they meet. A word held by very many documents is
-    spread over salted copies of its (few) questions, so no join key is one task.
+#: Words of questions in one broadcast index (about 30 bytes each); further questions go to further indexes.
+MOST_POSTINGS = 1_000_000
+
+
+def _question_blocks(questions: DataFrame, most: int, depth: int = 0) -> list[DataFrame]:
+    """Questions in parts of at most ``most`` words, dealt by hash; a part that is still too large is dealt again."""
+    words, n = questions.agg(F.sum(F.size("words")), F.count(F.lit(1))).first()
+    if n < 2 or words <= most:
+        return [questions] if n else []
+    parts = max(2, -(-2 * words // most))
+    part = F.pmod(F.xxhash64("question_id", F.lit(depth)), F.lit(parts))
+    return [b for i in range(parts) for b in _question_blocks(questions.filter(part == i), most, depth + 1)]
+
+
+class _Index:
+    """Questions by word and by focus term, as arrays that travel to the tasks."""
+
+    def __init__(self, rows: list):
+        self.ids = [r.question_id for r in rows]
+        words = sorted({w for r in rows for w in r.words})
+        self.number = {w: i for i, w in enumerate(words)}
+        at = np.array([self.number[w] for r in rows for w in r.words], np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(r.words) for r in rows])
+        order = np.argsort(at, kind="stable")
+        self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(words) + 1))
+        self.most = max((len(r.words) for r in rows), default=0)
+        self.focus: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r.focus:
+                self.focus.setdefault(r.focus, []).append(i)
+
+    def terms(self):
+        """All focus terms as one automaton: a text is read once, whatever their number."""
+        found = ahocorasick.Automaton()
+        for t, who in self.focus.items():
+            found.add_word(t, (t, np.array(who)))
+        if self.focus:
+            found.make_automaton()
+        return found
+
+    def overlap(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(questions, shared words) of the questions that share a word."""
+        known = [self.number[w] for w in words if w in self.number]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.unique(np.concatenate([self.owner[self.start[k]:self.start[k + 1]] for k in known]), return_counts=True)
+
+
+def _streamed(index, limit: int, kind):
+    """A pass of snippets, which come in the order that settles ties, over an index of questions: each task keeps the best few of a
+    question, so that a snippet enters only if it beats the last of them."""
+    def search(batches):
+        q: _Index = index.value
+        terms = q.terms()
+        n = len(q.ids)
+        best, held = np.full((n, limit), -np.inf), np.full((n, limit), -1, np.int64)
+        floor, seen = np.full(n, -np.inf), []
+        for b in batches:
+            words, cols = b.column("words"), {c: b.column(c).to_pylist() for c in ("snippet_id", "title", "priority", "base_score", "always", "low")}
+            for i, base in enumerate(cols["base_score"]):
+                mine = words[i].as_py()
+                if base + 2.0 * min(len(mine), q.most) + 3.0 <= floor.min(initial=np.inf):
+                    continue                                   # can beat no question's last
+                score = np.zeros(n) if cols["always"][i] else None
+                who, shared = q.overlap(mine)
+                focus = {t: at for _, (t, at) in terms.iter(cols["low"][i])} if q.focus else {}
+                hit = np.concatenate(list(focus.values())) if focus else np.zeros(0, np.int64)
+                if score is None:
+                    at = np.union1d(who, hit) if len(hit) else who
+                    score = np.zeros(len(at))
+                    score[np.searchsorted(at, who)] = 2.0 * shared
+                    score[np.searchsorted(at, hit)] += 3.0
+                else:
+                    at = np.arange(n)
+                    score[who] = 2.0 * shared
+                    score[hit] += 3.0
+                score = np.round(score + base, 2)
+                wins = np.flatnonzero((score > floor[at]) & (score > 0))
+                if not len(wins):
+                    continue
+                seen.append([cols[c][i] for c in ("snippet_id", "title", "priority")])
+                for k, v in zip(at[wins].tolist(), score[wins].tolist(), strict=True):
+                    # among equal lowest scores the one that came last leaves
+                    low = best[k] == best[k].min()
+                    j = int(np.argmax(np.where(low, held[k], -2)))
+                    best[k, j], held[k, j] = v, len(seen) - 1
+                    floor[k] = best[k].min()
+        k, j = np.nonzero(held >= 0)
+        rows = held[k, j].tolist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array([q.ids[x] for x in k.tolist()], kind), pa.array([seen[r][0] for r in rows], pa.string()), pa.array([seen[r][1] for r in rows], pa.string()),
+            pa.array([seen[r][2] for r in rows], pa.int32()), pa.array(best[k, j], pa.float64())], names=["question_id", "snippet_id", "title", "priority", "score"])
+    return search
+
+
+def candidates(questions: DataFrame, snippets: DataFrame, limit: int = 6, most: int = MOST_POSTINGS) -> DataFrame:
+    """(question_id, snippet_id, title, priority, score): at most ``limit`` rows of each task and question, the winners among them.
+
+    The questions' words and focus terms are indexed; the snippets, each distinct one once and dealt over all tasks, are streamed
+    through the index. Shared words are counted inside the task, so no pair leaves it that some ``limit`` others of the task beat.
     """
-    salt = 16
-    q = questions.select(question_id, F.explode(T.tokens(F.col("text"))).alias("token"))
-    d = documents.select(doc_id, F.explode(T.tokens(F.col("text"))).alias("token"))
-    d = d.withColumn("s", F.pmod(F.xxhash64(doc_id), F.lit(salt)).cast("int"))
-    q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return d.join(q, ["token", "s"]).groupBy(question_id, doc_id).agg(F.count(F.lit(1)).alias("overlap"))
-
-
-def _holding(questions: DataFrame, snippets: DataFrame, limit: int, blocks: int = 64) -> DataFrame:
-    """(focus, snippet_id): for each focus term the ``limit`` snippets that stand first by their base score among those that
-    hold it. Terms meet the snippets in blocks; a term of very many snippets is cut to ``limit`` in each task first."""
-    terms = questions.filter("focus <> ''").select("focus").distinct()
-    terms = terms.groupBy(F.pmod(F.xxhash64("focus"), F.lit(blocks)).alias("block")).agg(F.collect_list("focus").alias("terms"))
-    low = snippets.withColumn("low", F.lower("text"))
-    held = low.crossJoin(terms).select("snippet_id", "base_score", "priority", "title", F.explode(F.filter("terms", lambda t: F.contains(F.col("low"), F.lower(t)))).alias("focus"))
-    w = Window.partitionBy("focus").orderBy(F.desc("base_score"), "priority", "title", "snippet_id")
-    return held.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit).select("focus", "snippet_id")
-
-
-def rank_context(questions: DataFrame, snippets: DataFrame, limit: int = 6) -> DataFrame:
+    spark = snippets.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = snippets.withColumn("h", F.xxhash64("content", F.sha2("content", 256))).repartition(n, "source", "title", "h")
+    first = Window.partitionBy("source", "title", "h").orderBy("snippet_id")
+    text = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
+    once = snippets.groupBy("source", "title", F.sha2("content", 256).alias("h")).agg(F.min(F.struct("snippet_id", "base_score", "priority")).alias("r"))
+    always = [r.snippet_id for r in once.select("title", "r.*").filter("base_score > 0")              # ``limit`` ids: they win without a shared word
+              .orderBy(F.desc("base_score"), "priority", "title", "snippet_id").limit(limit).collect()]
+    s = (s.withColumn("k", F.row_number().over(first)).filter("k = 1").select(
+        "snippet_id", "title", F.col("priority").cast("int").alias("priority"), F.col("base_score").cast("double").alias("base_score"),
+        F.col("snippet_id").isin(always).alias("always"), F.lower(text).alias("low"), T.tokens(text).alias("words"))
+        .sortWithinPartitions("priority", "title", "snippet_id"))
+    asked = materialize(questions.select("question_id", T.tokens(F.col("text")).alias("words"), F.lower(F.coalesce("focus", F.lit(""))).alias("focus")))
+    kind = questions.schema["question_id"].dataType
+    out = spark.createDataFrame([], f"question_id {kind.simpleString()}, snippet_id string, title string, priority int, score double")
+    for part in _question_blocks(asked, most):
+        index = spark.sparkContext.broadcast(_Index(part.collect()))            # at most ``most`` words
+        out = out.unionByName(s.mapInArrow(_streamed(index, limit, to_arrow_type(kind)), out.schema))
+    return out
+
+
+def rank_context(questions: DataFrame, snippets: DataFrame, limit: int = 6, most: int = MOST_POSTINGS) -> DataFrame:
     """Score = base + 2 per shared word (+3 when the focus term occurs); best few per question.
 
     questions: (question_id, text, focus); snippets: (snippet_id, source, title, content, tags, base_score, priority).
-    Snippets without a shared word still count through their base score, and those that hold the focus term by 3 more:
-    the best few of all, and the best few that hold a focus term, are chosen once; the rest can never reach the list.
+    Snippets equal in source, title and content count once, by their smallest id. Snippets without a shared word still count
+    through their base score. Ties go by priority, title, id.
     """
-    text = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
-    s = snippets.withColumn("text", text)
-    # equal snippets count once: keep the smallest id of each (source, title, content)
-    first = s.groupBy("source", "title", F.sha2("content", 256).alias("h")).agg(F.min("snippet_id").alias("snippet_id"))
-    s = s.join(first.select("snippet_id"), "snippet_id", "left_semi")
-    pairs = token_pairs(questions, s, "question_id", "snippet_id")
-    always = s.filter("base_score > 0").orderBy(F.desc("base_score"), "priority", "title", "snippet_id").limit(limit).select("snippet_id")
-    wanted = questions.select("question_id").crossJoin(F.broadcast(always)).unionByName(
-        questions.join(_holding(questions, s, limit), "focus").select("question_id", "snippet_id")).distinct()                     # limit rows each, twice
-    base = wanted.join(pairs, ["question_id", "snippet_id"], "left_anti")
-    allp = pairs.unionByName(base.withColumn("overlap", F.lit(0).cast("bigint")))
-    j = allp.join(s.select("snippet_id", "title", "base_score", "priority", "text"), "snippet_id").join(questions.select("question_id", "focus"), "question_id")
-    hit = (F.coalesce("focus", F.lit("")) != "") & F.contains(F.lower("text"), F.lower("focus"))
-    score = F.round(F.col("base_score") + F.col("overlap") * 2.0 + F.when(hit, 3.0).otherwise(0.0), 2)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "priority", "title", "snippet_id")
-    return (j.withColumn("score", score).filter("score > 0").withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    return (candidates(questions, snippets, limit, most).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
             .select("question_id", "snippet_id", "score", "position"))
 
 
@@ -113,8 +201,8 @@ def actions(regime: Column, risk: Column, bias: Column, strength: Column, driver
 
 
 def document_snippets(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """Paragraph chunks as snippets: all of them, or the first ``most`` of each document."""
-    chunks = T.chunks(F.col("text"))
+    """Whole paragraphs as snippets: all of them, or the first ``most`` of each document."""
+    chunks = T.paragraphs(F.col("text"))
     e = docs.select("doc_id", "source", F.posexplode(F.slice(chunks, 1, most) if most else chunks).alias("i", "content"))
     return e.select(F.concat_ws("-", "doc_id", "i").alias("snippet_id"), F.lit("knowledge_doc").alias("source"),
                     F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" section "), (F.col("i") + 1).cast("string")).alias("title"), "content",

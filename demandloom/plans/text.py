@@ -18,9 +18,13 @@ CHUNK = lambda c: (f"list_filter(list_transform(list_transform(regexp_split_to_a
                    "lambda b: CASE WHEN length(b) > 360 THEN rtrim(b[1:357]) || '...' ELSE b END), lambda b: length(b) >= 40)")
 
 
+PARAGRAPH = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '\\n\\s*\\n'), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: length(b) >= 40)"
+
+
 def questions(spark, path):
-    c = P.table(spark, path, "conversations", "conv_id", "turn", "role", "text").filter("turn = 0")
-    return c.select(F.col("conv_id").alias("question_id"), "text", F.when(F.col("conv_id") % 5 == 0, "the").otherwise("").alias("focus"), (F.col("conv_id") % 3).alias("scope"))
+    """Every user turn of every conversation."""
+    c = P.table(spark, path, "conversations", "conv_id", "turn", "role", "text").filter("role = 'user'")
+    return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("question_id"), "text", F.when(F.col("conv_id") % 5 == 0, "the").otherwise("").alias("focus"), (F.col("conv_id") % 3).alias("scope"))
 
 
 def docs(spark, path):
@@ -47,8 +51,8 @@ def x2(spark, path):
     return P.table(spark, path, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", X.intent(F.col("text")).alias("intent"))
 
 
-block("b_q", "SELECT conv_id AS question_id, text, CASE WHEN conv_id % 5 = 0 THEN 'the' ELSE '' END AS focus, conv_id % 3 AS scope FROM conversations WHERE turn = 0")
-block("b_snip", f"SELECT doc_id || '-' || (i - 1) AS snippet_id, 'document ' || doc_id || ' section ' || i AS title, c[i] AS content, source AS src FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, source, {CHUNK('text')} AS c FROM documents))")
+block("b_q", "SELECT conv_id * 100000 + turn AS question_id, text, CASE WHEN conv_id % 5 = 0 THEN 'the' ELSE '' END AS focus, conv_id % 3 AS scope FROM conversations WHERE role = 'user'")
+block("b_snip", f"SELECT doc_id || '-' || (i - 1) AS snippet_id, 'document ' || doc_id || ' section ' || i AS title, c[i] AS content, source AS src FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, source, {PARAGRAPH('text')} AS c FROM documents))")
 
 
 @query("X1_ranked_context", f"""WITH q AS (SELECT question_id, focus, unnest({TOK('text')}) AS w FROM b_q), s AS (SELECT *, title || ' ' || content || ' ' || src || ' knowledge' AS txt FROM b_snip),

@@ -1,3 +1,6 @@
+import random
+import re
+
 from demandloom.operators import retrieval as X
 
 
@@ -16,3 +19,39 @@ def test_every_chunk_is_a_snippet(spark):
     text = "\n\n".join(f"paragraph {i} has more than forty characters of its own" for i in range(9))
     docs = spark.createDataFrame([(1, "a", text), (2, "a", None)], "doc_id long, source string, text string")
     assert X.document_snippets(docs).count() == 9 and X.document_snippets(docs, 6).count() == 6
+
+
+def test_equals_all_pairs_and_few_leave_the_tasks(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(40)] + ["Alpha", "beta", "été", "the"]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))                    # noqa: E731
+    q = [(i, say(rnd.randint(0, 12)), rnd.choice(["", None, "LPH", "w1", "w39"])) for i in range(60)] + [(100, None, None), (101, "", "été")]
+    s = [(f"s{i:03d}", rnd.choice("ab"), rnd.choice(["x", "y", "Alpha"]), say(rnd.randint(0, 30)), ["tag", rnd.choice(words)], rnd.choice([0.0, 0.6, 2.5, -9.0]), rnd.randint(1, 3)) for i in range(300)]
+    s += [("t" + r[0], *r[1:]) for r in s[:40]] + [("long", "a", "long", say(20_000), [], 0.6, 6)]
+    stop, find = set(X.T.STOP_WORDS), re.compile("[a-z0-9_]+")
+    cut = lambda t: {w for w in find.findall((t or "").lower()) if len(w) > 1 and w not in stop}            # noqa: E731
+    first = {}
+    for r in sorted(s):
+        first.setdefault(r[1:4], r)
+    want = []
+    for i, text, focus in q:
+        rows = []
+        for r in first.values():
+            low = " ".join([r[2], r[3], " ".join(r[4])]).lower()
+            score = round(r[5] + 2 * len(cut(text) & cut(low)) + (3 if focus and focus.lower() in low else 0), 2)
+            rows += [(-score, r[6], r[2], r[0])] if score > 0 else []
+        want += [(i, x[3], -x[0], k) for k, x in enumerate(sorted(rows)[:6], 1)]
+    qs = spark.createDataFrame(q, "question_id long, text string, focus string")
+    sn = spark.createDataFrame(s, "snippet_id string, source string, title string, content string, tags array<string>, base_score double, priority int").repartition(5)
+    assert sorted(map(tuple, X.rank_context(qs, sn).collect())) == sorted(want)
+    assert sorted(map(tuple, X.rank_context(qs, sn, most=50).collect())) == sorted(want)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert X.candidates(qs, sn).count() <= len(q) * 6 * tasks                       # of len(q) * 341 pairs; 4 for an answer, here
+    assert X.rank_context(qs.filter("question_id < 0"), sn).count() == 0 and X.rank_context(qs, sn.filter("priority > 9")).count() == 0
+
+
+def test_paragraphs_are_whole(spark):
+    text = "x" * 30 + "\n\n" + "word " * 500 + "needle\n \n  " + "short"
+    docs = spark.createDataFrame([(1, "a", text)], "doc_id long, source string, text string")
+    got = X.document_snippets(docs).collect()
+    assert len(got) == 1 and got[0].content.endswith("needle")
