@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Roles
 from ..functions import dates as D
 from ..functions import text as T
+from ..session import materialize
 
 ROLES = Roles()
 
@@ -215,30 +216,64 @@ def pivot_catalog(columns: list[str], roles: Roles = ROLES, channels: int = 0) -
 
 # --- exact order statistics at scale ------------------------------------------------
 
-def exact_percentiles(df: DataFrame, value: str, qs: list[float], groups: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated percentiles without holding any group in one task.
+#: Distinct values of a bucket that one task may sort; a bucket with more that holds a wanted rank is split again.
+MOST_SORTED = 100_000
+#: Parts that such a bucket is split into, by its own range.
+PARTS = 1024
+#: Up to so many wanted buckets are sent to all tasks (about 100 bytes each); beyond, they meet the values in a join.
+MOST_SENT = 10_000
 
-    Equal values collapse first, then order-preserving buckets locate the needed ranks, and
-    only the few buckets that hold them are sorted.
-    """
-    g = groups or []
-    v = F.col("v")
+
+def value_counts(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups..., b, v, n): distinct values with their number of rows and an order-preserving bucket ``b``; written once, read by all
+    steps that follow. Values of a bucket differ by 1.1 % at most."""
+    g, v = groups or [], F.col("v")
     counts = (df.select(*g, F.col(value).cast("double").alias("v")).filter("v is not null")
               .groupBy(*g, "v").agg(F.count(F.lit(1)).alias("n")))
-    mag = F.floor(F.log2(F.abs(v)) * 64) + 200000
-    counts = counts.withColumn("b", F.when(v > 0, mag).when(v < 0, -mag).otherwise(0).cast("bigint"))
-    whole = Window.partitionBy(*(g or [F.lit(0)]))
-    per = (counts.groupBy(*g, "b").agg(F.sum("n").alias("bn"))
-           .withColumn("before", F.sum("bn").over(whole.orderBy("b")) - F.col("bn"))
-           .withColumn("total", F.sum("bn").over(whole)))
-    ranks = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q)) for q in qs])))
-    hits = (per.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bn"))))
-            .filter(F.size("ranks") > 0).select(*g, "b", "before", "total", "ranks"))
-    inner = Window.partitionBy(*g, "b").orderBy("v")
-    picked = (counts.join(hits, g + ["b"])
-              .withColumn("hi", F.col("before") + F.sum("n").over(inner))
-              .withColumn("r", F.explode(F.filter("ranks", lambda r: (r >= F.col("hi") - F.col("n")) & (r < F.col("hi"))))))
+    size = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(10 ** 9)).otherwise(F.floor(F.log2(F.abs(v)) * 64) + 200000)
+    return materialize(counts.withColumn("b", F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("bigint")))
+
+
+def _holding_ranks(parts: DataFrame, whole: list[str], order: str, ranks: Column, before: Column) -> DataFrame:
+    """Of ``parts`` (with bn rows each) those that hold a wanted rank: before counts the rows ahead of a part."""
+    w = Window.partitionBy(*(whole or [F.lit(0)])).orderBy(order)
+    ahead = parts.withColumn("before", before + F.sum("bn").over(w) - F.col("bn"))
+    return ahead.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bn")))).filter(F.size("ranks") > 0)
+
+
+def rank_buckets(counts: DataFrame, qs: list[float], groups: list[str] | None = None, most: int = MOST_SORTED) -> DataFrame:
+    """(groups..., b, lo, hi, before, total, ranks, m): value ranges that hold the wanted ranks, none with more than ``most``
+    distinct values m. Buckets come first; one that is too large is split by its own range, again and again: as the values of a
+    bucket share their sign and nearly their size, five or six splits tell any two doubles apart."""
+    g = groups or []
+    sizes = [F.sum("n").alias("bn"), F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    per = counts.groupBy(*g, "b").agg(*sizes).withColumn("total", F.sum("bn").over(Window.partitionBy(*(g or [F.lit(0)]))))
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q)) for q in qs])))
+    names = [*g, "b", "lo", "hi", "before", "total", "ranks", "m"]
+    found = materialize(_holding_ranks(per, g, "b", wanted, F.lit(0)).select(*names))
+    large = (F.col("m") > most) & (F.col("lo") < F.col("hi"))
+    while found.filter(large).limit(1).count():
+        inside = _in_ranges(counts, found.filter(large), g)
+        part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))
+        inner = [*g, "b", F.col("lo").alias("from"), F.col("before").alias("base"), "total", F.col("ranks").alias("ask"), part.alias("k")]
+        split = inside.select(*inner, "v", "n").groupBy(*g, "b", "from", "base", "total", "ask", "k").agg(*sizes)
+        found = materialize(found.filter(~large).unionByName(_holding_ranks(split, [*g, "b", "from"], "k", F.col("ask"), F.col("base")).select(*names)))
+    return found
+
+
+def _in_ranges(counts: DataFrame, ranges: DataFrame, g: list[str]) -> DataFrame:
+    """Values that lie in one of the ranges of their group and bucket."""
+    small = ranges.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return counts.join(F.broadcast(ranges) if small else ranges, [*g, "b"]).filter("v between lo and hi")
+
+
+def percentiles_of(counts: DataFrame, qs: list[float], groups: list[str] | None = None, most: int = MOST_SORTED) -> DataFrame:
+    """Linear-interpolated percentiles of counted values; a task sorts at most ``most`` distinct ones."""
+    g, v = groups or [], F.col("v")
+    inner = Window.partitionBy(*g, "b", "lo").orderBy("v")
+    picked = (_in_ranges(counts, rank_buckets(counts, qs, g, most), g)
+              .withColumn("upto", F.col("before") + F.sum("n").over(inner))
+              .withColumn("r", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))))))
     aggs = []
     for i, q in enumerate(qs):
         pos = (F.max("total") - 1) * F.lit(float(q))
@@ -248,6 +283,11 @@ def exact_percentiles(df: DataFrame, value: str, qs: list[float], groups: list[s
     return picked.groupBy(*g).agg(F.max("total").alias("n_values"), *aggs)
 
 
+def exact_percentiles(df: DataFrame, value: str, qs: list[float], groups: list[str] | None = None) -> DataFrame:
+    """Linear-interpolated percentiles without holding any group, or any part of one that grows with it, in one task."""
+    return percentiles_of(value_counts(df, value, groups), qs, groups)
+
+
 # --- profiles -----------------------------------------------------------------------
 
 def column_profile(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -333,10 +373,12 @@ def data_quality(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def unit_price_outliers(df: DataFrame) -> DataFrame:
     """Rows whose unit price lies outside the exact 1st..99th percentile."""
-    price = df.select((F.col("revenue").cast("double") / F.nullif(F.col("quantity"), F.lit(0.0))).alias("p")).filter("p is not null")
-    bounds = exact_percentiles(price, "p", [0.01, 0.99])
-    return (price.crossJoin(F.broadcast(bounds))           # bounds is one row
-            .groupBy("q0", "q1").agg(F.count_if((F.col("p") < F.col("q0")) | (F.col("p") > F.col("q1"))).alias("outliers"))
+    price = df.select((F.col("revenue").cast("double") / F.nullif(F.col("quantity"), F.lit(0.0))).alias("p"))
+    counts = value_counts(price, "p")
+    bounds = percentiles_of(counts, [0.01, 0.99])
+    outside = F.when((F.col("v") < F.col("q0")) | (F.col("v") > F.col("q1")), F.col("n")).otherwise(0)
+    return (counts.crossJoin(F.broadcast(bounds))           # bounds is one row
+            .groupBy("q0", "q1").agg(F.sum(outside).alias("outliers"))
             .select(F.col("q0").alias("p01"), F.col("q1").alias("p99"), "outliers"))
 
 

@@ -19,16 +19,23 @@ def filled(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", T.clean_cell(F.col("v"))).filter("v is not null")
 
 
-def forward_fill(df: DataFrame, part: list[str], order: str, value: str, out: str, chunk: int = 4096) -> DataFrame:
-    """Last non-null value above each row. Long sheets are filled chunk by chunk, so a sheet of
-    any length never sits in one task: only one carried value per chunk is ordered per sheet."""
-    d = df.withColumn("__k", F.floor(F.col(order) / chunk))
-    carry = d.groupBy(*part, "__k").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__last"))
-    w = Window.partitionBy(*part).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.withColumn("__carry", F.last_value("__last", True).over(w)).drop("__last")
-    inner = Window.partitionBy(*part, "__k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.withColumn("__own", F.last_value(value, True).over(inner)).join(carry, part + ["__k"])
-            .withColumn(out, F.coalesce("__own", "__carry")).drop("__k", "__own", "__carry"))
+def forward_fill(df: DataFrame, part: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Last non-null value above each row, as a prefix scan in two levels.
+
+    Rows are range-partitioned by (part, order), so a task holds about the same number of rows however long a sheet is and however
+    its row numbers lie. Each task's last value of each sheet it holds is carried to the tasks that follow: the scan over tasks has one
+    row for a task and a sheet in it, and sees no row of the sheet. Rows of one (part, order) see each other's values in no
+    set order; a sheet has one row there.
+    """
+    d = materialize(df.repartitionByRange(*part, order).sortWithinPartitions(*part, order).withColumn("__p", F.spark_partition_id()))
+    last = d.filter(F.col(value).isNotNull()).groupBy(*part, "__p").agg(F.max_by(value, order).alias("__last"))
+    # a sheet's tasks in their order; only the first of a sheet's rows in a task can need what came before
+    scan = Window.partitionBy(*part).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    held = d.select(*part, "__p").distinct().join(last, [*part, "__p"], "left")
+    carry = held.withColumn("__carry", F.last_value("__last", True).over(scan)).filter("__carry is not null").select(*part, "__p", "__carry")
+    inner = Window.partitionBy("__p", *part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = d.withColumn("__own", F.last_value(value, True).over(inner))
+    return own.join(carry, [*part, "__p"], "left").withColumn(out, F.coalesce("__own", "__carry")).drop("__p", "__own", "__carry")
 
 
 def head(cells: DataFrame, rows: int = HEAD_ROWS) -> DataFrame:

@@ -79,7 +79,7 @@ def test_unpivot_markers_and_totals(spark):
 
 def test_forward_fill_across_chunks(spark):
     rows = [("a", i, "x" if i == 3 else "y" if i == 25 else None) for i in range(60)] + [("b", i, None) for i in range(5)]
-    got = SH.forward_fill(spark.createDataFrame(rows, "p string, r long, v string"), ["p"], "r", "v", "f", chunk=10).collect()
+    got = SH.forward_fill(spark.createDataFrame(rows, "p string, r long, v string"), ["p"], "r", "v", "f").collect()
     want = lambda p, i: None if p == "b" or i < 3 else "x" if i < 25 else "y"
     assert all(r.f == want(r.p, r.r) for r in got) and len(got) == 65
 
