@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BASELINE_MODELS
+from .kernel import best_of
 
 
 
@@ -48,8 +49,13 @@ BEST = ("model", "preprocessing", "mae", "wape", "bias", "adjusted", "train")
 
 
 def with_best(df, h: str = "h", name: str = "b", use_seasonality: bool = True):
-    """Add columns ``<name>_model`` etc.: the best method for the history in column ``h``."""
-    return once(df, name, memo(("best", h, use_seasonality), lambda: select_best(F.col(h), use_seasonality)), BEST)
+    """Add columns ``<name>_model`` etc.: the best method for the history in column ``h``.
+
+    The choice is ``select_best``'s, made for a batch of series at a time.
+    """
+    own = f"__{name}"
+    d = df.select("*", best_of(F.col(h), use_seasonality).alias(own))
+    return d.select(*df.columns, F.inline(F.array(F.struct(*[F.col(own)[f].alias(f"{name}_{f}") for f in BEST]))))
 
 
 def with_path(df, h: str, model: str, horizon: int, name: str):
@@ -78,10 +84,6 @@ def back(a: Column, k: int) -> Column:
     return F.when(F.size(a) >= k, F.get(a, F.size(a) - k))
 
 
-def nonneg(a: Column) -> Column:
-    return F.transform(a, lambda x: F.greatest(x, F.lit(0.0)))
-
-
 def _recent_weighted(a: Column) -> Column:
     return (F.when(F.size(a) >= 3, back(a, 1) * 0.6 + back(a, 2) * 0.3 + back(a, 3) * 0.1)
             .when(F.size(a) == 2, back(a, 1) * 0.65 + back(a, 2) * 0.35).otherwise(back(a, 1)))

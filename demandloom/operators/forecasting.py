@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import REGIME_PRIORITY
 from ..functions import dates as D
 from ..functions import forecast as FC
+from ..functions import kernel as K
 from ..functions import text as T
 from . import evaluate as EV
 from . import explore as X
@@ -240,7 +241,7 @@ def rate(packed: DataFrame, residual_pct: Column | None = None) -> DataFrame:
     h = F.col("h")
     d = FC.with_path(FC.with_best(packed.filter("n > 3")), "b_train", "b_model", 1, "one_step")
     d = FC.once(d, "r", FC.regime(h), ("code", "label", "severity", "change_pct", "shift_pct", "volatility"))
-    d = FC.once(FC.once(d, "anomalies", FC.anomalies(h, 4)), "confidence", FC.confidence(h, F.col("b_wape"), F.col("b_bias")))
+    d = FC.once(d.select("*", K.anomalies_of(h, 4).alias("anomalies")), "confidence", FC.confidence(h, F.col("b_wape"), F.col("b_bias")))
     d = d.withColumns({"next_forecast": F.get("one_step", 0), "latest": F.element_at(h, -1)})
     d = d.withColumn("risk", FC.risk(F.col("confidence"), F.col("b_wape"), F.col("b_bias"), F.col("r_code"), F.size("anomalies"), residual_pct))
     return d.withColumns({
