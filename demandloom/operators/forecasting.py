@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions import kernel as K
 from ..functions import text as T
 from . import evaluate as EV
 from . import explore as X
+from . import moments as M
 from . import series as S
 
 
@@ -43,64 +43,50 @@ def with_days(packed: DataFrame, cal: DataFrame, horizon: int) -> DataFrame:
 DRIVER = "forecast array<double>, wape double, mae double, bias double, coef array<double>, split_wape double, outer_pred array<double>"
 
 
-DRIVER_FIELDS = tuple(part.split()[0] for part in DRIVER.split(", "))
+def _inner_scores(h: Column, p: Column, n: Column) -> Column:
+    """struct(wape, mae, bias) of the one-step predictions of the last quarter (three to six months) of the first ``n`` months."""
+    k = F.least(F.lit(6), F.greatest(F.lit(3), F.floor(n / 4).cast("int")))
 
-
-def driver_regression(horizon: int, use_working_days: bool = True, use_seasonality: bool = True):
-    """Arrow-batched UDF (h, start_ord, day_list, mean_days) -> DRIVER struct.
-
-    Least squares on intercept, trend, centred working days and one yearly harmonic; needs 18 months.
-    Helpers are nested so that workers need nothing but numpy and pandas.
-    """
-    def _design(start_ord: int, days: np.ndarray, mean: float, wd: bool, sea: bool) -> np.ndarray:
-        t = np.arange(len(days), dtype=float)
-        cols = [np.ones_like(t), t]
-        if wd:
-            cols.append((days - mean) / max(mean, 1.0))
-        if sea:
-            a = 2 * np.pi * ((start_ord + t) % 12 + 1) / 12
-            cols += [np.sin(a), np.cos(a)]
-        return np.stack(cols, axis=1)
-
-    def _ols_step(x: np.ndarray, y: np.ndarray, upto: int, at: slice) -> np.ndarray:
-        beta = np.linalg.lstsq(x[:upto], y[:upto], rcond=None)[0]
-        return x[at] @ beta
-
-    def _inner(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None, float | None]:
-        n = len(y)
-        k = min(6, max(3, n // 4))
-        idx = [i for i in range(n - k, n) if i >= 12]
-        if n < 18 or not idx:
-            return None, None, None
-        p = np.array([max(0.0, _ols_step(x, y, i, slice(i, i + 1))[0]) for i in idx])
-        a = y[idx]
-        err, tot = float(np.abs(p - a).sum()), float(a.sum())
-        return (err / tot if tot else None), err / len(a), ((float(p.sum()) - tot) / tot if tot else None)
-
-    @F.pandas_udf(DRIVER)
-    def run(h: pd.Series, start: pd.Series, days: pd.Series, mean: pd.Series) -> pd.DataFrame:
-        out = []
-        for y, s, d, m in zip(h, start, days, mean, strict=True):
-            y, d = np.asarray(y, dtype=float), np.asarray(d, dtype=float)
-            n = len(y)
-            if n < 18 or not (use_working_days or use_seasonality):
-                out.append((None,) * 7)
-                continue
-            x = _design(int(s), d, float(m), use_working_days, use_seasonality)
-            wape, mae, bias = _inner(x, y)
-            future = np.maximum(_ols_step(x, y, n, slice(n, n + horizon)), 0.0)
-            coef = np.linalg.lstsq(x[:n], y, rcond=None)[0]
-            split = n - min(6, max(3, n // 4))
-            outer = [max(0.0, float(_ols_step(x, y, i, slice(i, i + 1))[0])) for i in range(split, n)]
-            out.append((future.tolist(), wape, mae, bias, [round(float(c), 6) for c in coef], _inner(x[:split], y[:split])[0], outer))
-        return pd.DataFrame(out, columns=["forecast", "wape", "mae", "bias", "coef", "split_wape", "outer_pred"])
-    return run
+    def score(pair):
+        err, tot = FC.asum(F.zip_with(pair["p"], pair["a"], lambda x, y: F.abs(x - y))), FC.asum(pair["a"])
+        return F.struct(F.when(tot != 0, err / tot).alias("wape"), (err / F.size(pair["a"])).alias("mae"), F.when(tot != 0, (FC.asum(pair["p"]) - tot) / tot).alias("bias"))
+    return F.when(n >= 18, FC.let(F.struct(F.slice(p, n - k - 11, k).alias("p"), F.slice(h, n - k + 1, k).alias("a")), score))
 
 
 def driver_forecast(packed: DataFrame, cal: DataFrame, horizon: int, use_working_days: bool = True, use_seasonality: bool = True) -> DataFrame:
-    d = with_days(packed, cal, horizon)
-    d = d.withColumn("driver", driver_regression(horizon, use_working_days, use_seasonality)("h", "start_ord", "day_list", "mean_days"))
-    return d.select("*", *[F.col("driver")[f].alias(f"driver_{f}") for f in DRIVER_FIELDS]).drop("driver")
+    """Add DRIVER columns: least squares on intercept, trend, centred working days and one yearly harmonic; needs 18 months.
+
+    Series become rows of months; running moments give every month the regression over the months before it, so one pass serves the
+    inner test, the outer test and the forecast. Equal series are solved once.
+    """
+    key = F.md5(F.to_json(F.struct("start_ord", "h")))
+    d = with_days(packed, cal, horizon).withColumn("__series", key)
+    if not (use_working_days or use_seasonality):
+        return d.withColumns({f"driver_{a}": F.lit(None).cast(t) for a, t in (x.split() for x in DRIVER.split(", "))}).drop("__series")
+    once = d.filter(F.size("h") >= 18).select("__series", "start_ord", "h", "day_list", "mean_days").dropDuplicates(["__series"])
+    rows = once.select("__series", "start_ord", F.size("h").alias("n"), "mean_days", "h", F.posexplode("day_list").alias("t", "day")).select(
+        "__series", "start_ord", "n", "mean_days", F.col("t").cast("double").alias("t"), "day", F.get("h", F.col("t")).alias("y"))
+    angle = (F.lit(2 * np.pi) * ((F.col("start_ord") + F.col("t")) % 12 + 1)) / 12
+    x = [F.lit(1.0), F.col("t")]
+    if use_working_days:
+        x.append((F.col("day") - F.col("mean_days")) / F.greatest("mean_days", F.lit(1.0)))
+    if use_seasonality:
+        x += [F.sin(angle), F.cos(angle)]
+    rows = rows.withColumns({f"x_{i}": c for i, c in enumerate(x)})
+    x = [F.col(f"x_{i}") for i in range(len(x))]
+    before = Window.partitionBy("__series").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    fit = M.solved(M.with_moments(rows, x, F.col("y"), F.col("t") < F.col("n"), before), len(x))
+    fit = fit.filter("t >= 12").withColumn("p", F.greatest(M.dot(x), F.lit(0.0)))
+    weights = F.array(*[F.round(f"w_{i}", 6) for i in range(len(x))])
+    per = fit.groupBy("__series").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "p"))), lambda r: r["p"]).alias("__p"),
+                                      F.max_by(F.when(F.col("t") == F.col("n"), weights), F.when(F.col("t") == F.col("n"), F.lit(1))).alias("driver_coef"))
+    j = d.join(per, "__series", "left")
+    n, p, h = F.size("h"), F.col("__p"), F.col("h")
+    hold = F.least(F.lit(6), F.greatest(F.lit(3), F.floor(n / 4).cast("int")))
+    j = FC.once(j, "__in", F.when(p.isNotNull(), _inner_scores(h, p, n)))
+    return j.withColumns({
+        "driver_forecast": F.slice(p, n - 11, horizon), "driver_wape": F.col("__in.wape"), "driver_mae": F.col("__in.mae"), "driver_bias": F.col("__in.bias"),
+        "driver_split_wape": F.when(p.isNotNull(), _inner_scores(h, p, n - hold)["wape"]), "driver_outer_pred": F.slice(p, n - hold - 11, hold)}).drop("__in", "__p", "__series")
 
 
 def coefficient_rows(df: DataFrame, keys: list[str], use_working_days: bool = True, use_seasonality: bool = True) -> DataFrame:
@@ -112,7 +98,7 @@ def coefficient_rows(df: DataFrame, keys: list[str], use_working_days: bool = Tr
     if use_seasonality:
         c["seasonal_amplitude"] = F.round(F.hypot(c["season_sin"], c["season_cos"]), 6)
     e = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in c.items()])
-    return df.filter("driver.coef is not null").select(*keys, F.explode(e).alias("c")).select(*keys, "c.*")
+    return df.filter("driver_coef is not null").select(*keys, F.explode(e).alias("c")).select(*keys, "c.*")
 
 
 # --- strategy choice -------------------------------------------------------------------
@@ -305,55 +291,51 @@ def explain_changes(sales: DataFrame, key: str, dims: list[str], top: int = 5) -
     return d.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top)
 
 
-EXPOSURE = "latest_exposure double, exposure_delta_pct double, expected double, wape double, residual_pct double, contribution double, strength string"
+def exposure_fits(features: DataFrame) -> DataFrame:
+    """Per part and month: the quantity that a ridge regression over the months before expects, and the part of it that is due to an
+    unusual vehicle exposure. Running moments give every month its own fit; the intercept is not shrunk."""
+    x = [F.lit(1.0), *[F.col(c) for c in ("lag1", "lag2", "rolling3", "exposure", "exposure_change", "time_idx")]]
+    before = Window.partitionBy("part_number").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    good = F.col("actual").isNotNull()
+    for c in x[1:]:
+        good = good & c.isNotNull()
+    f = features.withColumn("good", good)
+    f = M.with_moments(f, x, F.col("actual"), F.col("good"), before).withColumn("usual", F.col("a_0_4") / F.col("rows"))
+    f = M.solved(f.filter("good and time_idx >= 5 and rows >= 5"), len(x), [0.0] + [1.0] * 6)
+    return f.select("part_number", "month", "actual", "exposure", F.greatest(M.dot(x), F.lit(0.0)).alias("expected"),
+                    (F.col("w_4") * (F.col("exposure") - F.col("usual")) + F.col("w_5") * F.col("exposure_change")).alias("contribution"))
 
 
 def exposure_model(features: DataFrame) -> DataFrame:
-    """Expanding ridge of quantity on lags and vehicle exposure, per part (months of one part per row)."""
-    @F.pandas_udf(EXPOSURE)
-    def fit(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for r in rows:
-            a = np.array([[np.nan if v is None else v for v in (x["actual"], x["lag1"], x["lag2"], x["rolling3"], x["exposure"], x["exposure_change"], x["time_idx"])]
-                          for x in r], dtype=float)
-            y, x = a[:, 0], np.hstack([np.ones((len(a), 1)), a[:, 1:]])
-            good = ~np.isnan(a).any(axis=1)
-            pred, effect = np.full(len(y), np.nan), np.full(len(y), np.nan)
-            ridge = np.eye(x.shape[1])
-            ridge[0, 0] = 0.0
-            for i in range(5, len(y)):
-                tr = np.flatnonzero(good[:i])
-                if not good[i] or len(tr) < 5:
-                    continue
-                w = np.linalg.pinv(x[tr].T @ x[tr] + ridge) @ x[tr].T @ y[tr]
-                p = float(x[i] @ w)
-                other = x[i].copy()
-                other[4], other[5] = x[tr, 4].mean(), 0.0      # usual exposure, no change
-                pred[i], effect[i] = max(p, 0.0), p - float(other @ w)
-            ev = ~np.isnan(pred)
-            if not ev.any() or np.isnan(pred[-1]):
-                out.append((None,) * 7)
-                continue
-            tot = float(y[ev].sum())
-            wape = float(np.abs(pred[ev] - y[ev]).sum()) / tot if tot else None
-            ex = a[:, 4]
-            strength = "Unavailable" if wape is None else "Strong" if wape <= 0.2 else "Moderate" if wape <= 0.4 else "Weak"
-            out.append((ex[-1], (ex[-1] - ex[-2]) / ex[-2] * 100 if ex[-2] else None, pred[-1], wape,
-                        (y[-1] - pred[-1]) / pred[-1] * 100 if pred[-1] else None, effect[-1], strength))
-        return pd.DataFrame(out, columns=["latest_exposure", "exposure_delta_pct", "expected", "wape", "residual_pct", "contribution", "strength"])
-
-    cols = ["actual", "lag1", "lag2", "rolling3", "exposure", "exposure_change", "time_idx"]
-    n_tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = (features.repartition(n_tasks, "part_number").groupBy("part_number")
-         .agg(F.array_sort(F.collect_list(F.struct("month", *cols))).alias("rows")))
-    return p.select("part_number", fit("rows").alias("m")).select("part_number", "m.*").filter("expected is not null")
+    """The fit of each part's latest month, its residual, and how well the fits of all its months did."""
+    last = features.groupBy("part_number").agg(F.max("month").alias("latest_month"))
+    w = Window.partitionBy("part_number").orderBy("month")
+    shown = features.select("part_number", "month", F.lag("exposure").over(w).alias("previous"))
+    own = exposure_fits(features).groupBy("part_number").agg(
+        F.sum(F.abs(F.col("expected") - F.col("actual"))).alias("err"), F.sum("actual").alias("tot"),
+        F.max_by(F.struct("month", "actual", "exposure", "expected", "contribution"), "month").alias("l"))
+    d = own.join(last, "part_number").filter("l.month = latest_month").join(shown.withColumnRenamed("month", "latest_month"), ["part_number", "latest_month"])
+    d = d.withColumn("wape", F.when(F.col("tot") != 0, F.col("err") / F.col("tot")))
+    strength = F.when(F.col("wape").isNull(), "Unavailable").when(F.col("wape") <= 0.2, "Strong").when(F.col("wape") <= 0.4, "Moderate").otherwise("Weak")
+    return d.select("part_number", F.col("l.exposure").alias("latest_exposure"), FC.pct(F.col("l.exposure") - F.col("previous"), F.col("previous")).alias("exposure_delta_pct"),
+                    F.col("l.expected").alias("expected"), "wape", FC.pct(F.col("l.actual") - F.col("l.expected"), F.col("l.expected")).alias("residual_pct"),
+                    F.col("l.contribution").alias("contribution"), strength.alias("strength"))
+
+
+def drivers(sales: DataFrame, parts: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """(part_number, brand_drivers, model_drivers): the brands and models that moved a part most in its latest month, as 'name:+12.0'."""
+    s = sales if parts is None else sales.join(parts.select("part_number"), "part_number", "left_semi")
+    moves = explain_changes(s, "part_number", ["brand", "model_name"], top)
+    text = F.concat("name", F.lit(":"), F.format_string("%+.1f", "delta"))
+    of = lambda d: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("position", text.alias("t"))))), lambda r: r["t"]), "; ")      # noqa: E731
+    return moves.groupBy("part_number").agg(of("brand").alias("brand_drivers"), of("model_name").alias("model_drivers"))
 
 
 def alerts(sales: DataFrame, exposure: DataFrame, scan: int | None = None) -> DataFrame:
     """Priority score per part (every part, or the ``scan`` largest) from change, error, anomalies, shape and confidence;
     quiet parts drop out."""
     parts = top_parts(sales, scan) if scan else None
-    p = part_series(sales, parts).join(exposure.select("part_number", F.col("residual_pct").alias("exposure_residual_pct"), "strength"), "part_number", "left")
+    p = part_series(sales, parts).join(exposure.select("part_number", F.col("residual_pct").alias("exposure_residual_pct"), F.col("contribution").alias("exposure_contribution"), "strength"), "part_number", "left")
     d = rate(p, F.col("exposure_residual_pct"))
     prev, z = F.when(F.col("n") >= 2, FC.back(F.col("h"), 2)).otherwise(0.0), F.lit(0.0)
     delta = FC.pct(F.col("latest") - prev, prev)
@@ -373,10 +355,12 @@ def alerts(sales: DataFrame, exposure: DataFrame, scan: int | None = None) -> Da
         lambda x: x.isNotNull()), 1, 5)
     d = d.withColumns({"alert_score": F.round(score, 3), "raw": score, "delta_pct": delta, "previous": prev, "evidence": evidence})
     d = d.filter(~((F.col("raw") < 0.32) & (F.col("risk") == "Low") & (F.col("r_code") == "stable")))
+    d = d.join(drivers(sales, parts), "part_number", "left")
     return d.select("part_number", "n", "latest", "previous", "delta_pct", "next_forecast",
                     FC.pct(F.col("next_forecast") - F.col("latest"), F.col("latest")).alias("forecast_delta_pct"), "alert_score", "risk",
                     F.col("r_code").alias("regime"), F.col("r_severity").alias("severity"), "confidence", F.col("b_wape").alias("wape"),
-                    F.col("b_bias").alias("bias"), F.col("b_model").alias("model"), "strength", F.array_join("evidence", "; ").alias("evidence"))
+                    F.col("b_bias").alias("bias"), F.col("b_model").alias("model"), "strength", "exposure_contribution",
+                    F.coalesce("brand_drivers", F.lit("")).alias("brand_drivers"), F.coalesce("model_drivers", F.lit("")).alias("model_drivers"), F.array_join("evidence", "; ").alias("evidence"))
 
 
 def surfaced(alert_rows: DataFrame, limit: int = 12) -> DataFrame:

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import forecast as FC
 from ..operators import forecasting as FO
+from ..operators import moments as M
 from ..operators import series as S
 from . import inputs as I
 from . import series_sql as Q
 from .base_sql import block
 from .evaluate import OUTER
 from .registry import query
-from .series import PROFILE, RATED, SELECTED, month_sales
+from .series import PROFILE, RATED, SELECTED, W4, month_sales
 
 rnd = lambda n, *cols: [F.round(c, n).alias(c) for c in cols]
 
@@ -55,9 +56,23 @@ def exposure(spark, path):
     return FO.exposure_model(S.exposure_features(month_sales(spark, path), I.wl(spark, path)))
 
 
-@query("FC23_exposure_model")
+_EX = ["1", "lag1", "lag2", "rolling3", "exposure", "exposure_change", "time_idx"]
+_GOOD = " AND ".join(f"{c} IS NOT NULL" for c in ["actual", *_EX[1:]])
+block("b_exf", W4.replace("round(CASE WHEN count(actual) OVER p >= 2 THEN avg(actual) OVER p END, 6)", "CASE WHEN count(actual) OVER p >= 2 THEN avg(actual) OVER p END"))
+block("b_exfit", f"""SELECT part_number, month, actual, exposure, greatest({' + '.join(f'w_{i} * {c}' for i, c in enumerate(_EX))}, 0) AS expected,
+ w_4 * (exposure - usual) + w_5 * exposure_change AS contribution FROM ({M.solved_sql(
+    f"(SELECT *, avg(CASE WHEN {_GOOD} THEN exposure END) OVER (PARTITION BY part_number ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual FROM b_exf)",
+    _EX, "actual", _GOOD, "PARTITION BY part_number ORDER BY month", [0.0] + [1.0] * 6)}) WHERE {_GOOD} AND time_idx >= 5 AND rows >= 5""")
+
+
+@query("FC23_exposure_model", """WITH s AS (SELECT part_number, sum(abs(expected - actual)) / nullif(sum(actual), 0) AS wape, max_by({'m': month, 'a': actual, 'x': exposure, 'e': expected, 'c': contribution}, month) AS l FROM b_exfit GROUP BY 1),
+t AS (SELECT part_number, max(month) AS latest, max_by(p, month) AS previous FROM (SELECT *, lag(exposure) OVER (PARTITION BY part_number ORDER BY month) AS p FROM b_exf) GROUP BY 1)
+SELECT part_number, round(l.x, 4) AS latest_exposure, round((l.x - previous) / nullif(previous, 0) * 100, 4) AS exposure_delta_pct, round(l.e, 3) AS expected, round(wape, 4) AS wape,
+ round((l.a - l.e) / nullif(l.e, 0) * 100, 2) AS residual_pct, round(l.c, 2) AS contribution,
+ CASE WHEN wape IS NULL THEN 'Unavailable' WHEN wape <= 0.2 THEN 'Strong' WHEN wape <= 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength
+FROM s JOIN t USING (part_number) WHERE l.m = latest""")
 def fc23(spark, path):
-    return exposure(spark, path)
+    return exposure(spark, path).select("part_number", *rnd(4, "latest_exposure", "exposure_delta_pct"), *rnd(3, "expected"), *rnd(4, "wape"), *rnd(2, "residual_pct", "contribution"), "strength")
 
 
 @query("FC21_alerts")
@@ -75,11 +90,6 @@ def model_series(spark, path):
     return S.pack(f, ["model_key"], F.col("quantity"), end="2001-10")
 
 
-@query("FC25_driver_coefficients")
-def fc25(spark, path):
-    return FO.coefficient_rows(FO.driver_forecast(model_series(spark, path), I.cal(spark, path), 3), ["model_key"])
-
-
 @query("F14_series_days", """WITH c AS (SELECT CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, working_days AS w FROM b_cal WHERE month < '2001-01'),
 x AS (SELECT part_number, start_ord + i AS o FROM b_pser, range(0, 200) t(i) WHERE i < n + 12)
 SELECT part_number, round(sum(coalesce(c.w, y.w)), 5) AS days FROM x LEFT JOIN c USING (o) LEFT JOIN (SELECT o % 12 AS m, avg(w) AS w FROM c GROUP BY 1) y ON y.m = x.o % 12 GROUP BY 1""")
@@ -100,6 +110,31 @@ block("b_mser", """SELECT e.model_key, CAST(min(e.o) AS INT) AS start_ord, list(
  LEFT JOIN (SELECT model_key, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, sum(quantity) AS q FROM b_factsraw GROUP BY ALL) m ON e.model_key = m.model_key AND e.o = m.o GROUP BY e.model_key""")
 
 
+block("b_mrows", """SELECT model_key, n, o, CAST(t AS DOUBLE) AS t, h[t + 1] AS y, (coalesce(c.w, y.w, m.w) - m.w) / greatest(m.w, 1) AS x2, m.w AS mean_days,
+ sin(2 * pi() * (o % 12 + 1) / 12) AS x3, cos(2 * pi() * (o % 12 + 1) / 12) AS x4
+FROM (SELECT model_key, n, h, t, start_ord + t AS o FROM b_mser, range(0, 400) r(t) WHERE t < n + 3 AND n >= 18) x
+LEFT JOIN (SELECT CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, working_days AS w FROM b_cal) c USING (o)
+LEFT JOIN (SELECT CAST(substr(month, 6, 2) AS INT) - 1 AS k, avg(working_days) AS w FROM b_cal GROUP BY 1) y ON y.k = x.o % 12, (SELECT avg(working_days) AS w FROM b_cal) m""")
+block("b_mfit", M.solved_sql("b_mrows", ["1", "t", "x2", "x3", "x4"], "y", "t < n", "PARTITION BY model_key ORDER BY t"))
+
+
+@query("FC25_driver_coefficients", """SELECT model_key, u.name AS name, round(u.value, 2) AS value FROM (SELECT model_key, unnest([{'name': 'intercept', 'value': w_0}, {'name': 'trend_per_month', 'value': w_1},
+ {'name': 'working_days_ratio', 'value': w_2}, {'name': 'season_sin', 'value': w_3}, {'name': 'season_cos', 'value': w_4}, {'name': 'working_day_effect', 'value': w_2 / greatest(mean_days, 1)},
+ {'name': 'seasonal_amplitude', 'value': sqrt(w_3 * w_3 + w_4 * w_4)}]) AS u FROM b_mfit WHERE t = n)""")
+def fc25(spark, path):
+    return FO.coefficient_rows(FO.driver_forecast(model_series(spark, path), I.cal(spark, path), 3), ["model_key"]).withColumn("value", F.round("value", 2))
+
+
+@query("FC25_driver_forecast", """WITH p AS (SELECT *, greatest(0, w_0 + w_1 * t + w_2 * x2 + w_3 * x3 + w_4 * x4) AS p, least(6, greatest(3, n // 4)) AS k FROM b_mfit)
+SELECT model_key, round(sum(abs(p - y)) FILTER (t >= n - k AND t < n) / nullif(sum(y) FILTER (t >= n - k AND t < n), 0), 4) AS wape,
+ round(avg(abs(p - y)) FILTER (t >= n - k AND t < n), 3) AS mae, round(max(p) FILTER (t = n), 3) AS f1, round(max(p) FILTER (t = n + 2), 3) AS f3,
+ CAST(count(*) FILTER (t >= n - k AND t < n) AS INT) AS tested FROM p GROUP BY 1""")
+def fc25b(spark, path):
+    d = FO.driver_forecast(model_series(spark, path), I.cal(spark, path), 3).filter("driver_forecast is not null")
+    return d.select("model_key", F.round("driver_wape", 4).alias("wape"), F.round("driver_mae", 3).alias("mae"), F.round(F.get("driver_forecast", 0), 3).alias("f1"),
+                    F.round(F.get("driver_forecast", 2), 3).alias("f3"), F.size("driver_outer_pred").alias("tested"))
+
+
 @query("FC26_strategy_forced", f"""SELECT model_key, i AS step, round({Q.path('h', 'seasonal_mean', 3)}[i], 5) AS value, 'forced' AS note FROM b_mser, range(1, 4) t(i)""")
 def fc26b(spark, path):
     r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="seasonal_mean", horizon=3)

@@ -64,14 +64,17 @@ def month_sales(spark, path):
     return FA.clean_sales(I.sales(spark, path), **I.YEARS)
 
 
-@query("W4_J13_exposure_features", """
+W4 = """
 WITH g AS (SELECT part_number, month, model_key, sum(quantity) AS q FROM b_sales GROUP BY ALL), w AS (SELECT month, model_key, sum(wholesale_units) AS u FROM b_wl GROUP BY ALL),
 m AS (SELECT part_number, month, sum(q) AS actual, CASE WHEN sum(q) > 0 THEN sum(u * q) / sum(q) ELSE 0 END AS exposure FROM g JOIN w USING (month, model_key) GROUP BY ALL)
 SELECT part_number, month, actual, exposure, months, lag(actual, 1) OVER w AS lag1, lag(actual, 2) OVER w AS lag2,
   round(CASE WHEN count(actual) OVER p >= 2 THEN avg(actual) OVER p END, 6) AS rolling3,
   coalesce((exposure - lag(exposure) OVER w) / nullif(lag(exposure) OVER w, 0), 0) AS exposure_change, CAST(row_number() OVER w - 1 AS DOUBLE) AS time_idx
 FROM (SELECT *, count(*) OVER (PARTITION BY part_number) AS months FROM m) WHERE months >= 7
-WINDOW w AS (PARTITION BY part_number ORDER BY month), p AS (PARTITION BY part_number ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
+WINDOW w AS (PARTITION BY part_number ORDER BY month), p AS (PARTITION BY part_number ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"""
+
+
+@query("W4_J13_exposure_features", W4)
 def w4(spark, path):
     return S.exposure_features(month_sales(spark, path), I.wl(spark, path)).withColumn("rolling3", F.round("rolling3", 6))
 
