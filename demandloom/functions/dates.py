@@ -79,5 +79,5 @@ def mixed_date(value: Column) -> Column:
         for fmt in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM", "MM/dd/yyyy", "M/d/yyyy",
                     "d MMM yyyy", "MMM d, yyyy", "MMM yyyy")
     ])
-    written = F.when(F.year(written).between(1900, 2100), written)
+    written = F.when(t.rlike("[0-9]{4}"), F.when(F.year(written).between(1900, 2100), written))      # each form has a year of four digits
     return F.when(num.isNotNull(), numeric).otherwise(written)

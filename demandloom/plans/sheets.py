@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..config import DATE_HINTS, ROLE_PATTERNS
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import facts as FA
-from ..sources import planning as P
 from ..session import materialize
+from ..sources import planning as P
+from ..sources import roles as RO
 from ..sources import sheets as SH
 from .base_sql import block
 from .registry import query
@@ -71,13 +73,101 @@ def s4(spark, path):
     return num.filter("number is not null").join(models, ["sheet", "r"], "left_semi").groupBy("sheet", "name").agg(F.sum("number").alias("total"))
 
 
-@query("S5_role_types", """SELECT 'orders' AS sheet, * FROM (VALUES ('order date', 'date'), ('item number', 'numeric'), ('status', 'text')) t(name, type)""")
+def date_sql(c: str, kind: str) -> str:
+    """A cell as a date: what functions.dates.mixed_date reads."""
+    if kind == "date":
+        return f"CAST({c} AS DATE)"
+    n = f"TRY_CAST({c} AS DOUBLE)" if kind == "numeric" else f"TRY_CAST(trim({c}) AS DOUBLE)"
+    day = lambda text: f"CAST(try_strptime({text}, '%Y%m%d') AS DATE)"
+    i = f"CAST({n} AS BIGINT)"
+    number = (f"CASE WHEN abs({n} % 1) >= 1e-9 THEN NULL WHEN {n} BETWEEN 19000101 AND 21001231 THEN {day(f'{i}::VARCHAR')} WHEN {n} BETWEEN 190001 AND 210012 THEN {day(f"{i}::VARCHAR || '01'")} "
+              f"WHEN {n} BETWEEN 1900 AND 2100 THEN {day(f"{i}::VARCHAR || '0101'")} WHEN {n} BETWEEN 20000 AND 80000 THEN DATE '1899-12-30' + {i}::INT END")
+    if kind == "numeric":
+        return number
+    written = f"try_strptime(trim({c}), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d', '%Y-%m', '%m/%d/%Y', '%d %b %Y', '%b %d, %Y', '%b %Y'])"
+    return f"CASE WHEN {n} IS NOT NULL THEN {number} WHEN year({written}) BETWEEN 1900 AND 2100 THEN CAST({written} AS DATE) END"
+
+
+def facts_sql(tables: dict[str, list[tuple[str, str]]]) -> str:
+    """Column facts of tables: {source: [(column, kind)]}; a source may name a block."""
+    hint = "(" + " OR ".join(f"list_contains(string_split(token, ' '), '{h}') OR token LIKE '%{h}%'" for h in DATE_HINTS) + ")"
+    rows = []
+    for source, columns in tables.items():
+        for i, (c, kind) in enumerate(columns):
+            d = date_sql(f'"{c}"', kind)
+            rows.append(f"""SELECT '{source}' AS source, {i} AS place, '{c}' AS "column", '{kind}' AS kind, count(*) AS rows, count(d) AS dates, coalesce(min(d) < max(d), false) AS differ,
+ count(DISTINCT year(d) * 12 + month(d)) > 2 OR count(DISTINCT day(d)) > 1 AS spread FROM (SELECT {d} AS d FROM {BLOCK_OF.get(source, source)})""")
+    return f"""SELECT *, dates >= {RO.DATE_SHARE} * rows AND differ AND ({hint} OR spread) AS date_candidate FROM (SELECT *, trim(regexp_replace(regexp_replace(lower("column"), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS token FROM ({" UNION ALL ".join(rows)}))"""
+
+
+BLOCK_OF = {"sales": "b_sales", "wholesale": "b_whrows"}
+CATALOG = {
+    "orders": [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"), ("o_totalprice", "numeric"), ("o_orderdate", "date"), ("o_orderpriority", "text")],
+    "lineitem": [(c, "numeric") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + [("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "date")],
+    "part": [("p_partkey", "numeric"), ("p_name", "text"), ("p_brand", "text"), ("p_type", "text"), ("p_size", "numeric"), ("p_retailprice", "numeric")],
+    "sales": [("sale_date", "date"), ("brand", "text"), ("model_name", "text"), ("model_code", "text"), ("model_year", "text"), ("part_number", "text"), ("part_description", "text"),
+              ("plc", "text"), ("quantity", "numeric"), ("revenue", "numeric")],
+    "wholesale": [("month", "text"), ("brand", "text"), ("model_name", "text"), ("model_code", "text"), ("channel", "text"), ("units", "numeric")],
+}
+
+
+def catalog(spark, path):
+    """The given tables and the two planning tables made of them, each with the columns it has in the catalog."""
+    given = {s: P.table(spark, path, s, *[c for c, _ in CATALOG[s]]) for s in ("orders", "lineitem", "part")}
+    return given | {"sales": P.sales(spark, path, model_year=True), "wholesale": P.wholesale_rows(spark, path)}
+
+
+block("b_colfacts", facts_sql(CATALOG))
+block("b_rolescore", """SELECT source, role, place, "column", kind, date_candidate, name_score + CASE WHEN role = 'date' AND date_candidate AND kind = 'date' THEN 4 WHEN role = 'date' AND date_candidate THEN 2
+  WHEN role IN ('installation_quantity', 'revenue') AND name_score > 0 AND kind = 'numeric' THEN 1 ELSE 0 END AS score
+ FROM (SELECT source, role, place, "column", kind, date_candidate, sum(CASE WHEN token = pattern THEN 4 WHEN ends_with(token, pattern) THEN 2 WHEN contains(token, pattern) THEN 1 ELSE 0 END) AS name_score
+  FROM b_colfacts, (VALUES """ + ", ".join(f"('{r}', '{p}')" for r, ps in ROLE_PATTERNS.items() for p in ps) + """) t(role, pattern) GROUP BY ALL)""")
+block("b_roles", """SELECT source, role, "column", score, date_candidate FROM (SELECT *, row_number() OVER (PARTITION BY source, role ORDER BY score DESC, place) AS k FROM b_rolescore WHERE score > 0) WHERE k = 1
+UNION ALL SELECT source, 'date', arg_min("column", place), 0, true FROM b_colfacts WHERE date_candidate AND source NOT IN (SELECT source FROM b_rolescore WHERE role = 'date' AND score > 0) GROUP BY source""")
+
+
+@query("S5_column_facts", 'SELECT source, place, "column", kind, rows, dates, date_candidate FROM b_colfacts')
+def s5f(spark, path):
+    return RO.column_facts(catalog(spark, path))
+
+
+@query("S5_roles", 'SELECT source, role, "column", CAST(score AS INT) AS score, date_candidate FROM b_roles')
+def s5r(spark, path):
+    return RO.roles(RO.column_facts(catalog(spark, path)))
+
+
+@query("S6_choose_source", """WITH w AS (SELECT * FROM (VALUES (0, 'orders'), (1, 'lineitem'), (2, 'part'), (3, 'sales'), (4, 'wholesale')) s(place, source), (VALUES (0, 'date'), (1, 'model'), (2, 'installation_quantity'), (3, 'revenue')) r(n, role)),
+h AS (SELECT place, w.source, count(b.role) AS held, coalesce(string_agg(CASE WHEN b.role IS NULL THEN w.role END, ',' ORDER BY n), '') AS missing FROM w
+ LEFT JOIN b_roles b ON b.source = w.source AND b.role = w.role AND (b.role <> 'date' OR b.date_candidate) GROUP BY ALL)
+SELECT CAST(place AS INT) AS place, source, CAST(held AS INT) AS held, missing, missing = '' AS complete,
+ source = (SELECT source FROM h WHERE missing = '' ORDER BY source <> 'orders', place LIMIT 1) AS chosen, contains(source, 'wholesale') AS is_wholesale FROM h""")
+def s6c(spark, path):
+    tables = catalog(spark, path)
+    found = materialize(RO.roles(RO.column_facts(tables)))
+    names = list(tables)
+    chosen, volumes = RO.choose(found, names, requested="orders", canonical="sales_data"), RO.named(names, "wholesale")
+    return RO.holding(found, names).withColumns({"chosen": F.col("source") == chosen, "is_wholesale": F.col("source").isin(*volumes)})
+
+
+@query("S5_S6_trend_by_inferred_roles", "SELECT month, sum(quantity) AS quantity FROM b_sales GROUP BY month")
+def s56(spark, path):
+    tables = {s: df for s, df in catalog(spark, path).items() if s in ("part", "sales")}
+    found = materialize(RO.roles(RO.column_facts(tables)))
+    source = RO.choose(found, list(tables))
+    r = RO.as_roles(found, source)
+    return tables[source].groupBy(D.month_of(r.date).alias("month")).agg(F.sum(r.quantity).alias("quantity"))
+
+
+@query("S5_role_types", f"""SELECT 'orders' AS sheet, name, CASE WHEN date_share >= 0.75 AND name LIKE '%date%' THEN 'date' WHEN number_share >= 0.95 THEN 'numeric' ELSE 'text' END AS type, round(date_share, 6) AS date_share, round(number_share, 6) AS number_share FROM (
+SELECT name, count(d) / count(*)::DOUBLE AS date_share, count(TRY_CAST(v AS DOUBLE)) / count(*)::DOUBLE AS number_share FROM (SELECT name, v, {date_sql('v', 'text')} AS d FROM (
+SELECT 'order date' AS name, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders UNION ALL SELECT 'item number', o_orderkey::VARCHAR FROM orders UNION ALL SELECT 'status', o_orderstatus FROM orders)) GROUP BY name)""")
 def s5(spark, path):
     o = P.table(spark, path, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
     e = F.array(F.struct(F.lit("order date").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("v")),
                 F.struct(F.lit("item number").alias("name"), F.col("o_orderkey").cast("string").alias("v")), F.struct(F.lit("status").alias("name"), F.col("o_orderstatus").alias("v")))
     d = o.select(F.lit("orders").alias("sheet"), F.col("o_orderkey").alias("r"), F.explode(e).alias("x")).select("sheet", "r", "x.*")
-    return SH.column_types(d).select("sheet", "name", "type")
+    return SH.column_types(d).select("sheet", "name", "type", F.round("date_share", 6).alias("date_share"), F.round("number_share", 6).alias("number_share"))
 
 
 @query("R1_W8_unpivot_facts", """SELECT month, brand AS anchor_brand, upper(model_name) AS model_key, string_agg(DISTINCT model_code, ' / ' ORDER BY model_code) AS model_code,
