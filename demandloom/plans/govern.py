@@ -21,8 +21,9 @@ from ..sources import sheets as SH
 from ..sources import sinks as SK
 from . import inputs as I
 from . import series_sql as Q
+from .base_sql import block
 from .evaluate import ENTITIES, PORT, anchor_series, folds_sql, metrics_sql, method_column, portfolio_rows, rounded
-from .hierarchy import CUTOFF, Center
+from .hierarchy import CUTOFF, Center, brand_forecast, part_plan
 from .registry import query
 
 
@@ -47,14 +48,59 @@ def s8(spark, path):
     return spark.read.csv(out, header=True, schema="brand string, model_name string, quantity double")
 
 
-@query("S9_S10_E14_output_run", f"SELECT entity AS brand, printf('%04d-%02d', (2001 * 12 + 9 + k) // 12, (2001 * 12 + 9 + k) % 12 + 1) AS month, round({Q.path('h', 'trailing_12_mean', 3)}[k], 5) AS value FROM b_aser, range(1, 4) t(k)")
+def series_block(rows: str) -> str:
+    """Dense monthly series per entity, to the cutoff, of rows (entity, month, v)."""
+    m = f"SELECT entity, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, sum(greatest(coalesce(v, 0), 0)) AS v FROM ({rows}) WHERE month <= '{CUTOFF}' GROUP BY ALL"
+    return f"""SELECT e.entity, CAST(min(e.o) AS INT) AS start_ord, list(coalesce(m.v, 0) ORDER BY e.o) AS h, CAST(count(*) AS INT) AS n
+FROM (SELECT entity, unnest(range(min(o), 2001 * 12 + 10)) AS o FROM ({m}) GROUP BY entity) e LEFT JOIN ({m}) m ON e.entity = m.entity AND e.o = m.o GROUP BY e.entity"""
+
+
+_PATH = lambda src: f"SELECT entity AS brand, printf('%04d-%02d', (2001 * 12 + 9 + k) // 12, (2001 * 12 + 9 + k) % 12 + 1) AS month, {Q.path('h', 'trailing_12_mean', 3)}[k] AS value FROM {src}, range(1, 4) t(k)"
+block("b_aserr", series_block("SELECT anchor_brand AS entity, month, CAST(revenue AS DOUBLE) AS v FROM b_factsraw"))
+block("b_aserw", series_block("SELECT anchor_brand AS entity, month, wholesale_units + fleet_units AS v FROM b_wl"))
+block("b_export", f"""SELECT 'quantity' AS metric, 'brand' AS level, brand, '' AS entity_key, '' AS model_name, '' AS plc, month, 'Forecast' AS forecast_type, '' AS route, value, NULL::DOUBLE AS share FROM b_brandfc
+UNION ALL SELECT 'quantity', 'model', brand, entity_key, model_name, '', month, 'Forecast', route, value, share FROM b_ma
+UNION ALL SELECT 'quantity', 'plc', brand, entity_key, model_name, plc, month, 'Forecast', route, value, share FROM b_pa
+UNION ALL SELECT 'revenue', 'brand', brand, '', '', '', month, 'Forecast', '', value, NULL FROM ({_PATH('b_aserr')})
+UNION ALL SELECT 'wholesale_quantity', 'brand', brand, '', '', '', month, 'Forecast', '', value, NULL FROM ({_PATH('b_aserw')})""")
+
+
+def output_run(spark, path, base):
+    """One immutable run: a payload for each of three metrics and the part plan, committed together. The second call reads the first's."""
+    rid = SK.run_id(path.rstrip("/").rsplit("/", 1)[-1], {"brand": ["HMA", "HMA ", ""]}, {"horizon": 3})
+
+    def build():
+        c = Center(spark, path)
+        volumes = I.wl(spark, path).select(F.col("anchor_brand").alias("brand"), "month", (F.col("wholesale_units") + F.col("fleet_units")).alias("quantity"))
+        money = c.facts.select("brand", "month", F.col("revenue").cast("double").alias("quantity"))
+        return {"forecast_quantity": SK.export_rows("quantity", {"brand": c.brand, "model": c.model, "plc": c.plc}),
+                "forecast_revenue": SK.export_rows("revenue", {"brand": brand_forecast(money)}),
+                "forecast_wholesale_quantity": SK.export_rows("wholesale_quantity", {"brand": brand_forecast(volumes)}), "part_plan": part_plan(c)}
+    SK.get_or_create_run(spark, base, rid, build, about={"horizon": 3})
+    return rid, SK.get_or_create_run(spark, base, rid, build)
+
+
+@query("S9_forecast_export", "SELECT * REPLACE (round(value, 4) AS value, round(share, 6) AS share) FROM b_export")
+def s9(spark, path):
+    base, out = folder(spark), folder(spark)
+    _, t = output_run(spark, path, base)
+    rows = t["forecast_quantity"].unionByName(t["forecast_revenue"]).unionByName(t["forecast_wholesale_quantity"])
+    SK.export_csv(rows, out, list(SK.EXPORT))
+    back = spark.read.csv(out, header=True, schema=", ".join(f"{c} {'double' if c in ('value', 'share') else 'string'}" for c in SK.EXPORT), emptyValue="")
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in SK.EXPORT if c not in ("value", "share")]
+    return back.select(*text, F.round("value", 4).alias("value"), F.round("share", 6).alias("share"))
+
+
+@query("S10_E14_output_run", """SELECT 'forecast_quantity' AS "table", count(*) AS rows, true AS intact FROM b_export WHERE metric = 'quantity' UNION ALL SELECT 'forecast_revenue', count(*), true FROM b_export WHERE metric = 'revenue'
+UNION ALL SELECT 'forecast_wholesale_quantity', count(*), true FROM b_export WHERE metric = 'wholesale_quantity' UNION ALL SELECT 'part_plan', count(*), true FROM b_pq""")
 def s10(spark, path):
     base = folder(spark)
-    rid = SK.run_id("demo", {"brand": ["HMA", "HMA ", ""]}, {"horizon": 3})
-    build = lambda: {"forecast": Center(spark, path).brand}
-    SK.get_or_create_run(spark, base, rid, build, ["forecast"])
-    t = SK.get_or_create_run(spark, base, rid, build, ["forecast"])["forecast"]
-    return t.select("brand", "month", F.round("value", 5).alias("value"))
+    rid, tables = output_run(spark, path, base)
+    said, seen = SK.manifest_rows(spark, base, rid), None
+    for name, df in tables.items():
+        one = SK.fingerprint(df).select(F.lit(name).alias("table"), F.col("fingerprint").alias("now"))
+        seen = one if seen is None else seen.unionByName(one)
+    return said.join(seen, "table").select("table", "rows", (F.col("fingerprint") == F.col("now")).alias("intact"))
 
 
 @query("S11_F23_fingerprint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,19 +58,109 @@ def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> No
     (df.select(*columns) if columns else df).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_run(base: str, rid: str, tables: dict[str, DataFrame]) -> dict[str, str]:
-    """Store the tables of one immutable run; an existing run is an error."""
-    out = {}
-    for name, df in tables.items():
-        out[name] = f"{base}/run_id={rid}/{name}"
-        df.write.mode("errorifexists").parquet(out[name])
+#: Columns of a forecast export, one row for each record and month.
+EXPORT = ("metric", "level", "brand", "entity_key", "model_name", "plc", "month", "forecast_type", "route", "value", "share")
+
+
+def export_rows(metric: str, levels: dict[str, DataFrame]) -> DataFrame:
+    """The forecast tables of one metric as export rows; columns that a level lacks are empty."""
+    out = None
+    for level, df in levels.items():
+        have = df.withColumns({"metric": F.lit(metric), "level": F.lit(level)})
+        empty = {c: F.lit(None).cast("double") if c in ("value", "share") else F.lit("") for c in EXPORT}
+        rows = have.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in have.columns and c not in ("value", "share") else
+                             F.col(c).cast("double").alias(c) if c in have.columns else empty[c].alias(c) for c in EXPORT])
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def get_or_create_run(spark: SparkSession, base: str, rid: str, build: Callable[[], dict[str, DataFrame]], names: list[str]) -> dict[str, DataFrame]:
-    """Tables of a run, reused when they are all there."""
-    found = {n: _read(spark, f"{base}/run_id={rid}/{n}") for n in names}
-    if any(v is None for v in found.values()):
-        write_run(base, rid, build())
-        found = {n: spark.read.parquet(f"{base}/run_id={rid}/{n}") for n in names}
-    return found
+# --- immutable runs -------------------------------------------------------------------------
+#
+# base/run_id=<id>/attempt=<unique>/<table>/   the tables, written by one writer
+# base/run_id=<id>/manifest.json               written last and never replaced; names the attempt that counts
+#
+# A run is what its manifest says. An attempt without one is nobody's: a killed writer leaves it behind, and a second writer that
+# finds a manifest removes its own.
+
+def _fs(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def _seal(body: str) -> str:
+    return hashlib.sha256(body.encode()).hexdigest()
+
+
+def manifest(spark: SparkSession, base: str, rid: str) -> dict | None:
+    """What the run's manifest says; None where there is none or its writing was not finished."""
+    path, fs = _fs(spark, f"{base}/run_id={rid}/manifest.json")
+    if not fs.exists(path):
+        return None
+    lines = [r.value for r in spark.read.text(path.toString()).collect()]              # two lines
+    return json.loads(lines[0]) if len(lines) == 2 and _seal(lines[0]) == lines[1] else None
+
+
+def _commit(spark: SparkSession, base: str, rid: str, body: dict) -> bool:
+    """Write the manifest if there is none. Creating a file that must not exist yet is one step for the file system, so of two
+    writers one succeeds; an unfinished manifest, of a writer that died at it, is replaced."""
+    path, fs = _fs(spark, f"{base}/run_id={rid}/manifest.json")
+    text = json.dumps(body, sort_keys=True)
+    over = fs.exists(path) and manifest(spark, base, rid) is None
+    try:
+        out = fs.create(path, over)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(f"{text}\n{_seal(text)}\n".encode()))
+    out.close()
+    return True
+
+
+def open_run(spark: SparkSession, base: str, rid: str, verify: bool = False) -> dict[str, DataFrame] | None:
+    """The tables of a committed run; None where there is none. With ``verify`` their content must be what was committed."""
+    m = manifest(spark, base, rid)
+    if m is None:
+        return None
+    tables = {t: spark.read.parquet(f"{base}/run_id={rid}/{m['attempt']}/{t}") for t in m["tables"]}
+    if verify:
+        for t, df in tables.items():
+            if fingerprint(df).first().fingerprint != m["tables"][t]["fingerprint"]:
+                raise ValueError(f"table {t} of run {rid} is not what was committed")
+    return tables
+
+
+def get_or_create_run(spark: SparkSession, base: str, rid: str, build: Callable[[], dict[str, DataFrame]], about: dict | None = None) -> dict[str, DataFrame]:
+    """Tables of an immutable run: those of its manifest, or built, written under an own attempt and committed together.
+
+    However many writers start, all return the tables of the one that committed. ``about`` is kept in the manifest.
+    """
+    found = open_run(spark, base, rid)
+    if found is not None:
+        return found
+    attempt, said = f"attempt={uuid.uuid4().hex}", {}
+    place = f"{base}/run_id={rid}/{attempt}"
+    for name, df in build().items():
+        df.write.mode("errorifexists").parquet(f"{place}/{name}")
+        f = fingerprint(spark.read.parquet(f"{place}/{name}")).first()
+        said[name] = {"fingerprint": f.fingerprint, "rows": f.row_count}
+    if not _commit(spark, base, rid, {"run_id": rid, "attempt": attempt, "tables": said, "about": about or {}, "contract": CONTRACT}):
+        path, fs = _fs(spark, place)
+        fs.delete(path, True)
+    return open_run(spark, base, rid)
+
+
+def attempts_left(spark: SparkSession, base: str, rid: str) -> list[str]:
+    """Attempts of a run that its manifest does not name: leftovers, or writers at work."""
+    path, fs = _fs(spark, f"{base}/run_id={rid}")
+    own = (manifest(spark, base, rid) or {}).get("attempt")
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n for n in names if n.startswith("attempt=") and n != own)
+
+
+def manifest_rows(spark: SparkSession, base: str, rid: str) -> DataFrame:
+    """(table, rows, fingerprint) as the manifest has them."""
+    m = manifest(spark, base, rid)
+    return spark.createDataFrame([(t, v["rows"], v["fingerprint"]) for t, v in sorted(m["tables"].items())], "table string, rows bigint, fingerprint string")
