@@ -63,12 +63,12 @@ class _Index:
             found.make_automaton()
         return found
 
-    def overlap(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(questions, shared words) of the questions that share a word."""
+    def overlap(self, words: list[str]) -> np.ndarray:
+        """Shared words with each question."""
         known = [self.number[w] for w in words if w in self.number]
         if not known:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.unique(np.concatenate([self.owner[self.start[k]:self.start[k + 1]] for k in known]), return_counts=True)
+            return np.zeros(len(self.ids), np.int64)
+        return np.bincount(np.concatenate([self.owner[self.start[k]:self.start[k + 1]] for k in known]), minlength=len(self.ids))
 
 
 def _streamed(index, limit: int, kind):
@@ -86,30 +86,25 @@ def _streamed(index, limit: int, kind):
                 mine = words[i].as_py()
                 if base + 2.0 * min(len(mine), q.most) + 3.0 <= floor.min(initial=np.inf):
                     continue                                   # can beat no question's last
-                score = np.zeros(n) if cols["always"][i] else None
-                who, shared = q.overlap(mine)
-                focus = {t: at for _, (t, at) in terms.iter(cols["low"][i])} if q.focus else {}
-                hit = np.concatenate(list(focus.values())) if focus else np.zeros(0, np.int64)
-                if score is None:
-                    at = np.union1d(who, hit) if len(hit) else who
-                    score = np.zeros(len(at))
-                    score[np.searchsorted(at, who)] = 2.0 * shared
-                    score[np.searchsorted(at, hit)] += 3.0
-                else:
-                    at = np.arange(n)
-                    score[who] = 2.0 * shared
-                    score[hit] += 3.0
-                score = np.round(score + base, 2)
-                wins = np.flatnonzero((score > floor[at]) & (score > 0))
+                shared = q.overlap(mine)
+                raw = 2.0 * shared + base
+                able = shared > 0
+                if q.focus:
+                    for at in {t: who for _, (t, who) in terms.iter(cols["low"][i])}.values():
+                        raw[at] += 3.0
+                        able[at] = True
+                wins = np.flatnonzero((raw > floor - 0.005) & (able | cols["always"][i]))
+                score = np.round(raw[wins], 2)
+                better = (score > floor[wins]) & (score > 0)
+                wins, score = wins[better], score[better]
                 if not len(wins):
                     continue
                 seen.append([cols[c][i] for c in ("snippet_id", "title", "priority")])
-                for k, v in zip(at[wins].tolist(), score[wins].tolist(), strict=True):
-                    # among equal lowest scores the one that came last leaves
-                    low = best[k] == best[k].min()
-                    j = int(np.argmax(np.where(low, held[k], -2)))
-                    best[k, j], held[k, j] = v, len(seen) - 1
-                    floor[k] = best[k].min()
+                # among equal lowest scores the one that came last leaves
+                own = best[wins]
+                j = np.where(own == own.min(1, keepdims=True), held[wins], -2).argmax(1)
+                best[wins, j], held[wins, j] = score, len(seen) - 1
+                floor[wins] = best[wins].min(1)
         k, j = np.nonzero(held >= 0)
         rows = held[k, j].tolist()
         yield pa.RecordBatch.from_arrays([
