@@ -1,12 +1,14 @@
 """Queries: sinks, run identity, evidence, learned challengers, smoothing grid (S7-S11, E11-E17, M*, FC32, H8, H11, A21, A30, A32, P7)."""
 
 import uuid
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from ..config import BacktestContract
 from ..functions import forecast as FC
 from ..functions import text as T
+from ..operators import center as CC
 from ..operators import challengers as CH
 from ..operators import evaluate as EV
 from ..operators import explore as X
@@ -14,8 +16,9 @@ from ..operators import facts as FA
 from ..operators import forecasting as FO
 from ..operators import hierarchy as HI
 from ..operators import ml as ML
+from ..operators import series as S
 from ..operators import smoothing as SM
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources import planning as P
 from ..sources import sheets as SH
 from ..sources import sinks as SK
@@ -23,7 +26,7 @@ from . import inputs as I
 from . import series_sql as Q
 from .base_sql import block
 from .evaluate import ENTITIES, PORT, anchor_series, folds_sql, metrics_sql, method_column, portfolio_rows, rounded
-from .hierarchy import CUTOFF, Center, brand_forecast, part_plan
+from .hierarchy import CO, CUTOFF, MODEL, PLC, Center, alloc_blocks, brand_forecast, part_plan
 from .registry import query
 
 
@@ -321,3 +324,61 @@ def h11(spark, path):
         F.lit("lifecycle").alias("section"), F.col("status_code").alias("name"), F.col("n").cast("string").alias("value"))
     anchors = FA.anchor_policy_summary(f).select(F.lit("anchors").alias("section"), F.col("anchor_method").alias("name"), F.col("share_pct").cast("string").alias("value"))
     return one(FA.fact_summary(f), "facts", ["row_count", "month_count", "total_quantity", "exact_quantity_pct"]).unionByName(life).unionByName(anchors)
+
+
+# --- the forecast center as one cube ------------------------------------------------------------
+
+block("b_brandrev", f"""SELECT entity AS brand, printf('%04d-%02d', ({CO} + k) // 12, ({CO} + k) % 12 + 1) AS month, {CO} + k AS o, {Q.path('h', 'trailing_12_mean', 3)}[k] AS value FROM b_aserr, range(1, 4) t(k)""")
+alloc_blocks("mr", MODEL, ["brand"], "b_brandrev", "revenue")
+alloc_blocks("pv", PLC, MODEL, "b_mr", "revenue")
+
+
+class RevenueCenter(Center):
+    """The levels of a run whose brands are forecast in revenue."""
+
+    @cached_property
+    def brand(self):
+        return materialize(brand_forecast(self.facts.select("brand", "month", F.col("revenue").cast("double").alias("quantity"))))
+
+
+def center_cube(spark, path, c, value):
+    latest = I.sales(spark, path).agg(F.max("sale_date").alias("latest_date"))
+    plain = c.brand.select("brand", "horizon", "month", "value")
+    now = FO.nowcast(plain, c.facts, latest, c.cal, value=value)
+    series = S.pack(c.facts, ["brand"], F.col(value).cast("double"), end=CUTOFF)
+    bounds = EV.intervals(now.select("brand", "horizon", "month", F.col("value").alias("point")), EV.folds(series, ["brand"], "trailing_12_mean"), ["brand"])
+    actual = c.facts.filter(F.col("month") <= CUTOFF).groupBy(*CC.LEAF, "month").agg(F.sum(F.col(value).cast("double")).alias("value"))
+    return CC.cube(actual, c.plc, now, bounds.select("brand", "month", "lower", "upper", "status"))
+
+
+def center_sql(column, series, brands, leaves):
+    ks = ", ".join(CC.LEAF)
+    sets = ", ".join("(" + ", ".join(["surface", "month", *keys]) + ")" for keys in CC.LEVELS.values())
+    level = "CASE GROUPING(" + ks + ") " + " ".join(f"WHEN {CC._level_code(keys)} THEN '{name}'" for name, keys in CC.LEVELS.items()) + " END"
+    return f"""WITH d AS (SELECT max(sale_date) AS d FROM b_sales),
+n AS (SELECT strftime(d, '%Y-%m') AS now_month, d < last_day(d) AS open, (SELECT count(*) FROM range(1, 32) t(i) WHERE i <= day(d) AND isodow(CAST(strftime(d, '%Y-%m') || '-01' AS DATE) + (i - 1)::INT) <= 5) / (SELECT working_days FROM b_cal WHERE month = strftime(d, '%Y-%m')) AS completion FROM d),
+m AS (SELECT brand, month, sum({column}) AS atd FROM b_hf GROUP BY ALL),
+w AS (SELECT f.brand, f.month, f.o - {CO} AS horizon, f.value AS baseline, CASE WHEN f.month = now_month AND open THEN 'nowcast' ELSE 'forecast' END AS surface,
+  CASE WHEN f.month = now_month AND open THEN greatest(0, coalesce(atd, 0) + (1 - completion) * f.value) ELSE f.value END AS nv FROM {brands} f CROSS JOIN n LEFT JOIN m ON f.brand = m.brand AND f.month = m.month),
+fo AS ({folds_sql(series, 'entity', 'trailing_12_mean')}),
+r AS (SELECT w.brand, w.month, list_sort(list(abs(fo.actual - fo.prediction))) AS rs, count(*) AS k FROM w JOIN fo ON fo.entity = w.brand AND fo.horizon = w.horizon AND fo.target_month < w.month GROUP BY ALL),
+b AS (SELECT w.*, coalesce(k, 0) >= 5 AS validated, greatest(0, nv - coalesce(rs[ceil(0.9::DOUBLE * (k - 1))::INT + 1], 0)) AS lo, nv + coalesce(rs[ceil(0.9::DOUBLE * (k - 1))::INT + 1], 0) AS hi FROM w LEFT JOIN r USING (brand, month)),
+l AS (SELECT surface, {', '.join('p.' + k for k in CC.LEAF)}, p.month, p.value * CASE WHEN baseline > 0 THEN nv / baseline ELSE 0 END AS v, nv, lo, hi, validated FROM {leaves} p JOIN b USING (brand, month)),
+x AS (SELECT 'actual' AS surface, {ks}, month, sum({column}) AS value, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, NULL::BOOLEAN AS validated FROM b_hf WHERE month <= '{CUTOFF}' GROUP BY ALL
+ UNION ALL SELECT surface, {ks}, month, v, least(v, greatest(0, lo * CASE WHEN nv > 0 THEN v / nv ELSE 0 END)), greatest(v, hi * CASE WHEN nv > 0 THEN v / nv ELSE 0 END), validated FROM l)
+SELECT surface, {level} AS level, {', '.join(f"coalesce({k}, '') AS {k}" for k in CC.LEAF)}, month, CASE WHEN surface = 'actual' THEN round(sum(value), 5) ELSE round(sum(value), 3) END AS value, round(sum(lower), 3) AS lower, round(sum(upper), 3) AS upper, bool_and(validated) AS validated, count(*) AS leaves
+FROM x GROUP BY GROUPING SETS ({sets})"""
+
+
+#: Actuals are sums of four decimals, which rounding to three would leave to chance.
+_cells = lambda df: df.withColumns({k: F.when(F.col("surface") == "actual", F.round(k, 5)).otherwise(F.round(k, 3)) for k in ("value", "lower", "upper")})
+
+
+@query("H8_center_quantity", center_sql("quantity", "b_aser", "b_brandfc", "b_pa"))
+def h8q(spark, path):
+    return _cells(center_cube(spark, path, Center(spark, path), "quantity"))
+
+
+@query("H8_center_revenue", center_sql("revenue", "b_aserr", "b_brandrev", "b_pv"))
+def h8r(spark, path):
+    return _cells(center_cube(spark, path, RevenueCenter(spark, path, "revenue"), "revenue"))
