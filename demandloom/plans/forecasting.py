@@ -99,12 +99,6 @@ def f14(spark, path):
     return d.select("part_number", F.round(FC.asum(F.col("day_list")), 5).alias("days"))
 
 
-@query("FC26_strategy_auto")
-def fc26(spark, path):
-    r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="auto", horizon=3)
-    return r.select("model_key", F.col("pick_model").alias("model"), "note", F.col("pick_wape").alias("wape"), F.col("ev_model").alias("outer_model"), F.col("ev_wape").alias("outer_wape"))
-
-
 block("b_mser", """SELECT e.model_key, CAST(min(e.o) AS INT) AS start_ord, list(coalesce(m.q, 0) ORDER BY e.o) AS h, CAST(count(*) AS INT) AS n FROM
  (SELECT model_key, unnest(range(min(o), 2001 * 12 + 10)) AS o FROM (SELECT model_key, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o FROM b_factsraw WHERE month <= '2001-10') GROUP BY 1) e
  LEFT JOIN (SELECT model_key, CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, sum(quantity) AS q FROM b_factsraw GROUP BY ALL) m ON e.model_key = m.model_key AND e.o = m.o GROUP BY e.model_key""")
@@ -135,6 +129,24 @@ def fc25b(spark, path):
                     F.round(F.get("driver_forecast", 2), 3).alias("f3"), F.size("driver_outer_pred").alias("tested"))
 
 
+_AUTO_OUTER = OUTER.replace("b_pser", "hs").replace("SELECT part_number, b.model AS backtest_model,", "SELECT part_number, b.wape AS chosen_wape, b.model AS backtest_model,", 1)
+
+
+@query("FC26_strategy_auto", f"""WITH hs AS (SELECT model_key AS part_number, start_ord, h, n FROM b_mser), o AS ({_AUTO_OUTER}), s AS (SELECT model_key, {Q.select_best('h')} AS b FROM b_mser),
+f AS (SELECT *, n - hold AS split, least(6, greatest(3, (n - hold) // 4)) AS inner_hold FROM (
+ SELECT model_key, n, t, y, greatest(0, w_0 + w_1 * t + w_2 * x2 + w_3 * x3 + w_4 * x4) AS p, least(6, greatest(3, n // 4)) AS hold FROM b_mfit WHERE t >= 12 AND t < n)),
+d AS (SELECT model_key, sum(abs(p - y)) FILTER (t >= split) / nullif(sum(y) FILTER (t >= split), 0) AS wape, CASE WHEN sum(y) FILTER (t >= split) > 0 THEN sum(abs(p - y)) FILTER (t >= split) / sum(y) FILTER (t >= split) END AS outer_wape,
+ CASE WHEN any_value(split) >= 18 THEN sum(abs(p - y)) FILTER (t >= split - inner_hold AND t < split) / nullif(sum(y) FILTER (t >= split - inner_hold AND t < split), 0) END AS split_wape FROM f GROUP BY 1),
+j AS (SELECT s.model_key, b, d.* EXCLUDE (model_key), o.backtest_model, CASE WHEN list_sum(act) > 0 THEN list_sum(list_transform(o.p, lambda x, i: abs(x - act[i]))) / list_sum(act) END AS base_outer,
+ d.model_key IS NOT NULL AND (b.wape IS NULL OR coalesce(d.wape < b.wape, false)) AS better, split_wape IS NOT NULL AND (chosen_wape IS NULL OR split_wape < chosen_wape) AS outer_better
+ FROM s LEFT JOIN d USING (model_key) LEFT JOIN o ON o.part_number = s.model_key)
+SELECT model_key, CASE WHEN better THEN 'driver_adjusted_regression' ELSE b.model END AS model, CASE WHEN better THEN 'driver' ELSE 'baseline' END AS note, round(CASE WHEN better THEN wape ELSE b.wape END, 4) AS wape,
+ CASE WHEN outer_better THEN 'driver_adjusted_regression' ELSE backtest_model END AS outer_model, round(CASE WHEN outer_better THEN outer_wape ELSE base_outer END, 4) AS outer_wape FROM j""")
+def fc26(spark, path):
+    r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="auto", horizon=3)
+    return r.select("model_key", F.col("pick_model").alias("model"), "note", F.round("pick_wape", 4).alias("wape"), F.col("ev_model").alias("outer_model"), F.round("ev_wape", 4).alias("outer_wape"))
+
+
 @query("FC26_strategy_forced", f"""SELECT model_key, i AS step, round({Q.path('h', 'seasonal_mean', 3)}[i], 5) AS value, 'forced' AS note FROM b_mser, range(1, 4) t(i)""")
 def fc26b(spark, path):
     r = FO.resolve(model_series(spark, path), I.cal(spark, path), strategy="seasonal_mean", horizon=3)
