@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- fixed values: these must equal the published rules for right results -----
 MONTH_NUMBERS = {
@@ -77,9 +77,10 @@ REGIME_PRIORITY = {"structural_drop": 0.45, "structural_ramp": 0.4, "declining":
 # --- end of fixed values -------------------------------------------------------
 
 
+# --- fixed values: the policy of anchors ---
 @dataclass(frozen=True)
 class AnchorPolicy:
-    """How a company label becomes one of the governed anchors (fixed values)."""
+    """How a company label becomes one of the governed anchors."""
 
     anchors: tuple[str, ...] = ("HMA", "GMA", "KUS")
     # ordered (anchor, words looked for in the label, source letter that also decides)
@@ -97,6 +98,7 @@ class AnchorPolicy:
     letter_method: str = "source_brand_kus"
     prefix_method: str = "genesis_name_fallback"
     default_method: str = "hma_default_fallback"
+# --- end of fixed values ---
 
 
 @dataclass(frozen=True)
@@ -143,13 +145,3 @@ class Roles:
     plc: str = "plc"
     quantity: str = "quantity"
     revenue: str = "revenue"
-
-
-@dataclass(frozen=True)
-class Thresholds:
-    latest_month_completeness: float = 0.90
-    reconciliation_tolerance: float = 0.01
-    facet_max_distinct: int = 40
-    nominal_coverage: float = 0.90
-    minimum_residuals: int = 5
-    extra: dict = field(default_factory=dict)

@@ -40,6 +40,8 @@ _MEMO: dict = {}
 def memo(key: tuple, build):
     """Reuse a large expression over named columns: building one takes thousands of small calls."""
     app = SparkSession.active().sparkContext.applicationId
+    for old in [k for k in _MEMO if k[0] != app]:                # expressions of a session that ended
+        del _MEMO[old]
     if (app, key) not in _MEMO:
         _MEMO[(app, key)] = build()
     return _MEMO[(app, key)]

@@ -169,10 +169,12 @@ def first_finite(*cols: Column) -> Column:
     return F.coalesce(*[ok(c) for c in cols])
 
 
-# --- words (fixed stop-word list) ---------------------------------------------------
+# --- words ---------------------------------------------------------------------------
 
+# fixed values: words that say nothing about a text
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "me",
               "month", "of", "on", "or", "part", "show", "that", "the", "this", "to", "what", "why", "with")
+# end of fixed values
 
 
 def tokens(c) -> Column:

@@ -141,6 +141,7 @@ def median_of(a: Column) -> Column:
 
 # --- facets and pivots -------------------------------------------------------------
 
+# fixed values: facets with their limits
 FACETS = (("brand", 25, True), ("model", 80, True), ("model_year", 20, False), ("part", 120, True))
 
 
@@ -310,6 +311,7 @@ def column_profile(df: DataFrame, types: dict[str, str]) -> DataFrame:
         F.coalesce("samples", F.lit("")).alias("samples"))
 
 
+# fixed values: groups of fields
 FIELD_GROUPS = {"date": "Time", "brand": "Vehicle", "model": "Vehicle", "model_year": "Vehicle", "part_number": "Part",
                 "part_description": "Part", "plc": "Part", "installation_quantity": "Quantity", "revenue": "Revenue"}
 

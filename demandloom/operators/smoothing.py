@@ -15,6 +15,7 @@ from ..functions import forecast as FC
 from . import evaluate as EV
 
 SEASON = 12
+# fixed values: names of the grid's settings
 # name, trend, damped, seasonal
 STRUCTURES = (("ses", False, False, False), ("holt_add", True, False, False), ("holt_damped_add", True, True, False),
               ("hw_add_add", True, False, True), ("hw_damped_add_add", True, True, True))
@@ -22,6 +23,7 @@ INITS = ("estimated", "heuristic", "legacy-heuristic")
 TRANSFORMS = ("raw", "log1p", "boxcox")
 WINDOWS = ("expanding", "rolling_24", "rolling_30", "rolling_36")
 PREPROCESSING = ("raw", "anomaly_softened", "robust_winsorized")
+# end of fixed values
 #: Candidates without a search: (id, baseline method, complexity).
 FIXED = (("repository_ets_additive__raw__expanding__raw", "ets_additive", 4), ("legacy_damped_trend__raw__expanding__raw", "damped_trend", 3))
 #: The candidate that the governed portfolio uses for its first anchor.
