@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ def intent(c) -> Column:
 
 #: Words of questions in one broadcast index (about 30 bytes each); further questions go to further indexes.
 MOST_POSTINGS = 1_000_000
+_WORD = re.compile("[a-z0-9_]+")
+#: Longest snippets that are scored first, in one task, to bound what can win.
+SEEDS = 128
 
 
 def _question_blocks(questions: DataFrame, most: int, depth: int = 0) -> list[DataFrame]:
@@ -38,64 +43,99 @@ def _question_blocks(questions: DataFrame, most: int, depth: int = 0) -> list[Da
 
 
 class _Index:
-    """Questions by word and by focus term, as arrays that travel to the tasks."""
+    """Questions as arrays that travel to the tasks: postings of each word, and the words of each question from rare to frequent.
+
+    A posting's ``slack`` is the number of words its question has from that word on, in that order. A snippet that shares k words
+    with a question shares one whose slack is k or more, so postings of less slack can be skipped once k words are needed to win.
+    """
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, top_base: float):
         self.ids = [r.question_id for r in rows]
         words = sorted({w for r in rows for w in r.words})
         self.number = {w: i for i, w in enumerate(words)}
         at = np.array([self.number[w] for r in rows for w in r.words], np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r.words) for r in rows])
-        order = np.argsort(at, kind="stable")
-        self.owner, self.start = owner[order], np.searchsorted(at[order], np.arange(len(words) + 1))
-        self.most = max((len(r.words) for r in rows), default=0)
-        self.focus: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            if r.focus:
-                self.focus.setdefault(r.focus, []).append(i)
-
-    def terms(self):
+        size = np.array([len(r.words) for r in rows], np.int64)
+        owner = np.repeat(np.arange(len(rows)), size)
+        order = np.lexsort((at, np.bincount(at, minlength=len(words))[at], owner))
+        self.words_of, self.first = at[order], np.concatenate([[0], np.cumsum(size)])
+        slack = self.first[owner + 1] - np.arange(len(at))
+        by = np.argsort(self.words_of, kind="stable")
+        self.word, self.owner, self.slack = self.words_of[by], owner[by], slack[by]
+        self.most = int(size.max(initial=0))
+        self.top = np.ceil(round(top_base * 100, 6)) / 100
+        self.terms = sorted({r.focus for r in rows if r.focus})
+        at_term = {t: i for i, t in enumerate(self.terms)}
+        self.term_of = np.array([at_term.get(r.focus, -1) for r in rows], np.int64)
+
+    def automaton(self):
         """All focus terms as one automaton: a text is read once, whatever their number."""
         found = ahocorasick.Automaton()
-        for t, who in self.focus.items():
-            found.add_word(t, (t, np.array(who)))
-        if self.focus:
+        for i, t in enumerate(self.terms):
+            found.add_word(t, i)
+        if self.terms:
             found.make_automaton()
         return found
 
-    def overlap(self, words: list[str]) -> np.ndarray:
-        """Shared words with each question."""
-        known = [self.number[w] for w in words if w in self.number]
-        if not known:
-            return np.zeros(len(self.ids), np.int64)
-        return np.bincount(np.concatenate([self.owner[self.start[k]:self.start[k + 1]] for k in known]), minlength=len(self.ids))
+    def least(self, floor: np.ndarray) -> np.ndarray:
+        """Words that a snippet must share with each question to beat its ``floor``, with the highest base and the focus term on its side."""
+        gap = np.maximum(floor, -1e6) - self.top - 3.0 * (self.term_of >= 0)
+        return np.maximum(1, np.floor(np.round(gap, 2) / 2) + 1)
+
+    def postings(self, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owners by word, start of each word) of the postings that can still lead to a winner."""
+        live = self.slack >= self.least(floor)[self.owner]
+        return self.owner[live], np.searchsorted(self.word[live], np.arange(len(self.number) + 1))
+
+    def shared(self, who: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """Words of each question of ``who`` that are marked in ``has``."""
+        size = self.first[who + 1] - self.first[who]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[who] - ends + size, size)
+        total = np.concatenate([[0], np.cumsum(has[self.words_of[at]])])
+        return total[ends] - total[ends - size]
 
 
-def _streamed(index, limit: int, kind):
+def _streamed(index, floors, limit: int, kind, always: frozenset = frozenset(), scored: list | None = None):
     """A pass of snippets, which come in the order that settles ties, over an index of questions: each task keeps the best few of a
-    question, so that a snippet enters only if it beats the last of them."""
+    question. ``floors`` holds scores that a winner must exceed; they rise with the last of the best few, and postings that lead to no
+    winner any more are left out. ``always`` names snippets that may win without a shared word; ``scored``, in tests, takes the number of
+    pairs scored for each snippet."""
     def search(batches):
         q: _Index = index.value
-        terms = q.terms()
-        n = len(q.ids)
-        best, held = np.full((n, limit), -np.inf), np.full((n, limit), -1, np.int64)
-        floor, seen = np.full(n, -np.inf), []
+        terms, n = q.automaton(), len(q.ids)
+        floor = np.array(floors.value, float)
+        best, held, seen = np.full((n, limit), -np.inf), np.full((n, limit), -1, np.int64), []
+        has = np.zeros(len(q.number), bool)
         for b in batches:
-            words, cols = b.column("words"), {c: b.column(c).to_pylist() for c in ("snippet_id", "title", "priority", "base_score", "always", "low")}
+            owner, start = q.postings(floor)
+            cols = {c: b.column(c).to_pylist() for c in ("snippet_id", "title", "priority", "base_score", "low")}
+            eager = (q.term_of >= 0) & (np.round(floor - q.top, 2) < 3)                  # the focus term alone may win
             for i, base in enumerate(cols["base_score"]):
-                mine = words[i].as_py()
-                if base + 2.0 * min(len(mine), q.most) + 3.0 <= floor.min(initial=np.inf):
+                low, free = cols["low"][i], cols["snippet_id"][i] in always
+                known = np.array([q.number[w] for w in set(_WORD.findall(low)) if w in q.number], np.int64)
+                if base + 2.0 * min(len(known), q.most) + 3.0 <= floor.min(initial=np.inf):
                     continue                                   # can beat no question's last
-                shared = q.overlap(mine)
-                raw = 2.0 * shared + base
-                able = shared > 0
-                if q.focus:
-                    for at in {t: who for _, (t, who) in terms.iter(cols["low"][i])}.values():
-                        raw[at] += 3.0
-                        able[at] = True
-                wins = np.flatnonzero((raw > floor - 0.005) & (able | cols["always"][i]))
-                score = np.round(raw[wins], 2)
-                better = (score > floor[wins]) & (score > 0)
+                lists = [owner[start[k]:start[k + 1]] for k in known[start[known + 1] > start[known]].tolist()]
+                if free:
+                    lists = [np.arange(n)]
+                elif eager.any():
+                    hit = np.zeros(len(q.terms) + 1, bool)
+                    hit[[t for _, t in terms.iter(low)]] = True
+                    lists.append(np.flatnonzero(eager & hit[q.term_of]))
+                if not lists:
+                    continue
+                wins = np.unique(np.concatenate(lists))
+                has[known] = True
+                common = q.shared(wins, has)
+                has[known] = False
+                if scored is not None:
+                    scored.append(len(wins))
+                raw = 2.0 * common + base
+                close = (raw + 3.0 > floor[wins] - 0.005) & (q.term_of[wins] >= 0)
+                asked = q.term_of[wins]
+                with_term = np.isin(asked, [t for t in np.unique(asked[close]).tolist() if q.terms[t] in low]) & close
+                score = np.round(raw + 3.0 * with_term, 2)
+                better = (score > floor[wins]) & (score > 0) & ((common > 0) | with_term | free)
                 wins, score = wins[better], score[better]
                 if not len(wins):
                     continue
@@ -104,7 +144,7 @@ def _streamed(index, limit: int, kind):
                 own = best[wins]
                 j = np.where(own == own.min(1, keepdims=True), held[wins], -2).argmax(1)
                 best[wins, j], held[wins, j] = score, len(seen) - 1
-                floor[wins] = best[wins].min(1)
+                floor[wins] = np.maximum(floor[wins], best[wins].min(1))
         k, j = np.nonzero(held >= 0)
         rows = held[k, j].tolist()
         yield pa.RecordBatch.from_arrays([
@@ -113,30 +153,47 @@ def _streamed(index, limit: int, kind):
     return search
 
 
+def _floors(index: _Index, found: list, limit: int) -> np.ndarray:
+    """Scores that winners exceed, from (question_id, score) of ``limit`` or more different snippets: the worst of them, less one step."""
+    out = np.full(len(index.ids), -np.inf)
+    per: dict = {}
+    for r in found:
+        per.setdefault(r.question_id, []).append(r.score)
+    for i, q in enumerate(index.ids):
+        scores = sorted(per.get(q, []), reverse=True)
+        if len(scores) >= limit:
+            out[i] = scores[limit - 1] - 0.01
+    return out
+
+
 def candidates(questions: DataFrame, snippets: DataFrame, limit: int = 6, most: int = MOST_POSTINGS) -> DataFrame:
     """(question_id, snippet_id, title, priority, score): at most ``limit`` rows of each task and question, the winners among them.
 
     The questions' words and focus terms are indexed; the snippets, each distinct one once and dealt over all tasks, are streamed
-    through the index. Shared words are counted inside the task, so no pair leaves it that some ``limit`` others of the task beat.
+    through the index. The longest ``SEEDS`` snippets go first: what they score bounds each question's last winner from below, so
+    that a pair is scored only if it shares one of the question's rarer words, and leaves a task only if it may be a winner.
     """
     spark = snippets.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = snippets.withColumn("h", F.xxhash64("content", F.sha2("content", 256))).repartition(n, "source", "title", "h")
     first = Window.partitionBy("source", "title", "h").orderBy("snippet_id")
-    text = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
-    once = snippets.groupBy("source", "title", F.sha2("content", 256).alias("h")).agg(F.min(F.struct("snippet_id", "base_score", "priority")).alias("r"))
-    always = [r.snippet_id for r in once.select("title", "r.*").filter("base_score > 0")              # ``limit`` ids: they win without a shared word
-              .orderBy(F.desc("base_score"), "priority", "title", "snippet_id").limit(limit).collect()]
-    s = (s.withColumn("k", F.row_number().over(first)).filter("k = 1").select(
-        "snippet_id", "title", F.col("priority").cast("int").alias("priority"), F.col("base_score").cast("double").alias("base_score"),
-        F.col("snippet_id").isin(always).alias("always"), F.lower(text).alias("low"), T.tokens(text).alias("words"))
-        .sortWithinPartitions("priority", "title", "snippet_id"))
+    low = F.lower(F.concat_ws(" ", "title", "content", F.array_join("tags", " ")))
+    s = s.withColumn("k", F.row_number().over(first)).filter("k = 1").select(
+        "snippet_id", "title", F.col("priority").cast("int").alias("priority"), F.col("base_score").cast("double").alias("base_score"), low.alias("low"))
+    s = materialize(s.sortWithinPartitions("priority", "title", "snippet_id"))               # read for the seeds and for each index
+    always = (s.select("snippet_id", "title", "priority", "base_score").filter("base_score > 0")              # ``limit`` rows: they win without a shared word
+              .orderBy(F.desc("base_score"), "priority", "title", "snippet_id").limit(limit).collect())
+    free = frozenset(r.snippet_id for r in always)
+    seeds = materialize(s.orderBy(F.length("low").desc(), "snippet_id").limit(SEEDS).coalesce(1))
     asked = materialize(questions.select("question_id", T.tokens(F.col("text")).alias("words"), F.lower(F.coalesce("focus", F.lit(""))).alias("focus")))
     kind = questions.schema["question_id"].dataType
     out = spark.createDataFrame([], f"question_id {kind.simpleString()}, snippet_id string, title string, priority int, score double")
     for part in _question_blocks(asked, most):
-        index = spark.sparkContext.broadcast(_Index(part.collect()))            # at most ``most`` words
-        out = out.unionByName(s.mapInArrow(_streamed(index, limit, to_arrow_type(kind)), out.schema))
+        index = _Index(part.collect(), max((r.base_score for r in always), default=0.0))            # at most ``most`` words
+        sent, none = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(np.full(len(index.ids), -np.inf))
+        found = seeds.mapInArrow(_streamed(sent, none, limit, to_arrow_type(kind), free), out.schema).select("question_id", "score").collect()      # ``limit`` rows a question
+        floors = spark.sparkContext.broadcast(_floors(index, found, limit))
+        out = out.unionByName(s.mapInArrow(_streamed(sent, floors, limit, to_arrow_type(kind), free), out.schema))
     return out
 
 

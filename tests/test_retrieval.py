@@ -1,5 +1,9 @@
 import random
 import re
+import types
+
+import numpy as np
+import pyarrow as pa
 
 from demandloom.operators import retrieval as X
 
@@ -55,3 +59,22 @@ def test_paragraphs_are_whole(spark):
     docs = spark.createDataFrame([(1, "a", text)], "doc_id long, source string, text string")
     got = X.document_snippets(docs).collect()
     assert len(got) == 1 and got[0].content.endswith("needle")
+
+
+def test_few_pairs_are_scored_once_the_seeds_are_known():
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: [words[min(int(rnd.paretovariate(0.6)) - 1, 2999)] for _ in range(n)]                  # noqa: E731
+    rows = [types.SimpleNamespace(question_id=i, words=sorted(set(say(20))), focus="") for i in range(200)]
+    texts = sorted((" ".join(say(rnd.randint(30, 400))) for _ in range(3000)), key=len, reverse=True)
+    batch = lambda t, at: pa.RecordBatch.from_pydict({"snippet_id": [f"s{at + i:04d}" for i in range(len(t))], "title": [""] * len(t), "priority": pa.array([1] * len(t), pa.int32()),
+                                                      "base_score": [0.6] * len(t), "low": t})
+    index = types.SimpleNamespace(value=X._Index(rows, 0.6))
+    run = lambda batches, floors, seen: [(q, s, x) for b in X._streamed(index, types.SimpleNamespace(value=floors), 6, pa.int64(), scored=seen)(batches)                   # noqa: E731
+                                         for q, s, x in zip(*[b.column(c).to_pylist() for c in ("question_id", "snippet_id", "score")], strict=True)]
+    open_floors, every, few = np.full(200, -np.inf), [], []
+    floors = X._floors(index.value, [types.SimpleNamespace(question_id=q, score=x) for q, _, x in run([batch(texts[:X.SEEDS], 0)], open_floors, [])], 6)
+    tied = lambda found: sorted((q, x) for q, _, x in found)                                                   # noqa: E731
+    parts = [batch(texts[i:i + 500], i) for i in range(0, 3000, 500)]
+    assert tied(run(parts, open_floors, every)) == tied(run(parts, floors, few))
+    assert sum(few) < sum(every) and sum(few) < 200 * 3000 / 5                   # of 600,000 pairs
