@@ -202,40 +202,37 @@ def allocation_folds(facts: DataFrame, child: list[str], parent: list[str], cuto
                      horizons: int = 3) -> DataFrame:
     """Held-out child actuals against parent actual x origin-known share.
 
-    A parent's recent sum is the sum over its children, so one packed series per parent replaces
-    any grouping of exploded folds: each child row meets its parent row once.
+    Long form: a child has a row a month, with its sums of the last six months and of all months so far as window frames and the
+    next months' values beside them. A parent's are the sums over its children, framed alike, so that each child row meets one
+    parent row, joined on parent and month; nothing of a parent's history is copied into its children.
     """
-    f = facts.filter(F.col("month") <= cutoff)
+    f, end, ahead = facts.filter(F.col("month") <= cutoff), _ord(cutoff), range(1, horizons + 1)
     v = F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
     monthly = f.groupBy(*child, D.month_ord(F.col("month")).alias("o")).agg(F.sum(v).alias("v"))
     start = facts.agg(F.min(D.month_ord(F.col("month"))).alias("s0"))       # one row
-    pack = lambda d, keys: d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("o", "v"))).alias("m"), F.min("o").alias("first"))
-    seq = F.sequence(F.col("s0"), F.lit(_ord(cutoff)))
-    dense = lambda m: F.transform(seq, lambda o: F.coalesce(F.try_element_at(m, o), F.lit(0.0)))
-    n_tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kids = pack(monthly, child)
-    par = pack(monthly.groupBy(*parent, "o").agg(F.sum("v").alias("v")), parent).select(*parent, F.col("m").alias("pm"))
-    # packed rows are small but costly to evaluate: spread them over all tasks after the join
-    j = kids.join(par, parent).repartition(n_tasks, *child).crossJoin(F.broadcast(start))
-    j = FC.once(FC.once(j, "h", dense(F.col("m"))), "p", dense(F.col("pm")))
-    running = lambda a: F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(FC.back(acc, 1), F.lit(0.0)) + x)))
-    j = FC.once(FC.once(j, "hc", running(F.col("h"))), "pc", running(F.col("p")))
-    recent = lambda a, o: FC.asum(F.slice(a, F.greatest(o - 5, F.lit(1)), F.least(o, F.lit(6))))
-
-    def fold(o):
-        def body(s):
-            share = F.when(s["pr"] > 0, s["cr"] / s["pr"]).when(s["ph"] > 0, s["ch"] / s["ph"]).otherwise(0.0)
-            known, ok = F.col("first") <= F.col("s0") + o - 1, (s["pr"] > 0) | (s["ph"] > 0)
-            return F.transform(F.sequence(F.lit(1), F.lit(horizons)), lambda k: F.struct(
-                o.alias("o"), k.alias("horizon"), F.get("h", o + k - 1).alias("actual"), (F.get("p", o + k - 1) * F.when(known, share).otherwise(0.0)).alias("prediction"),
-                (known & ok).alias("covered"), (known | F.try_element_at("m", F.col("s0") + o + k - 1).isNotNull()).alias("present")))
-        return FC.let(F.struct(recent(F.col("h"), o).alias("cr"), recent(F.col("p"), o).alias("pr"), F.get("hc", o - 1).alias("ch"),
-                               F.get("pc", o - 1).alias("ph")), body)
-    rows = F.flatten(F.transform(F.sequence(F.lit(least), F.size("h") - 1), fold))
-    e = j.filter(F.size("h") > least).select(*child, "s0", F.explode(rows).alias("x"))
-    return e.filter("x.present and x.actual is not null").select(
-        *child, D.month_from_ord(F.col("s0") + F.col("x.o") - 1).alias("origin_month"), D.month_from_ord(F.col("s0") + F.col("x.o") + F.col("x.horizon") - 1).alias("target_month"),
-        F.col("x.horizon").alias("horizon"), F.col("x.actual").alias("actual"), F.greatest(F.col("x.prediction"), F.lit(0.0)).alias("prediction"), F.col("x.covered").alias("covered"))
+
+    def framed(rows, keys, early):
+        """Months of each key, from ``early`` months before its first to the cutoff."""
+        own = rows.groupBy(*keys).agg(F.min("o").alias("first"), F.map_from_entries(F.collect_list(F.struct("o", "v"))).alias("m"))
+        grid = own.select(*keys, "first", "m", F.explode(F.sequence(F.col("first") - early, F.lit(end))).alias("o"))
+        grid = grid.select(*keys, "first", "o", F.try_element_at("m", F.col("o")).alias("sold"))
+        w = Window.partitionBy(*keys).orderBy("o")
+        x = F.coalesce("sold", F.lit(0.0))
+        return grid.select(*keys, "first", "o", F.sum(x).over(w.rowsBetween(-5, 0)).alias("recent"), F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("whole"),
+                           F.array(*[F.lead("sold", k).over(w) for k in ahead]).alias("next"))
+    kids = framed(monthly, child, horizons).crossJoin(F.broadcast(start)).filter((F.col("o") >= F.col("s0") + least - 1) & (F.col("o") < end))
+    par = framed(monthly.groupBy(*parent, "o").agg(F.sum("v").alias("v")), parent, 0).select(
+        *parent, "o", F.col("recent").alias("pr"), F.col("whole").alias("ph"), F.col("next").alias("pnext"))
+    j = kids.join(par, [*parent, "o"], "left")
+    share = F.when(F.col("pr") > 0, F.col("recent") / F.col("pr")).when(F.col("ph") > 0, F.col("whole") / F.col("ph")).otherwise(0.0)
+    known = F.col("first") <= F.col("o")
+    j = j.select(*child, "o", "next", "pnext", known.alias("known"), F.when(known, share).otherwise(0.0).alias("share"),
+                 (known & F.coalesce((F.col("pr") > 0) | (F.col("ph") > 0), F.lit(False))).alias("covered"))
+    e = j.select(*child, "o", "known", "share", "covered", "pnext", F.posexplode("next").alias("i", "sold")).filter(
+        (F.col("o") + F.col("i") + 1 <= end) & (F.col("known") | F.col("sold").isNotNull()))
+    prediction = F.coalesce(F.get("pnext", F.col("i")), F.lit(0.0)) * F.col("share")
+    return e.select(*child, D.month_from_ord(F.col("o")).alias("origin_month"), D.month_from_ord(F.col("o") + F.col("i") + 1).alias("target_month"),
+                    (F.col("i") + 1).alias("horizon"), F.coalesce("sold", F.lit(0.0)).alias("actual"), F.greatest(prediction, F.lit(0.0)).alias("prediction"), "covered")
 
 
 LEVELS = (("Model", ("brand", "entity_key", "model_name")), ("PLC", ("brand", "entity_key", "model_name", "plc")),

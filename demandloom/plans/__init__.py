@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ("facts", "explore", "series", "evaluate", "forecasting", "hierarchy", "report", "text", "sheets", "govern")
+_MODULES = ("facts", "explore", "series", "evaluate", "forecasting", "hierarchy", "report", "text", "sheets", "govern", "governance")
 
 for _m in _MODULES:
     import_module(f".{_m}", __name__)

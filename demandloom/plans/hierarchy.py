@@ -67,10 +67,10 @@ block("b_brandfc", f"""SELECT entity AS brand, printf('%04d-%02d', ({CO} + k) //
 block("b_days", "SELECT CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS o, working_days AS w FROM b_cal")
 
 
-def alloc_blocks(tag, child, parent, parent_block, metric):
+def alloc_blocks(tag, child, parent, parent_block, metric, facts="b_hf"):
     ch, pa = ", ".join(child), ", ".join(parent)
     eq = lambda a, b, ks: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ks)
-    block(f"b_{tag}m", f"SELECT {ch}, o, sum(quantity) AS q, sum(revenue) AS r, min(code) AS code FROM b_hf WHERE month <= '{CUTOFF}' GROUP BY ALL")
+    block(f"b_{tag}m", f"SELECT {ch}, o, sum(quantity) AS q, sum(revenue) AS r, min(code) AS code FROM {facts} WHERE month <= '{CUTOFF}' GROUP BY ALL")
     block(f"b_{tag}c", f"""SELECT *, CASE WHEN code IN ('discontinued', 'inactive') THEN 'excluded_lifecycle' WHEN code IN ('new', 'reintroduced') OR hm < 18 THEN CASE WHEN avgq >= {LOW} THEN 'new_model_proxy' ELSE 'excluded_low_volume' END
   WHEN act < 6 OR avgq < {LOW} THEN 'excluded_low_volume' ELSE 'regular_allocation' END AS route FROM (SELECT *, hq / hm AS avgq FROM (
   SELECT {ch}, min(code) AS code, sum(q) AS hq, sum(r) AS hr, count(*) FILTER (q > 0) AS act, max(o) AS last, greatest(1, {CO} - min(o) + 1) AS hm,
