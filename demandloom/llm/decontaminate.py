@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     without its words being equal. Windows have ``window`` words, or all words of a shorter item.
 
     A null text has no words, an item without words matches nothing, a null item_id counts as an empty name; rows
-    that repeat a document are found alike. Items of equal words are fingerprinted once. Empty tables give no hits.
+    that repeat a document are found alike. Items of equal words are fingerprinted once, and an item_id that stands on
+    several rows is one item with the windows of all of them. Empty tables give no hits.
     """
     spelled = F.trim(F.regexp_replace(F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     items = cut(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), spelled.alias("text")).where("text <> ''"))
@@ -158,7 +159,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     counted, hits, matches = contamination(docs, benchmark, **options)
     words_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["hi"] - s["lo"])
     h = hits.select(F.struct("doc_id", "text_hash").alias("k"), words_hit.cast("long").alias("n_hit"))
-    m = matches.groupBy(F.struct("doc_id", "text_hash").alias("k")).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    m = matches.groupBy(F.struct("doc_id", "text_hash").alias("k")).agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     both = h.join(m, "k")
     all_of = counted.withColumn("k", F.struct("doc_id", "text_hash")).join(both, "k", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))

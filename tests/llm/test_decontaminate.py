@@ -48,3 +48,11 @@ def test_empty_tables(spark, rows):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert judged(rows().limit(0), bench).count() == 0
     assert [r.n_hit for r in judged(rows((1, "a b")), bench.limit(0)).collect()] == [0]
+
+
+def test_an_item_on_several_rows_is_one_item(spark, rows):
+    twice = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(7, twice), (7, twice), (7, "other words"), (None, twice), (8, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.items_sha256, r.n_hit) for r in judged(rows((1, "so " + twice), (2, "other words here")), bench).collect()}
+    digest = lambda ids: hashlib.sha256(ids.encode()).hexdigest()                                                # noqa: E731
+    assert got == {1: (2, digest(",7"), 15), 2: (1, digest("7"), 2)}
