@@ -14,8 +14,6 @@ from ..functions import text as T
 from ..session import materialize
 from . import evaluate as EV
 
-#: How fold keys are written before they are hashed.
-ALGORITHM = "sha256 of sorted json keys: horizon, originMonth, targetMonth"
 
 
 def components(edges: DataFrame) -> DataFrame:
