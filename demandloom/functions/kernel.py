@@ -123,8 +123,20 @@ def one_step(v: np.ndarray, row: np.ndarray, at: np.ndarray) -> dict[str, np.nda
     return {k: np.maximum(x, 0.0) for k, x in out.items()}
 
 
+#: Histories of one matrix. An Arrow batch is worked off in parts of so many, so that memory does not follow the batch.
+AT_ONCE = 512
+
+
+def _parts(histories: list) -> list[list]:
+    return [histories[at:at + AT_ONCE] for at in range(0, len(histories), AT_ONCE)]
+
+
 def best(histories: list[np.ndarray | None], use_seasonality: bool = True) -> list[tuple | None]:
     """(model, preprocessing, mae, wape, bias, adjusted, train) of each history; None for three months or fewer."""
+    return [r for part in _parts(histories) for r in _best(part, use_seasonality)]
+
+
+def _best(histories: list[np.ndarray | None], use_seasonality: bool) -> list[tuple | None]:
     out: list[tuple | None] = [None] * len(histories)
     own = [i for i, h in enumerate(histories) if h is not None and len(h) > 3]
     if not own:
@@ -171,7 +183,7 @@ def best(histories: list[np.ndarray | None], use_seasonality: bool = True) -> li
         m, prep, mae, wape, off = place[order[k]]
         some = bool(total[k] != 0)
         out[i] = (m, "cleaned" if prep else "raw", float(mae[k]), float(wape[k]) if some else None, float(off[k]) if some else None,
-                  int(changed[k]) if prep else 0, (soft if prep else v)[k, :n[k]].tolist())
+                  int(changed[k]) if prep else 0, (soft if prep else v)[k, :n[k]].copy())
     return out
 
 
@@ -190,6 +202,10 @@ def _rolling(a: np.ndarray, first: int, least: int) -> np.ndarray:
 
 def anomalies(histories: list[np.ndarray | None], limit: int) -> list[list[tuple] | None]:
     """The ``limit`` months of each history that lie farthest from their rolling median, by rolling spread."""
+    return [r for part in _parts(histories) for r in _anomalies_of(part, limit)]
+
+
+def _anomalies_of(histories: list[np.ndarray | None], limit: int) -> list[list[tuple] | None]:
     n = np.array([0 if h is None else len(h) for h in histories], np.int64)
     out: list[list[tuple] | None] = [None if h is None else [] for h in histories]
     v = np.zeros((len(n), int(n.max(initial=0))))

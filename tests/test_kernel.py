@@ -62,3 +62,16 @@ def test_anomalies(spark):
         for a, b in zip(w or [], got[i] or [], strict=True):
             for f in ("neg", "actual", "baseline", "delta_pct", "score"):
                 assert b[f] == pytest.approx(a[f], rel=1e-11) if a[f] is not None else b[f] is None
+
+
+def test_batches_are_worked_off_in_parts(monkeypatch):
+    hs = (histories() * 8)[:2 * K.AT_ONCE + 7]
+    own, held = K.softened, []
+    monkeypatch.setattr(K, "softened", lambda v, n: held.append(len(v)) or own(v, n))
+    got, odd = K.best(hs), K.anomalies(hs, 4)
+    assert max(held) <= K.AT_ONCE < sum(held)
+    monkeypatch.setattr(K, "AT_ONCE", len(hs))
+    whole = K.best(hs)
+    assert len(got) == len(hs) and odd == K.anomalies(hs, 4)
+    for a, b in zip(got, whole, strict=True):
+        assert (a is None) == (b is None) and (a is None or (a[:2] == b[:2] and a[5] == b[5] and a[2] == pytest.approx(b[2], rel=1e-12) and list(a[6]) == pytest.approx(list(b[6]))))
