@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import forecast as FC
+from ..session import materialize
 
 
 def pack(df: DataFrame, keys: list[str], value: Column, *, start: str | Column | None = None,
@@ -33,6 +34,20 @@ def pack(df: DataFrame, keys: list[str], value: Column, *, start: str | Column |
     return g.select(*keys, lo.cast("int").alias("start_ord"), h.alias("h")).withColumn("n", F.size("h"))
 
 
+#: Rows of the long form in one task; a window sorts them there.
+LONG_ROWS = 1_000_000
+
+
+def dealt(packed: DataFrame, keys: list[str], most: int = LONG_ROWS) -> DataFrame:
+    """``packed`` in storage, dealt to as many tasks as its long form needs at about ``most`` rows each.
+
+    The packed rows are dealt, which are few; windows by ``keys`` over the long form then need no further shuffle.
+    """
+    held = materialize(packed)
+    rows = held.agg(F.sum(F.size("h"))).first()[0] or 0
+    return held.repartition(max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most)), *keys)
+
+
 def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
     return (packed.select(*keys, "start_ord", F.posexplode("h").alias("pos", "value"))
             .select(*keys, D.month_from_ord(F.col("start_ord") + F.col("pos")).alias("month"), "value"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..config import BASELINE_MODELS
 from ..functions import dates as D
 from ..functions import forecast as FC
+from ..functions import kernel as K
 from ..operators import explore as X
 from ..operators import facts as FA
 from ..operators import forecasting as FO
@@ -20,7 +21,7 @@ def part_series(spark, path):
 
 
 def part_long(spark, path):
-    return S.unpack(part_series(spark, path), ["part_number"])
+    return S.unpack(S.dealt(part_series(spark, path), ["part_number"]), ["part_number"])
 
 
 @query("W1_dense_series", "SELECT part_number, month, value FROM b_pdense")
@@ -47,7 +48,7 @@ s AS (SELECT *, coalesce(resid / nullif(CASE WHEN count(resid) OVER w >= 3 THEN
 k AS (SELECT *, row_number() OVER (PARTITION BY part_number ORDER BY score DESC, o) AS k FROM s WHERE score >= 2 AND len >= 5)
 SELECT part_number, month, value AS actual, score FROM k WHERE k <= 4""")
 def w2b(spark, path):
-    p = part_series(spark, path).select("part_number", "start_ord", F.explode(FC.anomalies(F.col("h"), 4)).alias("a"))
+    p = part_series(spark, path).select("part_number", "start_ord", F.explode(K.anomalies_of(F.col("h"), 4)).alias("a"))
     return p.select("part_number", D.month_from_ord(F.col("start_ord") + F.col("a.position")).alias("month"),
                     F.col("a.actual").alias("actual"), F.col("a.score").alias("score"))
 

@@ -60,3 +60,14 @@ def test_carry_of_a_million_rows_needs_no_window_over_the_sheet(spark):
     got = out.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo")).orderBy("lo").collect()
     assert [(r.w, r.n, r.lo) for r in got] == [(None, 7, 0), ("7", 400_000, 7), ("400007", 400_000, 400_007), ("800007", 199_993, 800_007)]
     assert df.limit(0).count() == 0 and S.forward_fill(df.limit(0), ["sheet"], "r", "v", "w").count() == 0
+
+
+def test_long_form_is_dealt_by_its_rows(spark):
+    """Tasks of a windowed long form grow with the rows; the packed rows are dealt and nothing is shuffled after that."""
+    from demandloom.operators import series as SE
+    packed = spark.range(200).select(F.col("id").cast("string").alias("part_number"), F.lit(23940).alias("start_ord"), F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i * 1.0).alias("h"))
+    held = SE.dealt(packed, ["part_number"], most=500)
+    assert held.rdd.getNumPartitions() == 20
+    out = SE.recent_signals(SE.unpack(held, ["part_number"]), ["part_number"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert out.count() == 200 * 50 and out.agg(F.max("history")).first()[0] == 1275.0
