@@ -26,7 +26,9 @@ MOST_DOCUMENTS, MOST_CLEAN_CHAINS = 4000, 8000
 EVIDENCE, PURITY = 18.0, 0.98
 #: Features seen in fewer documents of the sample are not used.
 LEAST_DOCUMENTS = 3
-_KNOWN_WORDS, _TOKENS_AT_ONCE = 500_000, 400_000
+_KNOWN_WORDS, _TOKENS_AT_ONCE = 500_000, 100_000
+#: Texts of an Arrow batch that are Python strings at a time.
+_TEXTS_AT_ONCE = 256
 
 
 def features(word: str) -> set[str]:
@@ -230,7 +232,11 @@ def toxic(text: Column, spark: SparkSession, model: Model) -> Column:
     def tagged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Emissions(sent.value)
         for batch in batches:
-            scores, spans = tag(batch.to_pylist(), sent.value, known)
+            scores, spans = [], []
+            for at in range(0, len(batch), _TEXTS_AT_ONCE):
+                s, x = tag(batch.slice(at, _TEXTS_AT_ONCE).to_pylist(), sent.value, known)
+                scores += s
+                spans += x
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             rows = pa.array([[{"start": s, "end": e, "p": p} for s, e, p in x] for x in spans], kind)
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), rows], names=["score", "spans"])
