@@ -22,13 +22,17 @@ LOW = 45.0
 r5 = lambda *cs: [F.round(c, 5).alias(c) for c in cs]
 
 
-def facts(spark, path):
+def governed_facts(spark, path):
     """Facts by governed anchor. Names of the test tables stand in for lifecycle states, so that
     every route occurs: names on 'ring' are discontinued, names beginning with 'small' are new."""
     f = I.anchored_sales(spark, path)
     code = F.when(F.col("model_name").endswith("ring"), "discontinued").when(F.col("model_name").startswith("small"), "new").otherwise("active")
-    f = f.withColumn("brand", F.col("anchor_brand")).withColumn("entity_key", F.concat_ws("::", "anchor_brand", "model_key")).withColumn("lifecycle_code", code)
-    return materialize(f)
+    return f.withColumn("brand", F.col("anchor_brand")).withColumn("entity_key", F.concat_ws("::", "anchor_brand", "model_key")).withColumn("lifecycle_code", code)
+
+
+def facts(spark, path):
+    """The same in storage, for queries that read them several times."""
+    return materialize(governed_facts(spark, path))
 
 
 class Center:
@@ -233,7 +237,7 @@ block("b_prof", "SELECT *, " + f"{CO} - fo + 1 AS hm, greatest({CO} - fo + 1 - o
 @query("A26_exception_profiles", """SELECT scope, series_key, hq AS history_quantity, act AS active_months, obs AS observed_months, recent_positive, rq AS recent6_quantity, lq AS latest_quantity,
  CAST(hm AS INT) AS history_months, miss AS missing_months, round(avgq, 6) AS monthly_average, round(CASE WHEN hq > 0 THEN hr / hq ELSE 0 END, 2) AS unit_revenue, code AS lifecycle_code FROM b_prof""")
 def a26(spark, path):
-    p = HI.exception_profiles(facts(spark, path), CUTOFF)
+    p = HI.exception_profiles(governed_facts(spark, path), CUTOFF)           # read once: columns that no profile needs are not made
     return p.select("scope", "series_key", "history_quantity", "active_months", "observed_months", "recent_positive", "recent6_quantity", "latest_quantity", "history_months",
                     "missing_months", F.round("monthly_average", 6).alias("monthly_average"), F.round("unit_revenue", 2).alias("unit_revenue"), "lifecycle_code")
 

@@ -27,3 +27,10 @@ def test_sales_are_not_in_the_final_plan(spark, folder, name):
     assert len(rows) == (5 if name.startswith("E12") else 2)
     if not name.startswith("E12"):
         assert {r.scope: r.fold_count for r in rows} == {"entity_rows": 3 * 171, "common_origin_total": 171}
+
+
+def test_profiles_make_no_column_that_they_do_not_need(spark, folder):
+    df = QUERIES["A26_exception_profiles"](spark, folder)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "mode(part_description" not in plan and "l_partkey" in plan
+    assert {r.scope: r["n"] for r in df.groupBy("scope").agg(F.count("*").alias("n")).collect()} == {"Model": 3, "PLC": 3, "PIS_PNO": 3}
