@@ -29,12 +29,35 @@ def route(code: Column, active: Column, history: Column, average: Column, min_vo
             .when((active < 6) | (average < min_volume), EXCLUDED[1]).otherwise("regular_allocation"))
 
 
+def _clipped() -> tuple[Column, Column]:
+    return T.clip_zero(F.col("quantity")), F.greatest(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def level_months(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts summed to (keys, month, lifecycle_code), with the number of facts that each row stands for in ``fact_rows``.
+
+    What reads facts by these keys or fewer can read this instead, which is smaller by the facts that share them.
+    """
+    q, r = _clipped()
+    return facts.groupBy(*keys, "month", "lifecycle_code").agg(F.sum(q).alias("quantity"), F.sum(r).alias("revenue"), F.count(F.lit(1)).alias("fact_rows"))
+
+
+def month_totals(f: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, o, q, r, code): sums of a month and the code that most of its facts have, of facts or of ``level_months``."""
+    q, r = _clipped()
+    o = D.month_ord(F.col("month")).alias("o")
+    if "fact_rows" not in f.columns:
+        return f.groupBy(*keys, o).agg(F.sum(q).alias("q"), F.sum(r).alias("r"), T.mode_text("lifecycle_code").alias("code"))
+    each = f.groupBy(*keys, o, T.usable_text(F.col("lifecycle_code")).alias("code")).agg(F.sum(q).alias("q"), F.sum(r).alias("r"), F.sum("fact_rows").alias("n"))
+    most = F.min_by("code", F.when(F.col("code").isNotNull(), F.struct(-F.col("n"), F.col("code"))))
+    return each.groupBy(*keys, "o").agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.coalesce(most, F.lit("")).alias("code"))
+
+
 def child_profiles(facts: DataFrame, child: list[str], parent: list[str], cutoff: str, min_volume: float = 5.0) -> DataFrame:
     """One row per child: months as an array of (o, q, r), totals, route and expected unit price."""
     f = facts.filter(F.col("month") <= cutoff)
-    q, r = T.clip_zero(F.col("quantity")), F.greatest(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)), F.lit(0.0))
-    monthly = f.groupBy(*child, D.month_ord(F.col("month")).alias("o")).agg(
-        F.sum(q).alias("q"), F.sum(r).alias("r"), T.mode_text("lifecycle_code").alias("code"))
+    q, r = _clipped()
+    monthly = month_totals(f, child)
     c = monthly.groupBy(*child).agg(
         F.array_sort(F.collect_list(F.struct("o", "q", "r"))).alias("a"), F.mode("code", True).alias("lifecycle_code"),
         F.sum("q").alias("history_quantity"), F.sum("r").alias("history_revenue"),
@@ -133,27 +156,33 @@ def top_plcs(facts: DataFrame, plc_forecast: DataFrame, cutoff: str, top_n: int
         "plc", "rank", "history_revenue", F.when(F.col("total") > 0, F.col("history_revenue") / F.col("total") * 100).otherwise(0.0).alias("share_pct"), "month", "value")
 
 
+def part_stats(facts: DataFrame, cutoff: str, parent=("brand", "entity_key", "plc")) -> DataFrame:
+    """One row per part of a parent that sold lately: recent and latest volumes, active months, average. The same for every metric."""
+    parent = list(parent)
+    part = parent + ["part_number", "part_description"]
+    f, end = facts.filter(F.col("month") <= cutoff), _ord(cutoff)
+    o = D.month_ord(F.col("month")).alias("o")             # numbers are merged in place where texts would be sorted
+    last = f.groupBy(*parent).agg(F.max(o).alias("basis"))
+    m = f.groupBy(*part, o).agg(F.sum("quantity").alias("q"), F.sum(F.col("revenue").cast("double")).alias("r")).join(last, parent)
+    rec, lat = F.col("o") >= end - 5, F.col("o") == F.col("basis")
+    s0 = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    st = m.groupBy(*part, "basis").agg(
+        s0(F.when(rec, F.col("q"))).alias("rq"), s0(F.when(rec, F.col("r"))).alias("rr"), s0(F.when(lat, F.col("q"))).alias("lq"),
+        F.count_if(F.col("q") > 0).alias("active"), F.min("o").alias("first"), F.sum("q").alias("hq"), F.count_if(rec | lat).alias("seen")).filter("seen > 0")
+    months = F.greatest(F.lit(1), F.lit(end) - F.col("first") + 1)
+    return st.withColumns({"basis_month": D.month_from_ord(F.col("basis")), "average": F.col("hq") / months,
+                           "unit_revenue": F.when(F.col("rq") > 0, F.col("rr") / F.col("rq")).otherwise(0.0)})
+
+
 def part_plan(facts: DataFrame, parents: DataFrame, cutoff: str, metric: str = "quantity", parent=("brand", "entity_key", "plc"),
-              min_volume: float = 5.0) -> DataFrame:
+              min_volume: float = 5.0, stats: DataFrame | None = None) -> DataFrame:
     """Exact-part rows: eligible parts share the parent forecast by latest, else recent, volume.
 
-    Parents without an eligible part keep their value on one review row.
+    Parents without an eligible part keep their value on one review row. ``stats``: stored ``part_stats``, where several plans share them.
     """
     parent = list(parent)
     part = parent + ["part_number", "part_description"]
-    f = facts.filter(F.col("month") <= cutoff)
-    last = f.groupBy(*parent).agg(F.max("month").alias("basis_month"))
-    o = D.month_ord(F.col("month"))
-    recent = o >= _ord(cutoff) - 5
-    q, r = F.col("quantity"), F.col("revenue").cast("double")
-    m = f.groupBy(*part, "month").agg(F.sum(q).alias("q"), F.sum(r).alias("r")).join(last, parent)
-    rec, lat = D.month_ord(F.col("month")) >= _ord(cutoff) - 5, F.col("month") == F.col("basis_month")
-    s0 = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    st = m.groupBy(*part, "basis_month").agg(
-        s0(F.when(rec, F.col("q"))).alias("rq"), s0(F.when(rec, F.col("r"))).alias("rr"), s0(F.when(lat, F.col("q"))).alias("lq"),
-        F.count_if(F.col("q") > 0).alias("active"), F.min("month").alias("first"), F.sum("q").alias("hq"), F.count_if(rec | lat).alias("seen")).filter("seen > 0")
-    months = F.greatest(F.lit(1), F.lit(_ord(cutoff)) - D.month_ord(F.col("first")) + 1)
-    st = st.withColumn("average", F.col("hq") / months).withColumn("unit_revenue", F.when(F.col("rq") > 0, F.col("rr") / F.col("rq")).otherwise(0.0))
+    st = materialize(part_stats(facts, cutoff, parent)) if stats is None else stats           # read several times
     routes = parents.groupBy(*parent).agg(F.min("route").alias("route"))
     st = st.join(routes, parent)
     ok = F.when(F.col("route") == "new_model_proxy", (F.col("rq") > 0) & (F.col("average") >= min_volume)).otherwise(
@@ -239,23 +268,30 @@ LEVELS = (("Model", ("brand", "entity_key", "model_name")), ("PLC", ("brand", "e
           ("PIS_PNO", ("brand", "entity_key", "model_name", "plc", "part_number")))
 
 
-def exception_profiles(facts: DataFrame, cutoff: str) -> DataFrame:
-    """History profile at model, PLC and part level from one grouping-sets pass."""
+def exception_profiles(facts: DataFrame, cutoff: str, levels: DataFrame | None = None) -> DataFrame:
+    """History profile at model, PLC and part level, from one grouping-sets pass; with ``levels`` (``level_months`` by PLC) the two
+    upper levels come from there and the facts are only grouped by part."""
     dims = list(LEVELS[2][1])
-    f = facts.filter(F.col("month") <= cutoff).withColumns({"q": T.clip_zero(F.col("quantity")), "r": F.greatest(F.col("revenue").cast("double"), F.lit(0.0))})
-    sets = [tuple(d) + ("month",) for _, d in LEVELS]
-    m = f.groupingSets(sets, *dims, "month").agg(F.sum("q").alias("q"), F.sum("r").alias("r"), T.mode_text("lifecycle_code").alias("code"),
-                                                 F.grouping_id().alias("gid"))
-    scope = F.when(F.col("gid") == 6, "Model").when(F.col("gid") == 2, "PLC").otherwise("PIS_PNO")
-    o = D.month_ord(F.col("month"))
+    if levels is None:
+        q, r = _clipped()
+        f = facts.filter(F.col("month") <= cutoff).withColumns({"q": q, "r": r, "o": D.month_ord(F.col("month"))})
+        m = f.groupingSets([tuple(d) + ("o",) for _, d in LEVELS], *dims, "o").agg(
+            F.sum("q").alias("q"), F.sum("r").alias("r"), T.mode_text("lifecycle_code").alias("code"), F.grouping_id().alias("gid"))
+        m = m.withColumn("scope", F.when(F.col("gid") == 6, "Model").when(F.col("gid") == 2, "PLC").otherwise("PIS_PNO"))
+    else:
+        none = F.lit(None).cast("string")
+        each = [month_totals(df.filter(F.col("month") <= cutoff), list(d)).withColumns({k: none for k in dims if k not in d} | {"scope": F.lit(name)})
+                for (name, d), df in zip(LEVELS, (levels, levels, facts), strict=True)]
+        m = reduce(lambda a, b: a.unionByName(b), each)
+    o = F.col("o")
     c = _ord(cutoff)
-    s = m.withColumn("scope", scope).groupBy("scope", *dims).agg(
+    s = m.groupBy("scope", *dims).agg(
         F.sum("q").alias("history_quantity"), F.sum("r").alias("history_revenue"), F.count_if(F.col("q") > 0).alias("active_months"),
         F.count(F.lit(1)).alias("observed_months"), F.count_if((o >= c - 2) & (F.col("q") > 0)).alias("recent_positive"),
         F.sum(F.when(o >= c - 5, F.col("q")).otherwise(0.0)).alias("recent6_quantity"), F.sum(F.when(o >= c - 5, F.col("r")).otherwise(0.0)).alias("recent6_revenue"),
         F.sum(F.when(o == c, F.col("q")).otherwise(0.0)).alias("latest_quantity"), F.sum(F.when(o == c, F.col("r")).otherwise(0.0)).alias("latest_revenue"),
-        F.min("month").alias("first_month"), F.mode("code", True).alias("lifecycle_code"))
-    s = s.withColumn("history_months", F.lit(c) - D.month_ord(F.col("first_month")) + 1)
+        F.min("o").alias("first"), F.mode("code", True).alias("lifecycle_code"))
+    s = s.withColumn("first_month", D.month_from_ord(F.col("first"))).withColumn("history_months", F.lit(c) - F.col("first") + 1).drop("first")
     return s.withColumns({
         "series_key": F.concat_ws("::", *dims), "missing_months": F.greatest(F.col("history_months") - F.col("observed_months"), F.lit(0)),
         "monthly_average": F.col("history_quantity") / F.greatest("history_months", F.lit(1)),

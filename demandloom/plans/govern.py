@@ -318,7 +318,8 @@ def h8(spark, path):
 
 @query("H11_evaluation_report")
 def h11(spark, path):
-    f = I.facts(spark, path)
+    f = materialize(I.facts(spark, path).select("month", "brand", "anchor_brand", "anchor_method", "entity_key", "plc", "part_number", "quantity", "revenue",
+                                                "wholesale_units", "working_days"))           # two sections read it
     one = lambda df, tag, cols: df.select(F.lit(tag).alias("section"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x")).select("section", "x.*")
     life = FA.lifecycle(I.sales(spark, path), cutoff_year=2000).groupBy("status_code").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("lifecycle").alias("section"), F.col("status_code").alias("name"), F.col("n").cast("string").alias("value"))
@@ -338,7 +339,7 @@ class RevenueCenter(Center):
 
     @cached_property
     def brand(self):
-        return materialize(brand_forecast(self.facts.select("brand", "month", F.col("revenue").cast("double").alias("quantity"))))
+        return materialize(brand_forecast(self.levels.select("brand", "month", F.col("revenue").alias("quantity"))))
 
 
 def center_cube(spark, path, c, value):

@@ -107,7 +107,7 @@ class WholesaleCenter(Center):
     """Brand and model levels of vehicle volumes."""
 
     @cached_property
-    def facts(self):
+    def levels(self):
         w = I.wl(self.spark, self.path)
         return materialize(w.select(F.col("anchor_brand").alias("brand"), F.concat_ws("::", "anchor_brand", "model_key").alias("entity_key"), F.col("model_key").alias("model_name"), "month",
                                     (F.col("wholesale_units") + F.col("fleet_units")).alias("quantity"), F.lit(0.0).alias("revenue"), F.lit("active").alias("lifecycle_code")))
@@ -134,6 +134,7 @@ _ROLL = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", * FROM ({_steps(*p)})" f
 UNION ALL SELECT 'MODEL_STATUS', CASE WHEN max(max_delta) <= 0.01 THEN 'PASS' ELSE 'FAIL' END, max(max_delta), 0.01::DOUBLE, CAST(sum(checked) AS BIGINT) FROM r""")
 def a30(spark, path):
     both = lambda c: [HI.reconciliation(c.brand, c.model, ["brand"]), HI.reconciliation(c.model, c.plc, MODEL)]
-    w = WholesaleCenter(spark, path)
-    r = G.rollup({"revenue": both(RevenueCenter(spark, path, "revenue")), "quantity": both(Center(spark, path)), "wholesale": [HI.reconciliation(w.brand, w.model, ["brand"])]})
+    w, q, v = WholesaleCenter(spark, path), Center(spark, path, parts=None), RevenueCenter(spark, path, "revenue", None)
+    v.levels = q.levels              # both metrics are in the same months
+    r = G.rollup({"revenue": both(v), "quantity": both(q), "wholesale": [HI.reconciliation(w.brand, w.model, ["brand"])]})
     return r.withColumn("max_delta", F.round("max_delta", 6))

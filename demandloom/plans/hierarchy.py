@@ -36,27 +36,36 @@ def facts(spark, path):
 
 
 class Center:
-    """The levels of one planning run, each built once and only when asked for."""
+    """The levels of one planning run, each built once and only when asked for.
 
-    def __init__(self, spark, path, metric="quantity"):
-        self.spark, self.path, self.metric = spark, path, metric
+    ``parts``: what is read at part level. 'described' stores the facts as they are, 'plain' without the descriptions, None does not
+    store them: the upper levels need their months only.
+    """
+
+    def __init__(self, spark, path, metric="quantity", parts="described"):
+        self.spark, self.path, self.metric, self.parts = spark, path, metric, parts
         self.cal = I.cal(spark, path)
 
     @cached_property
     def facts(self):
-        return facts(self.spark, self.path)
+        return facts(self.spark, self.path) if self.parts == "described" else materialize(governed_facts(self.spark, self.path).drop("part_description"))
+
+    @cached_property
+    def levels(self):
+        """Months of the PLCs, from which the upper levels are built."""
+        return materialize(HI.level_months(self.facts if self.parts else governed_facts(self.spark, self.path), PLC))
 
     @cached_property
     def brand(self):
-        return materialize(brand_forecast(self.facts))
+        return materialize(brand_forecast(self.levels))
 
     @cached_property
     def model(self):
-        return materialize(HI.allocate(self.facts, self.brand, self.cal, child=MODEL, parent=["brand"], cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
+        return materialize(HI.allocate(self.levels, self.brand, self.cal, child=MODEL, parent=["brand"], cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
 
     @cached_property
     def plc(self):
-        return materialize(HI.allocate(self.facts, self.model, self.cal, child=PLC, parent=MODEL, cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
+        return materialize(HI.allocate(self.levels, self.model, self.cal, child=PLC, parent=MODEL, cutoff=CUTOFF, metric=self.metric, min_volume=LOW))
 
 
 def brand_forecast(facts):
@@ -103,23 +112,23 @@ alloc_blocks("mv", MODEL, ["brand"], "b_brandfc", "revenue")
 
 @query("H2_H3_H4_model_allocation", "SELECT brand, entity_key, model_name, month, route, round(value, 5) AS value, round(share, 8) AS share FROM b_ma")
 def h4(spark, path):
-    return Center(spark, path).model.select(*MODEL, "month", "route", *r5("value"), F.round("share", 8).alias("share"))
+    return Center(spark, path, parts=None).model.select(*MODEL, "month", "route", *r5("value"), F.round("share", 8).alias("share"))
 
 
 @query("H3_A25_revenue_signal_allocation", "SELECT brand, entity_key, model_name, month, round(value, 5) AS value, round(unit_price, 5) AS unit_price FROM b_mv")
 def h3(spark, path):
-    return Center(spark, path, "revenue").model.select(*MODEL, "month", *r5("value", "unit_price"))
+    return Center(spark, path, "revenue", None).model.select(*MODEL, "month", *r5("value", "unit_price"))
 
 
 @query("H4_plc_allocation", "SELECT brand, entity_key, model_name, plc, month, route, round(value, 5) AS value FROM b_pa")
 def h4b(spark, path):
-    return Center(spark, path).plc.select(*PLC, "month", "route", *r5("value"))
+    return Center(spark, path, parts=None).plc.select(*PLC, "month", "route", *r5("value"))
 
 
 @query("A28_routing_summary", """SELECT 'model' AS level, route, count(*) AS series FROM (SELECT DISTINCT entity_key, route FROM b_ma) GROUP BY route
 UNION ALL SELECT 'plc', route, count(*) FROM (SELECT DISTINCT entity_key, plc, route FROM b_pa) GROUP BY route""")
 def a28(spark, path):
-    c = Center(spark, path)
+    c = Center(spark, path, parts=None)
     return HI.routing_summary({"model": c.model, "plc": c.plc}, {"model": MODEL, "plc": PLC})
 
 
@@ -132,7 +141,7 @@ def _gap(parents, children, keys):
 @query("H6_reconciliation", f"""SELECT 'model_to_plc' AS step, (SELECT count(*) FROM b_ma) AS checked, CASE WHEN {_gap('b_ma', 'b_pa', MODEL)} <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
 UNION ALL SELECT 'brand_to_model', (SELECT count(*) FROM b_brandfc), CASE WHEN {_gap('b_brandfc', 'b_ma', ['brand'])} <= 0.01 THEN 'PASS' ELSE 'FAIL' END""")
 def h6(spark, path):
-    c = Center(spark, path)
+    c = Center(spark, path, parts=None)
     a = HI.reconciliation(c.model, c.plc, MODEL).withColumn("step", F.lit("model_to_plc"))
     b = HI.reconciliation(c.brand, c.model, ["brand"]).withColumn("step", F.lit("brand_to_model"))
     return a.unionByName(b).select("step", "checked", "status")
@@ -140,7 +149,7 @@ def h6(spark, path):
 
 @query("H10_demand_preview", "SELECT brand, model_name, plc, min(route) AS route, round(arg_min(value, month), 5) AS next_demand, round(sum(value), 5) AS total_demand FROM b_pa GROUP BY ALL")
 def h10(spark, path):
-    p = Center(spark, path).plc
+    p = Center(spark, path, parts=None).plc
     return p.groupBy("brand", "model_name", "plc").agg(F.min("route").alias("route"), F.round(F.min_by("value", "month"), 5).alias("next_demand"), F.round(F.sum("value"), 5).alias("total_demand"))
 
 
@@ -176,9 +185,9 @@ part_blocks("pq", "1")
 part_blocks("pr", "CASE WHEN rq > 0 THEN rr / rq ELSE 0 END")
 
 
-def part_plan(c, metric="quantity"):
+def part_plan(c, metric="quantity", stats=None):
     p = c.plc.groupBy("brand", "entity_key", "plc", "month", "forecast_type").agg(F.min("route").alias("route"), F.sum("value").alias("value"))
-    return HI.part_plan(c.facts, p, CUTOFF, metric, min_volume=PART_MIN)
+    return HI.part_plan(c.facts, p, CUTOFF, metric, min_volume=PART_MIN, stats=stats)
 
 
 @query("H5_J10_part_plan", "SELECT brand, entity_key, plc, part_number, month, route, round(share, 8) AS part_share, round(value, 5) AS value FROM b_pq")
@@ -191,14 +200,15 @@ FROM b_pq q LEFT JOIN b_pr r USING (brand, entity_key, plc, part_number, month)"
 def h13(spark, path):
     keys = ["brand", "entity_key", "plc", "part_number", "month"]
     c = Center(spark, path)
-    b = HI.part_bundle(part_plan(c), part_plan(c, "revenue"), keys)
+    stats = materialize(HI.part_stats(c.facts, CUTOFF))
+    b = HI.part_bundle(part_plan(c, stats=stats), part_plan(c, "revenue", stats), keys)
     return b.select(*keys, *r5("quantity_plan", "revenue_plan"), F.round("reference_revenue", 4).alias("reference_revenue"))
 
 
 @query("J16_inherited_bounds", """SELECT a.brand, a.entity_key, a.month, round(a.value, 5) AS value, round(a.value / p.value * p.value * 0.8::DOUBLE, 4) AS lower, round(a.value / p.value * p.value * 1.3::DOUBLE, 4) AS upper
 FROM b_ma a JOIN b_brandfc p USING (brand, month)""")
 def j16(spark, path):
-    c = Center(spark, path)
+    c = Center(spark, path, parts=None)
     p = c.brand.withColumns({"lower": F.col("value") * 0.8, "upper": F.col("value") * 1.3})
     return HI.inherit_bounds(c.model, p, ["brand"]).select("brand", "entity_key", "month", *r5("value"), F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
@@ -280,9 +290,11 @@ UNION ALL SELECT scope, series_key, 'zero_forecast_historical_unit_price', 'medi
 
 
 def e8(spark, path, metric):
-    c = Center(spark, path, metric)
-    parts = HI.part_plan(c.facts, c.plc, CUTOFF, metric, parent=PLC, min_volume=PART_MIN) if metric == "revenue" else None
-    x = HI.exceptions(HI.exception_profiles(c.facts, CUTOFF), c.model, c.plc, parts, metric, PART_MIN)
+    c = Center(spark, path, metric, "described" if metric == "revenue" else "plain")
+    # every rule reads the profiles, and two of them the plan
+    parts = materialize(HI.part_plan(c.facts, c.plc, CUTOFF, metric, parent=PLC, min_volume=PART_MIN).select(*HI.LEVELS[2][1], "month", "route", "value")) if metric == "revenue" else None
+    profiles = materialize(HI.exception_profiles(c.facts, CUTOFF, c.levels))
+    x = HI.exceptions(profiles, c.model, c.plc, parts, metric, PART_MIN)
     return x.select("scope", "series_key", "reason", "severity", "forecast_month")
 
 
@@ -303,7 +315,7 @@ def h12(spark, path):
 
 @query("A29_headline_totals", "SELECT month, 'Forecast' AS forecast_type, round(sum(value), 4) AS quantity, (SELECT round(sum(value), 4) FROM b_mv m WHERE m.month = f.month) AS allocated FROM b_brandfc f GROUP BY month")
 def a29(spark, path):
-    c = Center(spark, path, "revenue")
+    c = Center(spark, path, "revenue", None)
     a = c.brand.groupBy("month", "forecast_type").agg(F.round(F.sum("value"), 4).alias("quantity"))
     b = c.model.groupBy("month").agg(F.round(F.sum("value"), 4).alias("allocated"))
     return a.join(b, "month")
@@ -314,7 +326,7 @@ def a29(spark, path):
 SELECT "check", passed FROM (UNPIVOT (SELECT *, anchor_set AND non_negative AND reconciled AND cutoff_before_forecast AND known_denominator AS "all" FROM c)
  ON anchor_set, non_negative, reconciled, cutoff_before_forecast, known_denominator, "all" INTO NAME "check" VALUE passed)""")
 def h9(spark, path):
-    c = Center(spark, path)
+    c = Center(spark, path, parts=None)
     m = c.model
     rec = HI.reconciliation(c.brand, m, ["brand"]).select(F.col("status").alias("rec_status"))
     a = m.agg(F.count_distinct("brand").alias("brands"), F.min("value").alias("lowest"), F.min("month").alias("first_month"))

@@ -34,3 +34,25 @@ def test_profiles_make_no_column_that_they_do_not_need(spark, folder):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "mode(part_description" not in plan and "l_partkey" in plan
     assert {r.scope: r["n"] for r in df.groupBy("scope").agg(F.count("*").alias("n")).collect()} == {"Model": 3, "PLC": 3, "PIS_PNO": 3}
+
+
+def test_rules_on_exceptions_read_one_stored_profile(spark, folder):
+    for name in ("E8_exceptions", "E8_revenue_exceptions"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "mode(" not in plan and "min(o" not in plan
+
+
+def test_quality_rollup_and_bundle_need_fewer_readings(spark, folder, monkeypatch):
+    from demandloom.plans import hierarchy as PH
+    made, facts = [], PH.governed_facts
+    monkeypatch.setattr(PH, "governed_facts", lambda *a: made.append(1) or facts(*a))
+    assert {r.check: r.status for r in QUERIES["A30_quality_rollup"](spark, folder).collect()} == dict.fromkeys(("revenue", "quantity", "wholesale", "MODEL_STATUS"), "PASS")
+    assert len(made) == 1
+    stats, built = PH.HI.part_stats, []
+    monkeypatch.setattr(PH.HI, "part_stats", lambda *a, **k: built.append(1) or stats(*a, **k))
+    assert QUERIES["H13_J15_A30_part_bundle"](spark, folder).count() and len(built) == 1
+
+
+def test_facts_are_not_made_again_for_each_section_or_step(spark, folder):
+    assert "o_orderdate" not in QUERIES["H11_evaluation_report"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in QUERIES["FC28_hierarchical_part"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()

@@ -71,3 +71,34 @@ def test_long_form_is_dealt_by_its_rows(spark):
     out = SE.recent_signals(SE.unpack(held, ["part_number"]), ["part_number"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert out.count() == 200 * 50 and out.agg(F.max("history")).first()[0] == 1275.0
+
+
+def test_months_of_levels_keep_the_code_of_most_facts(spark):
+    from demandloom.operators import hierarchy as HI
+    rows = [("a", "p", "2001-01", c, q) for c, q in [("new", 1.0), ("new", 2.0), ("active", 9.0), (" ", 1.0), (None, 1.0), (None, -5.0)]]
+    rows += [("a", "p", "2001-02", c, 1.0) for c in ("new", "active")] + [("a", "r", "2001-02", None, None), (None, "r", "2001-02", "nan", 2.0)]
+    f = spark.createDataFrame(rows, "brand string, plc string, month string, lifecycle_code string, quantity double").withColumn("revenue", F.col("quantity") * 2)
+    for keys in (["brand"], ["brand", "plc"]):
+        got = [sorted(map(str, HI.month_totals(df, keys).collect())) for df in (f, HI.level_months(f, ["brand", "plc"]))]
+        assert got[0] == got[1]
+    assert {r.o % 12: (r.q, r.code) for r in HI.month_totals(HI.level_months(f, ["brand", "plc"]), ["brand"]).filter("brand is not null").collect()} == {0: (14.0, "new"), 1: (2.0, "active")}
+
+
+def test_fact_summary_sorts_no_multiplied_rows(spark):
+    from demandloom.operators import facts as FA
+    rows = [("2001-01", "b", "H", "dealer_wholesale_exact", "e1", "x", "1", 2.0, 10.0, 1.0, None), ("2001-02", "b", "H", "hma_default_fallback", "e2", None, "1", 6.0, 5.0, None, 20.0),
+            (None, None, None, None, None, None, None, None, None, None, None)]
+    f = spark.createDataFrame(rows, "month string, brand string, anchor_brand string, anchor_method string, entity_key string, plc string, part_number string, quantity double, "
+                                    "revenue double, wholesale_units double, working_days double")
+    df = FA.fact_summary(f)
+    assert not re.search(r"SortAggregate\(key=\[[^\]]", df._jdf.queryExecution().executedPlan().toString())
+    assert tuple(df.first()) == (3, 2, "2001-01", "2001-02", 1, 1, 2, 1, 1, 8.0, 15.0, 25.0, 33.33, 33.33)
+    assert tuple(FA.fact_summary(f.limit(0)).first()) == (0, 0, None, None, 0, 0, 0, 0, 0, None, None, 0.0, None, None)
+
+
+def test_column_facts_shuffle_dates_but_no_texts(spark):
+    from demandloom.sources import roles as RO
+    df = spark.range(300).select(F.concat(F.lit("no "), "id").alias("name"), F.expr("date_add(date'1899-12-25', cast(id as int))").alias("day"), F.lit("2001-02-03").alias("text"))
+    out = RO.column_facts({"s": df})
+    assert not re.search(r"hashpartitioning\([^)]*\bv#", out._jdf.queryExecution().executedPlan().toString())
+    assert {r.column: (r.rows, r.dates, r.date_candidate) for r in out.collect()} == {"name": (300, 0, False), "day": (300, 293, True), "text": (300, 300, False)}
