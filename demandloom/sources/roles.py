@@ -28,7 +28,7 @@ def kind_of(t: TY.DataType) -> str:
 
 
 def column_facts(sources: dict[str, DataFrame]) -> DataFrame:
-    """(source, place, column, kind, rows, dates, date_candidate): one pass over each source's distinct cells.
+    """(source, place, column, kind, rows, dates, date_candidate): one pass over each source's cells.
 
     A column may serve as a date when at least DATE_SHARE of its rows hold one and they differ, and its name says so or the dates lie
     in more than two months or on more than one day of the month. Months and days are sets of a fixed range, so nothing is gathered
@@ -37,11 +37,13 @@ def column_facts(sources: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sources.items():
         kinds = [kind_of(f.dataType) for f in df.schema.fields]
-        cells = [F.struct(F.lit(i).alias("place"), F.col(f"`{f.name}`").cast("date" if k == "date" else "string").cast("string").alias("v"))
+        none, day = F.lit(None).cast("string"), lambda c: F.col(c).cast("date")
+        # a date is one already, within the years that a text may name
+        cells = [F.struct(F.lit(i).alias("place"), none.alias("v"), F.when(F.year(day(f"`{f.name}`")).between(1900, 2100), day(f"`{f.name}`")).alias("d")) if k == "date" else
+                 F.struct(F.lit(i).alias("place"), F.col(f"`{f.name}`").cast("string").alias("v"), F.lit(None).cast("date").alias("d"))
                  for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True))]
-        # equal cells of a column are counted first, so that each text is read as a date once
-        values = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.place", "c.v").agg(F.count(F.lit(1)).alias("n"))
-        values = values.select("place", "n", F.explode(F.array(D.mixed_date(F.col("v")))).alias("d"))
+        # cells are read where they are and only the dates they hold, a fixed range, are counted across tasks
+        values = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.place", F.coalesce("c.d", D.mixed_date(F.col("c.v"))).alias("d")).agg(F.count(F.lit(1)).alias("n"))
         month, day = F.collect_set(F.year("d") * 12 + F.month("d")), F.collect_set(F.dayofmonth("d"))
         per = values.groupBy("place").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("dates"),
                                           (F.min("d") < F.max("d")).alias("differ"), ((F.size(month) > 2) | (F.size(day) > 1)).alias("spread"))
