@@ -7,6 +7,7 @@ from ..functions import forecast as FC
 from ..operators import forecasting as FO
 from ..operators import moments as M
 from ..operators import series as S
+from ..session import materialize
 from . import inputs as I
 from . import series_sql as Q
 from .base_sql import block
@@ -174,7 +175,8 @@ def fc28(spark, path):
 
 @query("FC28_hierarchical_part")
 def fc28b(spark, path):
-    r = FO.hierarchical(center_facts(spark, path), I.cal(spark, path), "model_accessory", horizon=3)
+    f = center_facts(spark, path).select("month", *FO.LEVEL_KEYS["model_accessory"], "part_description", "lifecycle_status", "quantity")
+    r = FO.hierarchical(materialize(f), I.cal(spark, path), "model_accessory", horizon=3)           # read for the cutoff, the series and the names
     return FO.hierarchical_summary(r)
 
 
