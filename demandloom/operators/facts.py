@@ -180,19 +180,25 @@ def working_days(df: DataFrame, month_col: str, days_col: str) -> DataFrame:
 
 
 def fact_summary(facts: DataFrame) -> DataFrame:
+    """One row of totals and distinct counts. Facts are grouped by each dimension on its own, with sums that are merged in place; a
+    distinct count is the number of its groups, and the months' sums add up to the totals."""
     exact = F.col("anchor_method").isin(*EXACT_ANCHOR_METHODS)
-    q = F.sum("quantity")
-    nn = lambda c: F.round(F.avg(F.when(F.col(c).isNotNull(), 100.0).otherwise(0.0)), 2)
-    return facts.agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct("month").alias("month_count"),
-        F.min("month").alias("min_month"), F.max("month").alias("max_month"),
-        F.count_distinct("brand").alias("brand_count"), F.count_distinct("anchor_brand").alias("anchor_count"),
-        F.count_distinct("entity_key").alias("model_count"), F.count_distinct("plc").alias("plc_count"),
-        F.count_distinct("part_number").alias("part_count"), q.alias("total_quantity"),
-        F.sum("revenue").cast("double").alias("total_revenue"),
-        F.round(F.coalesce(F.sum(F.when(exact, F.col("quantity"))) / F.nullif(q, F.lit(0.0)) * 100, F.lit(0.0)), 2)
+    dims = ["month", "brand", "anchor_brand", "entity_key", "plc", "part_number"]
+    g = facts.groupingSets([(d,) for d in dims], *dims).agg(
+        F.grouping_id(*dims).alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q"), F.sum("revenue").alias("r"),
+        F.sum(F.when(exact, F.col("quantity"))).alias("exact"), F.count("wholesale_units").alias("wu"), F.count("working_days").alias("wd"))
+    whole = lambda c: F.sum(F.when(F.col("gid") == (1 << (len(dims) - 1)) - 1, F.col(c)))                    # over the months
+    q, n = whole("q"), F.coalesce(whole("n"), F.lit(0))
+    nn = lambda c: F.round(whole(c) * 100.0 / F.nullif(n, F.lit(0)), 2)
+    return g.agg(
+        n.alias("row_count"), F.count("month").alias("month_count"), F.min("month").alias("min_month"), F.max("month").alias("max_month"),
+        F.count("brand").alias("brand_count"), F.count("anchor_brand").alias("anchor_count"),
+        F.count("entity_key").alias("model_count"), F.count("plc").alias("plc_count"),
+        F.count("part_number").alias("part_count"), q.alias("total_quantity"),
+        whole("r").cast("double").alias("total_revenue"),
+        F.round(F.coalesce(whole("exact") / F.nullif(q, F.lit(0.0)) * 100, F.lit(0.0)), 2)
         .alias("exact_quantity_pct"),
-        nn("wholesale_units").alias("wholesale_coverage_pct"), nn("working_days").alias("working_days_coverage_pct"))
+        nn("wu").alias("wholesale_coverage_pct"), nn("wd").alias("working_days_coverage_pct"))
 
 
 def channel_baskets(facts: DataFrame, wl: DataFrame, policy: BasketPolicy = BasketPolicy()) -> DataFrame:
@@ -287,9 +293,8 @@ def lifecycle(sales: DataFrame, *, cutoff_year: int = 2024, gap_months: int = 12
 
 def anchor_policy_summary(facts: DataFrame) -> DataFrame:
     """One row per mapping method: rows, quantity, share, and whether it counts as exact."""
-    tot = facts.agg(F.sum("quantity").alias("tot"))
-    return (facts.groupBy("anchor_method").agg(F.count(F.lit(1)).alias("row_count"), F.sum("quantity").alias("quantity"))
-            .crossJoin(F.broadcast(tot))     # one row
+    methods = facts.groupBy("anchor_method").agg(F.count(F.lit(1)).alias("row_count"), F.sum("quantity").alias("quantity"))
+    return (methods.withColumn("tot", F.sum("quantity").over(Window.partitionBy()))     # a row per method: a fixed few
             .select("anchor_method", "row_count", "quantity",
                     F.col("anchor_method").isin(*EXACT_ANCHOR_METHODS).alias("exact"),
                     F.round(F.col("quantity") / F.nullif(F.col("tot"), F.lit(0.0)) * 100, 2).alias("share_pct")))
