@@ -78,3 +78,49 @@ def test_few_pairs_are_scored_once_the_seeds_are_known():
     parts = [batch(texts[i:i + 500], i) for i in range(0, 3000, 500)]
     assert tied(run(parts, open_floors, every)) == tied(run(parts, floors, few))
     assert sum(few) < sum(every) and sum(few) < 200 * 3000 / 5                   # of 600,000 pairs
+
+
+def test_many_questions_meet_the_snippets_in_cells(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["alpha", "été", "the"]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))                    # noqa: E731
+    q = [(i, say(rnd.randint(0, 15)), rnd.choice(["", None, "lph", "w1", "W5 w", *[f"w{j}" for j in range(20)]])) for i in range(80)]
+    q += [(100, None, None), (101, "", "été"), (102, "nothing", "zz"), (7, say(9), ""), (7, say(9), "w1"), (None, say(5), ""), q[3]]
+    s = [(f"s{i:03d}", "a", rnd.choice(["x", "y", None]), say(rnd.randint(0, 40)), ["tag", rnd.choice(words)], rnd.choice([0.0, 0.6, 2.5, -9.0]), rnd.choice([1, 2, None])) for i in range(250)]
+    s += [("t" + r[0], *r[1:]) for r in s[:30]] + [("long", "a", "long", say(9000), [], 0.6, 6)]
+    schema = "question_id long, text string, focus string", "snippet_id string, source string, title string, content string, tags array<string>, base_score double, priority int"
+    qs, sn = spark.createDataFrame(q, schema[0]), spark.createDataFrame(s, schema[1]).repartition(3)
+    of = lambda **kw: sorted(map(repr, X.rank_context(qs, sn, **kw).collect()))      # noqa: E731
+    stop, find = set(X.T.STOP_WORDS), re.compile("[a-z0-9_]+")
+    cut = lambda t: {w for w in find.findall((t or "").lower()) if len(w) > 1 and w not in stop}            # noqa: E731
+    first, pairs = {}, {}
+    for r in sorted(s, key=lambda r: r[0]):
+        first.setdefault(r[1:4], r)
+    for i, text, focus in q:
+        for r in first.values():
+            low = " ".join([x for x in (r[2], r[3], " ".join(r[4])) if x is not None]).lower()
+            score = round(r[5] + 2 * len(cut(text) & cut(low)) + (3 if focus and focus.lower() in low else 0), 2)
+            if score > 0:
+                pairs.setdefault(i, []).append((-score, r[6] or 0, r[2] or "", r[0]))
+    want = sorted(repr((i, x[3], -x[0], k)) for i, rows in pairs.items() for k, x in enumerate(sorted(rows)[:6], 1))
+    plain = lambda **kw: sorted(repr((r.question_id, r.snippet_id, r.score, r.position)) for r in X.rank_context(qs, sn, **kw).collect())            # noqa: E731
+    monkeypatch.setattr(X, "_Index", None)                                              # no index of all questions
+    monkeypatch.setattr(X, "LONGEST", 5)
+    for cell in (200, 3000, 10**7):
+        assert plain(most=0, cell=cell) == want
+    monkeypatch.setattr(X, "MOST_TERMS", 2)
+    assert of(most=0, cell=2000) == of(most=0)
+    assert X.rank_context(qs, sn.filter("priority > 9"), most=0).count() == 0
+
+
+def test_a_floor_leaves_common_words_unread():
+    n, rnd = 4000, random.Random(1)
+    rows = [["common", "often" if rnd.random() < 0.5 else "never", f"rare{i % 400}"] for i in range(n)]
+    keys = pa.array([w for r in rows for w in r]).dictionary_encode()
+    index = X._Postings([(np.arange(n), np.full(n, 0.6), np.full(n, 3), keys)], 0)
+    met, seen = index.met, []
+    index.met = lambda starts, ends, term: (seen.append(sum(ends) - sum(starts)), met(starts, ends, term))[1]
+    code = [index.keys.index(w).as_py() for w in ("rare7", "often", "common")]
+    at, score = index.best(index.start[code].tolist(), [int(index.start[c + 1]) for c in code], None, -1, 6.6, 6)
+    assert sorted(index.id[at].tolist()) == [i for i, r in enumerate(rows) if r[1:] == ["often", "rare7"]][:6] and set(score) == {6.6}
+    assert seen == [10]                                                                # of 6,000 places
