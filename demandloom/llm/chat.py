@@ -19,6 +19,8 @@ from .registry import query
 
 #: A vocabulary file of the ``tokenizers`` library, read by the driver and sent to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Bytes of conversations that a worker encodes or reads back at a time; a longer conversation goes by itself.
+AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,33 @@ _OUT = T.StructType([T.StructField("formatted", T.StringType()), T.StructField("
                      T.StructField("loss_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
 
+def pieces(most: int, *columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Runs of rows with at most ``most`` bytes in all columns, in order; one row at least."""
+    sizes = [sum(c.slice(i, 1).nbytes for c in columns) for i in range(len(columns[0]))]
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield tuple(c.slice(start, i - start) for c in columns)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield tuple(c.slice(start) for c in columns)
+
+
+def encodings(batches: Iterator[pa.Array], tok, template: Template, learn: tuple[str, ...], most: int) -> Iterator[pa.Array]:
+    """Structs of _OUT for arrays of turns, ``most`` bytes of conversations at a time: an encoding is many times the size of its text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for (batch,) in (p for b in batches for p in pieces(most, b)):
+        talks = [[(t["role"], t["text"]) for t in x] for x in batch.to_pylist()]
+        made = [template.render(t) for t in talks]
+        found = tok.encode_batch([m[0] for m in made], add_special_tokens=False)
+        masks = [under([s for s, (role, _) in zip(m[1], t, strict=True) if role in learn], np.array(e.offsets, np.int64).reshape(-1, 2))
+                 for t, m, e in zip(talks, made, found, strict=True)]
+        yield pa.StructArray.from_arrays([
+            pa.array([m[0] for m in made], pa.string()), pa.array([e.ids for e in found], pa.list_(pa.int32())), pa.array([m.tolist() for m, _ in masks], pa.list_(pa.bool_())),
+            pa.array([[{"start": a, "end": b} for a, b in r] for _, r in masks], kind)], names=_OUT.names)
+
+
 def encoded(turns: Column, spark: SparkSession, vocabulary: str, template: Template, learn: tuple[str, ...]) -> Column:
     with open(vocabulary, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
@@ -85,16 +114,7 @@ def encoded(turns: Column, spark: SparkSession, vocabulary: str, template: Templ
         tok = Tokenizer.from_str(sent.value)
         tok.post_processor = processors.ByteLevel(trim_offsets=False)        # a token's offsets hold its spaces
         tok.add_special_tokens([template.turn, template.text, template.end])  # so no token runs over a mark
-        for batch in batches:
-            talks = [[(t["role"], t["text"]) for t in x] for x in batch.to_pylist()]
-            made = [template.render(t) for t in talks]
-            found = tok.encode_batch([m[0] for m in made], add_special_tokens=False)
-            masks = [under([s for s, (role, _) in zip(m[1], t, strict=True) if role in learn], np.array(e.offsets, np.int64).reshape(-1, 2))
-                     for t, m, e in zip(talks, made, found, strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.StructArray.from_arrays([
-                pa.array([m[0] for m in made], pa.string()), pa.array([e.ids for e in found], pa.list_(pa.int32())), pa.array([m.tolist() for m, _ in masks], pa.list_(pa.bool_())),
-                pa.array([[{"start": a, "end": b} for a, b in r] for _, r in masks], kind)], names=_OUT.names)
+        yield from encodings(batches, tok, template, learn, AT_ONCE)
     return encode(turns)
 
 
@@ -103,7 +123,8 @@ def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY, template:
 
     Rows of one conv_id are its turns, by turn (null last), then role and text; a null role or text is empty, a null
     conv_id is a conversation too. Repeated rows are repeated turns. A conversation is rendered whole and encoded once,
-    in one row: a task holds as many turns as its longest conversation has. An empty table gives no rows.
+    in one row: a task holds as many turns as its longest conversation has, and encodes AT_ONCE bytes at a time. An empty
+    table gives no rows.
     """
     template = template or Template()
     turn = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -120,7 +141,7 @@ def read_back(template: Template | None = None):
     @F.arrow_udf(kind)
     def read(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for text, own in (row for t, s in pieces(AT_ONCE, texts, spans) for row in zip(t.to_pylist(), s.to_pylist(), strict=True)):
             turns = template.read(text)
             loss = "".join(template.unescape(text[s["start"]:s["end"]]) for s in own)
             whole = "".join(f"{r}\n{t}\n" for r, t in turns)

@@ -1,8 +1,11 @@
 import hashlib
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
+from demandloom.llm import chat
 from demandloom.llm import toxicity as tox
 from demandloom.llm.chat import Template, under
 from demandloom.llm.extract import main_text, main_texts
@@ -80,6 +83,23 @@ def test_chat_escapes_round_trip_and_masks():
     assert mask.tolist() == [False, True, True, False, True, True, True] and runs == [(2, 5), (7, 9)]
 
 
+def test_few_conversations_are_encoded_at_a_time():
+    class Tokens:                                                   # one token for each code point; notes what it is given
+        given = []
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.given.append([len(t) for t in texts])
+            return [SimpleNamespace(ids=list(map(ord, t)), offsets=[(i, i + 1) for i in range(len(t))]) for t in texts]
+    talks = [[{"role": "user", "text": "w" * n}, {"role": "assistant", "text": "é" * (n % 7)}] for n in [40] * 60 + [9000, 0, 1]] + [[]]
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    run = lambda most: [x for part in chat.encodings(iter([pa.array(talks[:50], kind), pa.array(talks, kind).slice(50)]), Tokens(), Template(), ("assistant",), most) for x in part.to_pylist()]      # noqa: E731
+    whole = run(1 << 30)
+    assert [len(n) for n in Tokens.given] == [50, 14] and [x["formatted"] for x in whole] == [Template().render([(t["role"], t["text"]) for t in talk])[0] for talk in talks]
+    Tokens.given.clear()
+    assert run(1000) == whole
+    assert len(Tokens.given) > 5 and all(len(n) <= 20 for n in Tokens.given) and [9000 < n[0] and len(n) == 1 for n in Tokens.given].count(True) == 1
+
+
 def test_page_text(spark):
     page = ('<html><body><header>Site</header><div id="wrap"><div class="cookie-notice">We use cookies</div><div class="post-9"><h1>A &amp; b</h1><p>One <em>two</em>three\n four.<p>Five<br>six &lt;b&gt;'
             '<ul><li>a<li>b</ul><form>mail</form><section id="comments"><p>nice</p></section></div><div class="sidebar">Side</div></div><script>if (a<b) "<p>no</p>"</script></body></html>')
