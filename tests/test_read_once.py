@@ -56,3 +56,15 @@ def test_quality_rollup_and_bundle_need_fewer_readings(spark, folder, monkeypatc
 def test_facts_are_not_made_again_for_each_section_or_step(spark, folder):
     assert "o_orderdate" not in QUERIES["H11_evaluation_report"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in QUERIES["FC28_hierarchical_part"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_many_rows_are_not_sent_to_every_task(spark, folder, monkeypatch):
+    from demandloom.plans import inputs as I
+    from demandloom.sources import planning as P
+    plan = lambda: I.anchored_sales(spark, folder).unionByName(I.anchored_sales(spark, folder))._jdf.queryExecution().sparkPlan().toString() + I.sales(      # noqa: E731
+        spark, folder, model_year=True)._jdf.queryExecution().sparkPlan().toString()
+    rows = I.anchored_sales(spark, folder).collect()
+    monkeypatch.setattr(P, "SENT_ROWS", 2)
+    made = plan()
+    assert not [line for line in made.splitlines() if "BroadcastHashJoin" in line and ("partkey" in line or "orderkey" in line)] and "SortMergeJoin" in made
+    assert sorted(map(str, I.anchored_sales(spark, folder).collect())) == sorted(map(str, rows)) and len(rows) == 3 * 82
