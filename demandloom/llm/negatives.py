@@ -17,8 +17,10 @@ from .registry import query
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 30, 90
-#: Rows of a block, and anchors of a block: a task holds one of each and their scores (32 MB).
-ROWS, ANCHORS = 4096, 1024
+#: Rows that a cell's anchors meet at a time, and anchors scored at a time (16 MB of scores).
+ROWS, SCORED = 4096, 512
+#: Anchors of a cell, in number and in bytes of their vectors.
+ANCHORS, ANCHOR_BYTES = 65_536, 1 << 25
 
 _VECTOR = "vec_id bigint, label int, vector binary"
 
@@ -47,7 +49,9 @@ def vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def matrix(packed: list[bytes], width: int) -> np.ndarray:
-    """Vectors as rows of doubles or, if a product could pass 2**53, of 64-bit integers; a shorter vector ends in zeros."""
+    """Vectors as rows of 64-bit integers; a shorter vector ends in zeros."""
+    if all(len(v) == 8 * width for v in packed):
+        return np.frombuffer(b"".join(packed), "<i8").reshape(len(packed), width)
     out = np.zeros((len(packed), width), np.int64)
     for i, v in enumerate(packed):
         one = np.frombuffer(v, "<i8")
@@ -63,61 +67,108 @@ def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return anchors @ rows.T
 
 
-def _packed(rows: DataFrame, size: int, extra: list[str]) -> DataFrame:
-    """Blocks of at most ``size`` rows of one task: one row each with arrays."""
-    fields = ["vec_id", "label", "vector", *extra]
-    schema = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in fields)
+class Firsts:
+    """The first ``most`` rows of each window of each anchor, as blocks of rows pass: higher scores, then smaller ids.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    An anchor's windows are score ranges [low, high]; ``same`` takes other rows of the anchor's label, else rows of other labels.
+    A window that is full only takes what comes before its last, so its floor rises.
+    """
+    def __init__(self, who: np.ndarray, what: np.ndarray, packed: list[bytes], low: np.ndarray, high: np.ndarray, same: bool, most: int):
+        self.who, self.what, self.same, self.most, self.high, self.floor = who, what, same, most, high, low.copy()
+        self.vectors = matrix(packed, max(map(len, packed), default=0) // 8)
+        self.n = np.zeros(low.shape, np.int64)
+        self.score, self.id = np.zeros((*low.shape, most), np.int64), np.zeros((*low.shape, most), np.int64)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, packed: list[bytes]) -> None:
+        width = self.vectors.shape[1]
+        rows = matrix(packed, max(map(len, packed), default=0) // 8)[:, :width]         # beyond, the anchors end in zeros
+        for k in range(0, len(self.who), SCORED):
+            part = slice(k, k + SCORED)
+            s = scores(self.vectors[part, :rows.shape[1]], rows)
+            alike = self.what[part, None] == labels
+            fit = alike & (self.who[part, None] != ids) if self.same else ~alike
+            for w in range(self.high.shape[1]):
+                inside = fit & (s >= self.floor[part, w, None]) & (s <= self.high[part, w, None])
+                if np.count_nonzero(inside) > 8 * self.most * len(s):
+                    edge = np.partition(np.where(inside, s, np.iinfo(np.int64).min), -self.most, axis=1)[:, -self.most]
+                    inside &= s >= edge[:, None]
+                at, col = np.nonzero(inside)
+                self._add(at + k, w, s[at, col], ids[col])
+
+    def _add(self, k: np.ndarray, w: int, score: np.ndarray, ids: np.ndarray) -> None:
+        before = (self.n[k, w] < self.most) | (score > self.floor[k, w]) | (ids < self.id[k, w, -1])
+        k, score, ids = k[before], score[before], ids[before]
+        if not len(k):
+            return
+        own = np.unique(k)
+        old, place = np.nonzero(np.arange(self.most) < self.n[own, w, None])
+        k, score, ids = np.concatenate([k, own[old]]), np.concatenate([score, self.score[own[old], w, place]]), np.concatenate([ids, self.id[own[old], w, place]])
+        order = np.lexsort((ids, -score, k))
+        k, score, ids = k[order], score[order], ids[order]
+        rank = np.arange(len(k)) - np.searchsorted(k, k)
+        first = rank < self.most
+        self.score[k[first], w, rank[first]], self.id[k[first], w, rank[first]] = score[first], ids[first]
+        self.n[own, w] = np.minimum(np.searchsorted(k, own, "right") - np.searchsorted(k, own), self.most)
+        full = own[self.n[own, w] == self.most]
+        self.floor[full, w] = self.score[full, w, -1]
+
+    def pairs(self) -> pa.RecordBatch:
+        """(anchor_id, score, other, kind) of all that is held; what several windows of an anchor hold, once."""
+        k, w, place = np.nonzero(np.arange(self.most) < self.n[:, :, None])
+        score, ids = self.score[k, w, place], self.id[k, w, place]
+        order = np.lexsort((ids, k))
+        k, score, ids = k[order], score[order], ids[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])
+        kind = np.full(int(new.sum()), 0 if self.same else 1, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(self.who[k[new]], pa.int64()), pa.array(score[new], pa.int64()), pa.array(ids[new], pa.int64()), pa.array(kind)],
+                                          names=["anchor_id", "score", "other", "kind"])
+
+
+def _grid(anchors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every anchor beside every row, once: (cell, asks, vec_id, label, vector, scores), a cell in one task, its anchors first.
+
+    A cell has ANCHORS anchors or ANCHOR_BYTES of them at most (a few more by chance) and a slice of the rows: as many slices as the
+    session has tasks, but not more than leave a slice as many rows as the cell has anchors, so that copies of anchors don't outgrow the rows.
+    """
+    n, size = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n // ANCHORS), -(-size // ANCHOR_BYTES))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, min(-(-tasks // blocks), rows.count() * blocks // max(n, 1)))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))                              # noqa: E731
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                       # noqa: E731
+    cell = (F.col("block") * slices + F.col("slice")).cast("int").alias("cell")
+    asked = F.col("scores") if "scores" in anchors.columns else F.lit(None).cast("array<bigint>")
+    a = anchors.select("*", deal(blocks).alias("block"), each(slices).alias("slice")).select(cell, F.lit(0).alias("asks"), "vec_id", "label", "vector", asked.alias("scores"))
+    r = rows.select("*", deal(slices).alias("slice"), each(blocks).alias("block")).select(cell, F.lit(1).alias("asks"), "vec_id", "label", "vector", F.lit(None).cast("array<bigint>").alias("scores"))
+    return a.unionByName(r).repartitionById(blocks * slices, "cell").sortWithinPartitions("cell", "asks")
+
+
+def _met(made, at_once: int):
+    """Rows of a cell pass its anchors; ``made`` takes the anchors' rows and gives their Firsts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, firsts = None, [], None
         for b in batches:
-            while len(b):
-                part, b = b.slice(0, size - n), b.slice(size - n)
-                held.append(part)
-                n += len(part)
-                if n == size:
-                    yield _block(held, fields)
-                    held, n = [], 0
-        if n:
-            yield _block(held, fields)
-    return rows.select(*fields).mapInArrow(pack, schema)
-
-
-def _block(parts: list[pa.RecordBatch], fields: list[str]) -> pa.RecordBatch:
-    whole = pa.Table.from_batches(parts).combine_chunks()
-    cols = [whole.column(c).combine_chunks() for c in fields]
-    cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols], names=fields)
-
-
-def _grid(anchors: DataFrame, rows: DataFrame, extra: list[str], slices: int) -> DataFrame:
-    """Every block of anchors beside every block of rows, once: a grid of (anchor block, slice of row blocks) dealt over all tasks."""
-    a = _packed(anchors, ANCHORS, extra).select(F.monotonically_increasing_id().alias("a"), *[F.col(c).alias(f"a_{c}") for c in ["vec_id", "label", "vector", *extra]])
-    a = cut(a)                                          # one row per ANCHORS anchors
-    r = _packed(rows, ROWS, []).withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int"))
-    names = a.select("a").repartition(1).agg(F.collect_list("a").alias("all"))
-    r = r.join(F.broadcast(names)).select("s", "vec_id", "label", "vector", F.explode("all").alias("a"))      # the numbers of the anchor blocks
-    return a.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(r, ["a", "s"])
-
-
-def _each(batches: Iterator[pa.RecordBatch], extra: list[str]):
-    """(anchor row as a dict of columns, scores, row ids, row labels) of each pair of blocks."""
-    for b in batches:
-        for i in range(len(b)):
-            get = lambda c: b.column(c)[i].values           # noqa: E731,B023
-            packed, mine = get("vector").to_pylist(), get("a_vector").to_pylist()
-            width = max(map(len, packed + mine), default=0) // 8
-            s = scores(matrix(mine, width), matrix(packed, width))
-            yield {c: get(f"a_{c}") for c in ["vec_id", "label", *extra]}, s, get("vec_id").to_numpy(), get("label").to_numpy()
-
-
-def _best(score: np.ndarray, ids: np.ndarray, fit: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` best of ``fit``: higher scores, then smaller ids."""
-    at = np.flatnonzero(fit)
-    if len(at) > most:
-        edge = np.partition(score[at], len(at) - most)[len(at) - most]
-        at = at[score[at] >= edge]
-    return at[np.lexsort((ids[at], -score[at]))][:most]
+            cell, asks = b.column("cell").to_numpy(), b.column("asks").to_numpy()
+            ends = np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *ends], [*ends, len(b)], strict=True):
+                if i == j:
+                    continue
+                if cell[i] != now:
+                    if firsts is not None:
+                        yield firsts.pairs()
+                    now, held, firsts = cell[i], [], None
+                if not asks[i]:
+                    held.append(b.slice(i, j - i))
+                    continue
+                if held and firsts is None:
+                    firsts, held = made(pa.Table.from_batches(held)), [None]
+                for k in range(i, j, at_once) if firsts is not None else ():
+                    part = b.slice(k, min(at_once, j - k))
+                    firsts.meet(part.column("vec_id").to_numpy(), part.column("label").to_numpy(), part.column("vector").to_pylist())
+        if firsts is not None:
+            yield firsts.pairs()
+    return run
 
 
 def _window(positive: int, low: int, high: int) -> tuple[int, int]:
@@ -133,17 +184,11 @@ def _sorted(pairs: DataFrame) -> DataFrame:
     return pairs.repartition("anchor_id").sortWithinPartitions("anchor_id", F.desc("score"), "kind", "other")
 
 
-def positives(anchors: DataFrame, rows: DataFrame, most: int, slices: int) -> DataFrame:
+def positives(anchors: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     """(vec_id, ids, scores): each anchor's first ``most`` other rows of its label."""
-    def near(batches):
-        for a, s, ids, labels in _each(batches, []):
-            who, what = a["vec_id"].to_numpy(), a["label"].to_numpy()
-            out = [(k, _best(s[k], ids, (labels == what[k]) & (ids != who[k]), most)) for k in range(len(who))]
-            n = [len(p) for _, p in out]
-            at = np.concatenate([p for _, p in out]) if out else np.zeros(0, np.int64)
-            k = np.repeat(np.arange(len(who)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(who[k], pa.int64()), pa.array(s[k, at], pa.int64()), pa.array(ids[at], pa.int64()),
-                                              pa.array(np.zeros(len(at), np.int32), pa.int32())], names=["anchor_id", "score", "other", "kind"])
+    def made(a: pa.Table) -> Firsts:
+        n, ends = len(a), np.iinfo(np.int64)
+        return Firsts(a["vec_id"].to_numpy(), a["label"].to_numpy(), a["vector"].to_pylist(), np.full((n, 1), ends.min), np.full((n, 1), ends.max), True, most)
 
     def first(batches):
         now, ids, sc = None, [], []
@@ -160,15 +205,15 @@ def positives(anchors: DataFrame, rows: DataFrame, most: int, slices: int) -> Da
         if now is not None:
             [x.append(y) for x, y in zip(done, (now, ids, sc), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.list_(pa.int64())), pa.array(done[2], pa.list_(pa.int64()))], names=["vec_id", "ids", "scores"])
-    pairs = _grid(anchors, rows, [], slices).mapInArrow(near, _PAIR)
+    pairs = _grid(anchors, rows).mapInArrow(_met(made, ROWS), _PAIR)
     return _sorted(pairs).mapInArrow(first, "vec_id bigint, ids array<bigint>, scores array<bigint>")
 
 
 def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for rows(vec_id, label, vector).
 
-    The anchors' positives are found first. Every block of rows then sends, for each anchor, the rows of another label that are
-    among the block's first ``n_negatives`` inside the window of some positive: a row that is not cannot be among the first of all.
+    The anchors' positives are found first. Every cell of anchors and rows then sends, for each anchor, the rows of another label that are
+    among the cell's first ``n_negatives`` inside the window of some positive: a row that is not cannot be among the first of all.
     These pairs and the positives travel under the key (anchor, falling score, positive first, id); a task reads its part of the
     sorted stream once, opens a window when a positive passes, and gives each negative to the open windows that it lies in. It
     holds one anchor's windows, never its pairs.
@@ -179,22 +224,12 @@ def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_neg
     """
     rows = cut(rows)
     anchors = rows.where(is_anchor)
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = cut(anchors.join(positives(anchors, rows, n_positives, slices), "vec_id"))
-
-    def inside(batches):
-        for a, s, ids, labels in _each(batches, ["scores"]):
-            who, what, wins = a["vec_id"].to_numpy(), a["label"].to_numpy(), a["scores"].to_pylist()
-            ks, ats = [], []
-            for k in range(len(who)):
-                other, line = labels != what[k], s[k]
-                found = [_best(line, ids, other & (line >= lo) & (line <= hi), n_negatives) for lo, hi in {_window(p, low, high) for p in wins[k]}]
-                at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                ks.append(np.full(len(at), k))
-                ats.append(at)
-            k, at = (np.concatenate(ks), np.concatenate(ats)) if ks else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(who[k], pa.int64()), pa.array(s[k, at], pa.int64()), pa.array(ids[at], pa.int64()),
-                                              pa.array(np.ones(len(at), np.int32), pa.int32())], names=["anchor_id", "score", "other", "kind"])
+    known = cut(anchors.join(positives(anchors, rows, n_positives), "vec_id"))
+
+    def made(a: pa.Table) -> Firsts:
+        wins = [sorted({_window(p, low, high) for p in ps}) for ps in a["scores"].to_pylist()]
+        bounds = np.array([[*w, *[(1, 0)] * (n_positives - len(w))] for w in wins], np.int64).reshape(len(wins), n_positives, 2)      # (1, 0) holds nothing
+        return Firsts(a["vec_id"].to_numpy(), a["label"].to_numpy(), a["vector"].to_pylist(), bounds[:, :, 0], bounds[:, :, 1], False, n_negatives)
 
     names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -216,7 +251,7 @@ def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_neg
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
     near = known.select(F.col("vec_id").alias("anchor_id"), F.explode(F.arrays_zip("ids", "scores")).alias("p")).select(
         "anchor_id", F.col("p.scores").alias("score"), F.col("p.ids").alias("other"), F.lit(0).alias("kind"))
-    far = _grid(known, rows, ["scores"], slices).mapInArrow(inside, _PAIR)
+    far = _grid(known, rows).mapInArrow(_met(made, ROWS), _PAIR)
     return _sorted(far.union(near)).mapInArrow(windows, "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from demandloom.llm import negatives
@@ -51,3 +52,32 @@ def test_large_components_and_empty(spark, monkeypatch):
 def test_zero_scores_stand_behind_their_positive(spark, monkeypatch):
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (9, [0.0, 1.0], 0), (3, [0.0, 0.5], 1)]
     assert [r[:4] for r in check(spark, monkeypatch, rows)] == [(0, 9, 1, 1), (0, 9, 2, 3)]
+
+
+def test_anchors_are_not_sent_to_every_task(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(200)], "vec_id long, embedding array<double>, label int")
+    found = negatives.mine(negatives.vectors(rows), F.col("vec_id") % 5 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString() and found.count()
+
+
+def test_firsts_of_windows_as_rows_pass(monkeypatch):
+    monkeypatch.setattr(negatives, "SCORED", 3)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (400, 2))
+    v[250:300] = v[5]                                               # many equal scores
+    labels, ids, most = rng.integers(0, 3, 400), rng.permutation(400), 4
+    packed = [x.astype("<i8").tobytes() for x in v]
+    own = np.arange(0, 400, 40)
+    s = v[own] @ v.T
+    for same, low, high in ((True, [[-99]], [[99]]), (False, [[2, -5, 1]], [[9, 0, 0]])):
+        low, high = np.repeat(low, len(own), 0), np.repeat(high, len(own), 0)
+        f = negatives.Firsts(ids[own], labels[own], [packed[i] for i in own], low, high, same, most)
+        for k in range(0, 400, 150):
+            f.meet(ids[k:k + 150], labels[k:k + 150], packed[k:k + 150])
+        want = set()
+        for i, a in enumerate(own):
+            for w in range(low.shape[1]):
+                fit = [j for j in range(400) if (labels[j] == labels[a]) == same and ids[j] != ids[a] and low[i, w] <= s[i, j] <= high[i, w]]
+                want |= {(ids[a], s[i, j], ids[j]) for j in sorted(fit, key=lambda j: (-s[i, j], ids[j]))[:most]}
+        got = f.pairs().to_pydict()
+        assert sorted(zip(got["anchor_id"], got["score"], got["other"], strict=True)) == sorted(want) and set(got["kind"]) == {0 if same else 1}
