@@ -68,3 +68,11 @@ def test_tables_of_many_rows_are_not_sent_to_every_task(spark, folder, monkeypat
     made = plan()
     assert not [line for line in made.splitlines() if "BroadcastHashJoin" in line and ("partkey" in line or "orderkey" in line)] and "SortMergeJoin" in made
     assert sorted(map(str, I.anchored_sales(spark, folder).collect())) == sorted(map(str, rows)) and len(rows) == 3 * 82
+
+
+def test_promotion_gate_makes_its_series_once(spark, folder, monkeypatch):
+    from demandloom.plans import evaluate, govern
+    made, series = [], evaluate.anchor_series
+    for module in (evaluate, govern):
+        monkeypatch.setattr(module, "anchor_series", lambda *a: made.append(1) or series(*a))
+    assert {r.check: r.passed for r in QUERIES["E12_promotion_gate"](spark, folder).collect()}["same_folds"] and len(made) == 1
