@@ -57,27 +57,32 @@ def completed_cutoff(d, requested_end: Column | None = None) -> Column:
     return F.when(req < month_of(d), req).otherwise(own)
 
 
-def mixed_date(value: Column) -> Column:
-    """Date from text that may hold yyyymmdd, yyyymm, yyyy, a spreadsheet serial, or a written date."""
-    t = F.trim(value.cast("string"))
-    num = t.try_cast("double")
-    whole = num.isNotNull() & (F.abs(num % 1) < 1e-9)
-    n = F.when(whole, num).cast("bigint")
-    as_text = n.cast("string")
-
-    def parsed(fmt):
-        return F.try_to_timestamp(as_text, F.lit(fmt)).cast("date")
-
-    numeric = F.coalesce(
-        F.when(n.between(19000101, 21001231), parsed("yyyyMMdd")),
-        F.when(n.between(190001, 210012), F.try_to_timestamp(F.concat(as_text, F.lit("01")), F.lit("yyyyMMdd")).cast("date")),
-        F.when(n.between(1900, 2100), F.try_to_timestamp(F.concat(as_text, F.lit("0101")), F.lit("yyyyMMdd")).cast("date")),
-        F.when(n.between(20000, 80000), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))),
-    )
+def number_date(num: Column) -> Column:
+    """Date from a whole number: yyyymmdd, yyyymm, yyyy or a spreadsheet serial. Plain arithmetic, so a number that is none costs little."""
+    n = num.cast("bigint")
+    part = lambda at, size: (F.floor(n / at) % size).cast("int")                                 # noqa: E731
+    day = lambda y, m, d: F.when(m.between(1, 12), F.when(                                       # noqa: E731
+        d.between(1, F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))), F.make_date(y, m, d)))
+    one = F.lit(1)
+    return F.when(num.between(1900, 21001232) & (F.abs(num % 1) < 1e-9),
+                  F.when(n.between(19000101, 21001231), day(part(10000, 10000), part(100, 100), part(1, 100)))
+                  .when(n.between(190001, 210012), day(part(100, 10000), part(1, 100), one))
+                  .when(n.between(1900, 2100), F.make_date(n.cast("int"), one, one))
+                  .when(n.between(20000, 80000), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))))
+
+
+def written_date(t: Column) -> Column:
+    """Date from trimmed text that is no number."""
     written = F.coalesce(*[
         F.try_to_timestamp(t, F.lit(fmt)).cast("date")
         for fmt in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM", "MM/dd/yyyy", "M/d/yyyy",
                     "d MMM yyyy", "MMM d, yyyy", "MMM yyyy")
     ])
-    written = F.when(t.rlike("[0-9]{4}"), F.when(F.year(written).between(1900, 2100), written))      # each form has a year of four digits
-    return F.when(num.isNotNull(), numeric).otherwise(written)
+    return F.when(t.rlike("[0-9]{4}"), F.when(F.year(written).between(1900, 2100), written))         # each form has a year of four digits
+
+
+def mixed_date(value: Column) -> Column:
+    """Date from text that may hold yyyymmdd, yyyymm, yyyy, a spreadsheet serial, or a written date."""
+    t = F.trim(value.cast("string"))
+    num = t.try_cast("double")
+    return F.when(num.isNotNull(), number_date(num)).otherwise(written_date(t))

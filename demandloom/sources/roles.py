@@ -15,12 +15,15 @@ from pyspark.sql import types as TY
 from ..config import ROLE_PATTERNS, Roles
 from ..functions import dates as D
 from ..functions import text as T
+from ..functions.forecast import let
 
 #: Share of rows that must hold a date, in a column that may serve as one.
 DATE_SHARE = 0.75
 #: Roles without which a source is no table of sales.
 SALES_ROLES = ("date", "model", "installation_quantity", "revenue")
 MEASURES = ("installation_quantity", "revenue")
+#: How a text begins that may be a number: a word is told apart faster than by a failed cast.
+NUMBER_LIKE = r"^[\x00-\x20]*[0-9+.NnIi-]"
 
 
 def kind_of(t: TY.DataType) -> str:
@@ -37,13 +40,20 @@ def column_facts(sources: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sources.items():
         kinds = [kind_of(f.dataType) for f in df.schema.fields]
-        none, day = F.lit(None).cast("string"), lambda c: F.col(c).cast("date")
-        # a date is one already, within the years that a text may name
-        cells = [F.struct(F.lit(i).alias("place"), none.alias("v"), F.when(F.year(day(f"`{f.name}`")).between(1900, 2100), day(f"`{f.name}`")).alias("d")) if k == "date" else
-                 F.struct(F.lit(i).alias("place"), F.col(f"`{f.name}`").cast("string").alias("v"), F.lit(None).cast("date").alias("d"))
-                 for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True))]
+        none, day = lambda t: F.lit(None).cast(t), lambda c: F.col(c).cast("date")
+        cells = []
+        for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True)):
+            c, text = F.col(f"`{f.name}`"), F.trim(F.col(f"`{f.name}`").cast("string"))
+            # a date is one already, within the years that a text may name; a number is read as its text would be, a FLOAT by that text
+            v, num, d = ((none("string"), none("double"), F.when(F.year(day(f"`{f.name}`")).between(1900, 2100), day(f"`{f.name}`"))) if k == "date" else
+                         (none("string"), c.cast("double"), none("date")) if k == "numeric" and not isinstance(f.dataType, TY.FloatType) else
+                         (text, F.when(text.rlike(NUMBER_LIKE), text.try_cast("double")), none("date")))
+            cells.append(F.struct(F.lit(i).alias("place"), v.alias("v"), num.alias("num"), d.alias("d")))
         # cells are read where they are and only the dates they hold, a fixed range, are counted across tasks
-        values = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.place", F.coalesce("c.d", D.mixed_date(F.col("c.v"))).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        # written dates, long code for few cells, stand in a lambda, which keeps the code for all cells small enough to be compiled
+        written = F.when(F.col("c.v").rlike("[0-9]{4}"), let(F.col("c.v"), D.written_date))
+        found = F.coalesce("c.d", F.when(F.col("c.num").isNotNull(), D.number_date(F.col("c.num"))).otherwise(written))
+        values = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.place", found.alias("d")).agg(F.count(F.lit(1)).alias("n"))
         month, day = F.collect_set(F.year("d") * 12 + F.month("d")), F.collect_set(F.dayofmonth("d"))
         per = values.groupBy("place").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("dates"),
                                           (F.min("d") < F.max("d")).alias("differ"), ((F.size(month) > 2) | (F.size(day) > 1)).alias("spread"))

@@ -2,7 +2,10 @@ from datetime import date, datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from demandloom.config import ROLE_PATTERNS
+from demandloom.functions import dates as D
 from demandloom.sources import roles as RO
 
 
@@ -54,3 +57,14 @@ def test_choice_of_a_source(spark):
         RO.choose(f, ["part", "nodate"])
     assert RO.named(["Wholesale A", "x", "b wholesale"], "wholesale") == ["Wholesale A", "b wholesale"]
     assert RO.as_roles(f, "one").quantity == "qty" and RO.as_roles(f, "one").brand == "brand"
+
+
+def test_cells_are_read_as_their_text_is(spark):
+    """Numbers are not made text first; each cell gives the date that its text gives."""
+    numbers = [0.0, 1899.0, 1900.0, 1999.5, 2100.0, 2101.0, 19999.0, 20000.0, 45000.0, 80000.0, 80001.0, 199900.0, 199912.0, 199913.0, 19990229.0, 20000229.0, 19991231.0, 1e30, -2000.0, float("nan"), float("inf"), None]
+    texts = ["1999-01-31", "1999-02-30", " 2000 ", "31 Jan 1999", "Jan 1999", "NaN", "nothing", "Infinity", "1e3", "2e3", "\t2001", ".5", "-1", "+2002", "12/31/1999", "1234 bolts", "x19990101", "", " ", "1999-01-31 10:00:00", None, "20d"]
+    whole = [None if x is None or x != x or abs(x) > 1e18 else int(x) for x in numbers]
+    df = spark.createDataFrame(list(zip(numbers, whole, texts, numbers, strict=True)), "d double, l long, t string, f float")
+    want = [sum(r.x is not None for r in df.filter(F.coalesce(F.abs(c) < 1e18, F.lit(True)) if c != "t" else F.lit(True)).select(D.mixed_date(F.col(c)).alias("x")).collect()) for c in df.columns]
+    got = {r.column: r.dates for r in RO.column_facts({"s": df}).collect()}
+    assert [got[c] for c in df.columns] == want == [8, 9, 9, 8]
